@@ -43,3 +43,9 @@ def tail(arr: Column, k: int) -> Column:
 
 def absolute(arr: Column) -> Column:
     return F.transform(arr, lambda x: F.abs(x))
+
+
+def checksum(arr: Column) -> Column:
+    """Position-weighted sum of an array; changes when values move."""
+    weighted = F.transform(arr, lambda x, i: x * (i + 1))
+    return total(weighted) / F.size(arr)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL, Protocol
-from .sequence import with_position
+from ..functions.arrays import finite
+from .sequence import with_position, with_previous
 
 RUN_ROWS = 1024
 
@@ -61,12 +62,18 @@ def cut_windows(
     )
 
 
+def block_stride(name: Column, proto: Protocol = PROTOCOL) -> Column:
+    """Stride of the block a row belongs to."""
+    stride = F.lit(None).cast("int")
+    for rule in proto.blocks:
+        stride = F.when(name == rule.name, rule.stride).otherwise(stride)
+    return stride
+
+
 def block_windows(features: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
     """Windows of every training-side block in one job, each with its own stride."""
     rules = [r for r in proto.blocks if r.name != "test_source"]
-    stride = F.lit(None).cast("int")
-    for rule in rules:
-        stride = F.when(F.col("feature_block") == rule.name, rule.stride).otherwise(stride)
+    stride = block_stride(F.col("feature_block"), proto)
     wanted = features.where(F.col("feature_block").isin([r.name for r in rules]))
     return cut_windows(wanted, ["feature_block", "ticker"], stride, proto).withColumnRenamed(
         "feature_block", "split"
@@ -138,19 +145,131 @@ def window_long(windows: DataFrame, keep: list[str], proto: Protocol = PROTOCOL,
     return unpivot_channels(sessions(checked, keep, proto, flat), [*keep, "t"], proto)
 
 
-def unique_daily(windows: DataFrame, stride: int, proto: Protocol = PROTOCOL) -> DataFrame:
+def unique_daily(
+    windows: DataFrame, stride: Column | int, keep: list[str] = ["ticker"], proto: Protocol = PROTOCOL
+) -> DataFrame:
     """The distinct daily rows behind overlapping windows, without a shuffle.
 
     The first window of a ticker owns all its rows, each later one only the last
     ``stride`` rows, which no earlier window holds.
     """
     n = len(proto.channels)
-    own = F.when(F.col("start_pos") == 0, 0).otherwise(proto.length - stride)
+    stride = stride if isinstance(stride, Column) else F.lit(stride)
+    own = F.when(F.col("start_pos") == 0, 0).otherwise(F.lit(proto.length) - stride)
     steps = windows.select(
-        "ticker", "start_pos", "features_flat", F.explode(F.sequence(own, F.lit(proto.length - 1))).alias("t")
+        *keep, "start_pos", "features_flat", F.explode(F.sequence(own, F.lit(proto.length - 1))).alias("t")
     )
     return steps.select(
-        "ticker",
+        *keep,
         (F.col("start_pos") + F.col("t")).alias("daily_pos"),
         *[F.get("features_flat", F.col("t") * n + i).alias(c) for i, c in enumerate(proto.channels)],
     )
+
+
+def boundary_report(windows: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
+    """First and last day per block against its rule."""
+    stats = windows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        F.min("window_start_date").alias("min_start"),
+        F.max("window_end_date").alias("max_end"),
+    )
+    lower, upper = F.lit(None).cast("date"), F.lit(None).cast("date")
+    for rule in proto.blocks:
+        here = F.col("split") == rule.name
+        lower = F.when(here, F.lit(rule.start).cast("date")).otherwise(lower)
+        upper = F.when(here, F.lit(rule.end).cast("date")).otherwise(upper)
+    return stats.withColumn("inside", (F.col("min_start") >= lower) & (F.col("max_end") <= upper))
+
+
+def target_overlaps(index: DataFrame) -> DataFrame:
+    """Distinct target days, and how many sit in more than one window."""
+    days = index.select(F.explode("target_dates").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return days.agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)), F.lit(0)).alias("overlapping_days"),
+    )
+
+
+def target_checks(index: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
+    rule = proto.split("test")
+    return index.agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        F.bool_and(F.size("context_dates") == proto.context).alias("context_complete"),
+        F.bool_and(F.size("target_dates") == proto.horizon).alias("target_complete"),
+        F.bool_and(F.array_min("target_dates") >= F.lit(rule.start).cast("date")).alias("starts_inside"),
+        F.bool_and(F.array_max("target_dates") <= F.lit(rule.end).cast("date")).alias("ends_inside"),
+        F.bool_and(F.array_max("context_dates") < F.array_min("target_dates")).alias("context_before_target"),
+    )
+
+
+def expected_counts(features: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
+    """How many windows each block must give, from its row counts alone."""
+    rows = features.groupBy("feature_block", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    stride = block_stride(F.col("feature_block"), proto)
+    n = F.greatest(F.floor((F.col("n") - proto.length) / stride) + 1, F.lit(0))
+    return rows.groupBy(F.col("feature_block").alias("split")).agg(F.sum(n).cast("long").alias("expected"))
+
+
+def stride_check(windows: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
+    """Neighbouring starts of a ticker must be one stride apart."""
+    gaps = with_previous(
+        windows.select("split", "ticker", "start_pos"),
+        ["split", "ticker"],
+        "start_pos",
+        [F.floor(F.col("start_pos") / 4096)],
+        "start_pos",
+        "prev",
+    ).where(F.col("prev").isNotNull())
+    off = (F.col("start_pos") - F.col("prev")) != block_stride(F.col("split"), proto)
+    return gaps.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.sum(off.cast("int")).alias("wrong_stride")
+    )
+
+
+def hidden_windows(windows: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
+    """Full-history windows that end inside the hidden range, relabelled."""
+    end = F.lit(proto.split("hidden").end).cast("date")
+    return windows.where((F.col("split") == "full_history") & (F.col("window_end_date") <= end)).withColumn(
+        "split", F.lit("hidden")
+    )
+
+
+def meta_check(windows: DataFrame, universe: list[str], proto: Protocol = PROTOCOL) -> DataFrame:
+    """Violation counts of the window metadata per split."""
+    def n(cond: Column) -> Column:
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    start, end = F.col("window_start_date"), F.col("window_end_date")
+    return windows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        n(F.col("ticker").isNull() | start.isNull() | end.isNull()).alias("null_meta"),
+        n(start > end).alias("start_after_end"),
+        n(F.size("features_flat") != proto.width).alias("wrong_length"),
+        n(F.exists("features_flat", lambda x: ~finite(x))).alias("non_finite"),
+        n(~F.col("ticker").isin(universe)).alias("unknown_ticker"),
+    )
+
+
+def universe_check(windows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per split: tickers outside the expected universe and expected ones not seen.
+
+    ``expected`` holds (split, ticker).
+    """
+    seen = windows.groupBy("split", "ticker").agg(F.lit(1).alias("seen"))
+    both = expected.withColumn("wanted", F.lit(1)).join(seen, ["split", "ticker"], "full_outer")
+    return both.groupBy("split").agg(
+        F.count("wanted").alias("n_expected"),
+        F.sum(F.when(F.col("wanted").isNull(), 1).otherwise(0)).alias("n_unknown"),
+        F.sum(F.when(F.col("seen").isNull(), 1).otherwise(0)).alias("n_missing"),
+    )
+
+
+def window_profile(windows: DataFrame) -> DataFrame:
+    width = F.size("features_flat")
+    return windows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        F.countDistinct("ticker").alias("n_tickers"),
+        F.countDistinct(width).alias("n_widths"),
+        F.min(width).cast("long").alias("min_width"),
+        F.max(width).cast("long").alias("max_width"),
+    )

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_panel  # noqa: F401
+from . import q_panel, q_windows  # noqa: F401
 from .inputs import ORACLES, QUERIES
