@@ -63,7 +63,8 @@ def temporal_jitter(
     df: DataFrame, seed: int, sigma: float, rho: float, chol: Column, proto: Protocol = PROTOCOL
 ) -> DataFrame:
     """Add channel-correlated noise that follows an AR(1) in time (``rho=0``: white)."""
-    drawn = df.withColumn("__z", hashrand.normals(F.col("synthetic_id"), seed, proto.width))
+    chol_value, chol = chol, F.col("__chol")
+    drawn = df.withColumn("__chol", chol_value).withColumn("__z", hashrand.normals(F.col("synthetic_id"), seed, proto.width))
     z = F.col("__z")
 
     def shock(t: Column) -> Column:
@@ -89,7 +90,7 @@ def temporal_jitter(
     drawn = drawn.withColumn("__noise", F.flatten(noise))
     return drawn.withColumn(
         "features_flat", F.zip_with("features_flat", "__noise", lambda x, n: x + n)
-    ).drop("__z", "__e", "__noise")
+    ).drop("__chol", "__z", "__e", "__noise")
 
 
 def window_summary(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -161,8 +162,8 @@ def draw_regime_members(draws: DataFrame, labels: DataFrame, seed: int) -> DataF
         F.sort_array(F.collect_list(F.struct("lo", "hi", "regime", "n_members"))).alias("s")
     ).select("s").scalar()
     u = hashrand.uniform(F.col("synthetic_id"), seed, "regime")
-    drawn = draws.withColumn("__u", u)
-    hit = F.element_at(F.filter(shares, lambda s: s["lo"] <= F.col("__u")), -1)
+    drawn = draws.withColumn("__u", u).withColumn("__shares", shares)
+    hit = F.element_at(F.filter("__shares", lambda s: s["lo"] <= F.col("__u")), -1)
     drawn = drawn.withColumn("__hit", hit)
     member = F.floor(hashrand.uniform(F.col("synthetic_id"), seed, "member") * F.col("__hit.n_members"))
     picked = drawn.select("synthetic_id", F.col("__hit.regime").alias("regime"), member.cast("long").alias("member_idx"))

@@ -44,15 +44,27 @@ def fit_normalizer(windows: DataFrame, proto: Protocol = PROTOCOL) -> Column:
     return scaler_row(sessions(windows, [], proto), proto).select("scaler").scalar()
 
 
-def normalize(flat: Column, scaler: Column, proto: Protocol = PROTOCOL) -> Column:
+def _per_channel(df: DataFrame, scaler: Column, source: str, out: str, fn, proto: Protocol) -> DataFrame:
+    """Apply ``fn(x, mu, sd)`` to each value; the one-row scaler is attached first
+    because a subquery may not sit inside an array lambda."""
     n = len(proto.channels)
-    return F.transform(flat, lambda x, i: (x - F.get(scaler["mu"], i % n)) / F.get(scaler["sd"], i % n))
+    mu, sd = F.col("__scaler")["mu"], F.col("__scaler")["sd"]
+    mapped = F.transform(source, lambda x, i: fn(x, F.get(mu, i % n), F.get(sd, i % n)))
+    return df.withColumn("__scaler", scaler).withColumn(out, mapped).drop("__scaler")
 
 
-def denormalize(flat: Column, scaler: Column, proto: Protocol = PROTOCOL) -> Column:
-    """Affine map back, or calibration to another scale; nothing is clipped."""
-    n = len(proto.channels)
-    return F.transform(flat, lambda z, i: F.get(scaler["mu"], i % n) + F.get(scaler["sd"], i % n) * z)
+def normalize(
+    df: DataFrame, scaler: Column, source: str = "features_flat", out: str | None = None, proto: Protocol = PROTOCOL
+) -> DataFrame:
+    """(x - mu) / sd per channel."""
+    return _per_channel(df, scaler, source, out or source, lambda x, mu, sd: (x - mu) / sd, proto)
+
+
+def denormalize(
+    df: DataFrame, scaler: Column, source: str = "features_flat", out: str | None = None, proto: Protocol = PROTOCOL
+) -> DataFrame:
+    """mu + sd * z per channel: the way back, or calibration to a target. No clipping."""
+    return _per_channel(df, scaler, source, out or source, lambda z, mu, sd: mu + sd * z, proto)
 
 
 def to_exchange(flat: Column) -> Column:

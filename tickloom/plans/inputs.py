@@ -101,8 +101,7 @@ class Inputs:
     def normalized(self) -> DataFrame:
         """Donor windows of both splits on the scale fitted on donor_train."""
         both = self.windows.where(F.col("split").isin("donor_train", "donor_validation"))
-        flat = scaling.normalize(F.col("features_flat"), self.normalizer)
-        return stage(both.withColumn("features_flat", flat).drop("dates"), "normalized")
+        return stage(scaling.normalize(both, self.normalizer).drop("dates"), "normalized")
 
     def real(self, name: str) -> DataFrame:
         return self.normalized.where(F.col("split") == name)
@@ -157,8 +156,7 @@ class Inputs:
     @cached_property
     def calibrated(self) -> DataFrame:
         """Pools on the target scale, with both arrays."""
-        flat = scaling.denormalize(F.col("features_flat"), self.calibration)
-        return stage(self.pools.withColumn("calibrated", flat), "calibrated")
+        return stage(scaling.denormalize(self.pools, self.calibration, out="calibrated"), "calibrated")
 
     @cached_property
     def valid_pools(self) -> DataFrame:

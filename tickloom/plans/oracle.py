@@ -22,7 +22,8 @@ def sql(deps: str, body: str) -> str:
     for name in deps.split():
         visit(name)
     parts = ",\n".join(f"{n} AS MATERIALIZED (\n{CTE[n][1].strip()}\n)" for n in order)
-    return f"WITH RECURSIVE {parts}\n{body.strip()}" if parts else body.strip()
+    body = body.strip()
+    return f"WITH RECURSIVE {parts}\n{body}" if parts else body
 
 
 def r6(expr: str, name: str = "") -> str:
@@ -224,3 +225,80 @@ SELECT count(*) AS n, avg(c0) AS m0, avg(c1) AS m1, avg(c2) AS m2,
   stddev_pop(c0) AS s0, stddev_pop(c1) AS s1, stddev_pop(c2) AS s2 FROM visdays
 """,
 )
+
+# Pools: as many synthetic windows as donors, ids 0..n-1.
+DONORS = "(SELECT * FROM nwin WHERE split = 'donor_train')"
+cte(
+    "chol",
+    "nsteps",
+    """
+SELECT r12 AS l21, l22, r13 AS l31, (r23 - r12 * r13) / l22 AS l32,
+  sqrt(greatest(1 - r13 * r13 - ((r23 - r12 * r13) / l22) * ((r23 - r12 * r13) / l22), 1e-6::DOUBLE)) AS l33
+FROM (SELECT *, sqrt(greatest(1 - r12 * r12, 1e-6::DOUBLE)) AS l22
+      FROM (SELECT corr(c0, c1) AS r12, corr(c0, c2) AS r13, corr(c1, c2) AS r23 FROM nsteps WHERE split = 'donor_train'))
+""",
+)
+cte("seeds", "", "SELECT * FROM (VALUES (42), (123), (2026)) s(seed)")
+cte(
+    "draws",
+    "nwin seeds",
+    f"""
+SELECT d.idx AS id, s.seed,
+  floor({unit("d.idx || ':' || s.seed || ':index'")} * (SELECT count(*) FROM {DONORS}))::BIGINT AS donor_idx,
+  list_transform(range(195), lambda k: {norm("d.idx || ':' || s.seed || ':' || k")}) AS z
+FROM {DONORS} d, seeds s
+""",
+)
+
+
+def shocks(sigma: float) -> str:
+    """Session-major channel-correlated shocks from the normals ``z``."""
+    return f"""flatten(list_transform(range(65), lambda t: [{sigma}::DOUBLE * z[3*t+1],
+  {sigma}::DOUBLE * (l21 * z[3*t+1] + l22 * z[3*t+2]),
+  {sigma}::DOUBLE * (l31 * z[3*t+1] + l32 * z[3*t+2] + l33 * z[3*t+3])]))"""
+
+
+def ar_noise(rho: float, e: str = "e") -> str:
+    """AR(1) noise as the closed sum over the shocks."""
+    w = f"sqrt(1 - {rho}::DOUBLE * {rho}::DOUBLE)"
+    return f"""list_transform(range(195), lambda k: list_sum(list_transform(range(k // 3 + 1),
+  lambda s: (CASE WHEN s = 0 THEN 1::DOUBLE ELSE {w} END) * pow({rho}::DOUBLE, k // 3 - s) * {e}[3 * s + k % 3 + 1])))"""
+
+
+cte(
+    "pools3",
+    "draws nwin chol",
+    f"""
+SELECT 'bootstrap_jitter' AS method, seed, id, list_transform(flat, lambda x, i: x + 0.05::DOUBLE * z[i]) AS flat
+FROM draws JOIN {DONORS} d ON d.idx = donor_idx
+UNION ALL
+SELECT 'correlated_jitter', seed, id, list_transform(flat, lambda x, i: x + e[i])
+FROM (SELECT seed, id, flat, {shocks(0.10)} AS e FROM draws JOIN {DONORS} d ON d.idx = donor_idx, chol)
+UNION ALL
+SELECT 'ar1_jitter', seed, id, list_transform(flat, lambda x, i: x + n[i])
+FROM (SELECT seed, id, flat, {ar_noise(0.85)} AS n
+      FROM (SELECT seed, id, flat, {shocks(0.40)} AS e FROM draws JOIN {DONORS} d ON d.idx = donor_idx, chol))
+""",
+)
+# Queries on the seed-42 pools alone use these, with the same text but one seed.
+cte("draws42", CTE["draws"][0][0], CTE["draws"][1].replace("d, seeds s", "d, (SELECT 42 AS seed) s"))
+cte("pools", "draws42 nwin chol", CTE["pools3"][1].replace("FROM draws ", "FROM draws42 "))
+cte(
+    "calpool",
+    "pools cal",
+    """
+SELECT method, id, p.flat AS z, list_transform(p.flat, lambda x, i: [m0, m1, m2][(i - 1) % 3 + 1] + [s0, s1, s2][(i - 1) % 3 + 1] * x) AS flat
+FROM pools p, cal
+""",
+)
+cte("calsteps", "calpool", "SELECT method, id, t, flat[3*t+1] AS c0, flat[3*t+2] AS c1, flat[3*t+3] AS c2 FROM calpool, (SELECT unnest(range(65)) AS t)")
+cte("psteps", "pools", "SELECT method, id, t, flat[3*t+1] AS c0, flat[3*t+2] AS c1, flat[3*t+3] AS c2 FROM pools, (SELECT unnest(range(65)) AS t)")
+cte(
+    "validity",
+    "calpool",
+    """
+SELECT method, id, list_bool_and(list_transform(flat, lambda x: isfinite(x)))
+  AND list_bool_and(list_transform(range(65), lambda t: flat[3*t+2] >= 0 AND flat[3*t+3] >= 0)) AS ok
+FROM calpool
+""",
+)
