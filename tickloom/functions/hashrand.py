@@ -29,16 +29,19 @@ def uniform(row_id: Column, seed: int | Column, stream: str | Column) -> Column:
     return _unit(_digest(row_id, seed, stream), 1)
 
 
-def normal(row_id: Column, seed: int | Column, stream: str | Column) -> Column:
-    """A standard normal draw: Box-Muller over two words of one digest."""
-    digest = _digest(row_id, seed, stream)
+def _box_muller(digest: Column) -> Column:
     radius = F.sqrt(F.lit(-2.0) * F.log(_unit(digest, 1)))
     return radius * F.cos(F.lit(2.0 * math.pi) * _unit(digest, 9))
 
 
-def normals(row_id: Column, seed: int | Column, n: int) -> Column:
-    """Array of ``n`` standard normals, streams 0..n-1."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: normal(row_id, seed, k))
+def normals(row_id: Column, seed: int, n: int) -> Column:
+    """Array of ``n`` standard normals, streams 0..n-1.
+
+    Box-Muller over two words of one digest. The digests are a first pass of their
+    own, so each one is hashed once though it is read twice.
+    """
+    digests = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: _digest(row_id, seed, k))
+    return F.transform(digests, _box_muller)
 
 
 def order_key(row_id: Column, seed: int | Column) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import PROTOCOL, Protocol
 from ..functions import hashrand
 from ..functions.arrays import absolute, channel, mean, std_pop, total
+from ..session import broadcast_if_small
+from .neighbours import nearest
 from .scaling import ZERO_STD
 from .sequence import quantiles, with_position
 from .windows import sessions
 
+DRAWS_PER_TASK = 8192
 SUMMARY = ("ret_std", "ret_abs_mean", "ret_sum", "range_mean", "volume_mean", "volume_std")
 
 
@@ -25,16 +28,17 @@ def donor_rows(windows: DataFrame) -> DataFrame:
     )
 
 
-def draw_indices(spark: SparkSession, n: Column | int, size: Column, seed: int, lo: int = 0) -> DataFrame:
-    """``(synthetic_id, donor_idx)`` for ids in [lo, n): uniform draws with replacement."""
-    ids = spark.range(lo, n).withColumnRenamed("id", "synthetic_id")
+def draw_indices(spark: SparkSession, lo: int, hi: int, size: Column, seed: int) -> DataFrame:
+    """``(synthetic_id, donor_idx)`` for ids in [lo, hi): uniform draws with replacement."""
+    tasks = max(spark.sparkContext.defaultParallelism, (hi - lo) // DRAWS_PER_TASK)
+    ids = spark.range(lo, hi, 1, tasks).withColumnRenamed("id", "synthetic_id")
     index = F.floor(hashrand.uniform(F.col("synthetic_id"), seed, "index") * size).cast("long")
     return ids.withColumn("donor_idx", index)
 
 
 def bootstrap(donors: DataFrame, draws: DataFrame) -> DataFrame:
     """Attach the donor window of each draw. Draw indices are uniform, so the join is even."""
-    return draws.join(donors.select("donor_idx", "features_flat"), "donor_idx")
+    return draws.join(broadcast_if_small(donors.select("donor_idx", "features_flat")), "donor_idx")
 
 
 def jitter(df: DataFrame, seed: int, sigma: float, proto: Protocol = PROTOCOL) -> DataFrame:
@@ -59,38 +63,51 @@ def correlation_row(windows: DataFrame, proto: Protocol = PROTOCOL) -> Column:
     ).scalar()
 
 
-def temporal_jitter(
-    df: DataFrame, seed: int, sigma: float, rho: float, chol: Column, proto: Protocol = PROTOCOL
+def _ar1_step(rho: float):
+    """Fold step that appends rho * last + sqrt(1 - rho^2) * shock."""
+    fresh = (1.0 - rho * rho) ** 0.5
+
+    def step(acc: Column, shock: Column) -> Column:
+        after = F.zip_with(F.element_at(acc, -1), shock, lambda n, e: F.lit(rho) * n + F.lit(fresh) * e)
+        return F.array_append(acc, after)
+
+    return step
+
+
+def temporal_noise(
+    df: DataFrame, seed: int, chol: Column, rhos: tuple[float, ...], proto: Protocol = PROTOCOL
 ) -> DataFrame:
-    """Add channel-correlated noise that follows an AR(1) in time (``rho=0``: white)."""
-    chol_value, chol = chol, F.col("__chol")
-    drawn = df.withColumn("__chol", chol_value).withColumn("__z", hashrand.normals(F.col("synthetic_id"), seed, proto.width))
-    z = F.col("__z")
+    """Add one unit-scale noise array per AR(1) coefficient: ``noise_0``, ``noise_1`` ...
+
+    Shocks are correlated over the channels by ``chol`` and follow
+    n_t = rho n_{t-1} + sqrt(1 - rho^2) e_t in time; ``rho=0`` is white in time.
+    All of them share one set of normals.
+    """
+    drawn = df.withColumn("__chol", chol).withColumn(
+        "__z", hashrand.normals(F.col("synthetic_id"), seed, proto.width)
+    )
+    z, c = F.col("__z"), F.col("__chol")
 
     def shock(t: Column) -> Column:
         z0, z1, z2 = (F.get(z, t * 3 + i) for i in range(3))
-        return F.array(
-            F.lit(sigma) * z0,
-            F.lit(sigma) * (chol["l21"] * z0 + chol["l22"] * z1),
-            F.lit(sigma) * (chol["l31"] * z0 + chol["l32"] * z1 + chol["l33"] * z2),
-        )
+        return F.array(z0, c["l21"] * z0 + c["l22"] * z1, c["l31"] * z0 + c["l32"] * z1 + c["l33"] * z2)
 
     drawn = drawn.withColumn("__e", F.transform(F.sequence(F.lit(0), F.lit(proto.length - 1)), shock))
-    if rho > 0.0:
-        weight = (1.0 - rho * rho) ** 0.5
-        noise = F.aggregate(
-            F.slice("__e", 2, proto.length - 1),
-            F.slice("__e", 1, 1),
-            lambda acc, e: F.array_append(
-                acc, F.zip_with(F.element_at(acc, -1), e, lambda n, s: F.lit(rho) * n + F.lit(weight) * s)
-            ),
-        )
-    else:
+    for k, rho in enumerate(rhos):
         noise = F.col("__e")
-    drawn = drawn.withColumn("__noise", F.flatten(noise))
-    return drawn.withColumn(
-        "features_flat", F.zip_with("features_flat", "__noise", lambda x, n: x + n)
-    ).drop("__chol", "__z", "__e", "__noise")
+        if rho > 0.0:
+            noise = F.aggregate(F.slice("__e", 2, proto.length - 1), F.slice("__e", 1, 1), _ar1_step(rho))
+        drawn = drawn.withColumn(f"noise_{k}", F.flatten(noise))
+    return drawn.drop("__chol", "__z", "__e")
+
+
+def temporal_jitter(
+    df: DataFrame, seed: int, sigma: float, rho: float, chol: Column, proto: Protocol = PROTOCOL
+) -> DataFrame:
+    """Add channel-correlated noise of scale ``sigma`` with time correlation ``rho``."""
+    noisy = temporal_noise(df, seed, chol, (rho,), proto)
+    added = F.zip_with("features_flat", "noise_0", lambda x, n: x + F.lit(sigma) * n)
+    return noisy.withColumn("features_flat", added).drop("noise_0")
 
 
 def window_summary(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -141,8 +158,6 @@ def regime_members(labels: DataFrame) -> DataFrame:
 
 def regime_shares(labels: DataFrame) -> DataFrame:
     """At most 18 rows: cumulative share [lo, hi) of each regime, and its size."""
-    from pyspark.sql import Window as W
-
     sizes = labels.groupBy("regime").agg(F.count(F.lit(1)).alias("n_members"))
     upto = W.partitionBy(F.lit(1)).orderBy("regime").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(F.lit(1))
@@ -179,6 +194,61 @@ def beta_8_2(row_id: Column, seed: int) -> Column:
     return F.element_at(F.array_sort(draws), 8)
 
 
+def regime_neighbours(labelled: DataFrame, k: int = 12) -> DataFrame:
+    """Up to ``k`` nearest members of the same regime, self left out.
+
+    ``labelled`` holds (donor_idx, regime, six standardized summary numbers). A donor
+    alone in its regime is its own neighbour.
+    """
+    points = labelled.select("regime", "donor_idx", F.array(*SUMMARY).alias("vec"))
+    near = nearest(
+        points, points.withColumnRenamed("donor_idx", "mate_idx"), ["regime"], "donor_idx", "mate_idx", k, skip_same_id=True
+    )
+    alone = labelled.select("regime", "donor_idx").join(near, ["regime", "donor_idx"], "left_anti").select(
+        "regime", "donor_idx", F.col("donor_idx").alias("mate_idx"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")
+    )
+    return near.unionByName(alone)
+
+
+def mixup(base: DataFrame, neighbours: DataFrame, donors: DataFrame, seed: int) -> DataFrame:
+    """Convex mix of each drawn donor with one of its neighbours.
+
+    ``base`` holds (synthetic_id, donor_idx). The weight is Beta(8, 2), mirrored with
+    probability one half.
+    """
+    sizes = neighbours.groupBy("donor_idx").agg(F.count(F.lit(1)).alias("n_near"))
+    row_id = F.col("synthetic_id")
+    rank = F.floor(hashrand.uniform(row_id, seed, "mate") * F.col("n_near")).cast("int") + 1
+    mates = base.join(sizes, "donor_idx").withColumn("rank", rank).join(
+        neighbours.select("donor_idx", "rank", "mate_idx"), ["donor_idx", "rank"]
+    )
+    beta = beta_8_2(row_id, seed)
+    weight = F.when(hashrand.uniform(row_id, seed, "mirror") < 0.5, beta).otherwise(1.0 - beta)
+    windows = donors.select("donor_idx", "features_flat")
+    mate_windows = donors.select(F.col("donor_idx").alias("mate_idx"), F.col("features_flat").alias("__mate"))
+    both = (
+        mates.withColumn("weight", weight)
+        .join(broadcast_if_small(windows), "donor_idx")
+        .join(broadcast_if_small(mate_windows), "mate_idx")
+    )
+    mixed = F.zip_with("features_flat", "__mate", lambda a, b: F.col("weight") * a + (1.0 - F.col("weight")) * b)
+    return both.select("synthetic_id", "donor_idx", "mate_idx", "weight", mixed.alias("features_flat"))
+
+
+def repro_report(first: DataFrame, again: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that differ between two builds of one seed, and from another seed."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.col("features_flat").alias(name))
+
+    joined = side(first, "a").join(side(again, "b"), keys, "full_outer").join(side(other, "c"), keys, "full_outer")
+    differs = lambda x, y: F.sum((~F.col(x).eqNullSafe(F.col(y))).cast("int"))
+    return joined.groupBy("method").agg(
+        F.count(F.lit(1)).alias("n_windows"),
+        differs("a", "b").alias("differ_same_seed"),
+        differs("a", "c").alias("differ_other_seed"),
+    )
+
+
 def canonical_frame(
     pool: DataFrame, source_model: str | Column, seed: int | Column, proto: Protocol = PROTOCOL, columns: list[str] | None = None
 ) -> DataFrame:

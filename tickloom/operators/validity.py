@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL, Protocol
 from ..functions.arrays import channel, finite
+from ..session import stage
 from .sequence import with_position
 
 REASONS = (
@@ -73,22 +74,24 @@ def accept_first(candidates: DataFrame, keys: list[str], row_id: str, ok: Column
     return accepted.where(F.col("accepted_no") < n).withColumn("candidate_no", F.col(row_id) + 1)
 
 
-def accept_reject(draw, keys: list[str], row_id: str, ok: Column, n: int, max_rounds: int = 8) -> DataFrame:
+def accept_reject(draw, keys: list[str], row_id: str, ok: Column, n: int, max_rounds: int = 12) -> DataFrame:
     """Draw, reject and top up until every key holds ``n`` accepted windows.
 
-    ``draw(lo, hi)`` gives the candidates with ids in [lo, hi). Each round doubles the
-    draw, so the number of rounds is bounded; short pools are an error, never a cut.
+    ``draw(lo, hi)`` gives the candidates of every key with ids in [lo, hi). Each round
+    is written once and sized by the lowest acceptance so far. Only the number of
+    accepted rows of the poorest key reaches the driver. Too few is an error, not a cut.
     """
-    drawn, lo = None, 0
-    hi = n + max(16, n // 8)
+    drawn, lo, hi = None, 0, n + max(16, n // 8)
     for _ in range(max_rounds):
-        fresh = draw(lo, hi)
+        fresh = stage(draw(lo, hi), "candidates")
         drawn = fresh if drawn is None else drawn.unionByName(fresh)
-        short = drawn.groupBy(*keys).agg(F.sum(ok.cast("int")).alias("n_ok")).where(F.col("n_ok") < n)
-        if short.isEmpty():
+        per_key = drawn.groupBy(*keys).agg(F.sum(ok.cast("int")).alias("n_ok"))
+        accepted = per_key.agg(F.min("n_ok")).first()[0] or 0
+        if accepted >= n:
             return accept_first(drawn, keys, row_id, ok, n)
-        lo, hi = hi, hi * 2
-    raise RuntimeError(f"fewer than {n} valid windows after {lo} candidates")
+        rate = max(accepted / hi, 0.01)
+        lo, hi = hi, hi + int(1.1 * (n - accepted) / rate) + 16
+    raise RuntimeError(f"only {accepted} of {n} windows accepted after {lo} candidates")
 
 
 def window_minima(flat: Column) -> tuple[Column, Column]:

@@ -56,7 +56,7 @@ def make_dirty(panel: DataFrame) -> DataFrame:
 
 
 # The pools every comparison query uses: (method, noise scale, time correlation).
-POOLS = (("ar1_jitter", 0.40, 0.85), ("bootstrap_jitter", 0.05, None), ("correlated_jitter", 0.10, 0.0))
+POOLS = (("ar1_jitter", 0.10, 0.85), ("bootstrap_jitter", 0.05, None), ("correlated_jitter", 0.10, 0.0))
 
 
 class Inputs:
@@ -118,11 +118,17 @@ class Inputs:
     def donor_cholesky(self) -> Column:
         return resample.correlation_row(self.donors)
 
+    @cached_property
+    def regimes(self) -> DataFrame:
+        """Donors with raw summary numbers and regime."""
+        raw = stage(resample.window_summary(self.donors, ["donor_idx"]), "summary")
+        return stage(resample.regime_labels(raw), "regimes")
+
     def draw(self, method: str, seed: int, lo: int, hi: int) -> DataFrame:
         """Synthetic windows with ids in [lo, hi) of one pool."""
         sigma, rho = next((s, r) for m, s, r in POOLS if m == method)
         drawn = resample.bootstrap(
-            self.donors, resample.draw_indices(self.spark, hi, F.lit(self.n_donors), seed, lo)
+            self.donors, resample.draw_indices(self.spark, lo, hi, F.lit(self.n_donors), seed)
         )
         if rho is None:
             out = resample.jitter(drawn, seed, sigma)

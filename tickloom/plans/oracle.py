@@ -277,7 +277,7 @@ FROM (SELECT seed, id, flat, {shocks(0.10)} AS e FROM draws JOIN {DONORS} d ON d
 UNION ALL
 SELECT 'ar1_jitter', seed, id, list_transform(flat, lambda x, i: x + n[i])
 FROM (SELECT seed, id, flat, {ar_noise(0.85)} AS n
-      FROM (SELECT seed, id, flat, {shocks(0.40)} AS e FROM draws JOIN {DONORS} d ON d.idx = donor_idx, chol))
+      FROM (SELECT seed, id, flat, {shocks(0.10)} AS e FROM draws JOIN {DONORS} d ON d.idx = donor_idx, chol))
 """,
 )
 # Queries on the seed-42 pools alone use these, with the same text but one seed.
@@ -302,3 +302,87 @@ SELECT method, id, list_bool_and(list_transform(flat, lambda x: isfinite(x)))
 FROM calpool
 """,
 )
+
+# Donors by regime.
+cte(
+    "summ",
+    "nwin",
+    f"""
+SELECT idx, sqrt(list_sum(list_transform(r, lambda x: (x - list_sum(r) / 65) * (x - list_sum(r) / 65))) / 65) AS ret_std,
+  list_sum(list_transform(r, lambda x: abs(x))) / 65 AS ret_abs_mean, list_sum(r) AS ret_sum, list_sum(h) / 65 AS range_mean,
+  list_sum(v) / 65 AS volume_mean, sqrt(list_sum(list_transform(v, lambda x: (x - list_sum(v) / 65) * (x - list_sum(v) / 65))) / 65) AS volume_std
+FROM (SELECT idx, list_transform(range(65), lambda t: flat[3*t+1]) AS r, list_transform(range(65), lambda t: flat[3*t+2]) AS h,
+  list_transform(range(65), lambda t: flat[3*t+3]) AS v FROM {DONORS})
+""",
+)
+cte(
+    "regime",
+    "summ",
+    """
+SELECT s.*, (CASE WHEN vs >= v1 THEN 1 ELSE 0 END + CASE WHEN vs >= v2 THEN 1 ELSE 0 END) * 6
+  + (CASE WHEN ret_sum >= t1 THEN 1 ELSE 0 END + CASE WHEN ret_sum >= t2 THEN 1 ELSE 0 END) * 2
+  + CASE WHEN volume_mean >= u1 THEN 1 ELSE 0 END AS regime
+FROM (SELECT *, 0.5::DOUBLE * ret_std + 0.5::DOUBLE * range_mean AS vs FROM summ) s,
+  (SELECT quantile_cont(0.5::DOUBLE * ret_std + 0.5::DOUBLE * range_mean, 1.0::DOUBLE / 3) AS v1, quantile_cont(0.5::DOUBLE * ret_std + 0.5::DOUBLE * range_mean, 2.0::DOUBLE / 3) AS v2,
+    quantile_cont(ret_sum, 1.0::DOUBLE / 3) AS t1, quantile_cont(ret_sum, 2.0::DOUBLE / 3) AS t2, quantile_cont(volume_mean, 0.5) AS u1 FROM summ)
+""",
+)
+SUMMARY = ("ret_std", "ret_abs_mean", "ret_sum", "range_mean", "volume_mean", "volume_std")
+cte(
+    "zsumm",
+    "regime",
+    "SELECT idx, regime, "
+    + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in SUMMARY)
+    + " FROM regime, (SELECT "
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SUMMARY)
+    + " FROM regime)",
+)
+cte(
+    "knn",
+    "zsumm",
+    """
+SELECT regime, idx, mate, distance, rank FROM (
+  SELECT a.regime, a.idx, b.idx AS mate, sqrt("""
+    + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SUMMARY)
+    + """) AS distance,
+    row_number() OVER (PARTITION BY a.idx ORDER BY sqrt("""
+    + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SUMMARY)
+    + """), b.idx) AS rank
+  FROM zsumm a JOIN zsumm b ON a.regime = b.regime AND a.idx <> b.idx) WHERE rank <= 12
+UNION ALL SELECT regime, idx, idx, 0, 1 FROM zsumm WHERE regime IN (SELECT regime FROM zsumm GROUP BY regime HAVING count(*) = 1)
+""",
+)
+cte(
+    "shares",
+    "regime",
+    """
+SELECT regime, n, (sum(n) OVER (ORDER BY regime) - n) / sum(n) OVER () AS lo
+FROM (SELECT regime, count(*)::DOUBLE AS n FROM regime GROUP BY regime)
+""",
+)
+cte(
+    "regdraw",
+    "regime shares",
+    f"""
+SELECT d.id, d.regime, m.idx AS donor_idx FROM (
+  SELECT i.id, arg_max(s.regime, s.lo) AS regime,
+    floor({unit("i.id || ':42:member'")} * arg_max(s.n, s.lo))::BIGINT AS member
+  FROM (SELECT idx AS id FROM regime) i JOIN shares s ON s.lo <= {unit("i.id || ':42:regime'")} GROUP BY i.id) d
+JOIN (SELECT idx, regime, row_number() OVER (PARTITION BY regime ORDER BY idx) - 1 AS member FROM regime) m
+  ON m.regime = d.regime AND m.member = d.member
+""",
+)
+cte(
+    "mix",
+    "regdraw knn nwin",
+    f"""
+SELECT id, donor_idx, mate, w, list_transform(a.flat, lambda x, i: w * x + (1 - w) * b.flat[i]) AS flat
+FROM (SELECT r.id, r.donor_idx, k.mate,
+    CASE WHEN {unit("r.id || ':42:mirror'")} < 0.5 THEN beta ELSE 1 - beta END AS w
+  FROM (SELECT d.*, (SELECT count(*) FROM knn WHERE knn.idx = d.donor_idx) AS n_near,
+          list_sort(list_transform(range(9), lambda j: {unit("d.id || ':42:beta' || j")}))[8] AS beta FROM regdraw d) r
+  JOIN knn k ON k.idx = r.donor_idx AND k.rank = floor({unit("r.id || ':42:mate'")} * n_near) + 1) m
+JOIN {DONORS} a ON a.idx = m.donor_idx JOIN {DONORS} b ON b.idx = m.mate
+""",
+)
+cte("noise42", "draws42 chol", f"SELECT id, {ar_noise(0.85)} AS n FROM (SELECT id, {shocks(1.0)} AS e FROM draws42, chol)")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_panel, q_windows, q_scaling  # noqa: F401
+from . import q_panel, q_windows, q_scaling, q_resample  # noqa: F401
 from .inputs import ORACLES, QUERIES

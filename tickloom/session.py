@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -35,3 +35,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_LIMIT = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast hint only when the optimizer's size of ``df`` is under ``limit`` bytes.
+
+    For a staged table that size is the size of its files. Above the limit the join is
+    left to Spark, which shuffles both sides.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
