@@ -81,8 +81,8 @@ def sorted_runs(
 ) -> DataFrame:
     """Distinct values per key in order, with running weights.
 
-    Returns keys, ``x``, each weight ``w``, ``cum_w`` (this value included) and
-    ``next_x``. Equal values are summed before the shuffle, so a value held by a
+    Returns keys, ``x``, each weight ``w``, ``cum_w`` (this value included), ``total_w``
+    of the key and ``next_x``. Equal values are summed before the shuffle, so a value held by a
     third of the rows costs one row per map task. The sort is a range shuffle over
     all tasks; the running totals join per-task offsets.
     """
@@ -99,13 +99,15 @@ def sorted_runs(
     edges = runs.groupBy(*keys, "__part").agg(
         F.min("x").alias("__first"), *[F.sum(n).alias(f"__sum_{n}") for n in names]
     )
-    by_part = W.partitionBy(*keys).orderBy("__part") if keys else W.partitionBy(F.lit(1)).orderBy("__part")
+    whole = W.partitionBy(*(keys or [F.lit(1)]))
+    by_part = whole.orderBy("__part")
     before = by_part.rowsBetween(W.unboundedPreceding, -1)
     edges = edges.select(
         *keys,
         "__part",
         F.lead("__first").over(by_part).alias("__next"),
         *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in names],
+        *[F.sum(f"__sum_{n}").over(whole).alias(f"total_{n}") for n in names],
     )
     inside = W.partitionBy(*keys, "__part").orderBy("x")
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -115,6 +117,7 @@ def sorted_runs(
         "x",
         *names,
         *[(F.col(f"__off_{n}") + F.sum(n).over(upto)).alias(f"cum_{n}") for n in names],
+        *[f"total_{n}" for n in names],
         F.coalesce(F.lead("x").over(inside), F.col("__next")).alias("next_x"),
     )
 
@@ -129,18 +132,13 @@ def quantiles(
     """
     keys = list(keys)
     runs = sorted_runs(df.where(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)})
-    totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
-    if keys:
-        runs = runs.join(totals, keys)
-    else:
-        runs = runs.withColumn("__total", totals.select("__total").scalar())
     picks = []
     for i, p in enumerate(probs.values()):
-        rank = F.lit(float(p)) * (F.col("__total") - 1)
+        rank = F.lit(float(p)) * (F.col("total_n") - 1)
         for side, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             holds = (F.col("cum_n") - F.col("n") <= r) & (r < F.col("cum_n"))
             picks.append(F.max(F.when(holds, F.col("x"))).alias(f"__{side}{i}"))
-    picked = runs.groupBy(*keys).agg(F.max("__total").alias("__total"), *picks)
+    picked = runs.groupBy(*keys).agg(F.max("total_n").alias("__total"), *picks)
     out = []
     for i, (name, p) in enumerate(probs.items()):
         rank = F.lit(float(p)) * (F.col("__total") - 1)

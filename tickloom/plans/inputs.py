@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import PROTOCOL
-from ..operators import features, resample, scaling, splits, validity, windows
+from ..operators import features, fidelity, resample, scaling, splits, validity, windows
 from ..session import stage
 from ..sources import panel as panel_source
 
@@ -153,6 +153,49 @@ class Inputs:
         """The three seed-42 pools: (method, seed, synthetic_id, features_flat)."""
         return stage(self.union_pools(), "pools")
 
+    @cached_property
+    def subset(self) -> DataFrame:
+        """Ids of the shared evaluation subset: as many as there are validation windows."""
+        n_real = self.real("donor_validation").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+        ids = self.spark.range(self.n_donors).withColumnRenamed("id", "synthetic_id")
+        return stage(fidelity.common_subset(ids, "synthetic_id", n_real, 42), "subset")
+
+    @cached_property
+    def real_rows(self) -> DataFrame:
+        """Validation windows as (method="real", window_id, features_flat)."""
+        return windows.with_window_index(self.real("donor_validation"), []).select(
+            F.lit("real").alias("method"), F.col("window_idx").alias("window_id"), "features_flat"
+        )
+
+    @cached_property
+    def evaluation(self) -> DataFrame:
+        """Real validation windows and the shared subset of each pool."""
+        picked = fidelity.apply_subset(self.pools, self.subset, "synthetic_id").select(
+            "method", F.col("synthetic_id").alias("window_id"), "features_flat"
+        )
+        return stage(self.real_rows.unionByName(picked), "evaluation")
+
+    @cached_property
+    def train_distances(self) -> DataFrame:
+        """Distance of every evaluation window to its nearest donor."""
+        return stage(fidelity.nearest_train(self.evaluation, self.donors), "distances")
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """(method, label, score) of real (0) and synthetic (1) windows per method.
+
+        The score is 1 / (1 + distance to the nearest donor): copies score high.
+        """
+        methods = F.array(*[F.lit(m) for m, _, _ in POOLS])
+        score = 1.0 / (1.0 + F.col("distance"))
+        real = self.train_distances.where(F.col("method") == "real").select(
+            F.explode(methods).alias("method"), F.lit(0).alias("label"), score.alias("score")
+        )
+        synthetic = self.train_distances.where(F.col("method") != "real").select(
+            "method", F.lit(1).alias("label"), score.alias("score")
+        )
+        return stage(real.unionByName(synthetic), "scores")
+
     @cached_property
     def calibration(self) -> Column:
         """Target scale from the unique days of the visible windows."""

@@ -386,3 +386,116 @@ JOIN {DONORS} a ON a.idx = m.donor_idx JOIN {DONORS} b ON b.idx = m.mate
 """,
 )
 cte("noise42", "draws42 chol", f"SELECT id, {ar_noise(0.85)} AS n FROM (SELECT id, {shocks(1.0)} AS e FROM draws42, chol)")
+
+# Evaluation: validation windows as "real" and a shared subset of each pool.
+VALID = "(SELECT * FROM nwin WHERE split = 'donor_validation')"
+cte(
+    "subset",
+    "nwin",
+    f"SELECT idx AS id FROM {DONORS} ORDER BY md5(idx || ':42:order'), idx LIMIT (SELECT count(*) FROM {VALID})",
+)
+cte(
+    "ev",
+    "pools subset nwin",
+    f"SELECT 'real' AS method, idx AS window_id, flat FROM {VALID} UNION ALL SELECT method, id, flat FROM pools WHERE id IN (SELECT id FROM subset)",
+)
+cte("evsteps", "ev", "SELECT method, window_id, t, flat[3*t+1] AS c0, flat[3*t+2] AS c1, flat[3*t+3] AS c2 FROM ev, (SELECT unnest(range(65)) AS t)")
+cte("evlong", "evsteps chan", "SELECT method, window_id, t, channel, ci, [c0, c1, c2][ci + 1] AS x FROM evsteps, chan")
+cte(
+    "w1",
+    "evlong",
+    """
+SELECT m AS method, channel, sum(abs(cs / ns - cr / nr) * (nx - x)) AS w FROM (
+  SELECT m, channel, x, sum(s) OVER o AS cs, sum(r) OVER o AS cr, sum(s) OVER p AS ns, sum(r) OVER p AS nr, lead(x) OVER o AS nx
+  FROM (SELECT m, channel, x, sum((method = m)::INT)::DOUBLE AS s, sum((method = 'real')::INT)::DOUBLE AS r
+        FROM evlong, (SELECT DISTINCT method AS m FROM evlong WHERE method <> 'real') WHERE method IN (m, 'real') GROUP BY 1, 2, 3)
+  WINDOW o AS (PARTITION BY m, channel ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY m, channel))
+WHERE nx IS NOT NULL GROUP BY 1, 2
+""",
+)
+
+
+def acf(source: str, value: str, lags: int) -> str:
+    """(method, window_id, ci, lag, acf) of ``value`` from a long table."""
+    return f"""
+SELECT method, window_id, ci, k AS lag, CASE WHEN v > 0 THEN list_sum(list_transform(range(1, 66 - k), lambda j: d[j] * d[j + k])) / v END AS acf
+FROM (SELECT method, window_id, ci, list_transform(s, lambda x: x - list_sum(s) / 65) AS d,
+        list_sum(list_transform(s, lambda x: (x - list_sum(s) / 65) * (x - list_sum(s) / 65))) AS v
+      FROM (SELECT method, window_id, ci, list({value} ORDER BY t) AS s FROM {source} GROUP BY 1, 2, 3)), (SELECT unnest(range(1, {lags + 1})) AS k)
+"""
+
+
+cte("acf_ret", "evlong", acf("(SELECT * FROM evlong WHERE ci = 0)", "x", 20))
+cte("acf_abs", "evlong", acf("(SELECT * FROM evlong WHERE ci = 0)", "abs(x)", 20))
+for _name in ("acf_ret", "acf_abs"):
+    cte(
+        f"{_name}_table",
+        _name,
+        f"""
+SELECT s.method, s.lag, r.acf AS real_acf, s.acf AS synthetic_acf, s.acf - r.acf AS difference, abs(s.acf - r.acf) AS gap,
+  avg(abs(s.acf - r.acf)) OVER (PARTITION BY s.method) AS acf_mae, r.n AS real_valid, s.n AS synthetic_valid
+FROM (SELECT method, lag, avg(acf) AS acf, count(acf) AS n FROM {_name} WHERE method <> 'real' GROUP BY 1, 2) s
+JOIN (SELECT lag, avg(acf) AS acf, count(acf) AS n FROM {_name} WHERE method = 'real' GROUP BY 1) r USING (lag)
+""",
+    )
+cte(
+    "corrm",
+    "evsteps",
+    """
+SELECT method, unnest([{r: 0, c: 0, v: 1::DOUBLE}, {r: 1, c: 1, v: 1::DOUBLE}, {r: 2, c: 2, v: 1::DOUBLE}, {r: 0, c: 1, v: ab}, {r: 1, c: 0, v: ab},
+  {r: 0, c: 2, v: ac}, {r: 2, c: 0, v: ac}, {r: 1, c: 2, v: bc}, {r: 2, c: 1, v: bc}], recursive := true)
+FROM (SELECT method, corr(c0, c1) AS ab, corr(c0, c2) AS ac, corr(c1, c2) AS bc FROM evsteps GROUP BY method)
+""",
+)
+cte(
+    "correrr",
+    "corrm",
+    """
+SELECT a.method, avg(abs(a.v - b.v)) AS mean_gap, max(abs(a.v - b.v)) AS max_gap
+FROM corrm a JOIN corrm b ON a.r = b.r AND a.c = b.c AND b.method = 'real' WHERE a.r <> a.c AND a.method <> 'real' GROUP BY 1
+""",
+)
+cte(
+    "nn",
+    "ev nwin",
+    f"SELECT method, window_id, min(list_distance(e.flat, d.flat)) AS distance FROM ev e, {DONORS} d GROUP BY 1, 2",
+)
+cte(
+    "scores",
+    "nn",
+    """
+SELECT m AS method, 0 AS label, 1 / (1 + distance) AS score FROM nn, (SELECT DISTINCT method AS m FROM nn WHERE method <> 'real') WHERE method = 'real'
+UNION ALL SELECT method, 1, 1 / (1 + distance) FROM nn WHERE method <> 'real'
+""",
+)
+cte(
+    "auc",
+    "scores",
+    """
+SELECT a.method, sum(CASE WHEN b.score > a.score THEN 1 WHEN b.score = a.score THEN 0.5::DOUBLE ELSE 0 END) / count(*) AS roc_auc
+FROM scores a JOIN scores b ON a.method = b.method AND a.label = 0 AND b.label = 1 GROUP BY 1
+""",
+)
+# Pairwise kernels on samples: at most 512 rows a side, the same seeded order as above.
+cte(
+    "mmdrows",
+    "pools nwin",
+    f"""
+SELECT m AS method, true AS is_real, flat, row_number() OVER (PARTITION BY m ORDER BY md5(idx || ':42:order'), idx) AS k
+FROM {VALID}, (SELECT DISTINCT method AS m FROM pools)
+UNION ALL SELECT method, false, flat, row_number() OVER (PARTITION BY method ORDER BY md5(id || ':42:order'), id) FROM pools
+""",
+)
+cte(
+    "mmd",
+    "mmdrows nwin pools",
+    f"""
+SELECT method, n, g AS gamma,
+  sum(exp(-g * d)) FILTER (ra AND rb AND ka <> kb) / (n * (n - 1)) + sum(exp(-g * d)) FILTER (NOT ra AND NOT rb AND ka <> kb) / (n * (n - 1))
+  - 2 * sum(exp(-g * d)) FILTER (ra AND NOT rb) / (n * n) AS mmd
+FROM (SELECT *, 1 / greatest(median(d) OVER (PARTITION BY method), 1e-8) AS g FROM (
+  SELECT a.method, a.is_real AS ra, b.is_real AS rb, a.k AS ka, b.k AS kb, list_sum(list_transform(a.flat, lambda x, i: (x - b.flat[i]) * (x - b.flat[i]))) AS d, n
+  FROM (SELECT least(512, (SELECT count(*) FROM {VALID}), (SELECT count(*) FROM {DONORS}))::DOUBLE AS n),
+    mmdrows a JOIN mmdrows b ON a.method = b.method WHERE a.k <= n AND b.k <= n)) GROUP BY 1, 2, 3
+""",
+)
