@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import PROTOCOL
-from ..operators import features, fidelity, resample, scaling, splits, validity, windows
+from ..operators import features, fidelity, resample, scaling, splits, utility, validity, windows
 from ..session import stage
 from ..sources import panel as panel_source
 
@@ -210,3 +210,41 @@ class Inputs:
     @cached_property
     def valid_pools(self) -> DataFrame:
         return self.calibrated.where(validity.is_valid(F.col("calibrated")))
+
+    @cached_property
+    def real_features(self) -> DataFrame:
+        """Volatility features of the visible target windows."""
+        return stage(utility.vol_features(self.split("visible"), []), "real_features")
+
+    @cached_property
+    def n_real(self) -> Column:
+        return self.real_features.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+
+    @cached_property
+    def synthetic_features(self) -> DataFrame:
+        """Volatility features of every valid calibrated window."""
+        return stage(utility.vol_features(self.valid_pools, ["method", "synthetic_id"], "calibrated"), "synthetic_features")
+
+    @cached_property
+    def test_features(self) -> DataFrame:
+        return stage(utility.vol_features(self.test_windows, ["test_row"]), "test_features")
+
+    @cached_property
+    def mixtures(self) -> DataFrame:
+        return utility.mixture_rows(self.synthetic_features, self.n_real)
+
+    @cached_property
+    def models(self) -> DataFrame:
+        """One ridge per training set, all scaled by the real windows."""
+        sets = utility.training_sets(self.real_features, self.mixtures, [m for m, _, _ in POOLS])
+        stats = utility.moments(sets, ["method", "ratio", "seed"])
+        return stage(utility.solve_ridge(stats, ["method", "ratio", "seed"], utility.scale_row(self.real_features)), "models")
+
+    @cached_property
+    def raw_results(self) -> DataFrame:
+        """(method, ratio, seed, rmse, mae), with one real-only row."""
+        return stage(utility.score_models(self.models, self.test_features, ["method", "ratio", "seed"]), "raw")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return utility.downstream_summary(self.raw_results)

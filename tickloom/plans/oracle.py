@@ -499,3 +499,171 @@ FROM (SELECT *, 1 / greatest(median(d) OVER (PARTITION BY method), 1e-8) AS g FR
     mmdrows a JOIN mmdrows b ON a.method = b.method WHERE a.k <= n AND b.k <= n)) GROUP BY 1, 2, 3
 """,
 )
+
+# Volatility features, mixtures and ridge by Gauss-Jordan elimination.
+FEATURES = ("rv5", "rv20", "rv60", "mean_abs_return20", "momentum20", "mean_range20", "mean_log_volume20", "std_log_volume20")
+
+
+def vol(keep: str, source: str) -> str:
+    rms = lambda a, k: f"sqrt(252.0::DOUBLE / {k} * list_sum(list_transform({a}, lambda x: x * x)))"
+    return f"""
+SELECT {keep}, {rms('r[56:60]', 5)} AS rv5, {rms('r[41:60]', 20)} AS rv20, {rms('r[1:60]', 60)} AS rv60,
+  list_sum(list_transform(r[41:60], lambda x: abs(x))) / 20 AS mean_abs_return20, list_sum(r[41:60]) AS momentum20,
+  list_sum(h[41:60]) / 20 AS mean_range20, list_sum(v[41:60]) / 20 AS mean_log_volume20,
+  sqrt(list_sum(list_transform(v[41:60], lambda x: pow(x - list_sum(v[41:60]) / 20, 2))) / 20) AS std_log_volume20, {rms('r[61:65]', 5)} AS y
+FROM (SELECT *, list_transform(range(65), lambda t: flat[3*t+1]) AS r, list_transform(range(65), lambda t: flat[3*t+2]) AS h,
+  list_transform(range(65), lambda t: flat[3*t+3]) AS v FROM {source})
+"""
+
+
+XS = ", ".join(FEATURES)
+cte("realvf", "win", vol("start_pos", "(SELECT * FROM win WHERE split = 'visible')"))
+cte("synvf", "calpool validity", vol("method, id", "(SELECT method, id, flat FROM calpool JOIN validity USING (method, id) WHERE ok)"))
+cte("testvf", "testwin", vol("test_row", "testwin"))
+cte("fullvf", "win", vol("start_pos", "(SELECT * FROM win WHERE split = 'full_history')"))
+cte(
+    "design",
+    "realvf",
+    """
+SELECT ratio, (SELECT count(*) FROM realvf) AS n_real, round_even((SELECT count(*) FROM realvf) * ratio / (1 - ratio), 0)::BIGINT AS n_synthetic
+FROM (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) r(ratio)
+""",
+)
+cte(
+    "mixsyn",
+    "synvf design seeds",
+    """
+SELECT s.method, d.ratio, s.seed, s.id, s.* EXCLUDE (method, id, seed, k) FROM (
+  SELECT f.*, seed, row_number() OVER (PARTITION BY method, seed ORDER BY md5(id || ':' || seed || ':order'), id) AS k FROM synvf f, seeds) s
+JOIN design d ON s.k <= d.n_synthetic
+""",
+)
+cte(
+    "train",
+    "mixsyn realvf design seeds",
+    f"""
+SELECT 'REAL_ONLY' AS method, 0::DOUBLE AS ratio, 0 AS seed, [{XS}, y] AS v FROM realvf
+UNION ALL SELECT method, ratio, seed, [{XS}, y] FROM (SELECT DISTINCT method FROM mixsyn), (SELECT ratio FROM design WHERE ratio > 0), seeds, realvf
+UNION ALL SELECT method, ratio, seed, [{XS}, y] FROM mixsyn
+""",
+)
+
+
+def ridge(prefix: str, train: str, scale: str) -> None:
+    """Models of every (method, ratio, seed) in ``train``; ``scale`` gives (i, s) or is per set."""
+    key = "method, ratio, seed"
+    cte(
+        f"{prefix}mom",
+        train,
+        f"""
+SELECT {key}, i, j, count(*) AS n, covar_pop(v[i], v[j]) * count(*) AS c, avg(v[i]) AS m, stddev_pop(v[i]) AS own
+FROM {train}, (SELECT unnest(range(1, 10)) AS i), (SELECT unnest(range(1, 10)) AS j) GROUP BY {key}, i, j
+""",
+    )
+    cte(
+        f"{prefix}aug",
+        f"{prefix}mom {'realvf' if scale == 'real' else ''}",
+        f"""
+SELECT {key}, any_value(n) AS n, list(line ORDER BY i) AS m, list(s ORDER BY i) AS s, list(mean ORDER BY i) AS x, any_value(ym) AS ym FROM (
+  SELECT {key}, i, any_value(n) AS n, any_value(si) AS s, any_value(m) AS mean, any_value(ym) AS ym,
+    list(CASE WHEN j <= 8 THEN c / (si * sj) + CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END ELSE c / si END ORDER BY j) AS line
+  FROM (SELECT a.*, y.m AS ym, {
+            "sc.s[a.i] AS si, sc.s[a.j] AS sj" if scale == "real" else "a.own AS si, b.own AS sj"
+        } FROM {prefix}mom a
+    JOIN (SELECT {key}, m FROM {prefix}mom WHERE i = 9 AND j = 9) y USING ({key})
+    {"" if scale == "real" else f"JOIN (SELECT {key}, i AS j, own FROM {prefix}mom WHERE j = 1) b USING ({key}, j)"}
+    {f", (SELECT [{', '.join(f'stddev_pop({f})' for f in FEATURES)}, 1] AS s FROM realvf) sc" if scale == "real" else ""}
+    WHERE i <= 8) GROUP BY {key}, i) GROUP BY {key}
+""",
+    )
+    cte(
+        f"{prefix}gj",
+        f"{prefix}aug",
+        f"""
+SELECT {key}, 0 AS k, m FROM {prefix}aug
+UNION ALL
+SELECT {key}, k + 1, list_transform(range(1, 9), lambda i: CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+  ELSE list_transform(m[i], lambda x, j: x - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {prefix}gj WHERE k < 8
+""",
+    )
+    cte(
+        f"{prefix}models",
+        f"{prefix}gj {prefix}aug",
+        f"""
+SELECT {key}, n, coef, w, ym - list_sum(list_transform(w, lambda a, i: a * x[i])) AS intercept FROM (
+  SELECT {key}, a.n, a.x, a.ym, list_transform(range(1, 9), lambda i: g.m[i][9]) AS coef, list_transform(range(1, 9), lambda i: g.m[i][9] / a.s[i]) AS w
+  FROM {prefix}gj g JOIN {prefix}aug a USING ({key}) WHERE k = 8)
+""",
+    )
+    cte(
+        f"{prefix}raw",
+        f"{prefix}models testvf",
+        f"""
+SELECT {key}, count(*) AS n_test, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM (
+  SELECT {key}, intercept + list_sum(list_transform([{XS}], lambda a, i: a * w[i])) - y AS e FROM {prefix}models, testvf) GROUP BY {key}
+""",
+    )
+
+
+ridge("", "train", "real")
+cte(
+    "fulltrain",
+    "realvf fullvf mixsyn",
+    f"""
+SELECT 'visible' AS method, 0::DOUBLE AS ratio, 0 AS seed, [{XS}, y] AS v FROM realvf
+UNION ALL SELECT 'full_history', 0, 0, [{XS}, y] FROM fullvf
+UNION ALL SELECT m.method, 0.75, 42, [{XS}, y] FROM realvf, (SELECT DISTINCT method FROM mixsyn) m
+UNION ALL SELECT method, ratio, seed, [{XS}, y] FROM mixsyn WHERE ratio = 0.75 AND seed = 42
+""",
+)
+ridge("full", "fulltrain", "own")
+cte(
+    "usummary",
+    "raw",
+    """
+SELECT *, mean_rmse - rr AS delta_rmse, (mean_rmse - rr) / rr * 100 AS delta_rmse_pct, mean_mae - rm AS delta_mae, (mean_mae - rm) / rm * 100 AS delta_mae_pct
+FROM (SELECT method, ratio, avg(rmse) AS mean_rmse, stddev_pop(rmse) AS std_rmse, avg(mae) AS mean_mae, stddev_pop(mae) AS std_mae FROM raw GROUP BY 1, 2),
+  (SELECT rmse AS rr, mae AS rm FROM raw WHERE method = 'REAL_ONLY')
+""",
+)
+cte(
+    "master",
+    "usummary",
+    """
+SELECT method AS method_id, CASE method WHEN 'bootstrap_jitter' THEN 'Bootstrap + jitter' WHEN 'correlated_jitter' THEN 'Correlated jitter' ELSE 'AR(1) jitter' END AS method_name,
+  ratio AS synthetic_ratio, mean_rmse AS rmse_mean, std_rmse AS rmse_std, mean_mae AS mae_mean, std_mae AS mae_std, rr AS real_only_rmse, rm AS real_only_mae,
+  rr - mean_rmse AS rmse_improvement_abs, (rr - mean_rmse) / rr * 100 AS rmse_improvement_pct, rm - mean_mae AS mae_improvement_abs, (rm - mean_mae) / rm * 100 AS mae_improvement_pct
+FROM usummary WHERE method <> 'REAL_ONLY'
+""",
+)
+cte(
+    "stability",
+    "raw",
+    """
+SELECT method AS method_id, ratio AS synthetic_ratio, avg(rmse) AS rmse_mean, stddev_pop(rmse) AS rmse_std, min(rmse) AS rmse_min, max(rmse) AS rmse_max,
+  max(rmse) - min(rmse) AS rmse_range, avg(mae) AS mae_mean, stddev_pop(mae) AS mae_std, min(mae) AS mae_min, max(mae) AS mae_max, max(mae) - min(mae) AS mae_range,
+  stddev_pop(rmse) / avg(rmse) AS rmse_cv, count(*) AS n_seeds FROM raw WHERE method <> 'REAL_ONLY' GROUP BY 1, 2
+""",
+)
+cte(
+    "modelsum",
+    "master stability",
+    """
+SELECT m.method_id, m.method_name, arg_min(m.synthetic_ratio, m.rmse_mean) AS best_rmse_ratio, min(m.rmse_mean) AS best_rmse_mean, arg_min(m.rmse_std, m.rmse_mean) AS best_rmse_std,
+  arg_min(m.rmse_improvement_pct, m.rmse_mean) AS best_rmse_improvement_pct, arg_min(m.synthetic_ratio, m.mae_mean) AS best_mae_ratio, min(m.mae_mean) AS best_mae_mean,
+  arg_min(m.mae_improvement_pct, m.mae_mean) AS best_mae_improvement_pct, avg(m.rmse_mean) AS mean_rmse_across_ratios,
+  avg(m.rmse_improvement_pct) AS mean_rmse_improvement_across_ratios, arg_min(m.synthetic_ratio, s.rmse_std) AS most_stable_ratio
+FROM master m JOIN stability s USING (method_id, synthetic_ratio) GROUP BY 1, 2
+""",
+)
+cte(
+    "fidmaster",
+    "auc correrr nn w1 acf_ret_table acf_abs_table",
+    """
+SELECT a.method AS method_id, a.roc_auc, c.mean_gap AS mean_correlation_error, n.nn_mean AS nearest_neighbor_mean, n.nn_median AS nearest_neighbor_median,
+  w.w0 AS wasserstein_log_return, w.w1 AS wasserstein_log_high_low_range, w.w2 AS wasserstein_log1p_volume, r.m AS return_acf_mae, b.m AS abs_return_acf_mae
+FROM auc a JOIN correrr c USING (method) JOIN (SELECT method, avg(distance) AS nn_mean, median(distance) AS nn_median FROM nn GROUP BY 1) n USING (method)
+JOIN (SELECT method, max(w) FILTER (channel = 'log_return') AS w0, max(w) FILTER (channel = 'log_high_low_range') AS w1, max(w) FILTER (channel = 'log1p_volume') AS w2 FROM w1 GROUP BY 1) w USING (method)
+JOIN (SELECT method, avg(acf_mae) AS m FROM acf_ret_table GROUP BY 1) r USING (method) JOIN (SELECT method, avg(acf_mae) AS m FROM acf_abs_table GROUP BY 1) b USING (method)
+""",
+)
