@@ -159,7 +159,7 @@ def t_two_sided_p(r: Column, n: Column) -> Column:
     odd = F.lit(2.0 / math.pi) * (theta + F.when(df > 1, sin * series(cos, 1)).otherwise(0.0))
     even = sin * series(F.lit(1.0), 0)
     inside = F.when(df % 2 == 1, odd).otherwise(even)
-    return F.when(df < 1, F.lit(None)).when(perfect, 0.0).otherwise(F.greatest(1.0 - inside, F.lit(0.0)))
+    return F.when(r.isNull() | (df < 1), F.lit(None)).when(perfect, 0.0).otherwise(F.greatest(1.0 - inside, F.lit(0.0)))
 
 
 def _corr(x: str, y: str) -> Column:
