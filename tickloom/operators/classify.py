@@ -19,6 +19,7 @@ from .fidelity import seeded_order
 from .windows import sessions
 
 FOLDS = 5
+ROWS_PER_TASK = 20_000
 PARALLEL_FITS = 8
 
 
@@ -60,6 +61,11 @@ def _parallel(jobs: list[Callable[[], DataFrame]]) -> list[DataFrame]:
         pool.close()
 
 
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """No more tasks per pass of a fit than its rows are worth; large inputs keep theirs."""
+    return rows.coalesce(max(1, n // ROWS_PER_TASK))
+
+
 def _probability(model, rows: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(rows).select(*keep, F.element_at(vector_to_array("probability"), 2).alias("score"))
 
@@ -75,7 +81,8 @@ def out_of_fold_scores(rows: DataFrame, group: str, groups: list, folds: int = F
     def fit(name, fold: int) -> DataFrame:
         mine = rows.where(F.col(group) == name)
         n_train = sum(n for (g, f), n in sizes.items() if g == name and f != fold)
-        model = logistic(n_train).fit(mine.where(F.col("fold") != fold))
+        train = _sized(mine.where(F.col("fold") != fold), n_train)
+        model = logistic(n_train).fit(train)
         return _probability(model, mine.where(F.col("fold") == fold), [group, "label", "row_id", "fold"])
 
     parts = _parallel([lambda g=g, f=f: fit(g, f) for g in groups for f in range(folds)])
@@ -118,6 +125,7 @@ def discriminative_score(rows: DataFrame, group: str, groups: list, components:
         mine = rows.where(F.col(group) == name)
         train = mine.where(F.col("fold") >= held)
         n_train = train.count()
+        train = _sized(train, n_train)
         pca = PCA(k=min(components, n_train - 1), inputCol="x", outputCol="z").fit(train)
         strength = LogisticRegression(featuresCol="z", labelCol="label", regParam=1.0 / n_train, standardization=False, maxIter=200, tol=1e-7)
         model = strength.fit(pca.transform(train))

@@ -133,33 +133,32 @@ def sanity_check(master: DataFrame, tol: float = 1e-9) -> DataFrame:
     )
 
 
-def t_two_sided_p(r: Column, n: Column) -> Column:
-    """Two-sided p value of a correlation ``r`` over ``n`` pairs.
+def with_two_sided_p(df: DataFrame, r: str, n: str, name: str) -> DataFrame:
+    """Add the two-sided p value of correlation ``r`` over ``n`` pairs.
 
     Uses the finite series of the t distribution for whole degrees of freedom n - 2.
+    Each term is the one before times cos^2 j / (j + 1), for j up to df - 3.
     """
-    df = n - 2
-    perfect = F.abs(r) >= 1.0
-    t = F.when(perfect, F.lit(None)).otherwise(F.abs(r) * F.sqrt(df / (1.0 - r * r)))
-    theta = F.atan(t / F.sqrt(df.cast("double")))
-    sin, cos = F.sin(theta), F.cos(theta)
-
-    def series(first: Column, start: int) -> Column:
-        # Each term is the one before times cos^2 j / (j + 1), for j up to df - 3.
-        steps = F.when(df >= start + 3, F.sequence(F.lit(start + 1), (df - 2).cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(
-            steps,
-            F.struct(first.alias("term"), first.alias("sum")),
-            lambda acc, j: F.struct(
-                (acc["term"] * cos * cos * j / (j + 1)).alias("term"),
-                (acc["sum"] + acc["term"] * cos * cos * j / (j + 1)).alias("sum"),
-            ),
-        )["sum"]
-
-    odd = F.lit(2.0 / math.pi) * (theta + F.when(df > 1, sin * series(cos, 1)).otherwise(0.0))
-    even = sin * series(F.lit(1.0), 0)
-    inside = F.when(df % 2 == 1, odd).otherwise(even)
-    return F.when(r.isNull() | (df < 1), F.lit(None)).when(perfect, 0.0).otherwise(F.greatest(1.0 - inside, F.lit(0.0)))
+    dof = F.col(n) - 2
+    open_r = F.abs(r) < 1.0
+    t = F.when(open_r & (dof > 0), F.abs(r) * F.sqrt(dof / (1.0 - F.col(r) * F.col(r))))
+    angled = df.withColumn("__theta", F.atan(t / F.sqrt(dof.cast("double"))))
+    angled = angled.withColumns({"__sin": F.sin("__theta"), "__cos": F.cos("__theta")})
+    is_odd = dof % 2 == 1
+    start = F.when(is_odd, 2).otherwise(1)
+    steps = F.when(dof - 3 >= start, F.sequence(start, (dof - 3).cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    first = F.when(is_odd, F.col("__cos")).otherwise(F.lit(1.0))
+    angled = angled.withColumns({"__steps": steps, "__first": first, "__cos2": F.col("__cos") * F.col("__cos")})
+    terms = F.aggregate(
+        "__steps",
+        F.array("__first"),
+        lambda acc, j: F.array_append(acc, F.element_at(acc, -1) * F.col("__cos2") * j / (j + 1)),
+    )
+    angled = angled.withColumn("__sum", F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
+    odd = F.lit(2.0 / math.pi) * (F.col("__theta") + F.when(dof > 1, F.col("__sin") * F.col("__sum")).otherwise(0.0))
+    inside = F.when(is_odd, odd).otherwise(F.col("__sin") * F.col("__sum"))
+    p = F.when(F.col(r).isNull() | (dof < 1), F.lit(None)).when(~open_r, 0.0).otherwise(F.greatest(1.0 - inside, F.lit(0.0)))
+    return angled.withColumn(name, p).select(*df.columns, name)
 
 
 def _corr(x: str, y: str) -> Column:
@@ -184,9 +183,8 @@ def metric_correlations(table: DataFrame, metrics: list[str], targets: list[str]
     stats = pairs.groupBy("metric", "target").agg(
         F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson_r"), _corr("rank_x", "rank_y").alias("spearman_rho")
     )
-    return stats.withColumn("pearson_p", t_two_sided_p(F.col("pearson_r"), F.col("n"))).withColumn(
-        "spearman_p", t_two_sided_p(F.col("spearman_rho"), F.col("n"))
-    )
+    stats = with_two_sided_p(stats, "pearson_r", "n", "pearson_p")
+    return with_two_sided_p(stats, "spearman_rho", "n", "spearman_p")
 
 
 def grid_completeness(raw: DataFrame, methods: list[str], shares: tuple[float, ...], seeds: tuple[int, ...]) -> DataFrame:

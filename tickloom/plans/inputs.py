@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import PROTOCOL
 from ..operators import features, fidelity, resample, scaling, splits, utility, validity, windows
-from ..session import stage
+from ..session import path_exists, shared_dir, stage
 from ..sources import panel as panel_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +20,7 @@ def query(name: str, oracle: str | None = None):
     """Register a query, with its SQL twin where SQL can express it."""
 
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(inputs_for(spark, sf_dir))
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -28,6 +28,24 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+_shared: dict[tuple, "Inputs"] = {}
+
+
+def inputs_for(spark: SparkSession, sf_dir: str) -> "Inputs":
+    """The chain of one application over one state of the source files.
+
+    Queries of a run share the staged tables, so a pool or a window table is built once
+    and each metric is its own job over it. New or changed source files, or a cleared
+    stage folder, start a new chain.
+    """
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet").select("path", "length", "modificationTime")
+    state = tuple(sorted(tuple(r) for r in files.collect()))  # a few columns per source file
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _shared or not path_exists(spark, f"{shared_dir(spark)}/stages"):
+        _shared[key] = Inputs(spark, sf_dir)
+    return _shared[key]
+
+
 def text(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 
