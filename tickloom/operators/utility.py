@@ -60,13 +60,29 @@ def mixture_design(n_real: Column, spark, proto: Protocol = PROTOCOL) -> DataFra
     return shares.withColumn("n_real", n_real).withColumn("n_synthetic", synthetic_count(F.col("n_real"), F.col("ratio")))
 
 
-def mixture_rows(pool: DataFrame, n_real: Column, proto: Protocol = PROTOCOL) -> DataFrame:
+def require_pool_sizes(pool: DataFrame, n_real: Column, methods: list[str], proto: Protocol = PROTOCOL) -> None:
+    """Raise when a method has too few valid windows for its largest mixture."""
+    names = pool.sparkSession.createDataFrame([(m,) for m in methods], "method string")
+    sizes = pool.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    short = (
+        names.join(sizes, "method", "left")
+        .select("method", F.coalesce("n", F.lit(0)).alias("n"), n_real.alias("__real"))
+        .withColumn("need", synthetic_count(F.col("__real"), F.lit(max(proto.shares))))
+        .where(F.col("n") < F.col("need"))
+        .collect()  # one row per method at most
+    )
+    if short:
+        raise ValueError("too few valid windows: " + ", ".join(f"{r.method} {r.n} < {r.need}" for r in short))
+
+
+def mixture_rows(pool: DataFrame, n_real: Column, methods: list[str], proto: Protocol = PROTOCOL) -> DataFrame:
     """Synthetic rows of every (method, ratio, seed) mixture, without replacement.
 
     ``pool`` holds (method, synthetic_id, ...) of valid windows. Each seed shuffles a
-    pool once and every share takes a prefix of that order. A pool that is too small
-    stops the job.
+    pool once and every share takes a prefix of that order. A pool that is too small,
+    or absent, is an error.
     """
+    require_pool_sizes(pool, n_real, methods, proto)
     seeds = F.array(*[F.lit(s) for s in proto.seeds])
     seeded = pool.withColumn("seed", F.explode(seeds)).withColumn(
         "__key", hashrand.order_key(F.col("synthetic_id"), F.col("seed"))
@@ -77,15 +93,9 @@ def mixture_rows(pool: DataFrame, n_real: Column, proto: Protocol = PROTOCOL) ->
         [F.col("__key"), F.col("synthetic_id")],
         [hashrand.order_bucket(F.col("__key"), SHUFFLE_BUCKETS)],
         "__place",
-    )
-    most = max(proto.shares)
-    short = pool.groupBy("method").agg(F.count(F.lit(1)).alias("n")).withColumn("need", synthetic_count(n_real, F.lit(most)))
-    gate = short.agg(F.coalesce(F.bool_and(F.col("n") >= F.col("need")), F.lit(False)).alias("ok")).select("ok").scalar()
-    checked = placed.withColumn("__n_real", n_real).where(
-        F.when(gate, True).otherwise(F.raise_error(F.lit("a valid pool is smaller than its largest mixture")).cast("boolean"))
-    )
+    ).withColumn("__n_real", n_real)
     grid = F.array(*[F.struct(F.lit(float(s)).alias("ratio"), synthetic_count(F.col("__n_real"), F.lit(float(s))).alias("n")) for s in proto.shares])
-    spread = checked.withColumn("__g", F.explode(grid)).where(F.col("__place") < F.col("__g.n"))
+    spread = placed.withColumn("__g", F.explode(grid)).where(F.col("__place") < F.col("__g.n"))
     return spread.withColumn("ratio", F.col("__g.ratio")).drop("__g", "__place", "__key", "__n_real")
 
 

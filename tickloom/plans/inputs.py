@@ -46,6 +46,11 @@ def inputs_for(spark: SparkSession, sf_dir: str) -> "Inputs":
     return _shared[key]
 
 
+def forget() -> None:
+    """Start every following query from the source files again."""
+    _shared.clear()
+
+
 def text(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 
@@ -249,7 +254,7 @@ class Inputs:
 
     @cached_property
     def mixtures(self) -> DataFrame:
-        return utility.mixture_rows(self.synthetic_features, self.n_real)
+        return utility.mixture_rows(self.synthetic_features, self.n_real, [m for m, _, _ in POOLS])
 
     @cached_property
     def models(self) -> DataFrame:

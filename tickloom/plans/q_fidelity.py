@@ -339,13 +339,13 @@ def confusion_matrix(i: Inputs) -> DataFrame:
         f"""
 SELECT method, {R('roc_auc', 'roc_auc')}, {R('mmd', 'mmd')}, CASE WHEN abs(roc_auc - 0.5) < 0.05 THEN 'excellent' WHEN abs(roc_auc - 0.5) < 0.10 THEN 'good'
   WHEN abs(roc_auc - 0.5) < 0.20 THEN 'moderate' ELSE 'distinguishable' END AS verdict,
-  method = (SELECT arg_min(method, abs(roc_auc - 0.5)) FROM auc) AS closest
+  method = (SELECT method FROM auc ORDER BY abs(roc_auc - 0.5), method LIMIT 1) AS closest
 FROM auc JOIN mmd USING (method)""",
     ),
 )
 def quality_verdict(i: Inputs) -> DataFrame:
     auc = fid.roc_auc(i.scores, ["method"])
-    best = auc.agg(F.min_by("method", F.abs(F.col("roc_auc") - 0.5)).alias("m")).select("m").scalar()
+    best = auc.agg(F.min_by("method", F.struct(F.abs(F.col("roc_auc") - 0.5), "method")).alias("m")).select("m").scalar()
     both = auc.join(fid.mmd_rbf(mmd_sample(i, i.pools, "method")), "method")
     return both.withColumn("closest", F.col("method") == best).select(
         "method", r6("roc_auc").alias("roc_auc"), r6("mmd").alias("mmd"), fid.verdict(F.col("roc_auc")).alias("verdict"), "closest"

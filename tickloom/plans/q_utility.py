@@ -263,7 +263,7 @@ def candidate_comparison(i: Inputs) -> DataFrame:
         calibrated = scaling.denormalize(pools.where(F.col("method").isin(enough)), i.calibration, out="calibrated")
         valid = calibrated.where(validity.is_valid(F.col("calibrated")))
         features = stage(utility.vol_features(valid, ["method", "synthetic_id"], "calibrated"), "candidate_features")
-        sets = utility.training_sets(i.real_features, utility.mixture_rows(features, i.n_real), enough)
+        sets = utility.training_sets(i.real_features, utility.mixture_rows(features, i.n_real, enough), enough)
         models = utility.solve_ridge(utility.moments(sets, KEY), KEY, utility.scale_row(i.real_features))
         raw = stage(utility.score_models(models, i.test_features, KEY), "candidate_raw")
         best = utility.downstream_summary(raw).where(F.col("ratio") > 0).groupBy("method").agg(
