@@ -142,7 +142,7 @@ def discriminative_score(rows: DataFrame, group: str, groups: list, components:
 
 def pca_embedding(windows: DataFrame, keep: list[str], k: int = 2, first: int = 30) -> DataFrame:
     """Joint 2-D projection: standardize, keep ``first`` components, report ``k``."""
-    rows = windows.select(*keep, array_to_vector("features_flat").alias("x")).persist()
+    rows = windows.select(*keep, array_to_vector("features_flat").alias("x"))
     scaled = StandardScaler(inputCol="x", outputCol="s", withMean=True).fit(rows).transform(rows)
     model = PCA(k=first, inputCol="s", outputCol="z").fit(scaled)
     z = vector_to_array("z")

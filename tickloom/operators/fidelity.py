@@ -43,13 +43,26 @@ def apply_subset(pools: DataFrame, subset: DataFrame, row_id: str) -> DataFrame:
     return pools.join(broadcast_if_small(subset), row_id, "left_semi").select(*pools.columns)
 
 
-def balanced_sample(df: DataFrame, label: str, row_id: str, seed: int, at_most: int | None = None) -> DataFrame:
+def pick(df: DataFrame, keys: list[str], row_id: str, seed: int, n: Column, limit: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each key in seeded order.
+
+    Only the ids are ordered; the rows themselves are met by a semi join. With a
+    ``limit`` on ``n`` the id list is bounded, and only then it is broadcast outright.
+    """
+    if limit is not None:
+        n = F.least(n, F.lit(limit))
+    on = [*keys, row_id]
+    placed = seeded_order(df.select(*on), keys, row_id, seed, "__place").withColumn("__n", n)
+    ids = placed.where(F.col("__place") < F.col("__n")).select(*on)
+    ids = F.broadcast(ids) if limit is not None else ids
+    return df.join(ids, on, "left_semi").select(*df.columns)
+
+
+def balanced_sample(df: DataFrame, label: str, row_id: str, seed: int) -> DataFrame:
     """The same number of rows of each label, picked by seeded shuffle."""
-    placed = seeded_order(df, [label], row_id, seed, "__place")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     smallest = sizes.agg(F.min("n").alias("n")).select("n").scalar()
-    n = F.least(smallest, F.lit(at_most)) if at_most else smallest
-    return placed.withColumn("__n", n).where(F.col("__place") < F.col("__n")).select(*df.columns)
+    return pick(df, [label], row_id, seed, smallest)
 
 
 # --- moments and distributions ---------------------------------------------
@@ -323,7 +336,7 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bounded_sample(df: DataFrame, keys: list[str], row_id: str, seed: int, limit: int) -> DataFrame:
     """At most ``limit`` rows per key, which is what the pairwise metrics are defined on."""
-    return seeded_order(df, keys, row_id, seed, "__place").where(F.col("__place") < limit).drop("__place")
+    return pick(df, keys, row_id, seed, F.lit(limit), limit)
 
 
 def pairwise_distances(sample: DataFrame, key: str = "method") -> DataFrame:

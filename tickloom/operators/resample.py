@@ -134,19 +134,33 @@ def standardized_summary(summary: DataFrame, keep: list[str]) -> DataFrame:
     return summary.select(*keep, *out)
 
 
+# Score, weight of its level, and the quantiles that cut it.
+REGIME_CUTS = (("vol", 6, ("third", "two_thirds")), ("trend", 2, ("third", "two_thirds")), ("volume", 1, ("half",)))
+
+
 def regime_labels(summary: DataFrame) -> DataFrame:
-    """Add ``regime`` 0..17 from volatility thirds, trend thirds and volume halves."""
-    scored = summary.withColumn("__vol", 0.5 * F.col("ret_std") + 0.5 * F.col("range_mean"))
+    """Add ``regime`` 0..17 from volatility thirds, trend thirds and volume halves.
+
+    The cuts of all three scores come from one distributed sort.
+    """
+    scores = {
+        "vol": 0.5 * F.col("ret_std") + 0.5 * F.col("range_mean"),
+        "trend": F.col("ret_sum"),
+        "volume": F.col("volume_mean"),
+    }
+    cells = F.array(*[F.struct(F.lit(n).alias("score"), c.alias("x")) for n, c in scores.items()])
+    long = summary.select(F.explode(cells).alias("c")).select("c.score", "c.x")
+    cuts = quantiles(long, ["score"], "x", {"third": 1 / 3, "two_thirds": 2 / 3, "half": 0.5})
+    names = [(score, q) for score, _, qs in REGIME_CUTS for q in qs]
+    row = cuts.agg(
+        F.struct(*[F.max(F.when(F.col("score") == s, F.col(q))).alias(f"{s}_{q}") for s, q in names]).alias("cuts")
+    ).select("cuts").scalar()
+    placed = summary.withColumn("__cuts", row)
     regime = F.lit(0)
-    for col, weight, probs in (
-        ("__vol", 6, {"q1": 1 / 3, "q2": 2 / 3}),
-        ("ret_sum", 2, {"q1": 1 / 3, "q2": 2 / 3}),
-        ("volume_mean", 1, {"q1": 0.5}),
-    ):
-        cuts = quantiles(scored, [], col, probs).select(F.struct(*probs).alias("q")).scalar()
-        level = sum(((F.col(col) >= cuts[q]).cast("int") for q in probs), F.lit(0))
+    for score, weight, qs in REGIME_CUTS:
+        level = sum(((scores[score] >= F.col("__cuts")[f"{score}_{q}"]).cast("int") for q in qs), F.lit(0))
         regime = regime + F.lit(weight) * level
-    return scored.withColumn("regime", regime).drop("__vol")
+    return placed.withColumn("regime", regime).drop("__cuts")
 
 
 def regime_members(labels: DataFrame) -> DataFrame:

@@ -38,9 +38,11 @@ def inputs_for(spark: SparkSession, sf_dir: str) -> "Inputs":
     and each metric is its own job over it. New or changed source files, or a cleared
     stage folder, start a new chain.
     """
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet").select("path", "length", "modificationTime")
-    state = tuple(sorted(tuple(r) for r in files.collect()))  # a few columns per source file
-    key = (spark.sparkContext.applicationId, sf_dir, state)
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet")
+    state = files.agg(
+        F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+    ).first()
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(state))
     if key not in _shared or not path_exists(spark, f"{shared_dir(spark)}/stages"):
         _shared[key] = Inputs(spark, sf_dir)
     return _shared[key]

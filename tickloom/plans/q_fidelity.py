@@ -284,9 +284,9 @@ def mmd_sample(i: Inputs, pools: DataFrame, key: str) -> DataFrame:
     names = [r[0] for r in pools.select(key).distinct().collect()]  # the few pool names
     real = i.real_rows.select(F.col("window_id").alias("synthetic_id"), "features_flat")
     n_real = real.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    size = F.least(n_real, F.lit(i.n_donors), F.lit(fid.MMD_SAMPLE))
-    a = fid.seeded_order(real, [], "synthetic_id", 42, "place").withColumn("__n", size).where(F.col("place") < F.col("__n"))
-    b = fid.seeded_order(pools, [key], "synthetic_id", 42, "place").withColumn("__n", size).where(F.col("place") < F.col("__n"))
+    size = F.least(n_real, F.lit(i.n_donors))
+    a = fid.pick(real, [], "synthetic_id", 42, size, fid.MMD_SAMPLE)
+    b = fid.pick(pools, [key], "synthetic_id", 42, size, fid.MMD_SAMPLE)
     repeated = a.select(F.explode(F.array(*[F.lit(n) for n in names])).alias(key), F.lit(True).alias("is_real"), "features_flat")
     return repeated.unionByName(b.select(key, F.lit(False).alias("is_real"), "features_flat"))
 
