@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import PROTOCOL, Protocol
 from ..functions import hashrand
@@ -183,8 +183,9 @@ def acf_table(windows: DataFrame, absolute: bool) -> DataFrame:
         "method", "lag", F.col("acf").alias("synthetic_acf"), F.col("valid_windows").alias("synthetic_valid_windows")
     )
     both = other.join(real, "lag").withColumn("difference", F.col("synthetic_acf") - F.col("real_acf"))
-    mae = both.groupBy("method").agg(F.avg(F.abs("difference")).alias("acf_mae"))
-    return both.join(mae, "method").withColumn("absolute_difference", F.abs("difference"))
+    both = both.withColumn("absolute_difference", F.abs("difference"))
+    # At most MAX_LAG rows per method are left here.
+    return both.withColumn("acf_mae", F.avg("absolute_difference").over(W.partitionBy("method")))
 
 
 def acf_gaps(table: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..config import PROTOCOL, Protocol
 from ..functions import hashrand
 from ..functions.arrays import absolute, channel, mean, std_pop, total
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stage
 from .neighbours import nearest
 from .scaling import ZERO_STD
 from .sequence import quantiles, with_position
@@ -218,6 +218,7 @@ def regime_neighbours(labelled: DataFrame, k: int = 12) -> DataFrame:
     near = nearest(
         points, points.withColumnRenamed("donor_idx", "mate_idx"), ["regime"], "donor_idx", "mate_idx", k, skip_same_id=True
     )
+    near = stage(near, "neighbours")  # read several times below and by every mixture
     alone = labelled.select("regime", "donor_idx").join(near, ["regime", "donor_idx"], "left_anti").select(
         "regime", "donor_idx", F.col("donor_idx").alias("mate_idx"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")
     )
