@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import PROTOCOL, Protocol
 from ..session import stage
@@ -52,11 +52,12 @@ def logistic(n_train: int, features: str = "x") -> LogisticRegression:
     )
 
 
-def _parallel(jobs: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+def _parallel(spark: SparkSession, jobs: list[Callable[[], DataFrame]]) -> list[DataFrame]:
     """Run independent distributed fits side by side, as cross validation does."""
+    targets = [inheritable_thread_target(spark)(job) for job in jobs]
     pool = ThreadPool(min(PARALLEL_FITS, len(jobs)))
     try:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(lambda target: target(), targets)
     finally:
         pool.close()
 
@@ -85,7 +86,7 @@ def out_of_fold_scores(rows: DataFrame, group: str, groups: list, folds: int = F
         model = logistic(n_train).fit(train)
         return _probability(model, mine.where(F.col("fold") == fold), [group, "label", "row_id", "fold"])
 
-    parts = _parallel([lambda g=g, f=f: fit(g, f) for g in groups for f in range(folds)])
+    parts = _parallel(rows.sparkSession, [lambda g=g, f=f: fit(g, f) for g in groups for f in range(folds)])
     scores = stage(reduce(DataFrame.unionByName, parts), "oof")
     rows.unpersist()
     return scores
@@ -131,7 +132,7 @@ def discriminative_score(rows: DataFrame, group: str, groups: list, components:
         model = strength.fit(pca.transform(train))
         return _probability(model, pca.transform(mine.where(F.col("fold") < held)), [group, "label"])
 
-    parts = _parallel([lambda g=g: fit(g) for g in groups])
+    parts = _parallel(rows.sparkSession, [lambda g=g: fit(g) for g in groups])
     out = stage(reduce(DataFrame.unionByName, parts), "held")
     rows.unpersist()
     hit = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double")
