@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import PROTOCOL
 from ..operators import features, fidelity, resample, scaling, splits, utility, validity, windows
-from ..session import path_exists, shared_dir, stage
+from ..session import path_exists, shared_dir, ship_package, stage
 from ..sources import panel as panel_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,7 @@ def inputs_for(spark: SparkSession, sf_dir: str) -> "Inputs":
     and each metric is its own job over it. New or changed source files, or a cleared
     stage folder, start a new chain.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet")
     state = files.agg(
         F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
