@@ -36,7 +36,7 @@ WINDOW = 8
 MIN_LITERALS = 4
 #: Share of the item's template tokens that aligned windows must cover.
 MIN_COVERED = 0.7
-#: Share of the alignment's slot words that stand for one word only.
+#: Share of the alignment's slot words, on either side, that stand for one word only.
 MIN_CONSISTENT = 0.8
 BITMAP_BITS = 1 << 22
 
@@ -189,10 +189,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = hits.select(*key, F.explode(F.arrays_zip("slots", "doc_slots")).alias("slot")).select(*key, "slot.*").distinct()
     by_item = pairs.groupBy(*key, "slots").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("slots") != F.col("doc_slots")).alias("other"))
     by_doc = pairs.groupBy(*key, "doc_slots").agg(F.count(F.lit(1)).alias("n"))
-    told = by_item.select(*key, (F.col("n") == 1).cast("int").alias("one"), "other").unionByName(
-        by_doc.select(*key, (F.col("n") == 1).cast("int").alias("one"), F.lit(False).alias("other"))
+    one = (F.col("n") == 1).cast("int")
+    told = by_item.select(*key, one.alias("of_item"), F.lit(None).cast("int").alias("of_doc"), "other").unionByName(
+        by_doc.select(*key, F.lit(None).cast("int").alias("of_item"), one.alias("of_doc"), F.lit(False).alias("other"))
     )
-    told = told.groupBy(*key).agg(F.avg("one").alias("consistent"), F.max("other").alias("other"))
+    told = told.groupBy(*key).agg(F.least(F.avg("of_item"), F.avg("of_doc")).alias("consistent"), F.max("other").alias("other"))
     same = [placed[k].eqNullSafe(told[k]) for k in key]
     out = placed.join(told, same[0] & same[1] & same[2], "left").select(
         *[placed[k] for k in key], "n_tokens", "covered", F.coalesce("consistent", F.lit(1.0)).alias("consistent"), F.coalesce("other", F.lit(False)).alias("other")
