@@ -22,7 +22,6 @@ empty result.
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +46,19 @@ UNITS = "mm cm m km in ft yd mi g kg mg lb oz ml l s sec min h hr hrs hz khz mhz
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,/:]*%?\Z")
 _EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%€$£]+\Z")
 _KIND_OF = {**dict.fromkeys(NUMBER_WORDS, NUMBER), **dict.fromkeys(UNITS, UNIT)}
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 400_000
 
 
 def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:
     """(template token, the word behind it, whether the next word starts a sentence)."""
-    bare = _EDGE.sub("", word)
+    if word.isalpha():
+        bare, ends = word, False
+    else:
+        bare = _EDGE.sub("", word)
+        ends = word[-1] in ".!?:" or word.endswith(('."', '!"', '?"'))
+        if not bare.isalpha() and _NUMBER.match(bare):
+            return NUMBER, bare.lower(), ends
     low = bare.lower()
-    ends = word[-1:] in ".!?:" or word.endswith(('."', '!"', '?"'))
-    if _NUMBER.match(bare):
-        return NUMBER, low, ends
     if low in _KIND_OF:
         return _KIND_OF[low], low, ends
     if not sentence_start and bare[:1].isupper() and not bare.isupper():
@@ -64,34 +66,65 @@ def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:
     return low, low, ends
 
 
+_LINE = "\0"  # stands between lines: no token, and the next word starts a sentence
+
+
 class Templates:
     """Template token hashes of texts, with a bounded table of words already seen."""
 
-    def __init__(self):
-        self.seen: dict[tuple, tuple] = {}
-
-    def _look(self, key: tuple) -> tuple:
-        if len(self.seen) >= _CACHE_WORDS:
-            self.seen.clear()
-        token, low, ends = canonical(*key)
-        literal = token[:1] != "\x01"
-        found = self.seen[key] = (xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 7), literal, low, ends, bool(token))
-        return found
+    def __init__(self, most: int = _CACHE_WORDS):
+        self.most = most
+        self._clear(1024)
+
+    def _clear(self, room: int) -> None:
+        self.place = {_LINE: 0}
+        # Of each word, inside a sentence and at its start: hash and whether it is literal.
+        self.hashes, self.literal = np.zeros((2, room), np.uint64), np.zeros((2, room), bool)
+        self.ends, self.token = np.zeros(room, bool), np.zeros(room, bool)
+        self.ends[0] = True
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.place) + len(words) > self.ends.size:
+            room = max(2 * self.ends.size, len(self.place) + len(words))
+            grow = lambda x: np.concatenate([x, np.zeros((*x.shape[:-1], room - x.shape[-1]), x.dtype)], axis=-1)
+            self.hashes, self.literal, self.ends, self.token = map(grow, (self.hashes, self.literal, self.ends, self.token))
+        first = len(self.place)
+        self.place.update(zip(words, range(first, first + len(words))))
+        inside = [canonical(word, False) for word in words]
+        # Only a name is another token where a sentence starts.
+        begun = [canonical(word, True)[0] if t[0] is NAME else t[0] for word, t in zip(words, inside)]
+        cut = slice(first, first + len(words))
+        for row, tokens in ((0, [t[0] for t in inside]), (1, begun)):
+            self.hashes[row, cut] = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t in tokens]
+            self.literal[row, cut] = [t[:1] != "\x01" for t in tokens]
+        self.ends[cut] = [t[2] for t in inside]
+        self.token[cut] = [t[0] != "" for t in inside]
 
     def read(self, text: str):
-        """(hashes, literal flags, words) of the text's tokens; bare punctuation is no token."""
-        hashes, literal, low = [], [], []
-        start, get, look = True, self.seen.get, self._look
-        for line in text.split("\n"):
-            start = True
-            for word in line.split():
-                key = (word, start)
-                h, is_literal, bare, start, any_token = get(key) or look(key)
-                if any_token:
-                    hashes.append(h)
-                    literal.append(is_literal)
-                    low.append(bare)
-        return np.array(hashes, dtype=np.uint64), np.array(literal, dtype=bool), low
+        """(hashes, literal flags, words, sentence starts) of the text's tokens; bare punctuation is none."""
+        words = text.replace("\n", f" {_LINE} ").split()
+        new = set(words).difference(self.place)
+        if new and len(self.place) + len(new) > self.most:
+            self._clear(self.ends.size)
+            new = set(words).difference(self.place)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        start = np.ones(at.size, dtype=np.int64)
+        start[1:] = self.ends[at[:-1]]
+        use = np.flatnonzero(self.token[at])
+        at, start = at[use], start[use]
+        return self.hashes[start, at], self.literal[start, at], lambda k: canonical(words[use[k]], bool(start[k]))[1]
+
+
+_templates: list[Templates] = []
+
+
+def templates() -> Templates:
+    """One per worker process."""
+    if not _templates:
+        _templates.append(Templates())
+    return _templates[0]
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -113,16 +146,16 @@ def windows(hashes: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndar
 
 def _rows(ids, texts, sizes, bitmap=None):
     """Window rows (id, h, place, size, n_tokens, slots) of some texts."""
-    templates = Templates()
+    read = templates().read
     for one, text in zip(ids, texts):
-        hashes, literal, low = templates.read(text or "")
+        hashes, literal, word = read(text or "")
         for size in sizes if sizes else ({min(WINDOW, hashes.size)} if hashes.size else ()):
             h, fit = windows(hashes, literal, size)
             if bitmap is not None:
                 bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
                 fit = fit & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
             for place in np.flatnonzero(fit).tolist():
-                slots = [low[place + k] for k in np.flatnonzero(~literal[place : place + size])]
+                slots = [word(place + k) for k in np.flatnonzero(~literal[place : place + size])]
                 yield one, int(h[place].view(np.int64)), place, size, hashes.size, slots
 
 
