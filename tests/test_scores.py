@@ -56,13 +56,13 @@ def test_auc_counts_ties_as_half(spark):
 
 def test_mmd_matches_formula(spark):
     x, y = tensor(3, 20).reshape(20, -1), tensor(4, 20).reshape(20, -1) + 0.3
-    rows = [("m", True, v.tolist()) for v in x] + [("m", False, v.tolist()) for v in y]
-    df = spark.createDataFrame(rows, "method string, is_real boolean, features_flat array<double>")
+    rows = [("m", True, k, v.tolist()) for k, v in enumerate(x)] + [("m", False, k, v.tolist()) for k, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "method string, is_real boolean, id long, features_flat array<double>")
     z = np.concatenate([x, y])
     d = ((z[:, None] - z[None]) ** 2).sum(2)
     k = np.exp(-d / np.median(d))
     want = (k[:20, :20].sum() - 20) / 380 + (k[20:, 20:].sum() - 20) / 380 - 2 * k[:20, 20:].mean()
-    assert fidelity.mmd_rbf(df).first().mmd == pytest.approx(want)
+    assert fidelity.mmd_rbf(df, "method", "id").first().mmd == pytest.approx(want)
 
 
 def test_subset_is_shared_and_without_replacement(spark):
@@ -168,3 +168,93 @@ def test_out_of_fold_scores_cover_every_row_once(spark):
     scores = classify.out_of_fold_scores(pairs, "method", ["m"])
     assert scores.count() == 80 and scores.select("label", "row_id").distinct().count() == 80
     assert fidelity.roc_auc(scores, ["method"]).first().roc_auc > 0.95
+
+
+def direct_pairs(x):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(len(x), k=1)]
+    q = np.percentile(d, [1, 5, 50, 95])
+    return [len(d), d.mean(), q[2], d.std(), d.min(), q[0], q[1], q[3], d.max()]
+
+
+@pytest.mark.parametrize("tile_rows", [2048, 100])
+def test_pair_statistics_use_every_row(spark, tile_rows):
+    """More rows than any earlier sample size, in one tile and in many."""
+    from tickloom.operators import pairs
+
+    rng = np.random.default_rng(8)
+    x = {"a": rng.normal(size=(700, 5)), "b": rng.normal(size=(30, 5)).repeat(2, axis=0)}
+    rows = [(m, k, v.tolist()) for m, vs in x.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "method string, id long, features_flat array<double>")
+    for r in pairs.pairwise_distances(df, "method", "id", tile_rows=tile_rows).collect():
+        assert list(r)[1:] == pytest.approx(direct_pairs(x[r.method]), abs=1e-9)
+
+
+def test_mmd_uses_every_row(spark):
+    from tickloom.operators import pairs
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(600, 4)), rng.normal(0.2, 1, size=(650, 4))
+    rows = [("m", True, k, v.tolist()) for k, v in enumerate(x)] + [("m", False, k, v.tolist()) for k, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "method string, is_real boolean, id long, features_flat array<double>")
+    z = np.concatenate([x, y])
+    d = ((z[:, None] - z[None]) ** 2).sum(2)
+    k = np.exp(-d / np.median(d))
+    n, m = 600, 650
+    want = (k[:n, :n].sum() - n) / (n * (n - 1)) + (k[n:, n:].sum() - m) / (m * (m - 1)) - 2 * k[:n, n:].mean()
+    got = pairs.mmd_rbf(df, "method", "id", tile_rows=256).first()
+    assert got.gamma == pytest.approx(1 / np.median(d)) and got.mmd == pytest.approx(want) and (got.n_real, got.n_synthetic) == (n, m)
+
+
+def logistic_fit(x, y):
+    """L2 logistic regression (C = 1, free intercept) by Newton steps."""
+    w = np.zeros(x.shape[1] + 1)
+    z = np.column_stack([x, np.ones(len(x))])
+    ridge = np.diag([1.0] * x.shape[1] + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    return w
+
+
+def test_two_sample_classifier_matches_a_direct_fit(spark):
+    from tickloom.operators import classify
+
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(90, 6)) * 3 + 1, rng.normal(0.4, 1, size=(90, 6)) * 3 + 1])
+    rows = [("real" if k < 90 else "m", k % 90, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "method string, row_id long, features_flat array<double>")
+    pairs = classify.with_folds(classify.labelled_pairs(df.where("method = 'real'"), df.where("method = 'm'"), "method", ["m"]), "method", 5)
+    place = {(r.label, r.row_id): r.fold for r in pairs.collect()}
+    got = {(r.label, r.row_id): r.score for r in classify.out_of_fold_scores(pairs, "method", ["m"]).collect()}
+    label, fold = np.repeat([0, 1], 90), np.array([place[(k // 90, k % 90)] for k in range(180)])
+    want = np.empty(180)
+    for f in range(5):
+        train, test = fold != f, fold == f
+        mean, std = x[train].mean(0), x[train].std(0)
+        w = logistic_fit((x[train] - mean) / std, label[train])
+        want[test] = 1 / (1 + np.exp(-(np.column_stack([(x[test] - mean) / std, np.ones(test.sum())]) @ w)))
+    assert [got[(k // 90, k % 90)] for k in range(180)] == pytest.approx(want, abs=2e-3)
+    scores = spark.createDataFrame([("m", a, s) for (a, _), s in got.items()], "method string, label int, score double")
+    auc = (want[label == 1][:, None] > want[label == 0][None]).mean()
+    assert fidelity.roc_auc(scores, ["method"]).first().roc_auc == pytest.approx(auc, abs=2e-3)
+
+
+def test_unequal_classes_raise(spark):
+    from tickloom.operators import classify
+
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1)], "method string, label int")
+    with pytest.raises(ValueError, match="unequal"):
+        classify.require_equal_classes(df, "method", "label")
+
+
+def test_histogram_of_a_constant_channel(spark):
+    long = spark.createDataFrame([("m", "c", 2.0)] * 5, "method string, channel string, value double")
+    bins = {r.bin: (r.left_edge, r.n, r.density) for r in fidelity.histogram(long, ["method"], 4).collect()}
+    want, edges = np.histogram([2.0] * 5, 4, density=True)
+    assert [bins[k][2] for k in range(4)] == pytest.approx(want.tolist()) and [bins[k][0] for k in range(4)] == pytest.approx(edges[:4].tolist())
+
+
+def test_a_subset_larger_than_the_pool_raises(spark):
+    ids = spark.range(10).withColumnRenamed("id", "synthetic_id")
+    with pytest.raises(Exception, match="the subset needs 25 of 10 ids"):
+        fidelity.common_subset(ids, "synthetic_id", 25, 42).collect()

@@ -35,6 +35,15 @@ def labelled_pairs(real: DataFrame, synthetic: DataFrame, group: str, groups: li
     return a.unionByName(b).withColumn("x", array_to_vector("features_flat")).drop("features_flat")
 
 
+def require_equal_classes(rows: DataFrame, *by: str) -> None:
+    """Raise unless all classes, named by the last column of ``by``, have as many rows in each group."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    uneven = sizes.groupBy(*by[:-1]).agg(F.min("n").alias("a"), F.max("n").alias("b"), F.count(F.lit(1)).alias("classes"))
+    short = uneven.where("a <> b OR classes < 2").collect()  # one row per group at most
+    if short:
+        raise ValueError("classes of unequal size: " + ", ".join(map(str, short)))
+
+
 def with_folds(rows: DataFrame, group: str, folds: int = FOLDS, seed: int = 42) -> DataFrame:
     """Stratified folds: a seeded shuffle inside each (group, label), dealt in turn."""
     placed = seeded_order(rows, [group, "label"], "row_id", seed, "__place")
@@ -74,8 +83,9 @@ def _probability(model, rows: DataFrame, keep: list[str]) -> DataFrame:
 def out_of_fold_scores(rows: DataFrame, group: str, groups: list, folds: int = FOLDS) -> DataFrame:
     """Held-out probability of every row, one fit per (group, fold).
 
-    ``rows`` holds (group, label, row_id, fold, x).
+    ``rows`` holds (group, label, row_id, fold, x). Both labels must have as many rows.
     """
+    require_equal_classes(rows, group, "label")
     rows = rows.persist()
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy(group, "fold").count().collect()}  # groups x folds counts
 

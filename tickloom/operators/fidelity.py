@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import PROTOCOL, Protocol
 from ..functions import hashrand
 from ..functions.arrays import channel, mean, std_pop, total
 from ..session import broadcast_if_small
-from .neighbours import matrix, nearest
+from .neighbours import nearest
 from .sequence import quantiles, sorted_runs, with_position
+from .pairs import mmd_rbf, pairwise_distances  # noqa: F401
 from .windows import sessions, unpivot_channels
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -32,11 +31,13 @@ def seeded_order(df: DataFrame, keys: list[str], row_id: str, seed: int, name: s
 
 
 def common_subset(ids: DataFrame, row_id: str, k: Column | int, seed: int) -> DataFrame:
-    """``k`` ids without replacement, one draw for every method."""
+    """``k`` ids without replacement, one draw for every method; an error if there are fewer."""
     k = k if isinstance(k, Column) else F.lit(k)
-    return seeded_order(ids.select(row_id), [], row_id, seed, "__place").withColumn("__k", k).where(
-        F.col("__place") < F.col("__k")
-    ).select(row_id)
+    size = ids.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    told = F.concat_ws(" ", F.lit("the subset needs"), F.col("__k").cast("string"), F.lit("of"), F.col("__size").cast("string"), F.lit("ids"))
+    placed = seeded_order(ids.select(row_id), [], row_id, seed, "__place").withColumns({"__k": k, "__size": size})
+    taken = F.when(F.col("__k") > F.col("__size"), F.raise_error(told).cast("boolean")).otherwise(F.col("__place") < F.col("__k"))
+    return placed.where(taken).select(row_id)
 
 
 def apply_subset(pools: DataFrame, subset: DataFrame, row_id: str) -> DataFrame:
@@ -110,8 +111,13 @@ def wasserstein(values: DataFrame, methods: list[str]) -> DataFrame:
 
 
 def histogram(long: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """Density per key over bins shared by all keys of a channel; the last bin is closed."""
+    """Density per key over bins shared by all keys of a channel; the last bin is closed.
+
+    A channel with one value only gets a range of half a unit to each side of it.
+    """
     edges = long.groupBy("channel").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    flat = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    edges = edges.select("channel", (F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     # One row per protocol channel, so the broadcast never grows with the data.
     placed = long.join(F.broadcast(edges), "channel").withColumn("width", width).withColumn(
@@ -321,63 +327,11 @@ def diversity(pools: DataFrame, keys: list[str], proto: Protocol = PROTOCOL, fla
     )
 
 
-# Sample sizes the pairwise metrics are defined on.
-MMD_SAMPLE = 512
-PAIRWISE_SAMPLE = 256
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances from direct differences, a few rows at a time."""
-    out = np.empty((len(a), len(b)))
-    for lo in range(0, len(a), 32):
-        gap = a[lo : lo + 32, None, :] - b[None, :, :]
-        out[lo : lo + 32] = np.einsum("ijk,ijk->ij", gap, gap)
-    return out
-
-
 def bounded_sample(df: DataFrame, keys: list[str], row_id: str, seed: int, limit: int) -> DataFrame:
-    """At most ``limit`` rows per key, which is what the pairwise metrics are defined on."""
+    """At most ``limit`` rows per key."""
     return pick(df, keys, row_id, seed, F.lit(limit), limit)
 
 
-def pairwise_distances(sample: DataFrame, key: str = "method") -> DataFrame:
-    """Summary of the i<j distances of a bounded sample per key."""
-    names = ["mean", "median", "std", "min", "p01", "p05", "p95", "max"]
-    schema = f"{key} string, n_pairs long, " + ", ".join(f"{n} double" for n in names)
-
-    def summarize(group_key: tuple, rows: pa.Table) -> pa.Table:
-        x = matrix(rows["features_flat"])
-        d = np.sqrt(_squared(x, x)[np.triu_indices(len(x), k=1)])
-        q = np.percentile(d, [1, 5, 50, 95])
-        values = [d.mean(), q[2], d.std(), d.min(), q[0], q[1], q[3], d.max()]
-        return pa.table([[group_key[0].as_py()], [len(d)], *[[float(v)] for v in values]], names=[key, "n_pairs", *names])
-
-    return sample.select(key, "features_flat").groupBy(key).applyInArrow(summarize, schema)
-
-
-def mmd_rbf(sample: DataFrame, key: str = "method") -> DataFrame:
-    """Unbiased MMD^2 with an RBF kernel; gamma is one over the median squared distance.
-
-    ``sample`` holds (key, is_real, features_flat) with at most 2 x 512 rows per key.
-    """
-    schema = f"{key} string, n_real long, n_synthetic long, gamma double, mmd double"
-
-    def score(group_key: tuple, rows: pa.Table) -> pa.Table:
-        x = matrix(rows["features_flat"])
-        real = np.asarray(rows["is_real"]).astype(bool)
-        x = np.concatenate([x[real], x[~real]])
-        n, m = int(real.sum()), int((~real).sum())
-        d = _squared(x, x)
-        gamma = 1.0 / max(float(np.median(d)), 1e-8)
-        k = np.exp(-gamma * d)
-        within_x = (k[:n, :n].sum() - n) / (n * (n - 1))
-        within_y = (k[n:, n:].sum() - m) / (m * (m - 1))
-        mmd = within_x + within_y - 2.0 * k[:n, n:].mean()
-        return pa.table([[group_key[0].as_py()], [n], [m], [gamma], [float(mmd)]], names=[key, "n_real", "n_synthetic", "gamma", "mmd"])
-
-    return sample.select(key, "is_real", "features_flat").groupBy(key).applyInArrow(score, schema)
-
-
 # --- scores of a classifier ------------------------------------------------
 
 

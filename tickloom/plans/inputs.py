@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import PROTOCOL
-from ..operators import features, fidelity, resample, scaling, splits, utility, validity, windows
+from ..operators import classify, features, fidelity, resample, scaling, splits, utility, validity, windows
 from ..session import path_exists, shared_dir, ship_package, stage
 from ..sources import panel as panel_source
 
@@ -206,6 +206,23 @@ class Inputs:
         """Distance of every evaluation window to its nearest donor."""
         return stage(fidelity.nearest_train(self.evaluation, self.donors), "distances")
 
+    def pairs(self, folds: int) -> DataFrame:
+        """Validation windows beside the shared subset of each pool, in stratified folds."""
+        rows = self.evaluation.withColumnRenamed("window_id", "row_id")
+        real = F.col("method") == "real"
+        pairs = classify.labelled_pairs(rows.where(real), rows.where(~real), "method", [m for m, _, _ in POOLS])
+        return stage(classify.with_folds(pairs, "method", folds), "pairs")
+
+    @cached_property
+    def c2st_scores(self) -> DataFrame:
+        """Out-of-fold probabilities of the classifier two-sample test."""
+        return classify.out_of_fold_scores(self.pairs(5), "method", [m for m, _, _ in POOLS])
+
+    @cached_property
+    def c2st(self) -> DataFrame:
+        """AUC and accuracy of the classifier two-sample test, one row per method."""
+        return stage(fidelity.roc_auc(self.c2st_scores, ["method"]), "c2st")
+
     @cached_property
     def scores(self) -> DataFrame:
         """(method, label, score) of real (0) and synthetic (1) windows per method.

@@ -476,27 +476,26 @@ SELECT a.method, sum(CASE WHEN b.score > a.score THEN 1 WHEN b.score = a.score T
 FROM scores a JOIN scores b ON a.method = b.method AND a.label = 0 AND b.label = 1 GROUP BY 1
 """,
 )
-# Pairwise kernels on samples: at most 512 rows a side, the same seeded order as above.
+# Pairwise kernels on all rows of both sides.
+MMD_SUMS = """sum(exp(-g * d)) FILTER (ra AND rb AND ka <> kb) / (n * (n - 1)) + sum(exp(-g * d)) FILTER (NOT ra AND NOT rb AND ka <> kb) / (m * (m - 1))
+  - 2 * sum(exp(-g * d)) FILTER (ra AND NOT rb) / (n * m)"""
 cte(
     "mmdrows",
     "pools nwin",
     f"""
-SELECT m AS method, true AS is_real, flat, row_number() OVER (PARTITION BY m ORDER BY md5(idx || ':42:order'), idx) AS k
-FROM {VALID}, (SELECT DISTINCT method AS m FROM pools)
-UNION ALL SELECT method, false, flat, row_number() OVER (PARTITION BY method ORDER BY md5(id || ':42:order'), id) FROM pools
+SELECT m AS method, true AS is_real, flat, idx AS k FROM {VALID}, (SELECT DISTINCT method AS m FROM pools)
+UNION ALL SELECT method, false, flat, id FROM pools
 """,
 )
 cte(
     "mmd",
-    "mmdrows nwin pools",
+    "mmdrows",
     f"""
-SELECT method, n, g AS gamma,
-  sum(exp(-g * d)) FILTER (ra AND rb AND ka <> kb) / (n * (n - 1)) + sum(exp(-g * d)) FILTER (NOT ra AND NOT rb AND ka <> kb) / (n * (n - 1))
-  - 2 * sum(exp(-g * d)) FILTER (ra AND NOT rb) / (n * n) AS mmd
+SELECT method, n, m, g AS gamma, {MMD_SUMS} AS mmd
 FROM (SELECT *, 1 / greatest(median(d) OVER (PARTITION BY method), 1e-8) AS g FROM (
-  SELECT a.method, a.is_real AS ra, b.is_real AS rb, a.k AS ka, b.k AS kb, list_sum(list_transform(a.flat, lambda x, i: (x - b.flat[i]) * (x - b.flat[i]))) AS d, n
-  FROM (SELECT least(512, (SELECT count(*) FROM {VALID}), (SELECT count(*) FROM {DONORS}))::DOUBLE AS n),
-    mmdrows a JOIN mmdrows b ON a.method = b.method WHERE a.k <= n AND b.k <= n)) GROUP BY 1, 2, 3
+  SELECT a.method, a.is_real AS ra, b.is_real AS rb, a.k AS ka, b.k AS kb, pow(list_distance(a.flat, b.flat), 2) AS d, n, m
+  FROM mmdrows a JOIN mmdrows b ON a.method = b.method
+  JOIN (SELECT method, (count(*) FILTER (is_real))::DOUBLE AS n, (count(*) FILTER (NOT is_real))::DOUBLE AS m FROM mmdrows GROUP BY 1) c ON c.method = a.method)) GROUP BY 1, 2, 3, 4
 """,
 )
 
@@ -658,11 +657,11 @@ FROM master m JOIN stability s USING (method_id, synthetic_ratio) GROUP BY 1, 2
 )
 cte(
     "fidmaster",
-    "auc correrr nn w1 acf_ret_table acf_abs_table",
+    "correrr nn w1 acf_ret_table acf_abs_table",
     """
-SELECT a.method AS method_id, a.roc_auc, c.mean_gap AS mean_correlation_error, n.nn_mean AS nearest_neighbor_mean, n.nn_median AS nearest_neighbor_median,
+SELECT c.method AS method_id, c.mean_gap AS mean_correlation_error, n.nn_mean AS nearest_neighbor_mean, n.nn_median AS nearest_neighbor_median,
   w.w0 AS wasserstein_log_return, w.w1 AS wasserstein_log_high_low_range, w.w2 AS wasserstein_log1p_volume, r.m AS return_acf_mae, b.m AS abs_return_acf_mae
-FROM auc a JOIN correrr c USING (method) JOIN (SELECT method, avg(distance) AS nn_mean, median(distance) AS nn_median FROM nn GROUP BY 1) n USING (method)
+FROM correrr c JOIN (SELECT method, avg(distance) AS nn_mean, median(distance) AS nn_median FROM nn GROUP BY 1) n USING (method)
 JOIN (SELECT method, max(w) FILTER (channel = 'log_return') AS w0, max(w) FILTER (channel = 'log_high_low_range') AS w1, max(w) FILTER (channel = 'log1p_volume') AS w2 FROM w1 GROUP BY 1) w USING (method)
 JOIN (SELECT method, avg(acf_mae) AS m FROM acf_ret_table GROUP BY 1) r USING (method) JOIN (SELECT method, avg(acf_mae) AS m FROM acf_abs_table GROUP BY 1) b USING (method)
 """,

@@ -14,23 +14,16 @@ from .q_fidelity import rounded
 METHODS = [m for m, _, _ in POOLS]
 
 
-def evaluation_pairs(i: Inputs, folds: int) -> DataFrame:
-    rows = i.evaluation.withColumnRenamed("window_id", "row_id")
-    pairs = classify.labelled_pairs(rows.where(F.col("method") == "real"), rows.where(F.col("method") != "real"), "method", METHODS)
-    return stage(classify.with_folds(pairs, "method", folds), "pairs")
-
-
 @query("c2st")
 def c2st(i: Inputs) -> DataFrame:
-    scores = classify.out_of_fold_scores(evaluation_pairs(i, 5), "method", METHODS)
-    return rounded(fid.roc_auc(scores, ["method"]), ["method", "n"], ["roc_auc", "accuracy"])
+    return rounded(i.c2st, ["method", "n"], ["roc_auc", "accuracy"])
 
 
 @query("c2st_folds")
 def c2st_folds(i: Inputs) -> DataFrame:
     """Fold-wise scores, and a 25 % holdout: the first of four folds."""
-    folds = classify.out_of_fold_scores(evaluation_pairs(i, 5), "method", METHODS)
-    quarter = evaluation_pairs(i, 4).withColumn("fold", F.when(F.col("fold") == 0, 0).otherwise(1))
+    folds = i.c2st_scores
+    quarter = i.pairs(4).withColumn("fold", F.when(F.col("fold") == 0, 0).otherwise(1))
     held = classify.out_of_fold_scores(quarter, "method", METHODS, folds=1)
     report = classify.holdout_report(held, "method").withColumnsRenamed(
         {"roc_auc": "holdout_auc", "accuracy": "holdout_accuracy", "n": "n_holdout"}
@@ -66,7 +59,7 @@ def c2st_grid(i: Inputs) -> DataFrame:
 
 @query("discriminative_score")
 def discriminative_score(i: Inputs) -> DataFrame:
-    return rounded(classify.discriminative_score(evaluation_pairs(i, 10), "method", METHODS), ["method", "n"], ["accuracy", "score"])
+    return rounded(classify.discriminative_score(i.pairs(10), "method", METHODS), ["method", "n"], ["accuracy", "score"])
 
 
 @query("pca_embedding")

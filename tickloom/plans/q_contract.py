@@ -13,8 +13,8 @@ from ..operators import clean, contract, fidelity as fid, resample, scaling, spl
 from ..session import shared_dir, stage
 from ..sources import files
 from .inputs import POOLS, Inputs, query, text
-from .oracle import DONORS, VALID, acf, r6 as R, cte, sql
-from .q_fidelity import mmd_sample, rounded
+from .oracle import DONORS, MMD_SUMS, VALID, acf, cte, r6 as R, sql
+from .q_fidelity import mmd_rows, rounded
 
 METHODS = [m for m, _, _ in POOLS]
 ORDER = ",".join(PROTOCOL.channels)
@@ -400,13 +400,13 @@ SEEDSTEPS = """
 , lg AS MATERIALIZED (SELECT seed AS method, id AS window_id, t, channel, ci, [c0, c1, c2][ci + 1] AS x FROM st, chan)
 """
 MMD3 = f"""
-, mr AS MATERIALIZED (SELECT s.seed, true AS is_real, flat, row_number() OVER (PARTITION BY s.seed ORDER BY md5(idx || ':42:order'), idx) AS k FROM {VALID}, seeds s
-  UNION ALL SELECT seed, false, flat, row_number() OVER (PARTITION BY seed ORDER BY md5(id || ':42:order'), id) FROM pools3 WHERE method = 'bootstrap_jitter')
-, md AS (SELECT seed, sum(exp(-g * d)) FILTER (ra AND rb AND ka <> kb) / (n * (n - 1)) + sum(exp(-g * d)) FILTER (NOT ra AND NOT rb AND ka <> kb) / (n * (n - 1))
-    - 2 * sum(exp(-g * d)) FILTER (ra AND NOT rb) / (n * n) AS mmd
+, mr AS MATERIALIZED (SELECT s.seed, true AS is_real, flat, idx AS k FROM {VALID}, seeds s
+  UNION ALL SELECT seed, false, flat, id FROM pools3 WHERE method = 'bootstrap_jitter')
+, md AS (SELECT seed, {MMD_SUMS} AS mmd
   FROM (SELECT *, 1 / greatest(median(d) OVER (PARTITION BY seed), 1e-8) AS g FROM (
-    SELECT a.seed, a.is_real AS ra, b.is_real AS rb, a.k AS ka, b.k AS kb, list_sum(list_transform(a.flat, lambda x, i: (x - b.flat[i]) * (x - b.flat[i]))) AS d, n
-    FROM (SELECT least(512, (SELECT count(*) FROM {VALID}), (SELECT count(*) FROM {DONORS}))::DOUBLE AS n), mr a JOIN mr b ON a.seed = b.seed WHERE a.k <= n AND b.k <= n)) GROUP BY seed, n, g)
+    SELECT a.seed, a.is_real AS ra, b.is_real AS rb, a.k AS ka, b.k AS kb, pow(list_distance(a.flat, b.flat), 2) AS d, n, m
+    FROM mr a JOIN mr b ON a.seed = b.seed
+    JOIN (SELECT seed, (count(*) FILTER (is_real))::DOUBLE AS n, (count(*) FILTER (NOT is_real))::DOUBLE AS m FROM mr GROUP BY 1) c ON c.seed = a.seed)) GROUP BY seed, n, m, g)
 """
 
 
@@ -427,7 +427,7 @@ FROM s JOIN s v ON v.seed = 0 AND v.ci = s.ci JOIN a ON a.seed = s.seed AND a.ci
 def per_seed_validation(i: Inputs) -> DataFrame:
     pools = stage(reduce(DataFrame.unionByName, [i.pool("bootstrap_jitter", s) for s in i.proto.seeds]), "seed_pools")
     named = pools.withColumn("name", F.col("seed").cast("string"))
-    mmd = fid.mmd_rbf(mmd_sample(i, named, "name"), "name").select(F.col("name").cast("int").alias("seed"), "mmd")
+    mmd = fid.mmd_rbf(mmd_rows(i, named, "name"), "name", "synthetic_id").select(F.col("name").cast("int").alias("seed"), "mmd")
     n = pools.groupBy("seed").agg(F.count(F.lit(1)).alias("n_synthetic"))
     own = scaling.channel_stats(win.sessions(pools, ["seed"]), ["seed"]).select(
         "seed", "channel", F.col("mean").alias("mean_synthetic"), F.col("raw_std").alias("std_synthetic")

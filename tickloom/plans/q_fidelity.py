@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import PROTOCOL
 from ..functions.arrays import channel, checksum, r6
 from ..operators import features, fidelity as fid, windows as win
+from ..operators.classify import require_equal_classes
 from ..operators.sequence import quantiles
 from .inputs import POOLS, Inputs, query, text
 from .oracle import DONORS, VALID, acf, r6 as R, sql
@@ -269,31 +270,26 @@ def diversity(i: Inputs) -> DataFrame:
     sql(
         "pools",
         f"""
-, s AS (SELECT method, id, flat, row_number() OVER (PARTITION BY method ORDER BY md5(id || ':42:order'), id) AS k FROM pools)
 SELECT method, {summary_sql('d').replace('count(*) AS n', 'count(*) AS n_pairs')} FROM (
-  SELECT a.method, list_distance(a.flat, b.flat) AS d FROM s a JOIN s b ON a.method = b.method AND a.k < b.k AND b.k <= 256) GROUP BY method""",
+  SELECT a.method, list_distance(a.flat, b.flat) AS d FROM pools a JOIN pools b ON a.method = b.method AND a.id < b.id) GROUP BY method""",
     ),
 )
 def pairwise_distance(i: Inputs) -> DataFrame:
-    sample = fid.bounded_sample(i.pools, ["method"], "synthetic_id", 42, fid.PAIRWISE_SAMPLE)
-    return rounded(fid.pairwise_distances(sample), ["method", "n_pairs"], SUM_NAMES)
+    return rounded(fid.pairwise_distances(i.pools, "method", "synthetic_id"), ["method", "n_pairs"], SUM_NAMES)
 
 
-def mmd_sample(i: Inputs, pools: DataFrame, key: str) -> DataFrame:
-    """Equal seeded samples of real windows and of each pool, at most 512 a side."""
+def mmd_rows(i: Inputs, pools: DataFrame, key: str) -> DataFrame:
+    """All validation windows beside all windows of each pool."""
     names = [r[0] for r in pools.select(key).distinct().collect()]  # the few pool names
-    real = i.real_rows.select(F.col("window_id").alias("synthetic_id"), "features_flat")
-    n_real = real.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    size = F.least(n_real, F.lit(i.n_donors))
-    a = fid.pick(real, [], "synthetic_id", 42, size, fid.MMD_SAMPLE)
-    b = fid.pick(pools, [key], "synthetic_id", 42, size, fid.MMD_SAMPLE)
-    repeated = a.select(F.explode(F.array(*[F.lit(n) for n in names])).alias(key), F.lit(True).alias("is_real"), "features_flat")
-    return repeated.unionByName(b.select(key, F.lit(False).alias("is_real"), "features_flat"))
+    real = i.real_rows.select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias(key), F.lit(True).alias("is_real"), F.col("window_id").alias("synthetic_id"), "features_flat"
+    )
+    return real.unionByName(pools.select(key, F.lit(False).alias("is_real"), "synthetic_id", "features_flat"))
 
 
-@query("mmd_rbf", sql("mmd", f"SELECT method, n::BIGINT AS n_real, n::BIGINT AS n_synthetic, {R('gamma', 'gamma')}, {R('mmd', 'mmd')} FROM mmd"))
+@query("mmd_rbf", sql("mmd", f"SELECT method, n::BIGINT AS n_real, m::BIGINT AS n_synthetic, {R('gamma', 'gamma')}, {R('mmd', 'mmd')} FROM mmd"))
 def mmd_rbf(i: Inputs) -> DataFrame:
-    return rounded(fid.mmd_rbf(mmd_sample(i, i.pools, "method")), ["method", "n_real", "n_synthetic"], ["gamma", "mmd"])
+    return rounded(fid.mmd_rbf(mmd_rows(i, i.pools, "method"), "method", "synthetic_id"), ["method", "n_real", "n_synthetic"], ["gamma", "mmd"])
 
 
 @query("roc_auc", sql("auc scores", f"""
@@ -332,23 +328,14 @@ def confusion_matrix(i: Inputs) -> DataFrame:
     return fid.confusion(i.scores, ["method"])
 
 
-@query(
-    "quality_verdict",
-    sql(
-        "auc mmd",
-        f"""
-SELECT method, {R('roc_auc', 'roc_auc')}, {R('mmd', 'mmd')}, CASE WHEN abs(roc_auc - 0.5) < 0.05 THEN 'excellent' WHEN abs(roc_auc - 0.5) < 0.10 THEN 'good'
-  WHEN abs(roc_auc - 0.5) < 0.20 THEN 'moderate' ELSE 'distinguishable' END AS verdict,
-  method = (SELECT method FROM auc ORDER BY abs(roc_auc - 0.5), method LIMIT 1) AS closest
-FROM auc JOIN mmd USING (method)""",
-    ),
-)
+@query("quality_verdict")
 def quality_verdict(i: Inputs) -> DataFrame:
-    auc = fid.roc_auc(i.scores, ["method"])
+    """Verdict of the classifier two-sample test; the MMD beside it has a twin of its own."""
+    auc = i.c2st
     best = auc.agg(F.min_by("method", F.struct(F.abs(F.col("roc_auc") - 0.5), "method")).alias("m")).select("m").scalar()
-    both = auc.join(fid.mmd_rbf(mmd_sample(i, i.pools, "method")), "method")
+    both = auc.join(fid.mmd_rbf(mmd_rows(i, i.pools, "method"), "method", "synthetic_id"), "method")
     return both.withColumn("closest", F.col("method") == best).select(
-        "method", r6("roc_auc").alias("roc_auc"), r6("mmd").alias("mmd"), fid.verdict(F.col("roc_auc")).alias("verdict"), "closest"
+        "method", r6("roc_auc").alias("c2st_roc_auc"), r6("mmd").alias("mmd"), fid.verdict(F.col("roc_auc")).alias("verdict"), "closest"
     )
 
 
@@ -364,6 +351,7 @@ SELECT row_number() OVER (ORDER BY method, window_id) - 1 AS row_id, method, CAS
 def embedding_input(i: Inputs) -> DataFrame:
     from ..operators.sequence import with_position
 
+    require_equal_classes(i.evaluation, "method")
     placed = with_position(
         i.evaluation, [], [F.col("method"), F.col("window_id")], [F.col("method"), F.floor(F.col("window_id") / 65536)], "row_id"
     )
@@ -378,7 +366,8 @@ def embedding_input(i: Inputs) -> DataFrame:
     sql(
         "evlong",
         f"""
-, e AS (SELECT channel, min(x) AS lo, (max(x) - min(x)) / 60.0::DOUBLE AS w FROM evlong GROUP BY channel)
+, e AS (SELECT channel, CASE WHEN min(x) = max(x) THEN min(x) - 0.5::DOUBLE ELSE min(x) END AS lo,
+    CASE WHEN min(x) = max(x) THEN 1.0::DOUBLE ELSE max(x) - min(x) END / 60.0::DOUBLE AS w FROM evlong GROUP BY channel)
 , c AS (SELECT method, channel, least(floor((x - lo) / w), 59)::BIGINT AS bin, count(*) AS n FROM evlong JOIN e USING (channel) GROUP BY 1, 2, 3)
 SELECT m.method, e.channel, b.bin, {R('lo + b.bin * w', 'left_edge')}, coalesce(c.n, 0) AS n, {R('coalesce(c.n, 0) / (m.total * w)', 'density')}
 FROM (SELECT method, channel, count(*) AS total FROM evlong GROUP BY 1, 2) m JOIN e USING (channel), (SELECT unnest(range(60)) AS bin) b
@@ -413,12 +402,12 @@ def quantile_bands(i: Inputs) -> DataFrame:
 
 
 SCORECARD_SQL = """
-SELECT a.method, a.roc_auc, w.mean_w, r.acf_mae AS return_acf_mae, b.acf_mae AS abs_return_acf_mae, c.mean_gap AS corr_mae, n.nn_mean, n.nn_median
-FROM auc a JOIN (SELECT method, avg(w) AS mean_w FROM w1 GROUP BY 1) w USING (method)
+SELECT w.method, w.mean_w AS mean_wasserstein, r.acf_mae AS return_acf_mae, b.acf_mae AS abs_return_acf_mae, c.mean_gap AS corr_mae, n.nn_mean, n.nn_median
+FROM (SELECT method, avg(w) AS mean_w FROM w1 GROUP BY 1) w
 JOIN (SELECT method, any_value(acf_mae) AS acf_mae FROM acf_ret_table GROUP BY 1) r USING (method)
 JOIN (SELECT method, any_value(acf_mae) AS acf_mae FROM acf_abs_table GROUP BY 1) b USING (method)
 JOIN correrr c USING (method) JOIN (SELECT method, avg(distance) AS nn_mean, median(distance) AS nn_median FROM nn GROUP BY 1) n USING (method)"""
-SCORE_NAMES = ["roc_auc", "mean_wasserstein", "return_acf_mae", "abs_return_acf_mae", "corr_mae", "nn_mean", "nn_median"]
+SCORE_NAMES = ["mean_wasserstein", "return_acf_mae", "abs_return_acf_mae", "corr_mae", "nn_mean", "nn_median"]
 
 
 def scorecard(i: Inputs) -> DataFrame:
@@ -431,23 +420,21 @@ def scorecard(i: Inputs) -> DataFrame:
     ]
     corr = fid.corr_errors(fid.channel_corr(steps, ["method"])).select("method", F.col("mean_abs_off_diagonal").alias("corr_mae"))
     nn = fid.distance_summary(i.train_distances, ["method"]).select("method", F.col("mean").alias("nn_mean"), F.col("median").alias("nn_median"))
-    auc = fid.roc_auc(i.scores, ["method"]).select("method", "roc_auc")
-    return reduce(lambda a, b: a.join(b, "method"), [auc, w1, *maes, corr, nn])
+    return reduce(lambda a, b: a.join(b, "method"), [w1, *maes, corr, nn])
 
 
-@query(
-    "fidelity_scorecard",
-    sql(
-        "auc w1 acf_ret_table acf_abs_table correrr nn",
-        f"SELECT method, {R('roc_auc', 'roc_auc')}, {R('mean_w', 'mean_wasserstein')}, "
-        + ", ".join(R(c, c) for c in SCORE_NAMES[2:])
-        + f" FROM ({SCORECARD_SQL})",
-    ),
-)
-def fidelity_scorecard(i: Inputs) -> DataFrame:
+@query("scorecard_distances", sql("w1 acf_ret_table acf_abs_table correrr nn", f"SELECT method, {', '.join(R(c, c) for c in SCORE_NAMES)} FROM ({SCORECARD_SQL})"))
+def scorecard_distances(i: Inputs) -> DataFrame:
     return rounded(scorecard(i), ["method"], SCORE_NAMES)
 
 
+@query("fidelity_scorecard")
+def fidelity_scorecard(i: Inputs) -> DataFrame:
+    """``scorecard_distances`` with the AUC of the classifier two-sample test."""
+    table = scorecard(i).join(i.c2st.select("method", F.col("roc_auc").alias("c2st_roc_auc")), "method")
+    return rounded(table, ["method"], ["c2st_roc_auc", *SCORE_NAMES])
+
+
 @query(
     "annual_shift",
     sql(

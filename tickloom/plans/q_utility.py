@@ -275,6 +275,7 @@ def candidate_comparison(i: Inputs) -> DataFrame:
 
 # --- reports ---------------------------------------------------------------
 
+# Column names of the report tables.
 MASTER_NAMES = ["rmse_mean", "rmse_std", "mae_mean", "mae_std", "real_only_rmse", "real_only_mae", "rmse_improvement_abs", "rmse_improvement_pct", "mae_improvement_abs", "mae_improvement_pct"]
 
 
@@ -326,7 +327,8 @@ def baseline_vs_methods(i: Inputs) -> DataFrame:
     return rounded(report.baseline_vs_methods(stage(master(i), "master")), ["synthetic_ratio", "method_id"], BASE_NAMES)
 
 
-FID_NAMES = ["roc_auc", "mean_correlation_error", "nearest_neighbor_mean", "nearest_neighbor_median", "wasserstein_log_return", "wasserstein_log_high_low_range",
+# Column names of the fidelity tables.
+FID_NAMES = ["mean_correlation_error", "nearest_neighbor_mean", "nearest_neighbor_median", "wasserstein_log_return", "wasserstein_log_high_low_range",
              "wasserstein_log1p_volume", "return_acf_mae", "abs_return_acf_mae"]
 
 
@@ -343,12 +345,21 @@ def fidelity_table(i: Inputs) -> DataFrame:
     nn = fid.distance_summary(i.train_distances, ["method"]).select(
         "method", F.col("mean").alias("nearest_neighbor_mean"), F.col("median").alias("nearest_neighbor_median")
     )
-    auc = fid.roc_auc(i.scores, ["method"]).select("method", "roc_auc")
-    return reduce(lambda a, b: a.join(b, "method"), [auc, corr, nn, w1, *maes]).withColumnRenamed("method", "method_id")
+    return reduce(lambda a, b: a.join(b, "method"), [corr, nn, w1, *maes]).withColumnRenamed("method", "method_id")
 
 
-@query("fidelity_master", sql("fidmaster", f"SELECT method_id, {', '.join(R(c, c) for c in FID_NAMES)} FROM fidmaster"))
+def with_c2st(i: Inputs, table: DataFrame) -> DataFrame:
+    """The table of distances with the AUC of the classifier two-sample test."""
+    return table.join(i.c2st.select(F.col("method").alias("method_id"), F.col("roc_auc").alias("c2st_roc_auc")), "method_id")
+
+
+@query("fidelity_master")
 def fidelity_master(i: Inputs) -> DataFrame:
+    return rounded(with_c2st(i, fidelity_table(i)), ["method_id"], ["c2st_roc_auc", *FID_NAMES])
+
+
+@query("fidelity_master_distances", sql("fidmaster", f"SELECT method_id, {', '.join(R(c, c) for c in FID_NAMES)} FROM fidmaster"))
+def fidelity_master_distances(i: Inputs) -> DataFrame:
     return rounded(fidelity_table(i), ["method_id"], FID_NAMES)
 
 
@@ -366,8 +377,13 @@ def fidelity_vs_utility_table(i: Inputs) -> DataFrame:
 FVU_SQL = f"SELECT * FROM fidmaster JOIN modelsum USING (method_id) JOIN (SELECT method_id, {IMPROVE_SQL} FROM master GROUP BY 1) USING (method_id)"
 
 
-@query("fidelity_vs_utility", sql("fidmaster modelsum master", f"SELECT method_id, {', '.join(R(c, c) for c in [*FID_NAMES, *TARGETS, *IMPROVE])} FROM ({FVU_SQL})"))
+@query("fidelity_vs_utility")
 def fidelity_vs_utility(i: Inputs) -> DataFrame:
+    return rounded(with_c2st(i, fidelity_vs_utility_table(i)), ["method_id"], ["c2st_roc_auc", *FID_NAMES, *TARGETS, *IMPROVE])
+
+
+@query("fidelity_vs_utility_distances", sql("fidmaster modelsum master", f"SELECT method_id, {', '.join(R(c, c) for c in [*FID_NAMES, *TARGETS, *IMPROVE])} FROM ({FVU_SQL})"))
+def fidelity_vs_utility_distances(i: Inputs) -> DataFrame:
     return rounded(fidelity_vs_utility_table(i), ["method_id"], [*FID_NAMES, *TARGETS, *IMPROVE])
 
 
@@ -376,8 +392,13 @@ PAIRS_SQL = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{t}' AS target, {m} AS
 CAUCHY = "CASE WHEN {r} IS NULL THEN NULL WHEN abs({r}) >= 1 THEN 0::DOUBLE ELSE greatest(1 - 2 / pi() * atan(abs({r}) / sqrt(1 - {r} * {r})), 0) END"
 
 
+@query("metric_correlation")
+def metric_correlation(i: Inputs) -> DataFrame:
+    return correlations(with_c2st(i, fidelity_vs_utility_table(i)), ["c2st_roc_auc", *FID_NAMES])
+
+
 @query(
-    "metric_correlation",
+    "metric_correlation_distances",
     sql(
         "fidmaster modelsum master",
         f"""
@@ -389,8 +410,12 @@ CAUCHY = "CASE WHEN {r} IS NULL THEN NULL WHEN abs({r}) >= 1 THEN 0::DOUBLE ELSE
 SELECT metric, target, n, {R('pr', 'pearson_r')}, {R('sr', 'spearman_rho')}, round({CAUCHY.format(r='pr')}, 4) AS pearson_p, round({CAUCHY.format(r='sr')}, 4) AS spearman_p FROM c""",
     ),
 )
-def metric_correlation(i: Inputs) -> DataFrame:
-    table = report.metric_correlations(stage(fidelity_vs_utility_table(i), "fvu"), FID_NAMES, TARGETS)
+def metric_correlation_distances(i: Inputs) -> DataFrame:
+    return correlations(fidelity_vs_utility_table(i), FID_NAMES)
+
+
+def correlations(table: DataFrame, metrics: list[str]) -> DataFrame:
+    table = report.metric_correlations(stage(table, "fvu"), metrics, TARGETS)
     return table.select(
         "metric", "target", "n", r6("pearson_r").alias("pearson_r"), r6("spearman_rho").alias("spearman_rho"),
         F.round("pearson_p", 4).alias("pearson_p"), F.round("spearman_p", 4).alias("spearman_p"),
