@@ -78,7 +78,7 @@ def test_encoder_agrees_with_the_library():
 
     path = token_codes.tokenizer_path()
     plain, own = Tokenizer.from_file(path), token_codes.Encoder(path)
-    texts = ["", " ", "a", " a b", "a  b", "a\n b", "it's 'll x", "é ü x y", "x <|endoftext|> y", "tail ", "\ta b\n", "don't.\nYes 12,3 %%%  !"]
+    texts = ["", " ", "a", " a b", "a  b", "a\n b", "it's 'll x", "é ü x y", "x <|endoftext|> y", "tail ", "\ta b\n", "don't.\nYes 12,3 %%%  !", "a.b,c. d, e", "a ... b", "x., y", "_. z", ".a", "3.14,15.\n,b", "e\u0301. f", "a.'s b,'t", "a\x00. b", "\n.a", "\nA b.\nC", "．。a. b"]
     for t in texts * 2:
         assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 

@@ -17,6 +17,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -33,8 +35,8 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text that a range partition takes, in the mean.
 PARTITION_BYTES = 32 << 20
-#: Entries of a task's table of words already encoded.
-CACHE_WORDS = 300_000
+#: Entries of a worker's table of pieces already encoded.
+CACHE_WORDS = 400_000
 SEGMENT_SCHEMA = (
     "part int, part_start long, doc_ids array<long>, starts array<long>, n_ids long, "
     "levels array<struct<chunks: binary, more: binary, ranks: binary>>"
@@ -91,44 +93,52 @@ _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A tokenizers file with a bounded table of what it made of each word.
+    """A tokenizers file with a bounded table of what it made of each piece of text.
 
-    A byte-level pre-tokenizer cuts before every single blank, so where a text has no two white
-    characters in a row, its ids are those of its blank-led words, one after the other. Any other
-    text, or one with a special token, goes to the library as it is.
+    A byte-level pre-tokenizer cuts before every blank, line break, and full stop or comma after
+    a letter or digit, provided that no two white characters and no two marks stand in a row.
+    There a text's ids are those of its pieces, one after the other. A text with marks in a row
+    is cut at blanks and line breaks only, and one with white space in a row, or with a special
+    token, goes to the library as it is.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile(r"\s\s" + "".join("|" + re.escape(s) for s in special)).search
+        self.whole = re.compile(r"\s\s|\x00" + "".join("|" + re.escape(s) for s in special)).search
+        self.marks = re.compile(r"(?<![^\W_])[.,]").search
         self.known: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, pieces: list[str]) -> None:
+        # A piece without a mark of its own follows a blank.
+        texts = [p[1:] if p[:1] == _GLUED else p if p[:1] == "\n" else " " + p for p in pieces]
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self.known.update(zip(pieces, (np.array(e.ids, dtype="<u4").tobytes() for e in made)))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.whole(text):
             return self._library(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        new = set(rest).difference(known)
+        if not self.marks(text):
+            text = text.replace(".", f" {_GLUED}.").replace(",", f" {_GLUED},")
+        first, *rest = text.replace("\n", " \n").split(" ")
+        new = set(rest).difference(self.known)
         if new:
-            new = list(new)
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(rest))
-            made = self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
-            known.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in made)))
-        return self._library(first) + b"".join(map(known.__getitem__, rest))
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                new = set(rest)
+            self._learn(list(new))
+        return self._library(first) + b"".join(map(self.known.__getitem__, rest))
+
+
+#: Marks a piece that follows the one before without a blank; a text that holds it is not cut.
+_GLUED = "\x00"
 
 
 def encoder(path: str) -> Encoder:
