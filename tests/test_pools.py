@@ -132,3 +132,45 @@ def test_keyed_diff_sees_nulls(spark):
     b = spark.createDataFrame([(1, "x", 1), (2, "y", 1), (3, "x", 1), (5, "x", 1)], "k int, c string, m int")
     got = {r.k: r.change for r in contract.keyed_diff(a, b, ["k"], ["c"], ["m"]).collect()}
     assert got == {1: "same", 2: "changed_content", 3: "changed_content", 4: "removed", 5: "added"}
+
+
+def contract_frame(spark, rows):
+    """Producers' rows of (producer, id, window); everything else as the contract wants it."""
+    from tickloom.config import PROTOCOL
+
+    frame = spark.createDataFrame(rows, "producer string, synthetic_id long, features_flat array<double>")
+    return frame.withColumns(
+        {"source_model": F.col("producer"), "training_seed": F.lit(42), "space": F.lit(PROTOCOL.space), "window_length": F.lit(65), "n_channels": F.lit(3),
+         "channel_order": F.array(*map(F.lit, PROTOCOL.channels))}
+    )
+
+
+def test_nulls_and_foreign_scales_break_the_contract(spark):
+    def window(k):
+        return [float(k + j) for j in range(195)]
+
+    rows = [(p, k, window(k)) for p in ("ok", "scale") for k in range(4)]
+    rows += [("null_window", k, window(k) if k else None) for k in range(4)]
+    rows += [("null_number", k, [None, *window(k)[1:]] if k == 1 else window(k)) for k in range(4)]
+    rows += [("null_id", k if k else None, window(k)) for k in range(4)]
+    scales = spark.createDataFrame([("ok", "verified"), ("scale", "mismatch")], "producer string, status string")
+    names = ["ok", "scale", "null_window", "null_number", "null_id"]
+    got = {r.producer: (r.status, r.errors) for r in contract.contract_report(contract_frame(spark, rows), names, 4, provenance=scales).collect()}
+    assert got == {
+        "ok": ("PASS", ""), "scale": ("FAIL", "normalization"), "null_window": ("FAIL", "width"),
+        "null_number": ("FAIL", "non_finite"), "null_id": ("FAIL", "null_ids"),
+    }
+
+
+def test_selection_has_a_gate_and_a_partial_mode(spark):
+    roles = {"a": "model_a", "b": "model_b"}
+    schema = "method_id string, source_model string, lineage string"
+    full = [("a", "Model A", "CANONICAL"), ("b", "model-b", None), ("spare", "x", "CANONICAL")]
+    strict = contract.select_methods(spark.createDataFrame(full, schema), roles).collect()
+    assert {(r.run_mode, r.complete, r.lineage_warnings, r.excluded, r.missing_roles) for r in strict} == {("STRICT_FINAL", True, "b", "spare", "")}
+    for broken in (full[:1], [full[0], ("b", "model_x", "CANONICAL")], [full[0], ("b", "model_b", "NON_CANONICAL")]):
+        table = spark.createDataFrame(broken, schema)
+        with pytest.raises(RuntimeError, match="1 of 2 roles filled, missing: b:model_b"):
+            contract.select_methods(table, roles)
+        partial = contract.select_methods(table, roles, allow_partial=True).collect()
+        assert {(r.run_mode, r.complete, r.n_eligible, r.missing_roles) for r in partial} == {("PROVISIONAL_PARTIAL", False, 1, "b:model_b")}

@@ -26,30 +26,42 @@ class Candidate:
     clusters: int = 0
 
 
-def _named(prefix: str, family: str, sigma: str, rho: str = "") -> Candidate:
-    name = f"{prefix}_{sigma}" + (f"_rho{rho}" if rho else "")
-    return Candidate(name, family, float(sigma.replace("p", ".")), float(rho.replace("p", ".") or 0) if rho else 0.0)
-
-
-# Noise scales and time correlations of the published grid.
-INDEPENDENT = ("0p02", "0p075", "0p10", "0p125", "0p15")
-WHITE = ("0p10", "0p125")
-TEMPORAL = (
-    ("0p03", "0p85"), ("0p05", "0p85"), ("0p075", "0p85"), ("0p10", "0p85"), ("0p10", "0p65"), ("0p10", "0p95"),
-    ("0p125", "0p85"), ("0p15", "0p85"), ("0p175", "0p85"), ("0p20", "0p85"), ("0p25", "0p85"), ("0p30", "0p85"),
-    ("0p40", "0p85"), ("0p50", "0p85"),
-)
-REGIME = ("0p03", "0p05", "0p075", "0p10")
-MIXUP = ("0p01", "0p02", "0p03")
-GRID: tuple[Candidate, ...] = (
-    _named("baseline_jitter", "bootstrap_independent", "0p05"),
-    *[_named("bootstrap_jitter", "bootstrap_independent", s) for s in INDEPENDENT],
-    *[_named("correlated_jitter", "bootstrap_temporal", s) for s in WHITE],
-    *[_named("temporal_jitter", "bootstrap_temporal", s, r) for s, r in TEMPORAL],
-    *[_named("regime_temporal_jitter", "regime_bootstrap_temporal", s, "0p85") for s in REGIME],
-    *[_named("regime_mixup_jitter", "regime_neighbor_mixup_temporal", s, "0p85") for s in MIXUP],
-    Candidate("pca_gmm_24c8", "pca_gmm", components=24, clusters=8),
-    Candidate("pca_gmm_32c12", "pca_gmm", components=32, clusters=12),
+# The candidates as (name, family, noise scale, time correlation, components, clusters).
+GRID: tuple[Candidate, ...] = tuple(
+    Candidate(*row)
+    for row in (
+        ("baseline_jitter_0p05", "bootstrap_independent", 0.05, 0.0, 0, 0),
+        ("bootstrap_jitter_0p02", "bootstrap_independent", 0.02, 0.0, 0, 0),
+        ("bootstrap_jitter_0p075", "bootstrap_independent", 0.075, 0.0, 0, 0),
+        ("bootstrap_jitter_0p10", "bootstrap_independent", 0.10, 0.0, 0, 0),
+        ("bootstrap_jitter_0p125", "bootstrap_independent", 0.125, 0.0, 0, 0),
+        ("bootstrap_jitter_0p15", "bootstrap_independent", 0.15, 0.0, 0, 0),
+        ("correlated_jitter_0p10", "bootstrap_temporal", 0.10, 0.0, 0, 0),
+        ("correlated_jitter_0p125", "bootstrap_temporal", 0.125, 0.0, 0, 0),
+        ("temporal_jitter_0p03_rho0p85", "bootstrap_temporal", 0.03, 0.85, 0, 0),
+        ("temporal_jitter_0p05_rho0p85", "bootstrap_temporal", 0.05, 0.85, 0, 0),
+        ("temporal_jitter_0p075_rho0p85", "bootstrap_temporal", 0.075, 0.85, 0, 0),
+        ("temporal_jitter_0p10_rho0p85", "bootstrap_temporal", 0.10, 0.85, 0, 0),
+        ("temporal_jitter_0p10_rho0p65", "bootstrap_temporal", 0.10, 0.65, 0, 0),
+        ("temporal_jitter_0p10_rho0p95", "bootstrap_temporal", 0.10, 0.95, 0, 0),
+        ("temporal_jitter_0p125_rho0p85", "bootstrap_temporal", 0.125, 0.85, 0, 0),
+        ("temporal_jitter_0p15_rho0p85", "bootstrap_temporal", 0.15, 0.85, 0, 0),
+        ("temporal_jitter_0p175_rho0p85", "bootstrap_temporal", 0.175, 0.85, 0, 0),
+        ("temporal_jitter_0p20_rho0p85", "bootstrap_temporal", 0.20, 0.85, 0, 0),
+        ("temporal_jitter_0p25_rho0p85", "bootstrap_temporal", 0.25, 0.85, 0, 0),
+        ("temporal_jitter_0p30_rho0p85", "bootstrap_temporal", 0.30, 0.85, 0, 0),
+        ("temporal_jitter_0p40_rho0p85", "bootstrap_temporal", 0.40, 0.85, 0, 0),
+        ("temporal_jitter_0p50_rho0p85", "bootstrap_temporal", 0.50, 0.85, 0, 0),
+        ("regime_temporal_jitter_0p03_rho0p85", "regime_bootstrap_temporal", 0.03, 0.85, 0, 0),
+        ("regime_temporal_jitter_0p05_rho0p85", "regime_bootstrap_temporal", 0.05, 0.85, 0, 0),
+        ("regime_temporal_jitter_0p075_rho0p85", "regime_bootstrap_temporal", 0.075, 0.85, 0, 0),
+        ("regime_temporal_jitter_0p10_rho0p85", "regime_bootstrap_temporal", 0.10, 0.85, 0, 0),
+        ("regime_mixup_jitter_0p01_rho0p85", "regime_neighbor_mixup_temporal", 0.01, 0.85, 0, 0),
+        ("regime_mixup_jitter_0p02_rho0p85", "regime_neighbor_mixup_temporal", 0.02, 0.85, 0, 0),
+        ("regime_mixup_jitter_0p03_rho0p85", "regime_neighbor_mixup_temporal", 0.03, 0.85, 0, 0),
+        ("pca_gmm_24c8", "pca_gmm", 0.0, 0.0, 24, 8),
+        ("pca_gmm_32c12", "pca_gmm", 0.0, 0.0, 32, 12),
+    )
 )
 
 
@@ -79,10 +91,11 @@ def jitter_family(base: DataFrame, seed: int, specs: list[Candidate], chol: Colu
     )
 
 
-def pca_gmm(donors: DataFrame, spec: Candidate, n: int, seed: int, proto: Protocol = PROTOCOL, max_iter: int = 100) -> DataFrame:
+def pca_gmm(donors: DataFrame, spec: Candidate, n: int, seed: int, proto: Protocol = PROTOCOL, max_iter: int = 500, starts: int = 2) -> DataFrame:
     """Gaussian mixture in PCA space, sampled and mapped back.
 
-    Fitting runs as distributed ML jobs. Only the model (at most 32 x 195 loadings and
+    Fitting runs as distributed ML jobs, from ``starts`` seeds, of which the likelier fit is
+    kept; covariances get their floor after the fit. Only the model (at most 32 x 195 loadings and
     12 small covariances) is held by the tasks that sample.
     """
     width = proto.width
@@ -90,7 +103,8 @@ def pca_gmm(donors: DataFrame, spec: Candidate, n: int, seed: int, proto: Protoc
     mean = np.array(donors.agg(F.array(*[F.avg(F.get("features_flat", F.lit(i))) for i in range(width)])).first()[0])
     pca = PCA(k=min(spec.components, width), inputCol="x", outputCol="z").fit(centred)
     latent = pca.transform(centred).select("z").persist()
-    mixture = GaussianMixture(featuresCol="z", k=spec.clusters, seed=seed, maxIter=max_iter, tol=1e-3).fit(latent)
+    fits = [GaussianMixture(featuresCol="z", k=spec.clusters, seed=seed + s, maxIter=max_iter, tol=1e-3).fit(latent) for s in range(starts)]
+    mixture = max(fits, key=lambda fit: fit.summary.logLikelihood)
     loadings = pca.pc.toArray()
     weights = np.cumsum(mixture.weights)
     means = [np.asarray(g.mean) for g in mixture.gaussians]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL, Protocol
 from ..functions.arrays import finite
+from ..session import small
 
 PRICES = ("open", "high", "low", "close")
 VALUES = (*PRICES, "volume")
@@ -76,7 +77,7 @@ def coverage(valid: DataFrame) -> DataFrame:
 
 def drop_low_coverage(valid: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
     dropped = coverage(valid).where(F.col("coverage") < proto.min_coverage).select("ticker")
-    return valid.join(dropped, "ticker", "left_anti").select(*valid.columns)
+    return valid.join(small(dropped, "dropped"), "ticker", "left_anti").select(*valid.columns)
 
 
 def clean_panel(panel: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
@@ -132,6 +133,7 @@ def zero_volume_fate(panel: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
         .where(F.col("coverage") < proto.min_coverage)
         .select("ticker", F.lit(True).alias("__low"))
     )
+    low = small(low, "low")
     zero = panel.where(F.col("volume") == 0).join(kept, ["date", "ticker"], "left").join(low, "ticker", "left")
     fate = (
         F.when(F.col("__kept"), "kept")

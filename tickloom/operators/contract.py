@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL, Protocol
-from ..functions.arrays import finite
+from ..functions.arrays import checksum, finite
 from .fidelity import repeated_windows
 
 # The contract columns, and names that must not leak into a pool.
@@ -21,7 +21,11 @@ CANONICAL = (
 FORBIDDEN = ("ticker", "window_start_date", "window_end_date", "date", "dates", "session_dates")
 # Lineage and role labels.
 CANONICAL_LINEAGE, OTHER_LINEAGE, UNKNOWN_LINEAGE = "CANONICAL", "NON_CANONICAL", "NOT_VERIFIABLE"
-ENTRY_FIELDS = ("method_id", "method_family", "path", "sha256", "rows", "training_seed", "space", "contract_status")
+ENTRY_FIELDS = (
+    "method_id", "method_family", "source_model", "source_directory", "path", "sha256", "rows", "logical_shape", "training_seed",
+    "space", "window_length", "n_channels", "channel_order", "features_flat_length", "normalization_status", "contract_status",
+    "donor_lineage_status",
+)
 
 
 def present_columns(frame: DataFrame, key: str) -> DataFrame:
@@ -87,93 +91,127 @@ def metadata_checks(frame: DataFrame, key: str = "producer", proto: Protocol = P
 
 
 def contract_report(
-    frame: DataFrame, expected: list[str], expected_rows: int, proto: Protocol = PROTOCOL, key: str = "producer"
+    frame: DataFrame, expected: list[str], expected_rows: int, proto: Protocol = PROTOCOL, key: str = "producer", provenance: DataFrame | None = None
 ) -> DataFrame:
-    """PASS or FAIL per producer with the list of broken rules; absent producers fail too."""
-    width, bad_value = F.size("features_flat"), F.exists("features_flat", lambda x: ~finite(x))
+    """PASS or FAIL per producer with the list of broken rules; absent producers fail too.
+
+    A null window has the wrong width, a null number in one is not finite, and null ids break a
+    rule of their own. ``provenance`` holds (key, status) of the normalizer, where it is known.
+    """
+    width = F.coalesce(F.when(F.col("features_flat").isNotNull(), F.size("features_flat")), F.lit(-1))
+    bad_value = F.coalesce(F.exists("features_flat", lambda x: ~F.coalesce(finite(x), F.lit(False))), F.lit(False))
     shape = frame.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(width).alias("__lo"),
         F.max(width).alias("__hi"),
         F.sum(bad_value.cast("int")).alias("non_finite_windows"),
+        F.sum(F.col("synthetic_id").isNull().cast("int")).alias("null_ids"),
+        F.sum(F.col("features_flat").isNull().cast("int")).alias("null_windows"),
     )
-    ids = frame.groupBy(key, "synthetic_id").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
+    ids = frame.where("synthetic_id IS NOT NULL").groupBy(key, "synthetic_id").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(
         F.sum(F.col("n") - 1).alias("duplicate_ids")
     )
-    repeats = repeated_windows(frame, [key]).groupBy(key).agg(F.count(F.lit(1)).alias("exact_duplicates"))
+    repeats = repeated_windows(frame.where("features_flat IS NOT NULL"), [key]).groupBy(key).agg(F.count(F.lit(1)).alias("exact_duplicates"))
     meta = metadata_checks(frame, key, proto).groupBy(key).agg(
         *[F.bool_or((F.col("field") == n) & ~F.col("as_expected")).alias(f"__{n}") for n in expected_values(proto)]
     )
     schema = assess_schema(frame, key).select(key, F.col("ok").alias("__schema"))
     names = frame.sparkSession.createDataFrame([(n,) for n in expected], f"{key} string")
     table = names.join(shape, key, "left").join(ids, key, "left").join(repeats, key, "left").join(meta, key, "left").join(schema, key, "left")
-    table = table.fillna(0, ["n_rows", "non_finite_windows", "duplicate_ids", "exact_duplicates"])
+    if provenance is None:
+        table = table.withColumn("__provenance", F.lit(None).cast("string"))
+    else:
+        table = table.join(provenance.select(key, F.col("status").alias("__provenance")), key, "left")
+    table = table.fillna(0, ["n_rows", "non_finite_windows", "duplicate_ids", "exact_duplicates", "null_ids", "null_windows"])
     seen = F.col("n_rows") > 0
     rules = [
         ("missing_output", ~seen),
         ("schema", seen & ~F.col("__schema")),
         ("rows", seen & (F.col("n_rows") != expected_rows)),
         *[(n, F.col(f"__{n}")) for n in expected_values(proto)],
+        ("null_ids", F.col("null_ids") > 0),
         ("duplicate_ids", F.col("duplicate_ids") > 0),
         ("width", seen & ((F.col("__lo") != proto.width) | (F.col("__hi") != proto.width))),
         ("non_finite", F.col("non_finite_windows") > 0),
         ("exact_duplicates", F.col("exact_duplicates") > 0),
+        ("normalization", F.col("__provenance").eqNullSafe("mismatch")),
     ]
     errors = F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules]))
     return table.withColumn("errors", F.concat_ws(",", errors)).select(
-        key, "n_rows", "non_finite_windows", "duplicate_ids", "exact_duplicates",
+        key, "n_rows", "non_finite_windows", "null_ids", "null_windows", "duplicate_ids", "exact_duplicates",
+        F.coalesce("__provenance", F.lit("not_verifiable")).alias("normalization_status"),
         F.when(F.col("errors") == "", "PASS").otherwise("FAIL").alias("status"), "errors",
     )
 
 
 def fingerprint(frame: DataFrame, key: str = "producer") -> DataFrame:
-    """Content hash per producer that does not depend on row order."""
-    h = F.xxhash64("synthetic_id", "features_flat")
-    sums = frame.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")
-    )
-    return sums.select(key, F.sha2(F.concat_ws(":", "n", "x", "s"), 256).alias("sha256"))
+    """Content hash per producer that does not depend on row order, and that SQL can compute.
+
+    The sha256 of the row count and of the sum of the rows' hashes; a row's hash is 40 bits of
+    the md5 of its id and its weighted checksum to six decimals.
+    """
+    value = F.round(checksum(F.col("features_flat")) * 1e6)
+    number = F.coalesce(F.when(finite(value), value.cast("long").cast("string")), F.lit("none"))
+    told = F.concat_ws(":", F.coalesce(F.col("synthetic_id").cast("string"), F.lit("none")), number)
+    h = F.conv(F.substring(F.md5(told), 1, 10), 16, 10).cast("decimal(28,0)")
+    sums = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("s"))
+    return sums.select(key, F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("sha256"))
 
 
-def build_registry(report: DataFrame, hashes: DataFrame, families: Mapping[str, str], proto: Protocol = PROTOCOL) -> DataFrame:
-    """Entries of the producers that passed, sorted by id."""
-    family = F.lit(None).cast("string")
-    for name, value in families.items():
-        family = F.when(F.col("producer") == name, value).otherwise(family)
+def build_registry(
+    report: DataFrame, hashes: DataFrame, families: Mapping[str, str], lineage: Mapping[str, str], proto: Protocol = PROTOCOL
+) -> DataFrame:
+    """Entries of the producers that passed, sorted by id, with all of ENTRY_FIELDS."""
+    of = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("producer")]
     return (
         report.where(F.col("status") == "PASS")
         .join(hashes, "producer")
         .select(
             F.col("producer").alias("method_id"),
-            family.alias("method_family"),
+            of(families).alias("method_family"),
+            F.col("producer").alias("source_model"),
+            F.lit("pools").alias("source_directory"),
             F.concat(F.lit("pools/"), F.col("producer"), F.lit(".parquet")).alias("path"),
             "sha256",
             F.col("n_rows").alias("rows"),
+            F.array(F.col("n_rows"), F.lit(proto.length).cast("long"), F.lit(len(proto.channels)).cast("long")).alias("logical_shape"),
             F.lit(proto.seeds[0]).alias("training_seed"),
             F.lit(proto.space).alias("space"),
+            F.lit(proto.length).alias("window_length"),
+            F.lit(len(proto.channels)).alias("n_channels"),
+            F.array(*map(F.lit, proto.channels)).alias("channel_order"),
+            F.lit(proto.width).alias("features_flat_length"),
+            "normalization_status",
             F.col("status").alias("contract_status"),
+            F.coalesce(of(lineage), F.lit(UNKNOWN_LINEAGE)).alias("donor_lineage_status"),
         )
         .orderBy("method_id")
     )
 
 
-def validate_entries(entries: DataFrame, constants: Mapping[str, object], families: list[str]) -> DataFrame:
-    """Flags per registry entry: complete, constants kept, hash form, safe path, unique id."""
+def validate_entries(entries: DataFrame, families: list[str], expected_rows: Column | int, proto: Protocol = PROTOCOL) -> DataFrame:
+    """Flags per registry entry: all fields there, and each rule of the contract kept."""
+    rows = expected_rows if isinstance(expected_rows, Column) else F.lit(expected_rows)
     complete = F.lit(True)
     for c in ENTRY_FIELDS:
         complete = complete & F.col(c).isNotNull()
-    kept = F.lit(True)
-    for name, value in constants.items():
-        kept = kept & F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+    held = lambda cond: F.coalesce(cond, F.lit(False))
     counts = entries.groupBy("method_id").agg(F.count(F.lit(1)).alias("__n"))
     path = F.col("path")
+    shape = F.array(rows.cast("long"), F.lit(proto.length).cast("long"), F.lit(len(proto.channels)).cast("long"))
     return entries.join(counts, "method_id").select(
         "method_id",
         complete.alias("complete"),
-        kept.alias("constants_ok"),
-        F.coalesce(F.col("method_family").isin(families), F.lit(False)).alias("family_ok"),
-        F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)).alias("hash_ok"),
-        F.coalesce(~path.startswith("/") & ~F.array_contains(F.split(path, "/"), ".."), F.lit(False)).alias("path_ok"),
+        held(F.col("contract_status") == "PASS").alias("status_ok"),
+        held(F.col("donor_lineage_status").isin(CANONICAL_LINEAGE, OTHER_LINEAGE, UNKNOWN_LINEAGE)).alias("lineage_ok"),
+        held(F.col("method_family").isin(families)).alias("family_ok"),
+        held(F.col("rows") == rows).alias("rows_ok"),
+        held(F.col("logical_shape") == shape).alias("shape_ok"),
+        held((F.col("training_seed") == proto.seeds[0]) & (F.col("space") == proto.space)).alias("seed_and_space_ok"),
+        held((F.col("window_length") == proto.length) & (F.col("n_channels") == len(proto.channels)) & (F.col("features_flat_length") == proto.width)).alias("sizes_ok"),
+        held(F.col("channel_order") == F.array(*map(F.lit, proto.channels))).alias("order_ok"),
+        held(F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("hash_ok"),
+        held(~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..")).alias("path_ok"),
         (F.col("__n") == 1).alias("unique_id"),
     )
 
@@ -233,11 +271,13 @@ def lineage_status(outputs: DataFrame, provenance: DataFrame, key: str, declared
     return joined.withColumn("lineage", status)
 
 
-def select_methods(certified: DataFrame, roles: Mapping[str, str]) -> DataFrame:
+def select_methods(certified: DataFrame, roles: Mapping[str, str], allow_partial: bool = False) -> DataFrame:
     """Every required role with the certified method that fills it.
 
-    ``certified`` holds (method_id, source_model, lineage). Each row also carries the
-    completeness of the whole selection.
+    ``certified`` holds (method_id, source_model, lineage), one row per method. Without
+    ``allow_partial`` a role that no method may fill stops the run. Each row also carries the
+    outcome of the whole selection: mode, counts, roles left open, certified methods that were
+    left out, and warnings for selected methods whose lineage can't be verified.
     """
     wanted = certified.sparkSession.createDataFrame(list(roles.items()), "method_id string, required_role string")
     joined = wanted.join(certified, "method_id", "left")
@@ -250,10 +290,29 @@ def select_methods(certified: DataFrame, roles: Mapping[str, str]) -> DataFrame:
         "method_id", "required_role", structural.alias("structural_status"), role.alias("role_status"), lineage.alias("lineage"),
         ((role == "PASS") & (lineage != OTHER_LINEAGE)).alias("eligible"),
     )
-    counts = rows.agg(F.struct(F.sum(F.col("eligible").cast("long")).alias("n"), F.count(F.lit(1)).alias("all")).alias("c")).select("c").scalar()
-    spare = certified.join(wanted, "method_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    return rows.withColumn("__c", counts).select(
-        *rows.columns, F.col("__c.n").alias("n_eligible"), (F.col("__c.n") == F.col("__c.all")).alias("complete"), spare.alias("n_excluded")
+    listed = lambda c: F.concat_ws(",", F.array_sort(F.collect_list(c)))
+    one = rows.agg(
+        F.struct(
+            F.sum(F.col("eligible").cast("long")).alias("n_eligible"),
+            F.count(F.lit(1)).alias("n_required"),
+            listed(F.when(~F.col("eligible"), F.concat_ws(":", "method_id", "required_role"))).alias("missing_roles"),
+            listed(F.when(F.col("eligible") & (F.col("lineage") == UNKNOWN_LINEAGE), F.col("method_id"))).alias("lineage_warnings"),
+        ).alias("c")
+    )
+    outcome = one.first()["c"]  # one row
+    complete = outcome["n_eligible"] == outcome["n_required"]
+    if not complete and not allow_partial:
+        raise RuntimeError(f"selection blocked, {outcome['n_eligible']} of {outcome['n_required']} roles filled, missing: {outcome['missing_roles']}")
+    chosen = rows.where("eligible").select("method_id")
+    left_out = certified.join(chosen, "method_id", "left_anti").agg(listed("method_id").alias("x")).select("x").scalar()
+    return rows.select(
+        "*",
+        F.lit("PROVISIONAL_PARTIAL" if allow_partial else "STRICT_FINAL").alias("run_mode"),
+        F.lit(outcome["n_eligible"]).cast("long").alias("n_eligible"),
+        F.lit(complete).alias("complete"),
+        F.lit(outcome["missing_roles"]).alias("missing_roles"),
+        F.lit(outcome["lineage_warnings"]).alias("lineage_warnings"),
+        left_out.alias("excluded"),
     )
 
 
@@ -307,6 +366,15 @@ def best_epoch(history: DataFrame, before: int = 10, after: int = 30) -> DataFra
     )
 
 
+def best_loss_delta(frozen: DataFrame, long: DataFrame) -> DataFrame:
+    """Best epoch and loss of each run's frozen and long training, and what the longer one gains."""
+    side = lambda df, name: best_epoch(df).select(
+        "run", F.col("best_epoch").alias(f"{name}_best_epoch"), F.col("best_loss").alias(f"{name}_best_loss")
+    )
+    both = side(frozen, "frozen").join(side(long, "long"), "run")
+    return both.withColumn("delta_best_loss", F.col("long_best_loss") - F.col("frozen_best_loss"))
+
+
 def subset_integrity(subset: DataFrame, row_id: str, expected: Column, pool_size: int) -> DataFrame:
     inside = (F.col(row_id) >= 0) & (F.col(row_id) < pool_size)
     counts = subset.groupBy(row_id).agg(F.count(F.lit(1)).alias("n"))

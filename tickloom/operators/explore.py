@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import small
 from .sequence import quantiles
 
 
@@ -114,8 +115,7 @@ def box_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - reach, F.col("q3") + reach
     x = F.col(value)
-    # One row per key; the rows stay where they are when the optimizer sees its size.
-    return rows.join(box, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    return rows.join(small(box, "box"), keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(x >= low, x)).alias("whisker_low"),
         F.max(F.when(x <= high, x)).alias("whisker_high"),
         F.sum(((x < low) | (x > high)).cast("int")).alias("n_outliers"),

@@ -1,20 +1,28 @@
 """Exact nearest neighbours without a cross join of rows.
 
-Both sides are hashed into blocks of bounded size. Each pair of blocks meets in one
-task as two matrices; a task returns only the best ``k`` per query, never the pairs.
-Work is quadratic, as exact search in 195 dimensions is, but memory per task is fixed
-and a hot group simply has more blocks.
+Both sides are hashed into blocks of bounded size. Each pair of blocks meets in one task as two
+matrices; a task returns only the best ``k`` per query, never the pairs. With many blocks the
+targets are first put into cells around a few pivots: a query searches the cell of its nearest
+pivot, which bounds how far its neighbours can be, and then only those cells that the triangle
+inequality leaves. The result is the same; on clustered data most block pairs fall away, on data
+without clusters the work stays quadratic, as exact search in 195 dimensions is. Memory per task
+is fixed, and a hot group simply has more blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BLOCK_ROWS = 2048
-_SLACK = 4
+from ..session import small, stage
+
+BLOCK_ROWS = 4096
+#: Block pairs from which pivots pay for their two extra passes, and how many pivots there are.
+PRUNE_FROM = 16
+PIVOTS = 64
+_STEP = 512
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -23,22 +31,52 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _direct(query: np.ndarray, target: np.ndarray) -> np.ndarray:
+    gap = query - target
+    return np.sqrt((gap * gap).sum(axis=-1))
+
+
 def block_nearest(query: np.ndarray, target: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and distances of the ``k`` nearest rows of ``target``.
+    """Indices and distances of the ``k`` nearest rows of ``target``; infinite where there are fewer.
 
-    A matrix product picks a few candidates, then their distances are taken from
-    direct differences, so equal rows are at distance exactly zero.
+    A matrix product on rows centred at the targets' mean gives squared distances up to a
+    known error. Every target within twice that error of the k-th smallest is measured by
+    direct differences, so none is lost and equal rows are at distance exactly zero.
     """
-    squared = (query * query).sum(1)[:, None] + (target * target).sum(1)[None, :] - 2.0 * query @ target.T
-    if same is not None:
-        squared[same] = np.inf
-    m = min(k + _SLACK, target.shape[0])
-    pick = np.argpartition(squared, m - 1, axis=1)[:, :m]
-    gap = query[:, None, :] - target[pick]
-    exact = np.sqrt((gap * gap).sum(2))
-    exact[np.isinf(np.take_along_axis(squared, pick, 1))] = np.inf
-    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(pick, order, 1), np.take_along_axis(exact, order, 1)
+    centre = target.mean(axis=0)
+    q, t = query - centre, target - centre
+    k = min(k, len(target))
+    tt = (t * t).sum(axis=1)
+    pick, dist = np.zeros((len(q), k), dtype=np.int64), np.full((len(q), k), np.inf)
+    for lo in range(0, len(q), _STEP):
+        part = q[lo : lo + _STEP]
+        qq = (part * part).sum(axis=1)
+        squared = qq[:, None] + tt[None, :] - 2.0 * part @ t.T
+        if same is not None:
+            squared[same[lo : lo + _STEP]] = np.inf
+        kth = np.partition(squared, k - 1, axis=1)[:, k - 1]
+        # Rounding of a sum of products, and of the centring, over all dimensions.
+        slack = 8.0 * np.finfo(float).eps * (q.shape[1] + 4) * (np.sqrt(qq) + np.sqrt(tt.max())) ** 2
+        slack += 8.0 * np.finfo(float).eps * np.abs(centre).max() * (np.sqrt(qq) + np.sqrt(tt.max())) * np.sqrt(q.shape[1])
+        near = squared <= (kth + 2.0 * slack)[:, None]
+        near &= np.isfinite(squared)
+        most = max(k, int(near.sum(axis=1).max(initial=0)))
+        if most > 4 * (k + 8):  # many ties in some rows: measure row by row
+            for i in range(len(part)):
+                j = np.flatnonzero(near[i])
+                d = _direct(query[lo + i], target[j])
+                order = np.argsort(d, kind="stable")[:k]
+                pick[lo + i, : order.size], dist[lo + i, : order.size] = j[order], d[order]
+            continue
+        masked = np.where(near, squared, np.inf)
+        few = np.sort(np.argpartition(masked, min(most, masked.shape[1]) - 1, axis=1)[:, :most], axis=1)
+        d = np.empty(few.shape)
+        for a in range(0, len(part), 64):
+            d[a : a + 64] = _direct(query[lo + a : lo + a + 64][: len(part) - a, None, :], target[few[a : a + 64]])
+        d[~np.take_along_axis(near, few, axis=1)] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        pick[lo : lo + _STEP], dist[lo : lo + _STEP] = np.take_along_axis(few, order, axis=1), np.take_along_axis(d, order, axis=1)
+    return pick, dist
 
 
 def nearest(
@@ -51,6 +89,7 @@ def nearest(
     vec: str = "vec",
     skip_same_id: bool = False,
     block_rows: int = BLOCK_ROWS,
+    prune_from: int = PRUNE_FROM,
 ) -> DataFrame:
     """``(keys, query_id, target_id, distance, rank)`` of the k nearest targets per query.
 
@@ -58,30 +97,46 @@ def nearest(
     unique per side and key.
     """
     keys = list(keys)
-    if not keys:
-        queries, targets = queries.withColumn("__all", F.lit(1)), targets.withColumn("__all", F.lit(1))
-        found = nearest(queries, targets, ["__all"], query_id, target_id, k, vec, skip_same_id, block_rows)
-        return found.drop("__all")
+    args = (query_id, target_id, k, vec, skip_same_id)
+    if keys:
+        found = _by_key(queries, targets, keys, *args, block_rows)
+    else:
+        blocks = [max(1, -(-df.count() // block_rows)) for df in (queries, targets)]
+        if blocks[0] * blocks[1] < prune_from:
+            found = _meet(queries, targets, [], *args, F.lit(blocks[0]), F.lit(blocks[1]))
+        else:
+            found = _pruned(queries, targets, *args, block_rows)
+    if k == 1:
+        best = found.groupBy(*keys, query_id).agg(F.min(F.struct("distance", target_id)).alias("__best"))
+        return best.select(*keys, query_id, f"__best.{target_id}", "__best.distance", F.lit(1).alias("rank"))
+    by_query = W.partitionBy(*keys, query_id).orderBy("distance", target_id)
+    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 
+
+def _by_key(queries, targets, keys, query_id, target_id, k, vec, skip_same_id, block_rows) -> DataFrame:
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
-    grid = sizes(queries, "__nq").join(sizes(targets, "__nt"), keys)
-    block = lambda row_id, n: F.pmod(F.xxhash64(row_id), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # One row per key group; its true size decides how it is joined.
+    grid = small(sizes(queries, "__nq").join(sizes(targets, "__nt"), keys), "grid")
+    return _meet(queries.join(grid, keys), targets.join(grid, keys), keys, query_id, target_id, k, vec, skip_same_id, F.col("__nq"), F.col("__nt"))
+
+
+def _meet(queries, targets, keys, query_id, target_id, k, vec, skip_same_id, n_q: Column, n_t: Column) -> DataFrame:
+    """The best ``k`` of every pair of blocks, inside equal keys."""
+    block = lambda row_id, n: F.pmod(F.xxhash64(row_id), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     # Fresh key names per side: both sides may come from the same table.
     left_keys, right_keys = [f"__q_{c}" for c in keys], [f"__t_{c}" for c in keys]
     renamed = lambda names: [F.col(c).alias(n) for c, n in zip(keys, names)]
-    left = queries.join(grid, keys).select(
-        *renamed(left_keys), F.col(query_id).cast("long").alias("__qid"), F.col(vec).alias("__vec"), block(query_id, "__nq").alias("__qb"),
-        upto("__nt").alias("__tb"),
+    left = queries.select(
+        *renamed(left_keys), F.col(query_id).cast("long").alias("__qid"), F.col(vec).alias("__vec"), block(query_id, n_q).alias("__qb"), upto(n_t).alias("__tb")
     )
-    right = targets.join(grid, keys).select(
-        *renamed(right_keys), F.col(target_id).cast("long").alias("__tid"), F.col(vec).alias("__vec"), block(target_id, "__nt").alias("__tb"), upto("__nq").alias("__qb")
+    right = targets.select(
+        *renamed(right_keys), F.col(target_id).cast("long").alias("__tid"), F.col(vec).alias("__vec"), block(target_id, n_t).alias("__tb"), upto(n_q).alias("__qb")
     )
-    key_fields = [queries.schema[c] for c in keys]
     schema = T.StructType(
-        key_fields
+        [queries.schema[c] for c in keys]
         + [T.StructField(query_id, T.LongType()), T.StructField(target_id, T.LongType()), T.StructField("distance", T.DoubleType())]
     )
     names = schema.fieldNames()
@@ -103,11 +158,50 @@ def nearest(
         return pa.table(cols, names=names).cast(arrow_schema)
 
     blocks = ["__qb", "__tb"]
-    found = left.groupBy(*left_keys, *blocks).cogroup(right.groupBy(*right_keys, *blocks)).applyInArrow(search, schema)
-    if k == 1:
-        best = found.groupBy(*keys, query_id).agg(
-            F.min(F.struct("distance", target_id)).alias("__best")
+    return left.groupBy(*left_keys, *blocks).cogroup(right.groupBy(*right_keys, *blocks)).applyInArrow(search, schema)
+
+
+def _pruned(queries, targets, query_id, target_id, k, vec, skip_same_id, block_rows) -> DataFrame:
+    """Search the nearest pivot's cell first, then the cells that its bound leaves."""
+    need = k + int(skip_same_id)
+    few = targets.orderBy(F.xxhash64(target_id), target_id).limit(PIVOTS).select(vec).collect()
+    pivots = np.array([r[0] for r in few], dtype=float)
+
+    def to_pivots(batches):
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            d = np.stack([_direct(x, p) for p in pivots], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(d), pa.list_(pa.float64()))], names=["id", "vec", "far"])
+
+    def placed(df: DataFrame, row_id: str, name: str) -> DataFrame:
+        out = df.select(F.col(row_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).mapInArrow(
+            to_pivots, "id long, vec array<double>, far array<double>"
         )
-        return best.select(*keys, query_id, f"__best.{target_id}", "__best.distance", F.lit(1).alias("rank"))
-    by_query = W.partitionBy(*keys, query_id).orderBy("distance", target_id)
-    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+        return stage(out.withColumn("cell", (F.array_position("far", F.array_min("far")) - 1).cast("int")), name)
+
+    own, held = placed(queries, query_id, "queries"), placed(targets, target_id, "cells")
+    stats = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.get("far", F.col("cell"))).alias("radius")).collect()  # PIVOTS rows at most
+    radius = [-1.0] * len(pivots)
+    for r in stats:
+        radius[r.cell] = r.radius
+    roomy = [r.cell for r in stats if r.n >= need]
+    names = ("id", "target", k, "vec", skip_same_id)
+    cells = held.withColumnRenamed("id", "target").select("target", "vec", "cell")
+    # The nearest pivot whose cell has enough rows; if none has, every cell is searched at once.
+    choices = F.array_sort(F.array(*[F.struct(F.get("far", F.lit(c)).alias("d"), F.lit(c).alias("c")) for c in roomy])) if roomy else None
+    if choices is None:
+        rest = own.withColumn("bound", F.lit(float("inf"))).withColumn("first", F.lit(-1))
+        near = None
+    else:
+        first = own.withColumn("cell", choices[0]["c"])
+        near = stage(_by_key(first.select("id", "vec", "cell"), cells, ["cell"], *names, block_rows).select("id", "target", "distance"), "first-cells")
+        order = W.partitionBy("id").orderBy("distance", "target")
+        bound = near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") == k).select("id", F.col("distance").alias("bound"))
+        rest = first.withColumnRenamed("cell", "first").join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    held_cells = [c for c, r in enumerate(radius) if r >= 0]
+    reach = lambda c: (F.col("first") != c) & (F.get("far", F.lit(c)) - radius[c] <= F.col("bound") * (1 + 1e-9) + 1e-9 * (F.get("far", F.lit(c)) + radius[c]))
+    visit = F.array_compact(F.array(*[F.when(reach(c), F.lit(c)) for c in held_cells]))
+    more = rest.withColumn("cell", F.explode(visit)).select("id", "vec", "cell")
+    found = _by_key(more, cells, ["cell"], *names, block_rows).select("id", "target", "distance")
+    found = found if near is None else near.unionByName(found)
+    return found.select(F.col("id").alias(query_id), F.col("target").alias(target_id), "distance")

@@ -51,6 +51,23 @@ def with_position(
     return ranked.select(*df.columns, name)
 
 
+def with_range_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Add the 0-based place of each row in the order of the whole table.
+
+    Rows go to range partitions, as many as the data need, and are numbered inside; the only
+    table that one task scans has one row per partition, which also bounds its broadcast.
+    """
+    ranged = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = W.partitionBy("__part").orderBy(*order)
+    ranked = ranged.join(F.broadcast(offsets), "__part").withColumn(
+        name, (F.col("__offset") + F.row_number().over(inside) - 1).cast("long")
+    )
+    return ranked.select(*df.columns, name)
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],

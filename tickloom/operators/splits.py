@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL, DateRule, Protocol
-from .sequence import with_position
+from .sequence import with_range_position
 
 UNUSED = "unused"
 
@@ -48,9 +48,7 @@ def feature_blocks(panel: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
 
 def with_daily_row(panel: DataFrame) -> DataFrame:
     """Row number in (date, ticker) order, without a one-task sort."""
-    return with_position(
-        panel, [], [F.col("date"), F.col("ticker")], [F.year("date"), F.month("date")], "daily_row"
-    )
+    return with_range_position(panel, ["date", "ticker"], "daily_row")
 
 
 def split_report(labelled: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:

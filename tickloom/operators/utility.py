@@ -214,10 +214,16 @@ def interpretation(summary: DataFrame, validity: DataFrame) -> DataFrame:
     return best.join(validity.select("method", "invalid_rate"), "method").select("method", "b.*", "invalid_rate")
 
 
-def coef_cosine(models: DataFrame, base: str = REAL_ONLY) -> DataFrame:
+def coef_table(models: DataFrame) -> DataFrame:
+    """Coefficients in long form, one row per model and feature."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.get("coef", F.lit(k)).alias("coefficient")) for k, c in enumerate(FEATURES)])
+    return models.select("method", F.explode(cells).alias("__c")).select("method", "__c.*")
+
+
+def coef_cosine(models: DataFrame, base: str) -> DataFrame:
     """Cosine similarity of each model's coefficients to the base model's."""
     ref = models.where(F.col("method") == base).select("coef").limit(1).scalar()
     both = models.where(F.col("method") != base).withColumn("__ref", ref)
     dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
     cosine = dot("coef", "__ref") / F.sqrt(dot("coef", "coef") * dot("__ref", "__ref"))
-    return both.select("method", "ratio", "seed", cosine.alias("cosine"))
+    return both.select("method", cosine.alias("cosine"))

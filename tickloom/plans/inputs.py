@@ -288,6 +288,13 @@ class Inputs:
         """(method, ratio, seed, rmse, mae), with one real-only row."""
         return stage(utility.score_models(self.models, self.test_features, ["method", "ratio", "seed"]), "raw")
 
+    @cached_property
+    def comparison(self) -> DataFrame:
+        """One row per candidate of the grid."""
+        from .q_utility import comparison_table
+
+        return comparison_table(self)
+
     @cached_property
     def summary(self) -> DataFrame:
         return utility.downstream_summary(self.raw_results)

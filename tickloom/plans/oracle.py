@@ -616,6 +616,17 @@ UNION ALL SELECT method, ratio, seed, [{XS}, y] FROM mixsyn WHERE ratio = 0.75 A
 """,
 )
 ridge("full", "fulltrain", "own")
+cte(
+    "halftrain",
+    "realvf fullvf mixsyn",
+    f"""
+SELECT 'visible' AS method, 0::DOUBLE AS ratio, 0 AS seed, [{XS}, y] AS v FROM realvf
+UNION ALL SELECT 'full_history', 0, 0, [{XS}, y] FROM fullvf
+UNION ALL SELECT m.method, 0.5, 42, [{XS}, y] FROM realvf, (SELECT DISTINCT method FROM mixsyn) m
+UNION ALL SELECT method, ratio, seed, [{XS}, y] FROM mixsyn WHERE ratio = 0.5 AND seed = 42
+""",
+)
+ridge("half", "halftrain", "own")
 cte(
     "usummary",
     "raw",

@@ -15,14 +15,15 @@ from ..sources import files
 from .inputs import POOLS, Inputs, query, text
 from .oracle import DONORS, MMD_SUMS, VALID, acf, cte, r6 as R, sql
 from .q_fidelity import mmd_rows, rounded
+from .q_windows import CHECK_SQL
 
 METHODS = [m for m, _, _ in POOLS]
 ORDER = ",".join(PROTOCOL.channels)
-PRODUCERS = [*METHODS, "nan_values", "mixed_seed", "repeats", "short_rows"]
+PRODUCERS = [*METHODS, "nan_values", "null_values", "mixed_seed", "repeats", "short_rows", "other_scale"]
 
 
 def produced(i: Inputs) -> DataFrame:
-    """The pools, and four more that each break the contract in their own way."""
+    """The pools, and six more that each break the contract in their own way."""
     keep = ["producer", *contract.CANONICAL, "ticker", "note"]
     frame = resample.canonical_frame(i.pools, F.col("method"), F.col("seed"))
     frame = frame.withColumns({"producer": F.col("source_model"), "ticker": F.lit(None).cast("string"), "note": F.lit(None).cast("string")})
@@ -32,6 +33,13 @@ def produced(i: Inputs) -> DataFrame:
         "features_flat",
         F.when(row % 97 == 0, F.concat(F.array(F.lit(float("nan"))), F.slice("features_flat", 2, 194))).otherwise(F.col("features_flat")),
     )
+    null_values = base.withColumns(
+        {"producer": F.lit("null_values"), "synthetic_id": F.when(row % 89 != 0, row),
+         "features_flat": F.when(row % 101 == 0, F.lit(None))
+         .when(row % 103 == 0, F.concat(F.slice("features_flat", 1, 194), F.array(F.lit(None).cast("double"))))
+         .otherwise(F.col("features_flat"))}
+    )
+    other_scale = base.withColumn("producer", F.lit("other_scale"))
     mixed_seed = base.withColumn("producer", F.lit("mixed_seed")).withColumn(
         "training_seed", F.when(row % 2 == 0, 42).otherwise(123)
     )
@@ -46,7 +54,7 @@ def produced(i: Inputs) -> DataFrame:
          "channel_order": F.reverse("channel_order"),
          "features_flat": F.when(row % 50 == 0, F.slice("features_flat", 1, 190)).otherwise(F.col("features_flat"))}
     )
-    return reduce(DataFrame.unionByName, [d.select(*keep) for d in (frame, nan_values, mixed_seed, repeats, short_rows)])
+    return reduce(DataFrame.unionByName, [d.select(*keep) for d in (frame, nan_values, null_values, mixed_seed, repeats, short_rows, other_scale)])
 
 
 BASE = "(SELECT * FROM pools WHERE method = 'bootstrap_jitter')"
@@ -56,6 +64,9 @@ cte(
     f"""
 SELECT method AS producer, id AS synthetic_id, 42 AS seed, 'global_channel_normalized' AS space, 3 AS nc, '{ORDER}' AS ord, flat, NULL::VARCHAR AS ticker, NULL::VARCHAR AS note FROM pools
 UNION ALL SELECT 'nan_values', id, 42, 'global_channel_normalized', 3, '{ORDER}', CASE WHEN id % 97 = 0 THEN list_concat(['NaN'::DOUBLE], flat[2:195]) ELSE flat END, NULL, NULL FROM {BASE}
+UNION ALL SELECT 'null_values', CASE WHEN id % 89 <> 0 THEN id END, 42, 'global_channel_normalized', 3, '{ORDER}',
+  CASE WHEN id % 101 = 0 THEN NULL WHEN id % 103 = 0 THEN list_concat(flat[1:194], [NULL::DOUBLE]) ELSE flat END, NULL, NULL FROM {BASE}
+UNION ALL SELECT 'other_scale', id, 42, 'global_channel_normalized', 3, '{ORDER}', flat, NULL, NULL FROM {BASE}
 UNION ALL SELECT 'mixed_seed', id, CASE WHEN id % 2 = 0 THEN 42 ELSE 123 END, 'global_channel_normalized', 3, '{ORDER}', flat, NULL, NULL FROM {BASE}
 UNION ALL SELECT 'repeats', id // 2, 42, 'global_channel_normalized', 3, '{ORDER}', d.flat, NULL, NULL FROM draws42 JOIN {DONORS} d ON d.idx = donor_idx
 UNION ALL SELECT 'short_rows', id, 42, 'raw', NULL, 'log1p_volume,log_high_low_range,log_return', CASE WHEN id % 50 = 0 THEN flat[1:190] ELSE flat END, 'T1', 'x' FROM {BASE}
@@ -124,23 +135,37 @@ cte(
     "report",
     "produced nwin",
     f"""
-SELECT e.producer, coalesce(n_rows, 0) AS n_rows, coalesce(bad, 0) AS non_finite_windows, coalesce(dup_ids, 0) AS duplicate_ids, coalesce(dups, 0) AS exact_duplicates,
+SELECT e.producer, coalesce(n_rows, 0) AS n_rows, coalesce(bad, 0) AS non_finite_windows, coalesce(null_ids, 0) AS null_ids, coalesce(null_windows, 0) AS null_windows, coalesce(dup_ids, 0) AS duplicate_ids, coalesce(dups, 0) AS exact_duplicates,
   concat_ws(',', CASE WHEN n_rows IS NULL THEN 'missing_output' END, CASE WHEN NOT schema_ok THEN 'schema' END,
     CASE WHEN n_rows <> (SELECT count(*) FROM {DONORS}) THEN 'rows' END, CASE WHEN NOT seed_ok THEN 'training_seed' END, CASE WHEN NOT space_ok THEN 'space' END,
-    CASE WHEN NOT nc_ok THEN 'n_channels' END, CASE WHEN NOT ord_ok THEN 'channel_order' END, CASE WHEN dup_ids > 0 THEN 'duplicate_ids' END,
-    CASE WHEN NOT width_ok THEN 'width' END, CASE WHEN bad > 0 THEN 'non_finite' END, CASE WHEN dups > 0 THEN 'exact_duplicates' END) AS errors
+    CASE WHEN NOT nc_ok THEN 'n_channels' END, CASE WHEN NOT ord_ok THEN 'channel_order' END, CASE WHEN null_ids > 0 THEN 'null_ids' END, CASE WHEN dup_ids > 0 THEN 'duplicate_ids' END,
+    CASE WHEN NOT width_ok THEN 'width' END, CASE WHEN bad > 0 THEN 'non_finite' END, CASE WHEN dups > 0 THEN 'exact_duplicates' END,
+    CASE WHEN e.producer = 'other_scale' THEN 'normalization' END) AS errors,
+  CASE e.producer WHEN 'other_scale' THEN 'mismatch' WHEN 'ar1_jitter' THEN 'verified' WHEN 'absent_model' THEN 'not_verifiable' WHEN 'repeats' THEN 'not_verifiable' ELSE 'numerically_matches' END AS normalization_status
 FROM (SELECT unnest({[*PRODUCERS, 'absent_model']}) AS producer) e LEFT JOIN (
-  SELECT producer, count(*) AS n_rows, count(*) FILTER (len(list_filter(flat, lambda x: NOT isfinite(x))) > 0) AS bad, count(*) - count(DISTINCT synthetic_id) AS dup_ids,
+  SELECT producer, count(*) AS n_rows, count(*) FILTER (len(list_filter(flat, lambda x: coalesce(NOT isfinite(x), true))) > 0) AS bad,
+    count(synthetic_id) - count(DISTINCT synthetic_id) AS dup_ids, count(*) - count(synthetic_id) AS null_ids, count(*) - count(flat) AS null_windows,
     count(nc) > 0 AND count(note) = 0 AS schema_ok, min(seed) = 42 AND max(seed) = 42 AS seed_ok, min(space) = 'global_channel_normalized' AS space_ok,
-    coalesce(min(nc) = 3, false) AS nc_ok, min(ord) = '{ORDER}' AS ord_ok, min(len(flat)) = 195 AS width_ok FROM produced GROUP BY 1) a USING (producer)
-LEFT JOIN (SELECT producer, count(*) AS dups FROM (SELECT producer, flat FROM produced GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1) d USING (producer)
+    coalesce(min(nc) = 3, false) AS nc_ok, min(ord) = '{ORDER}' AS ord_ok, min(coalesce(len(flat), -1)) = 195 AS width_ok FROM produced GROUP BY 1) a USING (producer)
+LEFT JOIN (SELECT producer, count(*) AS dups FROM (SELECT producer, flat FROM produced WHERE flat IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1) d USING (producer)
 """,
 )
 
 
 def report_table(i: Inputs) -> DataFrame:
     frame = stage(produced(i), "produced")
-    return contract.contract_report(frame, [*PRODUCERS, "absent_model"], i.n_donors)
+    return contract.contract_report(frame, [*PRODUCERS, "absent_model"], i.n_donors, provenance=declared_scales(i))
+
+
+def declared_scales(i: Inputs) -> DataFrame:
+    """What each producer says of its normalizer, checked: one declares another scale, one nothing."""
+    observed = scaling.channel_stats(win.sessions(i.split("donor_train"), []), [])
+    names = F.explode(F.array(*[F.lit(p) for p in PRODUCERS])).alias("producer")
+    wrong, silent = F.col("producer") == "other_scale", F.col("producer") == "repeats"
+    declared = observed.select(names, "channel", "mean", "std").select(
+        "producer", "channel", F.when(~silent, F.col("mean") + F.when(wrong, 0.01).otherwise(0.0)).alias("mean"), F.when(~silent, F.col("std")).alias("std")
+    )
+    return scaling.provenance(observed, declared, F.col("producer") == "ar1_jitter")
 
 
 @query("contract_report", sql("report", "SELECT *, CASE WHEN errors = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM report"))
@@ -149,20 +174,30 @@ def contract_report(i: Inputs) -> DataFrame:
 
 
 FAMILIES = {"bootstrap_jitter": "simple_baseline", "correlated_jitter": "resampler", "ar1_jitter": "resampler"}
+LINEAGE = {"correlated_jitter": contract.CANONICAL_LINEAGE, "ar1_jitter": contract.CANONICAL_LINEAGE}
 
 
 def registry_table(i: Inputs) -> DataFrame:
     frame = stage(produced(i), "produced")
-    report = contract.contract_report(frame, PRODUCERS, i.n_donors)
-    return contract.build_registry(report, contract.fingerprint(frame), FAMILIES)
+    report = contract.contract_report(frame, PRODUCERS, i.n_donors, provenance=declared_scales(i))
+    return contract.build_registry(report, contract.fingerprint(frame), FAMILIES, LINEAGE)
+
+
+REGISTRY_SQL = f"""
+SELECT r.producer AS method_id, CASE r.producer WHEN 'bootstrap_jitter' THEN 'simple_baseline' ELSE 'resampler' END AS method_family, r.producer AS source_model,
+  'pools' AS source_directory, 'pools/' || r.producer || '.parquet' AS path, h.sha256, r.n_rows AS rows, [r.n_rows, 65, 3]::BIGINT[] AS logical_shape, 42 AS training_seed,
+  'global_channel_normalized' AS space, 65 AS window_length, 3 AS n_channels, string_split('{ORDER}', ',') AS channel_order, 195 AS features_flat_length,
+  r.normalization_status, 'PASS' AS contract_status, CASE r.producer WHEN 'bootstrap_jitter' THEN 'NOT_VERIFIABLE' ELSE 'CANONICAL' END AS donor_lineage_status
+FROM report r JOIN (SELECT producer, sha256(count(*) || ':' || sum(('0x' || substr(md5(coalesce(synthetic_id::VARCHAR, 'none') || ':' || coalesce(TRY_CAST(round({CHECK_SQL} * 1e6) AS BIGINT)::VARCHAR, 'none')), 1, 10))::BIGINT)::VARCHAR) AS sha256
+  FROM produced GROUP BY 1) h USING (producer) WHERE r.errors = ''"""
 
 
-@query("registry_build")
+@query("registry_build", sql("report produced", REGISTRY_SQL))
 def registry_build(i: Inputs) -> DataFrame:
     return registry_table(i)
 
 
-@query("registry_read")
+@query("registry_read", sql("report produced", f"SELECT 1 AS registry_version, * FROM ({REGISTRY_SQL})"))
 def registry_read(i: Inputs) -> DataFrame:
     """A registry written as one JSON document and read back with its schema."""
     path = f"{shared_dir(i.spark)}/stages/registry-{uuid.uuid4().hex}"
@@ -175,29 +210,40 @@ def registry_read(i: Inputs) -> DataFrame:
     """
 WITH e AS (SELECT doc_id AS method_id, lang AS method_family, CASE WHEN n_chars % 11 = 0 THEN '/' || source WHEN n_chars % 13 = 0 THEN source || '/../x' ELSE source || '/' || doc_id END AS path,
   CASE WHEN n_chars % 7 = 0 THEN upper(sha256(text)) ELSE sha256(text) END AS sha, CASE WHEN n_chars % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS st,
-  CASE WHEN n_chars % 17 = 0 THEN NULL ELSE n_chars END AS nrows FROM documents)
-SELECT method_id, nrows IS NOT NULL AND path IS NOT NULL AND sha IS NOT NULL AS complete, st = 'PASS' AS constants_ok, method_family IN ('en', 'de') AS family_ok,
-  regexp_matches(sha, '^[0-9a-f]{64}$') AS hash_ok, NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS path_ok,
+  CASE WHEN n_chars % 17 = 0 THEN NULL WHEN n_chars % 19 = 0 THEN 7 ELSE 100 END AS nrows, n_chars FROM documents)
+SELECT method_id, nrows IS NOT NULL AND path IS NOT NULL AND sha IS NOT NULL AND n_chars % 23 <> 0 AS complete, st = 'PASS' AS status_ok, n_chars % 23 <> 0 AND n_chars % 29 <> 0 AS lineage_ok,
+  method_family IN ('en', 'de') AS family_ok, coalesce(nrows = 100, false) AS rows_ok, n_chars % 31 <> 0 AS shape_ok, n_chars % 37 <> 0 AS seed_and_space_ok, n_chars % 41 <> 0 AS sizes_ok,
+  n_chars % 43 <> 0 AS order_ok, regexp_matches(sha, '^[0-9a-f]{64}$') AS hash_ok, NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS path_ok,
   count(*) OVER (PARTITION BY method_id) = 1 AS unique_id FROM e""",
 )
 def registry_validate(i: Inputs) -> DataFrame:
-    """A catalogue of the documents as registry entries, some of them faulty."""
-    n = F.col("n_chars")
+    """A catalogue of the documents as registry entries, some of them faulty in one field or more."""
+    n, proto = F.col("n_chars"), PROTOCOL
+    shape = F.array(F.when(n % 31 == 0, 1).otherwise(100).cast("long"), F.lit(proto.length).cast("long"), F.lit(len(proto.channels)).cast("long"))
+    order = F.array(*map(F.lit, proto.channels))
     entries = i.table("documents").select(
         F.col("doc_id").alias("method_id"),
         F.col("lang").alias("method_family"),
+        F.col("source").alias("source_model"),
+        F.lit("documents").alias("source_directory"),
         F.when(n % 11 == 0, F.concat(F.lit("/"), "source"))
         .when(n % 13 == 0, F.concat("source", F.lit("/../x")))
         .otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
         .alias("path"),
         F.when(n % 7 == 0, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256)).alias("sha256"),
-        F.when(n % 17 != 0, n).alias("rows"),
-        F.lit(PROTOCOL.seeds[0]).alias("training_seed"),
-        F.lit(PROTOCOL.space).alias("space"),
+        F.when(n % 17 == 0, F.lit(None)).when(n % 19 == 0, 7).otherwise(100).cast("long").alias("rows"),
+        shape.alias("logical_shape"),
+        F.when(n % 37 == 0, 1).otherwise(proto.seeds[0]).alias("training_seed"),
+        F.lit(proto.space).alias("space"),
+        F.lit(proto.length).alias("window_length"),
+        F.when(n % 41 == 0, 1).otherwise(len(proto.channels)).alias("n_channels"),
+        F.when(n % 43 == 0, F.reverse(order)).otherwise(order).alias("channel_order"),
+        F.lit(proto.width).alias("features_flat_length"),
+        F.lit("verified").alias("normalization_status"),
         F.when(n % 5 == 0, "FAIL").otherwise("PASS").alias("contract_status"),
+        F.when(n % 23 == 0, F.lit(None)).when(n % 29 == 0, "OTHER").otherwise(contract.CANONICAL_LINEAGE).alias("donor_lineage_status"),
     )
-    constants = {"training_seed": PROTOCOL.seeds[0], "space": PROTOCOL.space, "contract_status": "PASS"}
-    return contract.validate_entries(entries, constants, ["en", "de"])
+    return contract.validate_entries(entries, ["en", "de"], 100)
 
 
 @query(
@@ -261,20 +307,22 @@ ROLE_MAP = {"bootstrap_jitter": "bootstrap_jitter", "correlated_jitter": "white_
     sql(
         "report",
         f"""
-, cert AS (SELECT producer AS method_id FROM report WHERE errors = '')
+, cert AS (SELECT producer AS method_id, CASE producer WHEN 'bootstrap_jitter' THEN 'NOT_VERIFIABLE' ELSE 'CANONICAL' END AS lineage FROM report WHERE errors = '')
 , w AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in ROLE_MAP.items())}) r(method_id, required_role))
 , sel AS (SELECT w.method_id, required_role, CASE WHEN c.method_id IS NULL THEN 'MISSING' ELSE 'PASS' END AS structural_status,
-  CASE WHEN c.method_id IS NULL THEN 'MISSING' WHEN c.method_id = required_role THEN 'PASS' ELSE 'WRONG_ROLE' END AS role_status FROM w LEFT JOIN cert c USING (method_id))
-SELECT *, CASE WHEN structural_status = 'MISSING' THEN 'NOT_VERIFIABLE' ELSE 'CANONICAL' END AS lineage, role_status = 'PASS' AS eligible,
-  count(*) FILTER (role_status = 'PASS') OVER () AS n_eligible, bool_and(role_status = 'PASS') OVER () AS complete,
-  (SELECT count(*) FROM cert WHERE method_id NOT IN (SELECT method_id FROM w)) AS n_excluded FROM sel""",
+  CASE WHEN c.method_id IS NULL THEN 'MISSING' WHEN c.method_id = required_role THEN 'PASS' ELSE 'WRONG_ROLE' END AS role_status, coalesce(lineage, 'NOT_VERIFIABLE') AS lineage FROM w LEFT JOIN cert c USING (method_id))
+SELECT *, role_status = 'PASS' AS eligible, 'PROVISIONAL_PARTIAL' AS run_mode, count(*) FILTER (role_status = 'PASS') OVER () AS n_eligible, bool_and(role_status = 'PASS') OVER () AS complete,
+  (SELECT string_agg(method_id || ':' || required_role, ',' ORDER BY method_id || ':' || required_role) FROM sel WHERE role_status <> 'PASS') AS missing_roles,
+  (SELECT coalesce(string_agg(method_id, ',' ORDER BY method_id), '') FROM sel WHERE role_status = 'PASS' AND lineage = 'NOT_VERIFIABLE') AS lineage_warnings,
+  (SELECT coalesce(string_agg(method_id, ',' ORDER BY method_id), '') FROM cert WHERE method_id NOT IN (SELECT method_id FROM sel WHERE role_status = 'PASS')) AS excluded FROM sel""",
     ),
 )
 def method_selection(i: Inputs) -> DataFrame:
+    lineage = F.create_map(*[F.lit(x) for kv in LINEAGE.items() for x in kv])[F.col("producer")]
     certified = stage(report_table(i).where(F.col("status") == "PASS"), "certified").select(
-        F.col("producer").alias("method_id"), F.col("producer").alias("source_model"), F.lit(contract.CANONICAL_LINEAGE).alias("lineage")
+        F.col("producer").alias("method_id"), F.col("producer").alias("source_model"), lineage.alias("lineage")
     )
-    return contract.select_methods(certified, ROLE_MAP)
+    return contract.select_methods(certified, ROLE_MAP, allow_partial=True)
 
 
 FIELDS = ["n_rows", "min_width", "max_width", "min_id", "max_id", "first_sum"]
@@ -363,13 +411,56 @@ def subset_integrity(i: Inputs) -> DataFrame:
     return contract.subset_integrity(i.subset, "synthetic_id", n_real, i.n_donors)
 
 
-@query("snapshot_verify")
+@query(
+    "best_loss_delta",
+    sql(
+        "hist",
+        f"""
+, b AS (SELECT run, f, arg_min(epoch, validation_loss) AS e, min(validation_loss) AS m FROM (SELECT *, unnest([true, false]) AS f FROM hist) WHERE NOT f OR epoch <= 36 GROUP BY 1, 2)
+SELECT z.run, z.e AS frozen_best_epoch, {R('z.m', 'frozen_best_loss')}, l.e AS long_best_epoch, {R('l.m', 'long_best_loss')}, {R('l.m - z.m', 'delta_best_loss')}
+FROM b z JOIN b l ON z.run = l.run AND z.f AND NOT l.f""",
+    ),
+)
+def best_loss_delta(i: Inputs) -> DataFrame:
+    """The first 36 epochs as the frozen training, all of them as the long one."""
+    runs = history(i.panel)
+    table = contract.best_loss_delta(runs.where("epoch <= 36"), runs)
+    return rounded(table, ["run", "frozen_best_epoch", "long_best_epoch"], ["frozen_best_loss", "long_best_loss", "delta_best_loss"])
+
+
+@query(
+    "snapshot_verify",
+    sql(
+        "panel",
+        """
+, f AS (SELECT DISTINCT ticker, year(date) AS y FROM panel)
+SELECT status, count(*) AS n_files FROM (
+  SELECT CASE WHEN ticker = 'T0' AND y % 2 = 0 THEN 'missing' WHEN ticker = 'T1' AND y % 2 = 0 THEN 'unlisted' WHEN ticker = 'T2' AND y % 2 = 0 THEN 'changed' ELSE 'ok' END AS status FROM f) GROUP BY 1""",
+    ),
+)
 def snapshot_verify(i: Inputs) -> DataFrame:
-    """Hash the written panel files, then check the files against that manifest."""
-    path = f"{shared_dir(i.spark)}/stages/snapshot-{uuid.uuid4().hex}"
-    i.panel.repartition("ticker", F.year("date")).write.partitionBy("ticker").parquet(path)
-    manifest = stage(files.file_hashes(i.spark, path).select("path", "sha256"), "manifest")
-    return files.verify_snapshot(i.spark, path, manifest).groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
+    """One file per ticker and year, checked against a manifest of an earlier state.
+
+    Since the manifest was taken, files of one ticker went, those of another were rewritten with
+    other prices, and those of a third came to the folder.
+    """
+    even = F.year("date") % 2 == 0
+
+    def written(panel: DataFrame) -> str:
+        path = f"{shared_dir(i.spark)}/stages/snapshot-{uuid.uuid4().hex}"
+        own = panel.withColumn("year", F.year("date")).repartition("ticker", "year").sortWithinPartitions("ticker", "year", "date")
+        own.write.partitionBy("ticker", "year").parquet(path)
+        return path
+
+    def relative(hashes: DataFrame) -> DataFrame:
+        return hashes.select(F.regexp_extract("path", "(ticker=[^/]*/year=[^/]*)/", 1).alias("path"), "sha256")
+
+    before = written(i.panel.where(~((F.col("ticker") == "T1") & even)))
+    changed = F.when((F.col("ticker") == "T2") & even, F.col("close") + 1).otherwise(F.col("close"))
+    now = written(i.panel.where(~((F.col("ticker") == "T0") & even)).withColumn("close", changed))
+    manifest = stage(relative(files.file_hashes(i.spark, before)), "manifest")
+    found = relative(files.file_hashes(i.spark, now))
+    return files.compare_hashes(manifest, found).groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query(

@@ -8,7 +8,7 @@ from ..config import PROTOCOL
 from ..functions.arrays import checksum, r6
 from ..operators import scaling, validity, windows as win
 from ..operators.sequence import quantiles, with_position
-from ..session import stage
+from ..session import small, stage
 from .inputs import POOLS, Inputs, query, text
 from .oracle import r6 as R, sql
 from .q_windows import CHECK_SQL
@@ -147,7 +147,8 @@ def restandardize_calibrate(i: Inputs) -> DataFrame:
     """Pool moments to target moments; overlapping windows count as they come."""
     n = len(CH)
     own = win.sessions(i.pools, ["method"]).groupBy("method").agg(
-        F.array(*[F.avg(c) for c in CH]).alias("mu"), F.array(*[F.stddev_pop(c) for c in CH]).alias("sd")
+        F.array(*[F.avg(c) for c in CH]).alias("mu"),
+        F.array(*[F.when(F.stddev_pop(c) > scaling.ZERO_STD, F.stddev_pop(c)).otherwise(F.lit(1.0)) for c in CH]).alias("sd"),
     )
     target = scaling.fit_normalizer(i.split("visible"))
     to = F.col("__target")
@@ -155,7 +156,7 @@ def restandardize_calibrate(i: Inputs) -> DataFrame:
         "features_flat",
         lambda z, k: (z - F.get("mu", k % n)) / F.get("sd", k % n) * F.get(to["sd"], k % n) + F.get(to["mu"], k % n),
     )
-    scaled = i.pools.join(own, "method").withColumn("__target", target)
+    scaled = i.pools.join(small(own, "moments"), "method").withColumn("__target", target)
     return scaled.select("method", "synthetic_id", r6(checksum(flat)).alias("checksum"))
 
 
@@ -271,7 +272,7 @@ def valid_pool(i: Inputs) -> DataFrame:
         [F.floor(F.col("synthetic_id") / 65536)], "pool_row",
     )
     sizes = placed.groupBy("method").agg((F.max("pool_row") + 1).alias("n"))
-    return placed.join(sizes, "method").select(
+    return placed.join(small(sizes, "sizes"), "method").select(
         "method", "pool_row", "synthetic_id", (F.col("n") >= needed).alias("large_enough")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import PROTOCOL
 from ..functions.arrays import r6
-from ..operators import candidates, fidelity as fid, report, resample, scaling, utility, validity, windows as win
+from ..operators import candidates, classify, contract, fidelity as fid, report, resample, scaling, utility, validity, windows as win
 from ..operators.sequence import quantiles
 from ..session import stage
 from .inputs import POOLS, Inputs, query
@@ -140,15 +140,11 @@ def interpretation(i: Inputs) -> DataFrame:
     return rounded(utility.interpretation(i.summary, valid), ["method", "ratio"], ["mean_rmse", "delta_rmse_pct", "mean_mae", "delta_mae_pct", "invalid_rate"])
 
 
-@query(
-    "full_history_benchmark",
-    sql("fullraw fullmodels", f"SELECT method, n AS n_train, {R('rmse', 'rmse')}, {R('mae', 'mae')} FROM fullraw JOIN fullmodels USING (method, ratio, seed)"),
-)
-def full_history_benchmark(i: Inputs) -> DataFrame:
-    """Visible, full history and the 75 % mixtures, each scaled by its own rows."""
+def own_scale_models(i: Inputs, share: float) -> DataFrame:
+    """Visible, full history and the mixtures of one share, each scaled by its own rows."""
     named = lambda df, name: df.select(name.alias("method"), *FEATURES, "y")
     full = utility.vol_features(i.split("full_history"), [])
-    mixed = i.mixtures.where((F.abs(F.col("ratio") - 0.75) < 1e-9) & (F.col("seed") == 42))
+    mixed = i.mixtures.where((F.abs(F.col("ratio") - share) < 1e-9) & (F.col("seed") == 42))
     sets = [
         named(i.real_features, F.lit("visible")),
         named(full, F.lit("full_history")),
@@ -156,30 +152,52 @@ def full_history_benchmark(i: Inputs) -> DataFrame:
         i.real_features.select(F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method"), *FEATURES, "y"),
     ]
     stats = utility.moments(reduce(DataFrame.unionByName, sets), ["method"])
-    models = stage(utility.solve_ridge(stats, ["method"], None), "full_models")
+    return stage(utility.solve_ridge(stats, ["method"], None), "full_models")
+
+
+@query(
+    "full_history_benchmark",
+    sql("fullraw fullmodels", f"SELECT method, n AS n_train, {R('rmse', 'rmse')}, {R('mae', 'mae')} FROM fullraw JOIN fullmodels USING (method, ratio, seed)"),
+)
+def full_history_benchmark(i: Inputs) -> DataFrame:
+    models = own_scale_models(i, 0.75)
     scores = utility.score_models(models, i.test_features, ["method"])
     both = scores.join(models.select("method", F.col("n").alias("n_train")), "method")
     return rounded(both, ["method", "n_train"], ["rmse", "mae"])
 
 
+@query(
+    "coef_table",
+    sql("halfmodels", " UNION ALL ".join(f"SELECT method, '{c}' AS feature, {R(f'coef[{k + 1}]', 'coefficient')} FROM halfmodels" for k, c in enumerate(FEATURES))),
+)
+def coef_table(i: Inputs) -> DataFrame:
+    """Coefficients of the real, the even mixtures' and the full-history fits, feature by feature."""
+    return rounded(utility.coef_table(own_scale_models(i, 0.5)), ["method", "feature"], ["coefficient"])
+
+
 @query(
     "coef_cosine",
     sql(
-        "models",
+        "halfmodels",
         f"""
-SELECT a.method, a.ratio, a.seed, {R('''list_sum(list_transform(a.coef, lambda x, i: x * b.coef[i])) / sqrt(list_sum(list_transform(a.coef, lambda x: x * x)) * list_sum(list_transform(b.coef, lambda x: x * x)))''', 'cosine')}
-FROM models a, models b WHERE a.method <> 'REAL_ONLY' AND b.method = 'REAL_ONLY'""",
+SELECT a.method, {R("""list_sum(list_transform(a.coef, lambda x, i: x * b.coef[i])) / sqrt(list_sum(list_transform(a.coef, lambda x: x * x)) * list_sum(list_transform(b.coef, lambda x: x * x)))""", 'cosine')}
+FROM halfmodels a, halfmodels b WHERE a.method <> 'full_history' AND b.method = 'full_history'""",
     ),
 )
 def coef_cosine(i: Inputs) -> DataFrame:
-    return rounded(utility.coef_cosine(i.models), KEY, ["cosine"])
+    """How near each fit's coefficients point to those of the fit on the full history."""
+    return rounded(utility.coef_cosine(own_scale_models(i, 0.5), "full_history"), ["method"], ["cosine"])
 
 
 # --- candidates ------------------------------------------------------------
 
 SWEEP = [s for s in candidates.GRID if s.family == "bootstrap_temporal" and s.rho == 0.85]
 SWEEP_SQL = ", ".join(f"('{s.name}', {s.sigma}::DOUBLE)" for s in SWEEP)
-SHORTLIST = ("temporal_jitter_0p05_rho0p85", "temporal_jitter_0p25_rho0p85", "temporal_jitter_0p30_rho0p85", "temporal_jitter_0p40_rho0p85", "temporal_jitter_0p50_rho0p85")
+# The candidates that a decision is taken between.
+SHORTLIST = (
+    "baseline_jitter_0p05", "temporal_jitter_0p25_rho0p85", "temporal_jitter_0p30_rho0p85", "temporal_jitter_0p40_rho0p85",
+    "temporal_jitter_0p50_rho0p85", "pca_gmm_32c12",
+)
 
 
 def sweep_pool(i: Inputs) -> DataFrame:
@@ -238,39 +256,72 @@ def noise_sweep(i: Inputs) -> DataFrame:
     return rounded(chosen.withColumn("has_invalid", F.col("invalid_rate") > 0), ["method", "noise_scale", "rho", "has_invalid"], SWEEP_NAMES)
 
 
-@query(
-    "decision_shortlist",
-    sql(
-        SWEEP_DEPS,
-        SWEEP_CTES + f"SELECT method, {', '.join(R(c, c) for c in SWEEP_NAMES)} FROM sw JOIN sc USING (method) JOIN sv USING (method) WHERE method IN {SHORTLIST}",
-    ),
-)
-def decision_shortlist(i: Inputs) -> DataFrame:
-    table = candidate_table(i, sweep_pool(i))
-    return rounded(table.where(F.col("method").isin(*SHORTLIST)).orderBy("mean_wasserstein"), ["method"], SWEEP_NAMES)
+BEST = ["best_ratio", "best_mean_rmse", "best_std_rmse", "best_mean_mae", "best_std_mae", "best_delta_rmse_pct", "best_delta_mae_pct"]
+
+
+def candidate_pools(i: Inputs) -> DataFrame:
+    """Every candidate of the grid: (method, family, synthetic_id, features_flat)."""
+    mixtures = [candidates.pca_gmm(i.donors, s, i.n_donors, 42) for s in candidates.GRID if s.family == "pca_gmm"]
+    return stage(reduce(DataFrame.unionByName, [jitter_candidates(i), *mixtures]), "candidates")
+
+
+def candidate_scores(i: Inputs, pools: DataFrame) -> DataFrame:
+    """Classifier, autocorrelation and neighbour scores of the shared subset, per candidate."""
+    names = [s.name for s in candidates.GRID]
+    picked = fid.apply_subset(pools, i.subset, "synthetic_id").select("method", F.col("synthetic_id").alias("window_id"), "features_flat")
+    both = stage(i.real_rows.unionByName(picked), "candidate_eval")
+    rows = both.withColumnRenamed("window_id", "row_id")
+    pairs = classify.labelled_pairs(rows.where("method = 'real'"), rows.where("method <> 'real'"), "method", names)
+    oof = classify.out_of_fold_scores(stage(classify.with_folds(pairs, "method"), "pairs"), "method", names)
+    auc = fid.roc_auc(oof, ["method"]).select(
+        "method", F.col("roc_auc").alias("c2st_auc"), F.abs(F.col("roc_auc") - 0.5).alias("c2st_distance_from_0p5"), F.col("accuracy").alias("c2st_accuracy")
+    )
+    maes = [
+        fid.acf_table(both, absolute).groupBy("method").agg(F.first("acf_mae").alias(name))
+        for name, absolute in (("return_acf_mae", False), ("abs_return_acf_mae", True))
+    ]
+    nn = fid.distance_summary(stage(fid.nearest_train(both, i.donors), "candidate_nn"), ["method"]).select(
+        "method", F.col("median").alias("nearest_train_median"), F.col("mean").alias("nearest_train_mean")
+    )
+    return reduce(lambda a, b: a.join(b, "method"), [auc, *maes, nn])
+
+
+def candidate_best(i: Inputs, pools: DataFrame) -> DataFrame:
+    """The share with the least mean RMSE of each candidate, real-only included.
+
+    Like every mixture, these stop with an error where a candidate has too few valid windows.
+    """
+    names = [s.name for s in candidates.GRID]
+    valid = scaling.denormalize(pools, i.calibration, out="calibrated").where(validity.is_valid(F.col("calibrated")))
+    features = stage(utility.vol_features(valid, ["method", "synthetic_id"], "calibrated"), "candidate_features")
+    sets = utility.training_sets(i.real_features, utility.mixture_rows(features, i.n_real, names), names)
+    models = utility.solve_ridge(utility.moments(sets, KEY), KEY, utility.scale_row(i.real_features))
+    summary = stage(utility.downstream_summary(utility.score_models(models, i.test_features, KEY)), "candidate_summary")
+    real = summary.where(F.col("method") == utility.REAL_ONLY).drop("method")
+    every = summary.where(F.col("method") != utility.REAL_ONLY).unionByName(real.withColumn("method", F.explode(F.array(*map(F.lit, names)))))
+    of = ["ratio", "mean_rmse", "std_rmse", "mean_mae", "std_mae", "delta_rmse_pct", "delta_mae_pct"]
+    best = F.min_by(F.struct(*[F.col(c).alias(n) for c, n in zip(of, BEST)]), F.struct("mean_rmse", "ratio"))
+    return every.groupBy("method").agg(best.alias("b")).select("method", "b.*")
+
+
+def comparison_table(i: Inputs) -> DataFrame:
+    pools = candidate_pools(i)
+    hashes = contract.fingerprint(pools, "method")
+    parts = [candidate_table(i, pools), candidate_scores(i, pools), hashes, candidate_best(i, pools)]
+    return stage(reduce(lambda a, b: a.join(b, "method", "left"), parts), "comparison")
 
 
 @query("candidate_comparison")
 def candidate_comparison(i: Inputs) -> DataFrame:
-    """Fidelity and validity of every jitter candidate, with its best mixture where the
-    candidate has enough valid windows."""
-    pools = stage(jitter_candidates(i), "candidates")
-    table = stage(candidate_table(i, pools), "candidate_table")
-    need = utility.synthetic_count(F.col("n_real"), F.lit(max(PROTOCOL.shares)))
-    enough = [r[0] for r in table.withColumn("n_real", i.n_real).where(F.col("valid") >= need).select("method").collect()]
-    out = table
-    if enough:
-        calibrated = scaling.denormalize(pools.where(F.col("method").isin(enough)), i.calibration, out="calibrated")
-        valid = calibrated.where(validity.is_valid(F.col("calibrated")))
-        features = stage(utility.vol_features(valid, ["method", "synthetic_id"], "calibrated"), "candidate_features")
-        sets = utility.training_sets(i.real_features, utility.mixture_rows(features, i.n_real, enough), enough)
-        models = utility.solve_ridge(utility.moments(sets, KEY), KEY, utility.scale_row(i.real_features))
-        raw = stage(utility.score_models(models, i.test_features, KEY), "candidate_raw")
-        best = utility.downstream_summary(raw).where(F.col("ratio") > 0).groupBy("method").agg(
-            F.min_by(F.struct(F.col("ratio").alias("best_ratio"), F.col("mean_rmse").alias("best_mean_rmse"), F.col("mean_mae").alias("best_mean_mae")), F.struct("mean_rmse", "ratio")).alias("b")
-        )
-        out = table.join(best.select("method", "b.*"), "method", "left")
-    return out.orderBy("mean_wasserstein", "corr_mae")
+    """Fidelity, validity and utility of all candidates, best first."""
+    return i.comparison.orderBy("c2st_distance_from_0p5", "mean_wasserstein", "best_mean_rmse")
+
+
+@query("decision_shortlist")
+def decision_shortlist(i: Inputs) -> DataFrame:
+    """The candidates a decision is taken between, least error first."""
+    keep = ["method", "family", "c2st_auc", "mean_wasserstein", "return_acf_mae", "abs_return_acf_mae", "invalid_rate", "best_ratio", "best_mean_rmse", "best_mean_mae"]
+    return i.comparison.where(F.col("method").isin(*SHORTLIST)).select(*keep).orderBy("best_mean_rmse")
 
 
 # --- reports ---------------------------------------------------------------

@@ -76,3 +76,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
+
+
+def small(df: DataFrame, name: str = "small") -> DataFrame:
+    """``df`` as a stage, so that its true size decides whether a join broadcasts it.
+
+    For tables of one row per group, which are joined to rows that one group may hold.
+    """
+    return broadcast_if_small(stage(df, name))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 REGISTRY_SCHEMA = (
-    "registry_version int, methods array<struct<method_id: string, method_family: string, path: string, sha256: string, "
-    "rows: bigint, training_seed: int, space: string, contract_status: string>>"
+    "registry_version int, methods array<struct<method_id: string, method_family: string, source_model: string, source_directory: string, "
+    "path: string, sha256: string, rows: bigint, logical_shape: array<bigint>, training_seed: int, space: string, window_length: int, "
+    "n_channels: int, channel_order: array<string>, features_flat_length: int, normalization_status: string, contract_status: string, "
+    "donor_lineage_status: string>>"
 )
 
 
@@ -22,7 +24,12 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_snapshot(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Files of a snapshot against its manifest of (path, sha256)."""
-    now = file_hashes(spark, path).select("path", F.col("sha256").alias("found"))
+    return compare_hashes(manifest, file_hashes(spark, path))
+
+
+def compare_hashes(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Status of every path in either table of (path, sha256): ok, changed, missing or unlisted."""
+    now = found.select("path", F.col("sha256").alias("found"))
     joined = manifest.select("path", F.col("sha256").alias("expected")).join(now, "path", "full_outer")
     status = (
         F.when(F.col("found").isNull(), "missing")
