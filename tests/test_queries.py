@@ -47,3 +47,21 @@ def test_scan_pushes_filters_and_columns(spark):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(l_quantity,30.0)" in plan and "EqualTo(l_returnflag,R)" in plan
     assert "l_extendedprice" not in plan
+
+
+def test_a_candidate_with_a_short_pool_stops_the_strict_table(spark):
+    from tickloom.plans import inputs, q_utility
+
+    i = inputs.inputs_for(spark, SF)
+    with pytest.raises(ValueError, match="too few valid windows"):
+        q_utility.candidate_best(i, q_utility.sweep_pool(i))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tickloom.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)

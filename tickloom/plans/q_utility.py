@@ -286,12 +286,19 @@ def candidate_scores(i: Inputs, pools: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "method"), [auc, *maes, nn])
 
 
-def candidate_best(i: Inputs, pools: DataFrame) -> DataFrame:
+def candidate_best(i: Inputs, pools: DataFrame, strict: bool = True) -> DataFrame:
     """The share with the least mean RMSE of each candidate, real-only included.
 
-    Like every mixture, these stop with an error where a candidate has too few valid windows.
+    Like every mixture, these stop with an error where a candidate has too few valid windows for
+    its largest share. Without ``strict`` such a candidate has no row, and the others do.
     """
     names = [s.name for s in candidates.GRID]
+    if not strict:
+        sizes = validity.validity_summary(scaling.denormalize(pools, i.calibration, out="calibrated"), ["method"], "calibrated")
+        need = utility.synthetic_count(F.col("n_real"), F.lit(max(PROTOCOL.shares)))
+        enough = {r[0] for r in sizes.withColumn("n_real", i.n_real).where(F.col("valid") >= need).select("method").collect()}  # one name per candidate
+        names = [n for n in names if n in enough]
+        pools = pools.where(F.col("method").isin(*names))
     valid = scaling.denormalize(pools, i.calibration, out="calibrated").where(validity.is_valid(F.col("calibrated")))
     features = stage(utility.vol_features(valid, ["method", "synthetic_id"], "calibrated"), "candidate_features")
     sets = utility.training_sets(i.real_features, utility.mixture_rows(features, i.n_real, names), names)
@@ -307,13 +314,14 @@ def candidate_best(i: Inputs, pools: DataFrame) -> DataFrame:
 def comparison_table(i: Inputs) -> DataFrame:
     pools = candidate_pools(i)
     hashes = contract.fingerprint(pools, "method")
-    parts = [candidate_table(i, pools), candidate_scores(i, pools), hashes, candidate_best(i, pools)]
+    parts = [candidate_table(i, pools), candidate_scores(i, pools), hashes, candidate_best(i, pools, strict=False)]
     return stage(reduce(lambda a, b: a.join(b, "method", "left"), parts), "comparison")
 
 
 @query("candidate_comparison")
 def candidate_comparison(i: Inputs) -> DataFrame:
-    """Fidelity, validity and utility of all candidates, best first."""
+    """Fidelity, validity and utility of all candidates, best first. Candidates with too few
+    valid windows for the largest mixture have no utility, but their row."""
     return i.comparison.orderBy("c2st_distance_from_0p5", "mean_wasserstein", "best_mean_rmse")
 
 
