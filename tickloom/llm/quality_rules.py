@@ -136,24 +136,23 @@ def judge(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their failing lines removed, as documents' columns."""
     own = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    verdict = _verdict_of(F.col("text"))
-    out = own.withColumn("__kept", verdict).where("__kept").drop("__kept")
-    kept_lines = F.filter(F.split("text", "\n"), lambda line: ~line_fails(line))
-    out = out.withColumn("text", F.array_join(kept_lines, "\n"))
+    # One array of the cleaned text, or none: each text is judged once, in one expression.
+    out = own.withColumn("__cleaned", F.explode(_cleaned_if_kept(F.col("text"))))
+    out = out.withColumn("text", F.col("__cleaned")).drop("__cleaned")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
-def _verdict_of(text: Column) -> Column:
-    """The verdict of ``judge`` as one expression of the text."""
-    survives = let(
-        F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line_fails(line)), "\n"),
-        lambda cleaned: F.length(F.translate(cleaned, SPACES, "")) >= MIN_SURVIVING * F.length(F.translate(text, SPACES, "")),
-    )
+def _cleaned_if_kept(text: Column) -> Column:
+    """The verdict of ``judge`` in one expression: an array with the cleaned text, or an empty one."""
+    none = F.array().cast("array<string>")
     base = let(
         words(text),
         lambda ws: (F.size(ws) >= MIN_WORDS) & (100 * _repeat_words(ws) <= MAX_REPEATED * F.size(ws)),
     )
-    return base & survives
+    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line_fails(line)), "\n")
+    chars = lambda x: F.length(F.translate(x, SPACES, ""))
+    judged = let(cleaned, lambda c: F.when(chars(c) >= MIN_SURVIVING * chars(text), F.array(c)).otherwise(none))
+    return F.when(base, judged).otherwise(none)
 
 
 _SQL_RULES = BOILERPLATE.replace(r"\x{00A9}", "©").replace("'", "''")
