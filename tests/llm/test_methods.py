@@ -69,6 +69,7 @@ def test_codes_give_any_id_back(top):
     levels = token_codes.encode_levels(ids)
     assert len(levels) == max(1, -(-top.bit_length() // 8))
     assert (token_codes.access(levels, np.arange(ids.size)) == ids).all()
+    assert (token_codes.decode(levels) == ids).all()
     for at in (0, 63, 64, 500, 1001):
         assert token_codes.access(levels, np.array([at]))[0] == ids[at]
 
@@ -79,8 +80,12 @@ def test_encoder_agrees_with_the_library():
     path = token_codes.tokenizer_path()
     plain, own = Tokenizer.from_file(path), token_codes.Encoder(path)
     texts = ["", " ", "a", " a b", "a  b", "a\n b", "it's 'll x", "é ü x y", "x <|endoftext|> y", "tail ", "\ta b\n", "don't.\nYes 12,3 %%%  !", "a.b,c. d, e", "a ... b", "x., y", "_. z", ".a", "3.14,15.\n,b", "e\u0301. f", "a.'s b,'t", "a\x00. b", "\n.a", "\nA b.\nC", "．。a. b"]
-    for t in texts * 2:
-        assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    texts += ["a \nb", "a\n\nb", "a\n\n\nb", "a  \n b", "a\tb", "a \tb", "a\t b", "a\u00a0 b", "a \n", " \n a", "  a", ". a", "a .b"]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encode(texts)] == wanted
+    for t, ids in zip(texts * 2, wanted * 2):
+        assert np.frombuffer(own.encode([t])[0], dtype="<u4").tolist() == ids, t
+    assert own.encode([]) == []
 
 
 def test_encoder_with_a_small_table(monkeypatch):
@@ -90,7 +95,7 @@ def test_encoder_with_a_small_table(monkeypatch):
     path = token_codes.tokenizer_path()
     plain, own = Tokenizer.from_file(path), token_codes.Encoder(path)
     for t in ("one two three four five", "six two seven", "one two"):
-        assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([t])[0], dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 # --- personal data -----------------------------------------------------------------------------
@@ -137,6 +142,10 @@ def test_semi_markov_learns_the_base_and_leaves_other_numbers_alone(spark):
             hits += [(pii.KINDS[t], *island.span[k]) for k, t in crf.best(island, crf.scores(island))]
     assert set(hits) == set(brute.personal(text))
     assert crf.added(text, pii.base_spans(text)) == []
+    for clean in ("Version 2.0 of 1999, page 12.", "host 10.20.30.999", "id 12345678901 and key=a9f8b7c6", "4111-1111-1111-1112", "a@b"):
+        assert crf.added(clean, pii.base_spans(clean)) == []
+    told = "call (988) 555-2485 now"
+    assert crf.added(told, []) == [("phone", 5, 19)]
 
 
 def test_base_patterns_on_hostile_texts():

@@ -5,10 +5,13 @@ reads islands (runs of words around a digit or an @), scores every candidate seg
 MAX_TOKENS tokens by features of the whole span (its shape, digit count, separators, checks,
 and the characters beside it), and dynamic programming over the island chooses boundaries and
 types together. Tokens outside of segments have score zero, so islands apart are independent.
+A segment can only be of a type whose checks it passes (an @ and a stop, parts up to 255, Luhn,
+9 to 15 digits and no letters).
 
 The model is trained here by maximum likelihood (forward and backward sums over all
 segmentations) on a bounded sample: the TRAIN_ISLANDS islands with the smallest hashes, the
-base spans in them as labels. A span is added if its posterior is at least MIN_POSTERIOR and it
+base spans in them as labels, and phones once more without their country code, which the base
+pattern can't find. A span is added if its posterior is at least MIN_POSTERIOR and it
 meets no base span. Base spans always stay.
 
 Edge cases: a null text is empty and has no spans; one of the base patterns may overlap another,
@@ -132,8 +135,7 @@ class Island:
 
     def __init__(self, text: str, start: int, end: int):
         self.tokens = [m.span() for m in _TOKEN.finditer(text, start, end)][:ISLAND_TOKENS]
-        starts = [a for a, _ in self.tokens]
-        self.from_, self.to, self.span, self.found = [], [], [], []
+        self.from_, self.to, self.span, self.found, self.fits = [], [], [], [], []
         for i, (a, _) in enumerate(self.tokens):
             first = text[a]
             if not (first.isalnum() or first in "+("):
@@ -154,8 +156,9 @@ class Island:
                 self.from_.append(i)
                 self.to.append(j + 1)
                 self.span.append((a, d))
-                self.found.append(self._features(text, a, d, shape, digits, ats, dots, j + 1 - i))
-        self.starts = starts
+                found, fits = self._features(text, a, d, shape, digits, ats, dots, j + 1 - i)
+                self.found.append(found)
+                self.fits.append(fits)
 
     @staticmethod
     def _features(text, a, d, shape, digits, ats, dots, n):
@@ -165,6 +168,7 @@ class Island:
         good_card = 13 <= digits <= 19 and not ats and span.isascii() and luhn(_digits(span))
         parts = span.split(".")
         good_ip = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        fits = (ats == 1 and dots > 0, good_ip, good_card, not ats and 9 <= digits <= 15 and "a" not in shape)
         return [
             _crc("bias"),
             _crc("shape", plain),
@@ -177,7 +181,7 @@ class Island:
             _crc("right", shape[-1][0], _side(right)),
             _crc("checks", good_card, good_ip),
             _crc("first", span[0] if not span[0].isalnum() else _side(span[0]), "9-15", 9 <= digits <= 15),
-        ]
+        ], fits
 
 
 class SemiMarkov:
@@ -187,8 +191,8 @@ class SemiMarkov:
         self.w = np.zeros((len(KINDS), FEATURES))
 
     def scores(self, island: Island) -> np.ndarray:
-        """(segments, types)."""
-        return self.w[:, np.array(island.found)].sum(axis=2).T
+        """(segments, types); far below any path for a type whose checks the segment fails."""
+        return np.where(np.array(island.fits), self.w[:, np.array(island.found)].sum(axis=2).T, -1e3)
 
     def sums(self, island: Island, scores: np.ndarray):
         """(log of all paths, posterior of each segment and type)."""
@@ -309,6 +313,19 @@ def _island_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["text", "kinds", "starts", "ends"])
 
 
+_CODE = re.compile(r"\+[0-9]{1,3}[ -]?(?=\()")
+
+
+def without_code(text: str, labels: list) -> tuple[str, list] | None:
+    """An island with its first phone's country code taken out, and the labels moved."""
+    for kind, a, _ in labels:
+        m = _CODE.match(text, a) if kind == "phone" else None
+        if m:
+            gone = m.end() - a
+            return text[:a] + text[m.end() :], [(k, s - gone * (s > a), e - gone * (e > a)) for k, s, e in labels]
+    return None
+
+
 def fit(docs: DataFrame, train_islands: int = TRAIN_ISLANDS) -> SemiMarkov:
     """A model trained on at most ``train_islands`` islands of ``docs``, half of them with labels."""
     found = texts(docs).select("text").mapInArrow(_island_batches, _ISLAND_SCHEMA)
@@ -320,6 +337,7 @@ def fit(docs: DataFrame, train_islands: int = TRAIN_ISLANDS) -> SemiMarkov:
     samples = [(r.text, sorted(set(zip(r.kinds, r.starts, r.ends)), key=lambda x: x[1])) for r in rows]
     # Labels of a path can't overlap: an island whose base spans do is left out.
     samples = [(t, x) for t, x in samples if all(p[2] <= q[1] for p, q in zip(x, x[1:]))]
+    samples += [more for s in samples if (more := without_code(*s))]
     return SemiMarkov().fit(sorted(samples, key=lambda s: hashlib.md5(s[0].encode("utf-8", "surrogatepass")).hexdigest()))
 
 

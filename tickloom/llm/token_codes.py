@@ -35,8 +35,10 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text that a range partition takes, in the mean.
 PARTITION_BYTES = 32 << 20
+#: Characters that are cut and looked up together.
+GROUP_CHARS = 400_000
 #: Entries of a worker's table of pieces already encoded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 SEGMENT_SCHEMA = (
     "part int, part_start long, doc_ids array<long>, starts array<long>, n_ids long, "
     "levels array<struct<chunks: binary, more: binary, ranks: binary>>"
@@ -54,22 +56,35 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def encode_levels(ids: np.ndarray, chunk: int = CHUNK) -> list[dict]:
     """Chunk levels of unsigned ids; chunks of up to 8 bits take a byte each."""
-    rest, out = ids.astype(np.uint64), []
+    rest, out = ids, []
+    mask, step = ids.dtype.type((1 << chunk) - 1), ids.dtype.type(chunk)
     while True:
-        high = rest >> np.uint64(chunk)
+        high = rest >> step
         more = high != 0
         bits = np.packbits(more, bitorder="little")
         words = np.zeros(-(-more.size // 64) * 8, dtype=np.uint8)
         words[: bits.size] = bits
         per_word = np.bitwise_count(words.view(np.uint64)).astype(np.uint32)
         ranks = (np.cumsum(per_word, dtype=np.uint32) - per_word).astype("<u4")
-        chunks = (rest & np.uint64((1 << chunk) - 1)).astype(np.uint8)
-        out.append({"chunks": chunks.tobytes(), "more": words.tobytes(), "ranks": ranks.tobytes()})
+        out.append({"chunks": (rest & mask).astype(np.uint8).tobytes(), "more": words.tobytes(), "ranks": ranks.tobytes()})
         if not more.any():
             return out
         rest = high[more]
 
 
+def decode(levels: list[dict], chunk: int = CHUNK) -> np.ndarray:
+    """All ids in order: the n-th id that goes on takes the n-th chunk of the next level."""
+    ids = None
+    for k in range(len(levels) - 1, -1, -1):
+        chunks = np.frombuffer(levels[k]["chunks"], dtype=np.uint8)
+        own = chunks.astype(np.uint32 if len(levels) * chunk <= 32 else np.uint64)
+        if ids is not None:
+            more = np.unpackbits(np.frombuffer(levels[k]["more"], dtype=np.uint8), count=chunks.size, bitorder="little").view(bool)
+            own[more] |= ids << own.dtype.type(chunk)
+        ids = own
+    return ids
+
+
 def access(levels: list[dict], places: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """The ids at ``places``, by chunk lookups and ranks alone."""
     out = np.zeros(places.size, dtype=np.uint64)
@@ -92,14 +107,17 @@ def access(levels: list[dict], places: np.ndarray, chunk: int = CHUNK) -> np.nda
 _encoders: dict[str, "Encoder"] = {}
 
 
+#: Marks a piece that follows the one before without a blank; a text that holds it is not cut.
+_GLUED = "\x00"
+
+
 class Encoder:
     """A tokenizers file with a bounded table of what it made of each piece of text.
 
     A byte-level pre-tokenizer cuts before every blank, line break, and full stop or comma after
-    a letter or digit, provided that no two white characters and no two marks stand in a row.
-    There a text's ids are those of its pieces, one after the other. A text with marks in a row
-    is cut at blanks and line breaks only, and one with white space in a row, or with a special
-    token, goes to the library as it is.
+    a letter or digit, so a text's ids are those of such pieces, one after the other. Where a
+    mark follows something else, the text is cut at blanks and line breaks only; where blanks or
+    line breaks stand in a row, or with a special token, it goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -107,38 +125,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile(r"\s\s|\x00" + "".join("|" + re.escape(s) for s in special)).search
-        self.marks = re.compile(r"(?<![^\W_])[.,]").search
+        self.special = [_GLUED, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.marks = re.compile(r"[.,](?<![^\W_][.,])").search
         self.known: dict[str, bytes] = {}
 
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _cut(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        if not self.marks(text):
+            text = text.replace(".", f" {_GLUED}.").replace(",", f" {_GLUED},")
+        return (_GLUED + text.replace("\n", " \n")).split(" ")
 
     def _learn(self, pieces: list[str]) -> None:
-        # A piece without a mark of its own follows a blank.
+        # A piece that is neither glued nor a line follows a blank.
         texts = [p[1:] if p[:1] == _GLUED else p if p[:1] == "\n" else " " + p for p in pieces]
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        self.known.update(zip(pieces, (np.array(e.ids, dtype="<u4").tobytes() for e in made)))
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.whole(text):
-            return self._library(text)
-        if not self.marks(text):
-            text = text.replace(".", f" {_GLUED}.").replace(",", f" {_GLUED},")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        new = set(rest).difference(self.known)
+        made = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(made.ids, dtype="<u4").tobytes()
+        cuts = 4 * np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(texts) + 1))
+        cuts = cuts.tolist()
+        self.known.update(zip(pieces, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self._cut(t) for t in texts]
+        used = set().union(*filter(None, cut))
+        if "" in used or "\n" in used:  # blanks or line breaks in a row
+            cut = [None if p and ("" in p or "\n" in p) else p for p in cut]
+            used -= {"", "\n"}
+        new = used.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = used
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = set(rest)
             self._learn(list(new))
-        return self._library(first) + b"".join(map(self.known.__getitem__, rest))
-
-
-#: Marks a piece that follows the one before without a blank; a text that holds it is not cut.
-_GLUED = "\x00"
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, cut)]
 
 
 def encoder(path: str) -> Encoder:
@@ -148,6 +169,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _encoded(batches, codec: Encoder):
+    """(doc_id, ids as bytes) of each row, encoded a few texts at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held.append((doc_id, text.as_py()))
+            size += len(held[-1][1])
+            if size >= GROUP_CHARS:
+                yield from zip([d for d, _ in held], codec.encode([t for _, t in held]))
+                held, size = [], 0
+    yield from zip([d for d, _ in held], codec.encode([t for _, t in held]))
+
+
 # --- files -------------------------------------------------------------------------------------
 
 
@@ -184,17 +218,16 @@ def write_codes(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) ->
             return pa.RecordBatch.from_pylist([row], schema=schema), ids.size
 
         held = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                code = codec.encode(text.as_py()) + end
-                doc_ids.append(doc_id)
-                lengths.append(len(code) // 4)
-                buffers.append(code)
-                held += lengths[-1]
-                if held >= SEGMENT_IDS:
-                    row, n = segment()
-                    yield row
-                    done, held, doc_ids, lengths, buffers = done + n, 0, [], [], []
+        for doc_id, code in _encoded(batches, codec):
+            code += end
+            doc_ids.append(doc_id)
+            lengths.append(len(code) // 4)
+            buffers.append(code)
+            held += lengths[-1]
+            if held >= SEGMENT_IDS:
+                row, n = segment()
+                yield row
+                done, held, doc_ids, lengths, buffers = done + n, 0, [], [], []
         if doc_ids:
             yield segment()[0]
 
@@ -213,7 +246,7 @@ def _digests(batches):
         for row in range(batch.num_rows):
             segment = batch.slice(row, 1).to_pylist()[0]
             out = {"part": [], "doc_id": [], "place": [], "n_tokens": [], "ids_crc32": []}
-            ids = access(segment["levels"], np.arange(segment["n_ids"])).astype("<u4")
+            ids = decode(segment["levels"]).astype("<u4", copy=False)
             edges = [*segment["starts"], segment["n_ids"]]
             for doc_id, a, b in zip(segment["doc_ids"], edges, edges[1:]):
                 out["part"].append(segment["part"])
