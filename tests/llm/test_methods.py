@@ -316,5 +316,5 @@ def test_inconsistent_slots_are_no_copy(spark):
 def test_lines_that_fail(spark):
     bad = ["Home | News | Sport | Weather | More", "WOW!!! BUY!!! NOW!!!", "this&&& is*** bad$$$", "All rights reserved.", "go go go go go"]
     good = ["A plain line, with a stop.", "Prices rose 5% | a note", "", "Don't panic!"]
-    rows = spark.createDataFrame([(x,) for x in bad + good], "x string").select("x", quality_rules.line_fails(F.col("x")).alias("fails")).collect()
-    assert {r.x for r in rows if r.fails} == set(bad)
+    rows = spark.createDataFrame([(x,) for x in bad + good], "x string").select(F.explode(quality_rules._lines(F.col("x"))).alias("l")).select("l.line", quality_rules.line_fails(F.col("l")).alias("fails")).collect()
+    assert {r.line for r in rows if r.fails} == set(bad)

@@ -22,8 +22,8 @@ def wanted_rows(spark, at):
 
     # Line verdicts come from the rules (tested by themselves and against SQL).
     docs = spark.read.parquet(f"{at}/documents.parquet")
-    source = {(r.doc_id, r.text or ""): r.source for r in docs.collect()}
-    kept = [(r.doc_id, r.cleaned, source[(r.doc_id, r.text)]) for r in judge(docs).where("kept").collect()]
+    source = {r.doc_id: r.source for r in docs.collect()}
+    kept = [(r.doc_id, r.cleaned, source[r.doc_id]) for r in judge(docs).where("kept").collect()]
     kept = sorted({x[0]: x for x in kept}.values(), key=lambda x: x[0])
     roots = brute.classes([brute.fingerprint(t) for _, t, _ in kept])
     kept = [x for k, x in enumerate(kept) if roots[k] == k]

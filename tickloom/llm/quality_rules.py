@@ -13,6 +13,9 @@ word hashes, so two different windows of one text meet with a chance of about n^
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import GAPS, WORD, let, query, table, texts, words
@@ -29,49 +32,42 @@ MAX_STUTTER = 0.4
 #: A line of at least so many cells, split at bars, with at most this many words a cell.
 MIN_CELLS, MAX_CELL_WORDS = 4, 3
 
-SYMBOLS = "#*$%&|<>"
-MARKS = "!#*$%&<>{}=~^"
-SPACES = " \t\n\x0b\x0c\r"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|^\s*(copyright|\(c\)|\x{00A9})|licensed under|released under the|"
-    r"terms of (use|service)|privacy policy|we use cookies|accept cookies|cookie policy|"
-    r"subscribe to our|sign up for our|click here to|enable javascript|share this (page|article))"
-)
+SYMBOLS = r"[#*$%&|<>]"
+MARKS = r"[!#*$%&<>{}=~\^]"
+#: A line fails if it holds one of these phrases, in any case, or starts with one of the openings.
+PHRASES = (
+    "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
+    "we use cookies", "accept cookies", "cookie policy", "subscribe to our", "sign up for our", "click here to",
+    "enable javascript", "share this page", "share this article",
+)
+OPENINGS = ("copyright", "(c)", "\u00a9")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the base counts of the whole text."""
-    text = F.col("text")
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    out = texts(docs).select(
-        "doc_id",
-        "text",
-        words(text).alias("words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-    )
-    return out.select(
-        "doc_id",
-        "text",
-        F.size("words").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
-    )
+def _lines(text: Column) -> Column:
+    """The lines of a text, each with its words."""
+    return F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), words(line).alias("words")))
+
+
+def _all_words(lines: Column) -> Column:
+    return F.flatten(F.transform(lines, lambda x: x["words"]))
+
+
+def _chars(ws: Column) -> Column:
+    return F.length(F.array_join(ws, ""))
+
+
+def _count(text: Column, of: str) -> Column:
+    """How many characters of a class the text has; texts without any are only searched."""
+    return F.when(text.rlike(of), F.length(text) - F.length(F.regexp_replace(text, of, ""))).otherwise(F.lit(0))
 
 
 def _repeat_words(ws: Column) -> Column:
     """How many words lie in a window that the text has twice or more."""
+    pair = lambda step: lambda h: F.transform(h, lambda x, k: F.xxhash64(x, F.get(h, k + step)))
     hashes = F.transform(ws, lambda w: F.xxhash64(w))
-    windows = let(
-        hashes,
-        lambda h: F.when(
-            F.size(h) >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+    for step in (1, 2, 4):  # hashes of 2, 4 and 8 words
+        hashes = let(hashes, pair(step))
+    windows = F.slice(hashes, F.lit(1), F.greatest(F.size(ws) - (WINDOW - 1), F.lit(0)))
     return let(windows, lambda w: F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(_covered(w)))
 
 
@@ -79,25 +75,12 @@ def _covered(windows: Column) -> Column:
     """Words under windows with an equal one: sort (hash, place), keep those beside an equal
     hash, sort the places and add up the steps, each at most a window long."""
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    beside = lambda s: lambda x, k: F.struct(
+        x["i"].alias("i"), (F.get(s, k - 1)["h"].eqNullSafe(x["h"]) | F.get(s, k + 1)["h"].eqNullSafe(x["h"])).alias("twice")
+    )
     places = let(
         placed,
-        lambda s: F.array_sort(
-            F.transform(
-                F.filter(
-                    F.transform(
-                        s,
-                        lambda x, k: F.struct(
-                            x["i"].alias("i"),
-                            (
-                                (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"]))
-                            ).alias("twice"),
-                        ),
-                    ),
-                    lambda x: x["twice"],
-                ),
-                lambda x: x["i"],
-            )
-        ),
+        lambda s: F.array_sort(F.transform(F.filter(F.transform(s, beside(s)), lambda x: x["twice"]), lambda x: x["i"])),
     )
     return let(
         places,
@@ -109,25 +92,34 @@ def _covered(windows: Column) -> Column:
     )
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that one of the three rules removes; never for one without words."""
-    chars = F.length(F.translate(line, SPACES, ""))
-    marks = F.length(line) - F.length(F.translate(line, MARKS, ""))
-    bars = F.length(line) - F.length(F.translate(line, "|", ""))
-    gaps = F.length(line) - F.length(F.translate(line, " ", ""))
-    navigation = (bars + 1 >= MIN_CELLS) & (gaps - bars <= MAX_CELL_WORDS * (bars + 1))
-    stutter = let(
-        words(line),
-        lambda ws: F.size(F.filter(ws, lambda w, k: w.eqNullSafe(F.get(ws, k - 1)))) > MAX_STUTTER * F.size(ws),
-    )
-    return (chars > 0) & (navigation | (marks > MAX_MARKS * chars) | line.rlike(BOILERPLATE) | stutter)
+def line_fails(x: Column) -> Column:
+    """True for a (line, words) that one of the rules removes; never for one without words."""
+    line, ws = x["line"], x["words"]
+    without = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    cells = without("|") + 1
+    navigation = line.contains("|") & (cells >= MIN_CELLS) & (without(" ") - without("|") <= MAX_CELL_WORDS * cells)
+    marked = line.rlike(MARKS) & (_count(line, MARKS) > MAX_MARKS * _chars(ws))
+    said = lambda low: reduce(or_, [low.contains(p) for p in PHRASES] + [F.ltrim(low).startswith(o) for o in OPENINGS])
+    stutter = F.size(F.filter(ws, lambda w, k: w.eqNullSafe(F.get(ws, k - 1)))) > MAX_STUTTER * F.size(ws)
+    return (F.size(ws) > 0) & (navigation | marked | let(F.lower(line), said) | stutter)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Counts, cleaned text (failing lines removed), surviving characters, and the verdict."""
-    kept_lines = F.filter(F.split("text", "\n"), lambda line: ~line_fails(line))
-    out = counts(docs).withColumn("cleaned", F.array_join(kept_lines, "\n"))
-    out = out.withColumn("kept_chars", F.length(F.translate("cleaned", SPACES, "")).cast("long"))
+    """Base counts, cleaned text (failing lines removed), surviving characters, and the verdict."""
+    own = texts(docs).withColumn("lines", _lines(F.col("text")))
+    own = own.withColumn("words", _all_words(F.col("lines")))
+    worded = F.transform(F.filter("lines", lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
+    out = own.select(
+        "doc_id",
+        F.size("words").cast("long").alias("n_words"),
+        _chars(F.col("words")).cast("long").alias("word_chars"),
+        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        let(worded, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        F.filter("lines", lambda x: ~line_fails(x)).alias("left"),
+    )
+    out = out.withColumn("kept_chars", _chars(_all_words(F.col("left"))).cast("long"))
+    out = out.withColumn("cleaned", F.array_join(F.transform("left", lambda x: x["line"]), "\n")).drop("left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= MIN_SURVIVING * F.col("word_chars")))
@@ -145,18 +137,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def _cleaned_if_kept(text: Column) -> Column:
     """The verdict of ``judge`` in one expression: an array with the cleaned text, or an empty one."""
     none = F.array().cast("array<string>")
-    base = let(
-        words(text),
-        lambda ws: (F.size(ws) >= MIN_WORDS) & (100 * _repeat_words(ws) <= MAX_REPEATED * F.size(ws)),
-    )
-    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line_fails(line)), "\n")
-    chars = lambda x: F.length(F.translate(x, SPACES, ""))
-    judged = let(cleaned, lambda c: F.when(chars(c) >= MIN_SURVIVING * chars(text), F.array(c)).otherwise(none))
-    return F.when(base, judged).otherwise(none)
+
+    def rest(ws: Column):
+        def judged(left: Column) -> Column:
+            survives = _chars(_all_words(left)) >= MIN_SURVIVING * _chars(ws)
+            return F.when(survives, F.array(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))).otherwise(none)
+
+        return judged
+
+    def verdict(lines: Column) -> Column:
+        def by_words(ws: Column) -> Column:
+            base = (F.size(ws) >= MIN_WORDS) & (100 * _repeat_words(ws) <= MAX_REPEATED * F.size(ws))
+            return F.when(base, let(F.filter(lines, lambda x: ~line_fails(x)), rest(ws))).otherwise(none)
+
+        return let(_all_words(lines), by_words)
+
+    return let(_lines(text), verdict)
 
 
-_SQL_RULES = BOILERPLATE.replace(r"\x{00A9}", "©").replace("'", "''")
-_SQL_MARKS = "[" + MARKS.replace("^", "") + "\\^]"
+_SQL_SAID = " OR ".join([f"contains(lower(x), '{p}')" for p in PHRASES] + [f"starts_with(ltrim(lower(x), ' '), '{o}')" for o in OPENINGS])
 
 ORACLE = rf"""
 WITH d AS (
@@ -175,18 +174,18 @@ WITH d AS (
 ), line AS (
   SELECT rid, x, length(regexp_replace(x, '{GAPS}', '', 'g')) AS chars,
          length(regexp_replace(x, '[^|]', '', 'g')) AS bars, length(regexp_replace(x, '[^ ]', '', 'g')) AS gaps,
-         length(x) - length(regexp_replace(x, '{_SQL_MARKS}', '', 'g')) AS marks,
+         length(x) - length(regexp_replace(x, '{MARKS}', '', 'g')) AS marks,
          len(ws) AS n, len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS again
   FROM (SELECT *, regexp_extract_all(x, '{WORD}') AS ws FROM (SELECT rid, unnest(lines) AS x FROM w))
 ), good AS (
   SELECT rid, sum(chars) AS chars FROM line
   WHERE NOT ((bars + 1 >= {MIN_CELLS} AND gaps - bars <= {MAX_CELL_WORDS} * (bars + 1))
-             OR marks > {MAX_MARKS} * chars OR again > {MAX_STUTTER} * n OR regexp_matches(x, '{_SQL_RULES}'))
+             OR marks > {MAX_MARKS} * chars OR again > {MAX_STUTTER} * n OR {_SQL_SAID})
   GROUP BY rid
 ), c AS (
   SELECT w.rid, w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '{GAPS}', '', 'g')) AS BIGINT) AS word_chars,
-         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(coalesce(good.chars, 0) AS BIGINT) AS kept_chars
