@@ -24,7 +24,8 @@ HEADLINE = (
     "return_acf",
     "contract_report",
     "downstream_summary",
-    "fidelity_scorecard",
+    "scorecard_distances",
+    "c2st",
 )
 
 
