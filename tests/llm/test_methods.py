@@ -148,6 +148,25 @@ def test_semi_markov_learns_the_base_and_leaves_other_numbers_alone(spark):
     assert crf.added(told, []) == [("phone", 5, 19)]
 
 
+def _phone_model():
+    """A model that knows one shape of phones, and nothing else."""
+    crf = pii.SemiMarkov()
+    kind = pii.KINDS.index("phone")
+    crf.w[kind, pii._crc("bias")] = -20
+    crf.w[kind, pii._crc("shape", "(9)_9-9")] = 40
+    return crf
+
+
+def test_every_phone_of_a_long_list_is_added():
+    phones = [f"(555) {200 + k}-{4000 + k}" for k in range(300)]
+    text = "numbers: " + ", ".join(phones) + " end"
+    assert len(pii.islands(text)) == 1
+    got = _phone_model().added(text, pii.base_spans(text))
+    assert [text[a:b] for _, a, b in got] == phones
+    taken = [("phone", text.index(phones[7]), text.index(phones[7]) + 5), ("ip", text.index(phones[7]) + 2, text.index(phones[9]))]
+    assert [text[a:b] for _, a, b in _phone_model().added(text, taken)] == phones[:7] + phones[9:]
+
+
 def test_base_patterns_on_hostile_texts():
     for t in ["a" * 300_000, "1" * 300_000, "a@" * 50_000, "+1" + "(" * 100_000, "1." * 100_000, "@" * 100_000]:
         pii.base_spans(t)

@@ -16,8 +16,9 @@ meets no base span. Base spans always stay.
 
 Edge cases: a null text is empty and has no spans; one of the base patterns may overlap another,
 as each kind is matched by itself; repeated rows and null ids get results of their own; islands
-are cut after ISLAND_TOKENS tokens, so that a text without blanks costs no more than its length;
-without base spans to learn from nothing is added; an empty table gives an empty result.
+are read whole, however long, at a cost that is linear in their tokens (only the model's examples
+are pieces of TRAIN_CHARS characters at most); without base spans to learn from nothing is added;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,6 @@ from .common import query, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 14
-ISLAND_TOKENS = 96
 TRAIN_ISLANDS = 1_500
 MIN_POSTERIOR = 0.95
 EPOCHS = 15
@@ -42,6 +44,8 @@ RATE = 0.3
 DECAY = 1e-3
 FEATURES = 1 << 13
 _WINDOW = 80
+TRAIN_CHARS = 4 * _WINDOW
+_SEGMENTS = 1 << 14
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -101,8 +105,9 @@ _TOKEN = re.compile(r"[A-Za-z]{1,40}|[0-9]{1,40}|\S")
 _BLANK = re.compile(r"\s")
 
 
-def islands(text: str) -> list[tuple[int, int]]:
-    """(start, end) of runs of words with a digit or an @, joined over a single blank."""
+def islands(text: str, most: int | None = None) -> list[tuple[int, int]]:
+    """(start, end) of runs of words with a digit or an @, joined over a single blank; with
+    ``most``, up to so many characters."""
     out: list[list[int]] = []
     m = _TRIGGER.search(text)
     while m:
@@ -114,7 +119,7 @@ def islands(text: str) -> list[tuple[int, int]]:
         end = blank.start() if blank else high
         while start > low and text[start - 1] in "+(":
             start -= 1
-        if out and start - out[-1][1] <= 1 and end - out[-1][0] <= 4 * _WINDOW:
+        if out and start - out[-1][1] <= 1 and (most is None or end - out[-1][0] <= most):
             out[-1][1] = end
         else:
             out.append([start, end])
@@ -131,11 +136,15 @@ def _side(c: str) -> str:
 
 
 class Island:
-    """Tokens and candidate segments of a piece of text, each with its feature numbers."""
+    """Tokens and candidate segments of a piece of text, each with its feature numbers.
+
+    A segment that passes no type's checks is no candidate.
+    """
 
     def __init__(self, text: str, start: int, end: int):
-        self.tokens = [m.span() for m in _TOKEN.finditer(text, start, end)][:ISLAND_TOKENS]
-        self.from_, self.to, self.span, self.found, self.fits = [], [], [], [], []
+        self.tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
+        self.from_, self.to, self.span = [], [], []
+        self.found, self.fits = array("H"), array("b")
         for i, (a, _) in enumerate(self.tokens):
             first = text[a]
             if not (first.isalnum() or first in "+("):
@@ -153,22 +162,29 @@ class Island:
                 dots += token == "."
                 if not (digits or ats) or not (token[-1].isalnum() or token[-1] == ")"):
                     continue
-                self.from_.append(i)
-                self.to.append(j + 1)
-                self.span.append((a, d))
                 found, fits = self._features(text, a, d, shape, digits, ats, dots, j + 1 - i)
-                self.found.append(found)
-                self.fits.append(fits)
+                if any(fits):
+                    self.from_.append(i)
+                    self.to.append(j + 1)
+                    self.span.append((a, d))
+                    self.found.extend(found)
+                    self.fits.extend(fits)
+
+    def features(self) -> np.ndarray:
+        """(segments, features of each)"""
+        return np.frombuffer(self.found, np.uint16).reshape(len(self.span), -1)
 
     @staticmethod
     def _features(text, a, d, shape, digits, ats, dots, n):
         span = text[a:d]
-        plain = "".join("9" if s[0] == "9" else s for s in shape)
-        left, right = text[a - 1 : a], text[d : d + 1]
         good_card = 13 <= digits <= 19 and not ats and span.isascii() and luhn(_digits(span))
         parts = span.split(".")
         good_ip = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
         fits = (ats == 1 and dots > 0, good_ip, good_card, not ats and 9 <= digits <= 15 and "a" not in shape)
+        if not any(fits):
+            return (), fits
+        plain = "".join("9" if s[0] == "9" else s for s in shape)
+        left, right = text[a - 1 : a], text[d : d + 1]
         return [
             _crc("bias"),
             _crc("shape", plain),
@@ -192,7 +208,10 @@ class SemiMarkov:
 
     def scores(self, island: Island) -> np.ndarray:
         """(segments, types); far below any path for a type whose checks the segment fails."""
-        return np.where(np.array(island.fits), self.w[:, np.array(island.found)].sum(axis=2).T, -1e3)
+        found, fits = island.features(), np.frombuffer(island.fits, np.int8).reshape(-1, len(KINDS)) != 0
+        cuts = range(0, len(found), _SEGMENTS)
+        sums = np.concatenate([self.w[:, found[k : k + _SEGMENTS]].sum(axis=2).T for k in cuts])
+        return np.where(fits, sums, -1e3)
 
     def sums(self, island: Island, scores: np.ndarray):
         """(log of all paths, posterior of each segment and type)."""
@@ -252,7 +271,7 @@ class SemiMarkov:
             place = {span: k for k, span in enumerate(island.span)}
             gold = [(place.get((a, b)), KINDS.index(kind)) for kind, a, b in labels]
             if all(k is not None for k, _ in gold):
-                ready.append((island, gold, np.array(island.found)))
+                ready.append((island, gold, island.features()))
         squares = np.full(self.w.shape, 1e-2)
         if not any(gold for _, gold, _ in ready):
             return self
@@ -274,7 +293,7 @@ class SemiMarkov:
         """Spans of the best path that are sure enough and meet no base span."""
         if not self.w.any():
             return []
-        taken = sorted((a, b) for _, a, b in base)
+        taken = _joined(base)
         out = []
         for start, end in islands(text):
             island = Island(text, start, end)
@@ -282,15 +301,28 @@ class SemiMarkov:
                 continue
             scores = self.scores(island)
             chosen = self.best(island, scores)
-            chosen = [(k, t) for k, t in chosen if not any(a < island.span[k][1] and island.span[k][0] < b for a, b in _near(taken, start, end))]
+            chosen = [(k, t) for k, t in chosen if not _meets(taken, *island.span[k])]
             if chosen:
                 _, posterior = self.sums(island, scores)
                 out += [(KINDS[t], *island.span[k]) for k, t in chosen if posterior[k, t] >= MIN_POSTERIOR]
         return out
 
 
-def _near(spans, start, end):
-    return [s for s in spans if s[0] < end and start < s[1]]
+def _joined(base: list) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the base spans cover together."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    k = bisect_right(taken[1], a)  # the first that ends behind a
+    return k < len(taken[0]) and taken[0][k] < b
 
 
 # --- on Spark ----------------------------------------------------------------------------------
@@ -302,7 +334,7 @@ def _island_batches(batches):
     for batch in batches:
         rows = []
         for text in batch.column(0).to_pylist():
-            found = islands(text)
+            found = islands(text, TRAIN_CHARS)
             base = base_spans(text) if found else []
             for a, b in found:
                 inside = [(k, s - a + 1, e - a + 1) for k, s, e in base if a <= s and e <= b]
