@@ -167,6 +167,14 @@ def test_every_phone_of_a_long_list_is_added():
     assert [text[a:b] for _, a, b in _phone_model().added(text, taken)] == phones[:7] + phones[9:]
 
 
+def test_copies_take_one_place_among_the_examples(spark):
+    copies = [(k, "in 1999, write to a@b.cc now") for k in range(300)]
+    others = [(1000 + k, f"page {k} for x{k}@y.zz now") for k in range(10)]
+    rows = pii.examples(spark.createDataFrame(copies + others, "doc_id long, text string"), 16).collect()
+    assert len(rows) == 16 == len({(r.text, *r.kinds, *r.starts, *r.ends) for r in rows})
+    assert sum(bool(r.kinds) for r in rows) == 8
+
+
 def test_base_patterns_on_hostile_texts():
     for t in ["a" * 300_000, "1" * 300_000, "a@" * 50_000, "+1" + "(" * 100_000, "1." * 100_000, "@" * 100_000]:
         pii.base_spans(t)

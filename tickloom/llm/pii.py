@@ -9,7 +9,7 @@ A segment can only be of a type whose checks it passes (an @ and a stop, parts u
 9 to 15 digits and no letters).
 
 The model is trained here by maximum likelihood (forward and backward sums over all
-segmentations) on a bounded sample: the TRAIN_ISLANDS islands with the smallest hashes, the
+segmentations) on a bounded sample: the TRAIN_ISLANDS different islands with the smallest hashes, the
 base spans in them as labels, and phones once more without their country code, which the base
 pattern can't find. A span is added if its posterior is at least MIN_POSTERIOR and it
 meets no base span. Base spans always stay.
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import stage
 from .common import query, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -358,14 +359,19 @@ def without_code(text: str, labels: list) -> tuple[str, list] | None:
     return None
 
 
-def fit(docs: DataFrame, train_islands: int = TRAIN_ISLANDS) -> SemiMarkov:
-    """A model trained on at most ``train_islands`` islands of ``docs``, half of them with labels."""
+def examples(docs: DataFrame, train_islands: int = TRAIN_ISLANDS) -> DataFrame:
+    """At most ``train_islands`` different islands of ``docs``, half of them with labels."""
     found = texts(docs).select("text").mapInArrow(_island_batches, _ISLAND_SCHEMA)
-    order = F.xxhash64("text")
     # Equal islands are one example; each half is a bounded top-k by hash.
+    found = stage(found.distinct(), "islands")
     has = F.size("kinds") > 0
-    half = lambda where: found.where(where).orderBy(order, "text").limit(train_islands // 2)
-    rows = half(has).unionByName(half(~has)).collect()
+    half = lambda where: found.where(where).orderBy(F.xxhash64("text"), "text", "kinds", "starts", "ends").limit(train_islands // 2)
+    return half(has).unionByName(half(~has))
+
+
+def fit(docs: DataFrame, train_islands: int = TRAIN_ISLANDS) -> SemiMarkov:
+    """A model trained on the ``examples`` of ``docs``."""
+    rows = examples(docs, train_islands).collect()
     samples = [(r.text, sorted(set(zip(r.kinds, r.starts, r.ends)), key=lambda x: x[1])) for r in rows]
     # Labels of a path can't overlap: an island whose base spans do is left out.
     samples = [(t, x) for t, x in samples if all(p[2] <= q[1] for p, q in zip(x, x[1:]))]
