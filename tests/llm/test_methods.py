@@ -328,6 +328,23 @@ def test_templates_catch_other_numbers_and_names(spark):
     assert got[1].same_slots and not got[2].same_slots and got[2].consistent == 1
 
 
+def test_templates_catch_edits_and_slots_of_other_lengths(spark):
+    words = ITEM.split()
+    rows = [
+        (1, " ".join([*words[:14], "quickly", *words[14:]])),
+        (2, " ".join(words[:13] + words[14:])),
+        (3, ITEM.replace("Maria", "Mary Ann Jones").replace("45", "twenty five").replace("120 km", "85km").replace("9", "twenty-one")),
+        (4, " ".join([*words[:14], *["and", "so", "on"] * 5, *words[14:]])),
+        (5, " ".join(words[14:] + words[:14])),
+        (6, ITEM + "\n" + " ".join(f"w{k}" for k in range(50)) + "\n" + " ".join(words[:13] + words[14:])),
+    ]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC_SCHEMA)
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 6}  # 4: two halves far apart, 5: halves in the other order
+    assert got[1].covered == 1 and got[1].same_slots and not got[3].same_slots
+    assert [got[k].n_places for k in (1, 2, 3, 6)] == [1, 1, 1, 2]
+
+
 def test_inconsistent_slots_are_no_copy(spark):
     item = "Add 5 to the first box then take 5 from the second box and put 5 into the third box then say 5 out loud now"
     mixed = "Add 1 to the first box then take 2 from the second box and put 3 into the third box then say 4 out loud now"

@@ -1,11 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units and names turn into typed placeholders, all else
-into its lower-case letters and digits. Windows of WINDOW tokens are hashed and joined between
-documents and benchmark items; a window keeps the words behind its placeholders (its slots).
-A document holds an item if aligned windows cover enough of the item's template and the slots
-are consistent: within one alignment each word of the item stands for one word of the document
-and the other way round, as in the same question with other numbers or names.
+into its lower-case letters and digits. A run of number words, with the units behind them (glued
+or not), is one placeholder, and so is a run of name words: "twenty five" is as long as "25", and
+"John Smith" as "John". Windows of WINDOW tokens are hashed and joined between documents and
+benchmark items; a window keeps the words behind its placeholders (its slots). A document holds
+an item if the aligned windows of one stretch cover enough of the item's template and the slots
+are consistent: each word of the item stands for one word of the document and the other way
+round, as in the same question with other numbers or names. A stretch is a chain of aligned
+windows, forward in both texts, whose shift changes by MAX_DRIFT at most from one to the next:
+words put in, left out or changed cost no more than themselves.
 
 Before the join, documents' windows pass a bitmap of the benchmark's window hashes. It has
 BITMAP_BITS bits whatever the benchmark's size, so its broadcast is bounded, and it lets through
@@ -22,6 +26,7 @@ empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +42,17 @@ MIN_LITERALS = 4
 MIN_COVERED = 0.7
 #: Share of the alignment's slot words, on either side, that stand for one word only.
 MIN_CONSISTENT = 0.8
+#: Tokens that a stretch may gain or lose between two aligned windows.
+MAX_DRIFT = WINDOW
 BITMAP_BITS = 1 << 22
 
-NUMBER, UNIT, NAME = "\x01num", "\x01unit", "\x01name"
+NUMBER, QUANTITY, UNIT, NAME = "\x01num", "\x01qty", "\x01unit", "\x01name"
+_KINDS = {NUMBER: 1, QUANTITY: 2, UNIT: 3, NAME: 4}  # all else is literal: 0
 # Fixed word lists of the placeholders.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in ft yd mi g kg mg lb oz ml l s sec min h hr hrs hz khz mhz w kw v a j kj pa bar mph kph usd eur gbp % $ € £ meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres seconds minutes hours days weeks months years dollars euros cents degrees".split()
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,/:]*%?\Z")
+_GLUED = re.compile(r"([+-]?[$€£]?[0-9][0-9.,/:]*)([^\W\d_]+|[%€$£])\Z")
 _EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%€$£]+\Z")
 _KIND_OF = {**dict.fromkeys(NUMBER_WORDS, NUMBER), **dict.fromkeys(UNITS, UNIT)}
 _CACHE_WORDS = 400_000
@@ -56,8 +65,14 @@ def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:
     else:
         bare = _EDGE.sub("", word)
         ends = word[-1] in ".!?:" or word.endswith(('."', '!"', '?"'))
-        if not bare.isalpha() and _NUMBER.match(bare):
-            return NUMBER, bare.lower(), ends
+        if not bare.isalpha():
+            glued = _GLUED.match(bare)
+            if glued and glued[2].lower() in _KIND_OF:
+                return QUANTITY, f"{glued[1]} {glued[2]}".lower(), ends
+            if _NUMBER.match(bare):
+                return NUMBER, bare.lower(), ends
+            if "-" in bare and all(_KIND_OF.get(part) is NUMBER for part in bare.lower().split("-")):
+                return NUMBER, bare.lower().replace("-", " "), ends
     low = bare.lower()
     if low in _KIND_OF:
         return _KIND_OF[low], low, ends
@@ -78,8 +93,8 @@ class Templates:
 
     def _clear(self, room: int) -> None:
         self.place = {_LINE: 0}
-        # Of each word, inside a sentence and at its start: hash and whether it is literal.
-        self.hashes, self.literal = np.zeros((2, room), np.uint64), np.zeros((2, room), bool)
+        # Of each word, inside a sentence and at its start: hash and kind.
+        self.hashes, self.kind = np.zeros((2, room), np.uint64), np.zeros((2, room), np.int8)
         self.ends, self.token = np.zeros(room, bool), np.zeros(room, bool)
         self.ends[0] = True
 
@@ -87,7 +102,7 @@ class Templates:
         if len(self.place) + len(words) > self.ends.size:
             room = max(2 * self.ends.size, len(self.place) + len(words))
             grow = lambda x: np.concatenate([x, np.zeros((*x.shape[:-1], room - x.shape[-1]), x.dtype)], axis=-1)
-            self.hashes, self.literal, self.ends, self.token = map(grow, (self.hashes, self.literal, self.ends, self.token))
+            self.hashes, self.kind, self.ends, self.token = map(grow, (self.hashes, self.kind, self.ends, self.token))
         first = len(self.place)
         self.place.update(zip(words, range(first, first + len(words))))
         inside = [canonical(word, False) for word in words]
@@ -95,13 +110,14 @@ class Templates:
         begun = [canonical(word, True)[0] if t[0] is NAME else t[0] for word, t in zip(words, inside)]
         cut = slice(first, first + len(words))
         for row, tokens in ((0, [t[0] for t in inside]), (1, begun)):
-            self.hashes[row, cut] = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t in tokens]
-            self.literal[row, cut] = [t[:1] != "\x01" for t in tokens]
+            hashed = [NUMBER if t is QUANTITY else t for t in tokens]
+            self.hashes[row, cut] = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t in hashed]
+            self.kind[row, cut] = [_KINDS.get(t, 0) for t in tokens]
         self.ends[cut] = [t[2] for t in inside]
         self.token[cut] = [t[0] != "" for t in inside]
 
     def read(self, text: str):
-        """(hashes, literal flags, words, sentence starts) of the text's tokens; bare punctuation is none."""
+        """(hashes, literal flags, words behind a token) of the text's tokens; bare punctuation is none."""
         words = text.replace("\n", f" {_LINE} ").split()
         new = set(words).difference(self.place)
         if new and len(self.place) + len(new) > self.most:
@@ -114,7 +130,24 @@ class Templates:
         start[1:] = self.ends[at[:-1]]
         use = np.flatnonzero(self.token[at])
         at, start = at[use], start[use]
-        return self.hashes[start, at], self.literal[start, at], lambda k: canonical(words[use[k]], bool(start[k]))[1]
+        kind = self.kind[start, at]
+        first = np.flatnonzero(~joins(kind, start == 1))
+        stops = np.append(first, kind.size)
+        word = lambda k: " ".join([canonical(words[use[j]], bool(start[j]))[1] for j in range(stops[k], stops[k + 1])])
+        return self.hashes[start[first], at[first]], kind[first] == 0, word
+
+
+def joins(kind: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which tokens go on with the placeholder before them: numbers behind a number, with or
+    without its unit, a unit behind its number, names behind a name; not into another sentence."""
+    out = np.zeros(kind.size, dtype=bool)
+    if kind.size > 1:
+        number = (kind == 1) | (kind == 2)
+        unit = np.zeros(kind.size, dtype=bool)
+        unit[1:] = (kind[1:] == 3) & (kind[:-1] == 1) & ~start[1:]
+        out[1:] = (number[1:] & (number | unit)[:-1]) | ((kind[1:] == 4) & (kind[:-1] == 4))
+        out = (out & ~start) | unit
+    return out
 
 
 _templates: list[Templates] = []
@@ -144,10 +177,10 @@ def windows(hashes: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndar
     return out, lit >= min(MIN_LITERALS, size)
 
 
-def _rows(ids, texts, sizes, bitmap=None):
-    """Window rows (id, h, place, size, n_tokens, slots) of some texts."""
+def _rows(ids, rows, texts, sizes, bitmap=None):
+    """Window rows (id, row, h, place, size, n_tokens, slots) of some texts."""
     read = templates().read
-    for one, text in zip(ids, texts):
+    for one, row, text in zip(ids, rows, texts):
         hashes, literal, word = read(text or "")
         for size in sizes if sizes else ({min(WINDOW, hashes.size)} if hashes.size else ()):
             h, fit = windows(hashes, literal, size)
@@ -156,16 +189,16 @@ def _rows(ids, texts, sizes, bitmap=None):
                 fit = fit & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
             for place in np.flatnonzero(fit).tolist():
                 slots = [word(place + k) for k in np.flatnonzero(~literal[place : place + size])]
-                yield one, int(h[place].view(np.int64)), place, size, hashes.size, slots
+                yield one, row, int(h[place].view(np.int64)), place, size, hashes.size, slots
 
 
-_WINDOW_SCHEMA = "id long, h long, place int, size int, n_tokens int, slots array<string>"
+_WINDOW_SCHEMA = "id long, row long, h long, place int, size int, n_tokens int, slots array<string>"
 
 
 def _batch(rows):
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-    columns = list(zip(*rows)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "h", "place", "size", "n_tokens", "slots"])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    columns = list(zip(*rows)) or [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "row", "h", "place", "size", "n_tokens", "slots"])
 
 
 def _emit(rows, most=20_000):
@@ -181,14 +214,110 @@ def _emit(rows, most=20_000):
 
 def _item_windows(batches):
     for batch in batches:
-        yield from _emit(_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), None))
+        yield from _emit(_rows(*(c.to_pylist() for c in batch.columns), None))
+
+
+def chains(places: dict[int, list[int]], size: int) -> list[list[tuple[int, int, int]]]:
+    """Alignments of an item with a document: lists of (shift, from, to) in the item, in order.
+
+    ``places`` has the sorted starts of matched windows by shift. All pieces of one shift are an
+    alignment, and so is the best chain that ends in each piece: item and document places go
+    forward, from piece to piece the shift changes by MAX_DRIFT at most, and each piece counts
+    from where the one before it ends.
+    """
+    pieces = []
+    for shift, starts in places.items():
+        low = high = None
+        for p in starts:
+            if high is not None and p <= high:
+                high = p + size
+                continue
+            if high is not None:
+                pieces.append((low, high, shift))
+            low, high = p, p + size
+        pieces.append((low, high, shift))
+    pieces.sort(key=lambda x: (x[1], x[0], x[2]))
+    held: dict[int, list[int]] = {}
+    best, back = [], []  # covered tokens of the best chain to each piece; the piece before and where to start
+    for k, (low, high, shift) in enumerate(pieces):
+        most, before, begin = high - low, -1, low
+        for s in range(shift - MAX_DRIFT, shift + MAX_DRIFT + 1):
+            for j in held.get(s, ()):
+                start = max(low, pieces[j][1] + max(0, s - shift))
+                if best[j] + high - start > most and start < high:
+                    most, before, begin = best[j] + high - start, j, start
+        held.setdefault(shift, []).append(k)
+        best.append(most)
+        back.append((before, begin))
+    out = []
+    for k in range(len(pieces)):
+        chain = []
+        while k >= 0:
+            _, high, shift = pieces[k]
+            k, begin = back[k]
+            chain.append((shift, begin, high))
+        out.append(chain[::-1])
+    same: dict[int, list[tuple[int, int, int]]] = {}
+    for low, high, shift in pieces:
+        same.setdefault(shift, []).append((shift, low, high))
+    return out + [x for x in same.values() if len(x) > 1]
+
+
+def holds(hits: list[dict], n_tokens: int, size: int):
+    """(covered share, consistent, n_places, same_slots) of the stretches that hold the item, or None."""
+    slots = {(x["doc_place"] - x["place"], x["place"]): (x["slots"], x["doc_slots"]) for x in hits}
+    places: dict[int, list[int]] = {}
+    for shift, place in sorted(slots):
+        places.setdefault(shift, []).append(place)
+    found = []
+    for chain in chains(places, size):
+        covered = sum(high - low for _, low, high in chain)
+        if covered < MIN_COVERED * n_tokens:
+            continue
+        of_item: dict[str, set] = {}
+        of_doc: dict[str, set] = {}
+        for shift, low, high in chain:
+            own = places[shift]
+            for place in own[bisect_left(own, low) : bisect_right(own, high - size)]:
+                for a, b in zip(*slots[shift, place]):
+                    of_item.setdefault(a, set()).add(b)
+                    of_doc.setdefault(b, set()).add(a)
+        single = [sum(len(x) == 1 for x in side.values()) / len(side) for side in (of_item, of_doc) if side]
+        consistent = min(single, default=1.0)
+        if consistent >= MIN_CONSISTENT:
+            same = all(x == {a} for a, x in of_item.items())
+            found.append((covered / n_tokens, consistent, same, chain[0][0] + chain[0][1], chain[-1][0] + chain[-1][2]))
+    if not found:
+        return None
+    # Stretches of the document that don't overlap, the best first.
+    taken: list[tuple[int, int]] = []
+    for *_, low, high in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[4])):
+        k = bisect_left(taken, (low, high))
+        if (k == 0 or taken[k - 1][1] <= low) and (k == len(taken) or high <= taken[k][0]):
+            insort(taken, (low, high))
+    return max(x[0] for x in found), max(x[1] for x in found), len(taken), any(x[2] for x in found)
+
+
+_HELD = "doc_id long, item_id long, covered double, consistent double, n_places long, same_slots boolean"
+
+
+def _held_batches(batches):
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+    for batch in batches:
+        rows = []
+        for x in batch.to_pylist():
+            told = holds(x["hits"], x["n_tokens"], x["size"])
+            if told:
+                rows.append((x["doc_id"], x["item_id"], *told))
+        columns = list(zip(*rows)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "covered", "consistent", "n_places", "same_slots"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered (share of the item), consistent (share of its slot words), exact."""
     spark = docs.sparkSession
-    own_items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    items = stage(own_items.where("text IS NOT NULL").mapInArrow(_item_windows, _WINDOW_SCHEMA), "items")
+    own = lambda rows, key: rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select("id", F.xxhash64("id", "text").alias("row"), "text")
+    items = stage(own(benchmark, "item_id").mapInArrow(_item_windows, _WINDOW_SCHEMA), "items")
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW of them
     place = F.col("h").bitwiseAND(BITMAP_BITS - 1)
     # BITMAP_BITS / 64 rows at most
@@ -202,41 +331,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def doc_windows(batches):
         for batch in batches:
-            yield from _emit(_rows(batch.column(0).to_pylist(), map(_text, batch.column(1)), sizes, shared.value))
-
-    own_docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = own_docs.where("text IS NOT NULL").mapInArrow(doc_windows, _WINDOW_SCHEMA)
-    found = found.select(F.col("id").alias("doc_id"), "h", F.col("place").alias("doc_place"), "size", F.col("slots").alias("doc_slots"))
-    wanted = items.select(F.col("id").alias("item_id"), "h", "place", "size", "n_tokens", "slots")
-    hits = stage(found.join(wanted, ["h", "size"]).where("size(doc_slots) = size(slots)"), "hits")
-    hits = hits.withColumn("shift", F.col("doc_place") - F.col("place"))
-    key = ["doc_id", "item_id", "shift"]
-    # Tokens of the item under matched windows: steps between window starts, at most a window each.
-    placed = hits.groupBy(*key).agg(F.sort_array(F.collect_set("place")).alias("places"), F.first("n_tokens").alias("n_tokens"), F.first("size").alias("size"))
-    covered = F.aggregate(
-        F.transform("places", lambda p, k: F.least(F.col("size"), F.coalesce(F.get("places", k + 1) - p, F.col("size")))),
-        F.lit(0),
-        lambda a, b: a + b,
-    )
-    placed = placed.select(*key, "n_tokens", covered.alias("covered"))
-    pairs = hits.select(*key, F.explode(F.arrays_zip("slots", "doc_slots")).alias("slot")).select(*key, "slot.*").distinct()
-    by_item = pairs.groupBy(*key, "slots").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("slots") != F.col("doc_slots")).alias("other"))
-    by_doc = pairs.groupBy(*key, "doc_slots").agg(F.count(F.lit(1)).alias("n"))
-    one = (F.col("n") == 1).cast("int")
-    told = by_item.select(*key, one.alias("of_item"), F.lit(None).cast("int").alias("of_doc"), "other").unionByName(
-        by_doc.select(*key, F.lit(None).cast("int").alias("of_item"), one.alias("of_doc"), F.lit(False).alias("other"))
-    )
-    told = told.groupBy(*key).agg(F.least(F.avg("of_item"), F.avg("of_doc")).alias("consistent"), F.max("other").alias("other"))
-    same = [placed[k].eqNullSafe(told[k]) for k in key]
-    out = placed.join(told, same[0] & same[1] & same[2], "left").select(
-        *[placed[k] for k in key], "n_tokens", "covered", F.coalesce("consistent", F.lit(1.0)).alias("consistent"), F.coalesce("other", F.lit(False)).alias("other")
-    )
-    out = out.where((F.col("covered") >= F.lit(MIN_COVERED) * F.col("n_tokens")) & (F.col("consistent") >= MIN_CONSISTENT))
+            yield from _emit(_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(_text, batch.column(2)), sizes, shared.value))
+
+    found = own(docs, "doc_id").mapInArrow(doc_windows, _WINDOW_SCHEMA)
+    found = found.select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "h", F.col("place").alias("doc_place"), "size", F.col("slots").alias("doc_slots"))
+    wanted = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "h", "place", "size", "n_tokens", "slots")
+    hits = found.join(wanted, ["h", "size"]).where("size(doc_slots) = size(slots)")
+    # One text and one item meet in a row; rows that share an id stay apart by their texts.
+    hit = F.struct("doc_place", "place", "slots", "doc_slots")
+    pairs = hits.groupBy("doc_id", "doc_row", "item_id", "item_row", "n_tokens", "size").agg(F.collect_list(hit).alias("hits"))
+    out = pairs.drop("doc_row", "item_row").mapInArrow(_held_batches, _HELD)
     return out.groupBy("doc_id", "item_id").agg(
-        F.max(F.col("covered") / F.col("n_tokens")).alias("covered"),
+        F.max("covered").alias("covered"),
         F.max("consistent").alias("consistent"),
-        F.count(F.lit(1)).alias("n_places"),
-        (~F.min("other")).alias("same_slots"),
+        F.sum("n_places").alias("n_places"),
+        F.max("same_slots").alias("same_slots"),
     )
 
 
