@@ -236,6 +236,19 @@ def test_pages_without_an_article_lose_what_the_host_repeats(spark):
     assert got == {**dict(enumerate(own)), 99: f"{shared}\nalone", 100: ""}
 
 
+def test_repeats_are_counted_over_the_whole_host(spark, monkeypatch):
+    """A line on 3 of 300 pages is boilerplate (with the block ends around it), whether the host is one shard or many."""
+    rng = np.random.default_rng(6)
+    shared = "this line stands on three pages of three hundred and nowhere else"
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 30)) for _ in range(300)]
+    rows = [(k, f"https://h.example/{k}", f"<body><p>{t}</p>" + f"<p>{shared}</p>" * (k % 100 == 7) + "</body>") for k, t in enumerate(own)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (html_extract.SHARD_TOKENS, 500):
+        monkeypatch.setattr(html_extract, "SHARD_TOKENS", tokens)
+        got = {r.page_id: (r.text, r.boilerplate_tokens) for r in html_extract.extract(pages).collect()}
+        assert got == {k: (t, 14 * (k % 100 == 7)) for k, t in enumerate(own)}
+
+
 # --- chat --------------------------------------------------------------------------------------
 
 
