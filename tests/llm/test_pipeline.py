@@ -59,3 +59,16 @@ def test_stages_keep_the_columns(spark, edge_dir, empty_dir, kind):
         out = apply(spark, docs, at)
         assert out.columns == columns
         out.collect()
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    """Rows that share an id but not a text are no duplicates; rows that tie are chosen by their values."""
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(1, texts[0], "x"), (1, texts[1], "x"), (2, texts[0], "x"), (3, texts[2], "x"), (3, texts[2], "y"), (None, texts[0], "x")]
+    seen = set()
+    for k in range(len(rows)):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, source string").repartition(1 + k)
+        out = [tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, SMALL).collect()]
+        assert sorted(x[:2] for x in out if x[0]) == [(1, texts[0]), (1, texts[1]), (3, texts[2])] and len(out) == 4
+        seen.add(tuple(sorted(out, key=str)))
+    assert len(seen) == 1

@@ -27,7 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stage
 from .common import components, query, table, texts
@@ -64,12 +64,17 @@ def _fingerprint_batches(batches):
     for batch in batches:
         found = [fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         fps = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(2)], names=["doc_id", "fp", "text_hash"])
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a long."""
-    return texts(docs).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """doc_id, fp, the fingerprint's 64 bits as a long, and text_hash."""
+    own = texts(docs).withColumn("text_hash", text_hash(F.col("text")))
+    return own.mapInArrow(_fingerprint_batches, "doc_id long, fp long, text_hash long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -304,24 +309,35 @@ def union(roots: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             roots = up
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: one row per row of ``docs``."""
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, text_hash, component_id and the class's root: one row per row of ``docs``."""
     own = stage(fingerprints(docs), "fingerprints")
     distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     roots = components(links(distinct.select("fp")))
     joined = distinct.join(roots, F.col("fp") == F.col("node"), "left")
     joined = stage(joined.select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "roots")
     smallest = joined.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    classes = stage(joined.join(smallest, "root").select("fp", "component_id"), "classes")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stage(joined.join(smallest, "root").select("fp", "component_id", "root"), "classes")
+    return own.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: one row per row of ``docs``."""
+    return _classified(docs).select("doc_id", "fp", "component_id")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose id is their class id, each id once. Rows without an id stay: no
-    class can name them."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class: the smallest id, then the smallest fingerprint, text hash and row
+    hash. Rows that share an id but not a class are kept each. Rows without an id stay: no class
+    can name them."""
+    named = _classified(docs).where("doc_id = component_id")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("first"))
+    keep = first.select("first.doc_id", F.col("first.text_hash").alias("__text")).distinct()
+    rows = docs.withColumn("__text", text_hash(F.col("text")))
+    found = rows.join(keep, [rows["doc_id"] == keep["doc_id"], rows["__text"] == keep["__text"]], "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    found = found.groupBy("doc_id", "__text").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
+    return found.select("__row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 @query("op10_simhash_pigeonhole")
