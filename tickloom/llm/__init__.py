@@ -3,10 +3,12 @@
 from . import (  # noqa: F401
     chat_format,
     decontaminate,
+    filter_audit,
     html_extract,
     maxent_lm,
     mixing,
     pii,
+    prefix_trie,
     quality_fm,
     quality_rules,
     simhash,

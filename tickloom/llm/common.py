@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import ship_package, stage
+from ..session import broadcast_if_small, ship_package, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _signature(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
+#: Rows of one key that a shuffled join may send to one task.
+HOT_ROWS = 20_000
+
+
+def join_counted(rows: DataFrame, by_key: DataFrame, key: list[str], count: str, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+    """``rows`` joined with ``by_key``, a staged table of one row a key whose column ``count`` says
+    how many of ``rows`` have that key; ``count`` is not in the result.
+
+    Keys of more than ``hot_rows`` rows, of which there are at most count(rows) / hot_rows, are
+    joined where their rows are, by a broadcast whose size is checked; all others are shuffled.
+    ``how`` is inner or left; null keys match nothing. ``rows`` is read twice if a key is hot.
+    """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    hot = stage(by_key.where(F.col(count) > hot_rows), "hot-keys")
+    names = [c for c in by_key.columns if c not in (*key, count)]
+    rest = by_key.where(F.col(count) <= hot_rows).select(*key, *names)
+    named = F.lit(True)
+    for k in key:
+        named = named & F.col(k).isNotNull()
+    if how == "left":
+        nulls = by_key.schema
+        unnamed = rows.where(~named).select(*rows.columns, *[F.lit(None).cast(nulls[c].dataType).alias(c) for c in names])
+    columns = [*rows.columns, *names]
+    if hot.isEmpty():
+        out = rows.where(named).join(rest, key, how).select(*columns)
+    else:
+        there = broadcast_if_small(hot.select(*key, *names))
+        cold = rows.where(named).join(broadcast_if_small(hot.select(*key)), key, "left_anti")
+        out = rows.join(there, key).select(*columns).unionByName(cold.join(rest, key, how).select(*columns))
+    return out.unionByName(unnamed) if how == "left" else out
