@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     chat_format,
+    chosen_path,
     decontaminate,
     filter_audit,
     html_extract,
