@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -129,3 +130,98 @@ def token_rows(docs, tokenizer) -> list:
         out.append((d, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def shingle_classes(docs) -> list:
+    """(n_shingles, component_id) of each (doc_id, text) row, by comparing all pairs of sets."""
+    sets = []
+    for _, t in docs:
+        ws = WORD.findall((t or "").translate(LOWER))
+        sets.append(frozenset(zip(ws, ws[1:])) or frozenset([tuple(ws)] if ws else []))
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least: dict = {}
+    for k, (d, _) in enumerate(docs):
+        if d is not None:
+            least[find(k)] = min(d, least.get(find(k), d))
+    return [(len(s), least.get(find(k))) for k, s in enumerate(sets)]
+
+
+def filter_rows(docs, labels) -> set:
+    """The audit's rows from (doc_id, text, source) and (doc_id, quality, toxic) rows, document by document."""
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
+    least: dict = {}
+    for d, t, _ in docs:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    fails = []
+    for d, t, s in docs:
+        t = t or ""
+        ws = WORD.findall(t)
+        told = {
+            "A": len(ws) < 200,
+            "B": 100 * len(set(ws)) < 50 * len(ws),
+            "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t),
+            "D": bool(re.search("[#$%&*|]", t)),
+            "E": d is not None and d > least[t],
+        }
+        fails.append((s or "", d, {f for f, x in told.items() if x}))
+    counts: dict = {}
+    for part in {p for p, *_ in fails}:
+        for order in itertools.permutations("ABCDE"):
+            for step, f in enumerate(order):
+                row = dict.fromkeys(("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"), 0)
+                before = set(order[:step])
+                for p, d, bad in fails:
+                    if p == part:
+                        here = f in bad and not bad & before
+                        row["removed"] += here
+                        row["kept"] += not bad & (before | {f})
+                        row["redundant"] += f in bad and bool(bad & before)
+                        row["unique_fails"] += bad == {f}
+                        row["good_lost"] += here and d in good
+                        row["toxic_lost"] += here and d in toxic
+                counts[part, "".join(order), step + 1] = row
+    shapley = Counter()
+    for (part, order, step), row in counts.items():
+        shapley[part, order[step - 1]] += row["removed"]
+    return {(*key, *row.values(), shapley[key[0], key[1][key[2] - 1]]) for key, row in counts.items()}
+
+
+def trie_rows(turns) -> set:
+    """The trie's nodes from (conv_id, turn, role, text) rows; ties by the SHA-256 of role and text."""
+    own = defaultdict(list)
+    for c, turn, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, sha(f"{len(role)}:{role}{text}"), role, text))
+    own = {c: [x[3:] for x in sorted(rows)] for c, rows in own.items()}
+    members = defaultdict(list)
+    whole = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - int(math.fmod(c, 20))
+        whole[c] = tuple(own.get(base, [])[:h] + own[c][h:])
+        for d in range(len(whole[c]) + 1):
+            members[whole[c][:d]].append(c)
+    children = Counter(path[:-1] for path in members if path)
+    rows = set()
+    for path, cs in members.items():
+        below = [y for y in members if y[: len(path)] == path]
+        saved = sum((len(members[y]) - 1) * len(WORD.findall(y[-1][1])) for y in below if y)
+        leaves = sum(not children[y] for y in below)
+        ends = ",".join(str(c) for c in sorted(c for c in cs if whole[c] == path))
+        rows.add((min(cs), len(path), min(members[path[:-1]]) if path else None, len(cs), children[path], leaves, saved, sha(ends)))
+    return rows
