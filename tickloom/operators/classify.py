@@ -1,30 +1,23 @@
-"""Classifier two-sample tests and projections with distributed ML fits."""
+"""Classifier two-sample tests and projections with distributed fits."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import PROTOCOL, Protocol
-from ..session import stage
 from . import fidelity
 from .fidelity import seeded_order
+from .logit import Fits
 from .windows import sessions
 
 FOLDS = 5
-ROWS_PER_TASK = 20_000
-PARALLEL_FITS = 8
 
 
 def labelled_pairs(real: DataFrame, synthetic: DataFrame, group: str, groups: list) -> DataFrame:
-    """(group, label, row_id, x): the real rows meet each synthetic group.
+    """(group, label, row_id, features_flat): the real rows meet each synthetic group.
 
     ``real`` holds (row_id, features_flat); ``synthetic`` adds the group column. The
     groups are a short list of names.
@@ -32,7 +25,7 @@ def labelled_pairs(real: DataFrame, synthetic: DataFrame, group: str, groups: li
     copies = F.explode(F.array(*[F.lit(g) for g in groups]))
     a = real.select(copies.alias(group), F.lit(0).alias("label"), "row_id", "features_flat")
     b = synthetic.select(group, F.lit(1).alias("label"), "row_id", "features_flat")
-    return a.unionByName(b).withColumn("x", array_to_vector("features_flat")).drop("features_flat")
+    return a.unionByName(b)
 
 
 def require_equal_classes(rows: DataFrame, *by: str) -> None:
@@ -50,56 +43,13 @@ def with_folds(rows: DataFrame, group: str, folds: int = FOLDS, seed: int = 42)
     return placed.withColumn("fold", (F.col("__place") % folds).cast("int")).drop("__place")
 
 
-def logistic(n_train: int, features: str = "x") -> LogisticRegression:
-    """L2 logistic regression with C = 1 on features scaled by their population std.
-
-    The built-in scaling uses the sample std, which the factor (n - 1) / n makes up for.
-    """
-    strength = (n_train - 1) / (n_train * n_train)
-    return LogisticRegression(
-        featuresCol=features, labelCol="label", regParam=strength, elasticNetParam=0.0, standardization=True, maxIter=100, tol=1e-6
-    )
-
-
-def _parallel(spark: SparkSession, jobs: list[Callable[[], DataFrame]]) -> list[DataFrame]:
-    """Run independent distributed fits side by side, as cross validation does."""
-    targets = [inheritable_thread_target(spark)(job) for job in jobs]
-    pool = ThreadPool(min(PARALLEL_FITS, len(jobs)))
-    try:
-        return pool.map(lambda target: target(), targets)
-    finally:
-        pool.close()
-
-
-def _sized(rows: DataFrame, n: int) -> DataFrame:
-    """No more tasks per pass of a fit than its rows are worth; large inputs keep theirs."""
-    return rows.coalesce(max(1, n // ROWS_PER_TASK))
-
-
-def _probability(model, rows: DataFrame, keep: list[str]) -> DataFrame:
-    return model.transform(rows).select(*keep, F.element_at(vector_to_array("probability"), 2).alias("score"))
-
-
 def out_of_fold_scores(rows: DataFrame, group: str, groups: list, folds: int = FOLDS) -> DataFrame:
-    """Held-out probability of every row, one fit per (group, fold).
+    """Held-out probability of every row, one fit per (group, fold), all fits in the same passes.
 
-    ``rows`` holds (group, label, row_id, fold, x). Both labels must have as many rows.
+    ``rows`` holds (group, label, row_id, fold, features_flat). Both labels must have as many rows.
     """
     require_equal_classes(rows, group, "label")
-    rows = rows.persist()
-    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy(group, "fold").count().collect()}  # groups x folds counts
-
-    def fit(name, fold: int) -> DataFrame:
-        mine = rows.where(F.col(group) == name)
-        n_train = sum(n for (g, f), n in sizes.items() if g == name and f != fold)
-        train = _sized(mine.where(F.col("fold") != fold), n_train)
-        model = logistic(n_train).fit(train)
-        return _probability(model, mine.where(F.col("fold") == fold), [group, "label", "row_id", "fold"])
-
-    parts = _parallel(rows.sparkSession, [lambda g=g, f=f: fit(g, f) for g in groups for f in range(folds)])
-    scores = stage(reduce(DataFrame.unionByName, parts), "oof")
-    rows.unpersist()
-    return scores
+    return Fits(rows, group, groups, folds).held_out_scores()
 
 
 def fold_metrics(scores: DataFrame, group: str) -> DataFrame:
@@ -127,24 +77,11 @@ def holdout_report(scores: DataFrame, group: str) -> DataFrame:
 def discriminative_score(rows: DataFrame, group: str, groups: list, components: int = 20, share: float = 0.3) -> DataFrame:
     """|accuracy - 0.5| of a logistic fit on leading components, 30 % held out.
 
-    Folds of ten: three are held out. ``rows`` holds (group, label, row_id, fold, x).
+    Folds of ten: three are held out. ``rows`` holds (group, label, row_id, fold, features_flat).
     """
     held = round(share * 10)
-    rows = rows.persist()
-
-    def fit(name) -> DataFrame:
-        mine = rows.where(F.col(group) == name)
-        train = mine.where(F.col("fold") >= held)
-        n_train = train.count()
-        train = _sized(train, n_train)
-        pca = PCA(k=min(components, n_train - 1), inputCol="x", outputCol="z").fit(train)
-        strength = LogisticRegression(featuresCol="z", labelCol="label", regParam=1.0 / n_train, standardization=False, maxIter=200, tol=1e-7)
-        model = strength.fit(pca.transform(train))
-        return _probability(model, pca.transform(mine.where(F.col("fold") < held)), [group, "label"])
-
-    parts = _parallel(rows.sparkSession, [lambda g=g: fit(g) for g in groups])
-    out = stage(reduce(DataFrame.unionByName, parts), "held")
-    rows.unpersist()
+    parted = rows.withColumn("fold", F.when(F.col("fold") < held, 0).otherwise(1))
+    out = Fits(parted, group, groups, 1, components).held_out_scores()
     hit = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double")
     return out.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy")).withColumn(
         "score", F.abs(F.col("accuracy") - 0.5)
@@ -162,15 +99,25 @@ def pca_embedding(windows: DataFrame, keep: list[str], k: int = 2, first: int =
 
 
 def channel_shares(windows: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
-    """Loadings and squared shares of the channels in their three components."""
-    steps = sessions(windows, [], proto).select(array_to_vector(F.array(*proto.channels)).alias("x"))
-    scaled = StandardScaler(inputCol="x", outputCol="s", withMean=True).fit(steps).transform(steps)
-    model = PCA(k=len(proto.channels), inputCol="s", outputCol="z").fit(scaled)
-    pc, ratio = model.pc.toArray(), model.explainedVariance.toArray()
+    """Loadings and squared shares of the channels in their components, largest first.
+
+    Components of standardized channels are those of their correlations, which one aggregation
+    gives. A component's sign is the one that makes its largest loading positive.
+    """
+    names = proto.channels
+    steps = sessions(windows, [], proto)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    row = steps.agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
+    r = np.eye(len(names))
+    for k, (a, b) in enumerate(pairs):
+        r[names.index(a), names.index(b)] = r[names.index(b), names.index(a)] = row[k]
+    values, pc = np.linalg.eigh(r)
+    values, pc = values[::-1], pc[:, ::-1]
+    pc = pc * np.sign(pc[np.abs(pc).argmax(axis=0), np.arange(len(names))])
     rows = [
-        (f"pc{j + 1}", c, float(pc[i, j]), float(pc[i, j] ** 2), float(ratio[j]))
-        for j in range(len(proto.channels))
-        for i, c in enumerate(proto.channels)
+        (f"pc{j + 1}", c, float(pc[i, j]), float(pc[i, j] ** 2), float(values[j] / len(names)))
+        for j in range(len(names))
+        for i, c in enumerate(names)
     ]
     return windows.sparkSession.createDataFrame(
         rows, "component string, channel string, loading double, share double, explained_ratio double"

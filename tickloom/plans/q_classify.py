@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import classify, fidelity as fid
 from ..session import stage
 from .inputs import POOLS, Inputs, query
+from .oracle import r6 as R, sql
 from .q_fidelity import rounded
 
 METHODS = [m for m, _, _ in POOLS]
@@ -49,7 +50,7 @@ def c2st_grid(i: Inputs) -> DataFrame:
             b = pools.where(F.col("seed") == seed).select(F.lit(group).alias("comparison"), F.lit(1).alias("label"), "row_id", "features_flat")
             pair = stage(a.unionByName(b), "pair")
             parts.append(fid.balanced_sample(pair, "label", "row_id", seed))
-    rows = reduce(DataFrame.unionByName, parts).withColumn("x", classify.array_to_vector("features_flat")).drop("features_flat")
+    rows = reduce(DataFrame.unionByName, parts)
     folded = stage(classify.with_folds(rows, "comparison"), "folded")
     scores = classify.out_of_fold_scores(folded, "comparison", groups)
     split = F.split("comparison", ":")
@@ -67,6 +68,25 @@ def pca_embedding(i: Inputs) -> DataFrame:
     return rounded(classify.pca_embedding(i.evaluation, ["method", "window_id"]), ["method", "window_id"], ["pc1", "pc2"])
 
 
-@query("pca_channel_share")
+# Roots of the characteristic cubic of three correlations, largest first, and for each root the cross
+# product of two rows of (R - root) that is longest, which is its eigenvector.
+SHARE_SQL = f"""
+, r AS (SELECT corr(c0, c1) AS a, corr(c0, c2) AS b, corr(c1, c2) AS c FROM nsteps WHERE split = 'donor_train')
+, p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS s FROM r)
+, l AS (SELECT a, b, c, k, 1 + 2 * s * cos((acos(least(1, greatest(-1, a * b * c / (s * s * s)))) - 2 * pi() * (CASE k WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END)) / 3) AS root
+  FROM p, (SELECT unnest([1, 2, 3]) AS k))
+, o AS (SELECT *, row_number() OVER (ORDER BY root DESC) AS j FROM l)
+, x AS (SELECT j, root, unnest([
+    [a * c - b * (1 - root), b * a - c * (1 - root), (1 - root) * (1 - root) - a * a],
+    [a * (1 - root) - b * c, b * b - (1 - root) * (1 - root), (1 - root) * c - a * b],
+    [(1 - root) * (1 - root) - c * c, c * b - a * (1 - root), a * c - (1 - root) * b]]) AS v FROM o)
+, e AS (SELECT j, root, arg_max(v, list_sum(list_transform(v, lambda q: q * q))) AS v FROM x GROUP BY j, root)
+, u AS (SELECT j, root, list_transform(v, lambda q: q / sqrt(list_sum(list_transform(v, lambda w: w * w)))) AS v FROM e)
+, g AS (SELECT j, root, list_transform(v, lambda q: q * sign(list_aggregate(v, 'max') + list_aggregate(v, 'min'))) AS v FROM u)
+SELECT 'pc' || j AS component, ['log_return', 'log_high_low_range', 'log1p_volume'][i] AS channel,
+  {R('v[i]', 'loading')}, {R('v[i] * v[i]', 'share')}, {R('root / 3', 'explained_ratio')} FROM g, (SELECT unnest([1, 2, 3]) AS i)"""
+
+
+@query("pca_channel_share", sql("nsteps", SHARE_SQL))
 def pca_channel_share(i: Inputs) -> DataFrame:
-    return classify.channel_shares(i.real("donor_train"))
+    return rounded(classify.channel_shares(i.real("donor_train")), ["component", "channel"], ["loading", "share", "explained_ratio"])
