@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import small
+from ..session import small, stage
+from .correlate import tickers_in_order, wide_blocks
 from .sequence import quantiles
 
 
@@ -34,8 +35,13 @@ def calendar_gaps(panel: DataFrame) -> DataFrame:
 
 
 def wide(panel: DataFrame, value: str, tickers: list[str]) -> DataFrame:
-    """One row per date, one column per named ticker."""
-    return panel.groupBy("date").pivot("ticker", tickers).agg(F.max(value))
+    """One row per date, one column per named ticker, read off blocks of arrays."""
+    order = stage(tickers_in_order(panel.where(F.col("ticker").isin(*tickers)), value), "tickers")
+    at = {r.ticker: (r.block, r.slot) for r in order.collect()}  # the named tickers, which become columns
+    blocks = wide_blocks(panel, value, order)
+    cells = [F.max(F.when(F.col("block") == at[t][0], F.get("values", F.lit(at[t][1])))) if t in at else F.max(F.lit(None).cast("double")) for t in tickers]
+    found = blocks.groupBy("date").agg(*[c.alias(t) for c, t in zip(cells, tickers)])
+    return panel.select("date").distinct().join(found, "date", "left")
 
 
 def daily_volume(panel: DataFrame) -> DataFrame:
@@ -73,34 +79,6 @@ def range_stats(panel: DataFrame) -> DataFrame:
     return stats
 
 
-def ticker_corr(returns: DataFrame, tickers: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation of named tickers.
-
-    One pivot aligns the tickers by date; every pair is then an aggregate of the same
-    scan, so no rows are paired up and no date is a hot join key.
-    """
-    aligned = wide(returns, "log_return", tickers)
-    pairs = [(a, b) for k, a in enumerate(tickers) for b in tickers[k + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    cells = [
-        F.struct(
-            F.lit(a).alias("t1"), F.lit(b).alias("t2"), F.corr(a, b).alias("corr"), F.sum(both(a, b).cast("long")).alias("n")
-        ).alias(f"p{k}")
-        for k, (a, b) in enumerate(pairs)
-    ]
-    one = aligned.agg(*cells)
-    return one.select(F.explode(F.array(*[F.col(f"p{k}") for k in range(len(pairs))])).alias("p")).select("p.*")
-
-
-def top_bottom(pairs: DataFrame, n: int) -> DataFrame:
-    """The ``n`` most and least correlated pairs."""
-    parts = []
-    for side, order in (("top", F.col("corr").desc()), ("bottom", F.col("corr").asc())):
-        few = pairs.orderBy(order).limit(n).withColumn("side", F.lit(side))
-        parts.append(few.withColumn("place", F.row_number().over(W.partitionBy("side").orderBy(order))))
-    return parts[0].unionByName(parts[1])
-
-
 def drilldown(panel: DataFrame, returns: DataFrame, ticker: str) -> DataFrame:
     prices = panel.where(F.col("ticker") == ticker).groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),

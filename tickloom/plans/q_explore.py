@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import PROTOCOL
 from ..functions.arrays import r6
-from ..operators import explore, features
+from ..operators import correlate, explore, features
 from ..session import stage
 from .inputs import Inputs, query, text
 from .oracle import r6 as R, sql
@@ -106,7 +106,7 @@ PAIRS = """, pairs AS (SELECT a.ticker AS t1, b.ticker AS t2, corr(a.r, b.r) AS
 
 @query("ticker_corr", sql("panel", RETS + PAIRS + f"SELECT t1, t2, n, {R('c', 'corr')} FROM pairs"))
 def ticker_corr(i: Inputs) -> DataFrame:
-    return rounded(explore.ticker_corr(returns(i), TICKERS), ["t1", "t2", "n"], ["corr"])
+    return rounded(correlate.pair_correlations(returns(i), "log_return"), ["t1", "t2", "n"], ["corr"])
 
 
 @query(
@@ -120,7 +120,7 @@ UNION ALL SELECT 'bottom', t1, t2, {R('c', 'corr')}, row_number() OVER (ORDER BY
     ),
 )
 def top_bottom_pairs(i: Inputs) -> DataFrame:
-    table = explore.top_bottom(explore.ticker_corr(returns(i), TICKERS), 5)
+    table = correlate.top_bottom(returns(i), "log_return", 5)
     return rounded(table, ["side", "t1", "t2", F.col("place").cast("long").alias("place")], ["corr"])
 
 
