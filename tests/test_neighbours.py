@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import clean, explore, splits
-from tickloom.operators.neighbours import block_nearest, nearest
+from tickloom.operators import neighbours
+from tickloom.operators.neighbours import Cells, block_nearest, nearest
 
 
 def frame(spark, x, name):
@@ -89,3 +90,67 @@ def test_no_join_or_window_on_a_hot_key_alone(spark, no_broadcast):
     plan = plan_of(splits.with_daily_row(panel))
     assert "SortMergeJoin" not in plan and "windowspecdefinition(year" not in plan
     assert [r.daily_row for r in splits.with_daily_row(panel).orderBy("date", "ticker").collect()] == list(range(84))
+
+
+# --- the index of lower bounds -----------------------------------------------------------------
+
+
+def walks(seed, n, steps=65, channels=3):
+    """Windows of random walks: no clusters, and most of their spread in few directions."""
+    return np.random.default_rng(seed).normal(size=(n, steps, channels)).cumsum(axis=1).reshape(n, -1)
+
+
+def grouped(df, name, vec="vec"):
+    return df.select(F.lit(0).alias("group"), F.col(name), vec)
+
+
+def test_index_on_walks_is_exact_and_leaves_most_out(spark):
+    """At most a tenth of the (query, cell) pairs, so of the vectors sent, on data without clusters."""
+    x = walks(4, 6000)
+    q, t = frame(spark, x[:1500], "a"), frame(spark, x[1500:], "b")
+    cells = Cells(grouped(q, "a"), grouped(t, "b"), "a", "b", 1, "vec", False, 4096, cell_rows=32)
+    n_cells = cells.held.select("cell").distinct().count()
+    sent = cells.first.select(F.sum(F.size("cells"))).first()[0] + cells.more.count()
+    assert n_cells > 100 and sent <= 0.1 * 1500 * n_cells
+    best = cells.found().groupBy("a").agg(F.min("distance").alias("d")).collect()
+    want = brute(x[:1500], x[1500:], 1)[:, 0]
+    assert len(best) == 1500 and all(r.d == pytest.approx(want[r.a], rel=1e-12) for r in best)
+
+
+def test_keyed_index_is_exact(spark, monkeypatch):
+    """Large groups by k-d cells, small ones whole, with ties, copies and a group on one side alone."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(700, 6)), 1)
+    regime = np.where(np.arange(700) < 400, 0, np.where(np.arange(700) < 650, 1, np.arange(700) % 3 + 2))
+    rows = [(k, int(r), v.tolist()) for k, (r, v) in enumerate(zip(regime, x))] + [(5000, 99, [0.0] * 6)]
+    table = spark.createDataFrame(rows, "a long, regime int, vec array<double>")
+    other = table.where("regime < 99").withColumnRenamed("a", "b")
+    got = {}
+    for r in nearest(table, other, ["regime"], "a", "b", 12, skip_same_id=True, block_rows=64, prune_from=4).collect():
+        got.setdefault(r.a, {})[r["rank"]] = (r.b, r.distance)
+    for k in range(700):
+        mates = np.flatnonzero((regime == regime[k]) & (np.arange(700) != k))
+        d = np.sqrt(((x[mates] - x[k]) ** 2).sum(1))
+        want = sorted(zip(d, mates))[:12]
+        assert [got[k][r + 1][1] for r in range(len(want))] == pytest.approx([w[0] for w in want], rel=1e-12, abs=1e-12)
+        assert [got[k][r + 1][0] for r in range(len(want))] == [w[1] for w in want]  # ties by id
+    assert 5000 not in got
+
+
+def test_cells_searched_grow_slowly(spark):
+    """Twice the rows, not much more than twice the visits: near n log n, not n squared."""
+    visits = []
+    for n in (2000, 4000):
+        rng = np.random.default_rng(6)
+        table = frame(spark, rng.normal(size=(n, 6)), "a")
+        cells = Cells(grouped(table, "a"), grouped(table.withColumnRenamed("a", "b"), "b"), "a", "b", 12, "vec", True, 4096, cell_rows=64)
+        visits.append(cells.first.select(F.sum(F.size("cells"))).first()[0] + cells.more.count())
+    assert visits[1] <= 2.9 * visits[0]
+
+
+def test_index_of_equal_rows(spark):
+    x = np.ones((300, 20))
+    found = nearest(frame(spark, x, "a"), frame(spark, x, "b"), [], "a", "b", 2, skip_same_id=True, block_rows=50, prune_from=1)
+    got = found.collect()
+    assert len(got) == 600 and all(r.distance == 0 and r.a != r.b for r in got)
