@@ -49,7 +49,11 @@ def order_key(row_id: Column, seed: int | Column) -> Column:
     return _digest(row_id, seed, "order")
 
 
+#: Buckets that a hash order can be split into.
+MOST_BUCKETS = 16**6
+
+
 def order_bucket(key: Column, n: int) -> Column:
-    """Split a hash order into ``n`` <= 4096 even buckets that follow the order."""
-    word = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
-    return F.floor(word * F.lit(n) / F.lit(4096)).cast("int")
+    """Split a hash order into ``n`` <= MOST_BUCKETS even buckets that follow the order."""
+    word = F.conv(F.substring(key, 1, 6), 16, 10).cast("long")
+    return F.floor(word * F.lit(n) / F.lit(MOST_BUCKETS)).cast("int")

@@ -7,10 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL, Protocol
-from ..functions import hashrand
 from ..functions.arrays import absolute, channel, mean, std_pop, tail, total
-from .fidelity import SHUFFLE_BUCKETS
-from .sequence import with_position
+from .draw import first_rows
 
 FEATURES = ("rv5", "rv20", "rv60", "mean_abs_return20", "momentum20", "mean_range20", "mean_log_volume20", "std_log_volume20")
 TRADING_DAYS = 252.0
@@ -78,25 +76,19 @@ def require_pool_sizes(pool: DataFrame, n_real: Column, methods: list[str], prot
 def mixture_rows(pool: DataFrame, n_real: Column, methods: list[str], proto: Protocol = PROTOCOL) -> DataFrame:
     """Synthetic rows of every (method, ratio, seed) mixture, without replacement.
 
-    ``pool`` holds (method, synthetic_id, ...) of valid windows. Each seed shuffles a
-    pool once and every share takes a prefix of that order. A pool that is too small,
-    or absent, is an error.
+    ``pool`` holds (method, synthetic_id, ...) of valid windows. Each seed orders a
+    pool by hash and every share takes the first rows of that order. A pool that is too
+    small, or absent, is an error.
     """
     require_pool_sizes(pool, n_real, methods, proto)
     seeds = F.array(*[F.lit(s) for s in proto.seeds])
-    seeded = pool.withColumn("seed", F.explode(seeds)).withColumn(
-        "__key", hashrand.order_key(F.col("synthetic_id"), F.col("seed"))
-    )
-    placed = with_position(
-        seeded,
-        ["method", "seed"],
-        [F.col("__key"), F.col("synthetic_id")],
-        [hashrand.order_bucket(F.col("__key"), SHUFFLE_BUCKETS)],
-        "__place",
-    ).withColumn("__n_real", n_real)
-    grid = F.array(*[F.struct(F.lit(float(s)).alias("ratio"), synthetic_count(F.col("__n_real"), F.lit(float(s))).alias("n")) for s in proto.shares])
-    spread = placed.withColumn("__g", F.explode(grid)).where(F.col("__place") < F.col("__g.n"))
-    return spread.withColumn("ratio", F.col("__g.ratio")).drop("__g", "__place", "__key", "__n_real")
+    seeded = pool.withColumn("seed", F.explode(seeds)).withColumn("__n_real", n_real)
+    sizes = [(float(s), synthetic_count(F.col("__n_real"), F.lit(float(s)))) for s in proto.shares]
+    drawn = first_rows(seeded, ["method", "seed"], "synthetic_id", F.col("seed"), F.array(*[n for _, n in sizes]))
+    # Shares of one size take the same rows.
+    grid = F.array(*[F.struct(F.lit(share).alias("ratio"), n.alias("n")) for share, n in sizes])
+    spread = drawn.withColumn("__g", F.explode(grid)).where(F.col("__g.n") == F.col("__n"))
+    return spread.withColumn("ratio", F.col("__g.ratio")).drop("__g", "__n", "__n_real")
 
 
 def training_sets(real: DataFrame, mixtures: DataFrame, methods: list[str], proto: Protocol = PROTOCOL) -> DataFrame:
