@@ -6,14 +6,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL, Protocol
 from ..functions import hashrand
-from . import resample
+from ..session import stage
+from . import mixture, resample
 
 
 @dataclass(frozen=True)
@@ -94,24 +94,18 @@ def jitter_family(base: DataFrame, seed: int, specs: list[Candidate], chol: Colu
 def pca_gmm(donors: DataFrame, spec: Candidate, n: int, seed: int, proto: Protocol = PROTOCOL, max_iter: int = 500, starts: int = 2) -> DataFrame:
     """Gaussian mixture in PCA space, sampled and mapped back.
 
-    Fitting runs as distributed ML jobs, from ``starts`` seeds, of which the likelier fit is
-    kept; covariances get their floor after the fit. Only the model (at most 32 x 195 loadings and
-    12 small covariances) is held by the tasks that sample.
+    The likelier of ``starts`` fits is kept; covariances have their floor in every step. Only the
+    model (at most 32 x 195 loadings and 12 small covariances) is held by the tasks that sample.
     """
     width = proto.width
-    centred = donors.select(array_to_vector("features_flat").alias("x")).persist()
+    centred = donors.select("donor_idx", array_to_vector("features_flat").alias("x"))
     mean = np.array(donors.agg(F.array(*[F.avg(F.get("features_flat", F.lit(i))) for i in range(width)])).first()[0])
     pca = PCA(k=min(spec.components, width), inputCol="x", outputCol="z").fit(centred)
-    latent = pca.transform(centred).select("z").persist()
-    fits = [GaussianMixture(featuresCol="z", k=spec.clusters, seed=seed + s, maxIter=max_iter, tol=1e-3).fit(latent) for s in range(starts)]
-    mixture = max(fits, key=lambda fit: fit.summary.logLikelihood)
+    latent = stage(pca.transform(centred).select("donor_idx", vector_to_array("z").alias("z")), "latent")
+    fitted = mixture.fit(latent, "donor_idx", "z", spec.clusters, seed, starts, max_passes=max_iter)
     loadings = pca.pc.toArray()
-    weights = np.cumsum(mixture.weights)
-    means = [np.asarray(g.mean) for g in mixture.gaussians]
-    floor = 1e-4 * np.eye(loadings.shape[1])
-    roots = [np.linalg.cholesky((g.cov.toArray() + g.cov.toArray().T) / 2 + floor) for g in mixture.gaussians]
-    latent.unpersist()
-    centred.unpersist()
+    weights, means = np.cumsum(fitted.weights), fitted.means
+    roots = np.linalg.cholesky(fitted.covariances)
     # PCA scores are taken about the origin, so the mixture carries the mean already
     # inside the retained subspace; the rest of the mean is added back here.
     rest = mean - loadings @ (loadings.T @ mean)
