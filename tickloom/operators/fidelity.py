@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import PROTOCOL, Protocol
 from ..functions import hashrand
-from ..functions.arrays import channel, mean, std_pop, total
+from ..functions.arrays import channel, std_pop
 from ..session import broadcast_if_small
+from .draw import first_rows
 from .neighbours import nearest
 from .sequence import quantiles, sorted_runs, with_position
 from .pairs import mmd_rbf, pairwise_distances  # noqa: F401
@@ -15,17 +19,22 @@ from .windows import sessions, unpivot_channels
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 MAX_LAG = 20
-SHUFFLE_BUCKETS = 4096
+#: Rows of a bucket of a hash order, in the mean.
+BUCKET_ROWS = 100_000
 
 
 # --- samples ---------------------------------------------------------------
 
 
 def seeded_order(df: DataFrame, keys: list[str], row_id: str, seed: int, name: str) -> DataFrame:
-    """0-based place of each row in a seeded shuffle of its key group."""
+    """0-based place of each row in a seeded shuffle of its key group.
+
+    The hash order is cut into as many buckets as the rows fill.
+    """
+    buckets = min(hashrand.MOST_BUCKETS, max(1, df.count() // BUCKET_ROWS))
     keyed = df.withColumn("__key", hashrand.order_key(F.col(row_id), seed))
     placed = with_position(
-        keyed, keys, [F.col("__key"), F.col(row_id)], [hashrand.order_bucket(F.col("__key"), SHUFFLE_BUCKETS)], name
+        keyed, keys, [F.col("__key"), F.col(row_id)], [hashrand.order_bucket(F.col("__key"), buckets)], name
     )
     return placed.drop("__key")
 
@@ -35,9 +44,9 @@ def common_subset(ids: DataFrame, row_id: str, k: Column | int, seed: int) -> Da
     k = k if isinstance(k, Column) else F.lit(k)
     size = ids.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     told = F.concat_ws(" ", F.lit("the subset needs"), F.col("__k").cast("string"), F.lit("of"), F.col("__size").cast("string"), F.lit("ids"))
-    placed = seeded_order(ids.select(row_id), [], row_id, seed, "__place").withColumns({"__k": k, "__size": size})
-    taken = F.when(F.col("__k") > F.col("__size"), F.raise_error(told).cast("boolean")).otherwise(F.col("__place") < F.col("__k"))
-    return placed.where(taken).select(row_id)
+    sized = ids.select(row_id).withColumns({"__k": k, "__size": size})
+    enough = F.when(F.col("__k") > F.col("__size"), F.raise_error(told).cast("long")).otherwise(F.col("__k").cast("long"))
+    return first_rows(sized, [], row_id, seed, F.array(enough)).select(row_id)
 
 
 def apply_subset(pools: DataFrame, subset: DataFrame, row_id: str) -> DataFrame:
@@ -45,18 +54,11 @@ def apply_subset(pools: DataFrame, subset: DataFrame, row_id: str) -> DataFrame:
 
 
 def pick(df: DataFrame, keys: list[str], row_id: str, seed: int, n: Column, limit: int | None = None) -> DataFrame:
-    """The first ``n`` rows of each key in seeded order.
-
-    Only the ids are ordered; the rows themselves are met by a semi join. With a
-    ``limit`` on ``n`` the id list is bounded, and only then it is broadcast outright.
-    """
+    """The first ``n`` rows of each key in seeded order, ``limit`` at most."""
     if limit is not None:
         n = F.least(n, F.lit(limit))
-    on = [*keys, row_id]
-    placed = seeded_order(df.select(*on), keys, row_id, seed, "__place").withColumn("__n", n)
-    ids = placed.where(F.col("__place") < F.col("__n")).select(*on)
-    ids = F.broadcast(ids) if limit is not None else ids
-    return df.join(ids, on, "left_semi").select(*df.columns)
+    sized = df.withColumn("__wanted", F.array(n.cast("long")))
+    return first_rows(sized, keys, row_id, seed, F.col("__wanted")).select(*df.columns)
 
 
 def balanced_sample(df: DataFrame, label: str, row_id: str, seed: int) -> DataFrame:
@@ -141,37 +143,76 @@ def histogram(long: DataFrame, keys: list[str], bins: int) -> DataFrame:
 # --- time structure --------------------------------------------------------
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
-
-
-def window_acf(windows: DataFrame, keep: list[str], lags: list[int], channels: dict[str, Column], proto: Protocol = PROTOCOL) -> DataFrame:
-    """Biased autocorrelation inside each window: (keep, channel, lag, acf).
-
-    Windows without variance give null.
+def _lag_sums(x: np.ndarray, lags: list[int]) -> np.ndarray:
+    """(lags, 6) of series x (windows, steps): count, sum and squares of the biased autocorrelations
+    of windows that vary, count and sum of the Pearson correlations of x[:-k] with x[k:] where
+    neither side is flat, and the lag."""
+    d = x - x.mean(axis=1, keepdims=True)
+    v = np.einsum("nt,nt->n", d, d)
+    moves = v > 0
+    out = np.zeros((len(lags), 6))
+    for row, k in zip(out, lags):
+        a, b = d[:, : x.shape[1] - k], d[:, k:]
+        acf = np.einsum("nt,nt->n", a[moves], b[moves]) / v[moves]
+        row[:3] = acf.size, acf.sum(), (acf * acf).sum()
+        a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+        va, vb = (np.einsum("nt,nt->n", y, y) / a.shape[1] for y in (a, b))
+        both = (np.sqrt(va) > 1e-8) & (np.sqrt(vb) > 1e-8)
+        corr = np.einsum("nt,nt->n", a[both], b[both]) / a.shape[1] / np.sqrt(va[both] * vb[both])
+        row[3:] = corr.size, corr.sum(), k
+    return out
+
+
+def lag_table(windows: DataFrame, keys: list[str], series: dict[str, Column], lags: list[int]) -> DataFrame:
+    """(keys, channel, lag, acf, acf_std, valid_windows, pearson, pearson_windows) in one pass.
+
+    ``acf`` is the mean biased autocorrelation of windows with variance, ``pearson`` the mean
+    correlation of x[:-k] with x[k:] of windows where neither side is flat. A task takes the windows
+    of a batch as matrices, and returns one row per key, series and lag.
     """
-    length = proto.length
-    cells = F.array(*[F.struct(F.lit(n).alias("channel"), c.alias("x")) for n, c in channels.items()])
-    series = windows.select(*keep, F.explode(cells).alias("__c")).select(*keep, "__c.channel", "__c.x")
-    series = series.withColumn("__m", mean(F.col("x")))
-    series = series.withColumn("__d", F.transform("x", lambda v: v - F.col("__m")))
-    series = series.withColumn("__v", _dot(F.col("__d"), F.col("__d")))
-    d = F.col("__d")
-    points = F.array(
-        *[
-            F.struct(F.lit(k).alias("lag"), _dot(F.slice(d, 1, length - k), F.slice(d, k + 1, length - k)).alias("dot"))
-            for k in lags
-        ]
+    own = windows.select(F.struct(*keys).alias("k"), *[c.alias(f"x{j}") for j, c in enumerate(series.values())])
+    key_type = own.schema["k"].dataType
+    names = list(series)
+
+    def sums(batches):
+        total: dict = {}
+        values: dict = {}
+        for batch in batches:
+            code = batch.column(0).to_pylist()
+            groups: dict = {}
+            for row, k in enumerate(code):
+                groups.setdefault(tuple(k.values()), []).append(row)
+            xs = [np.asarray(c.flatten(), dtype=float).reshape(batch.num_rows, -1) for c in batch.columns[1:]]
+            for k, rows in groups.items():
+                values[k] = code[rows[0]]
+                part = np.stack([_lag_sums(x[rows], lags) for x in xs])
+                part[:, :, 5] = 0
+                total[k] = total[k] + part if k in total else part
+        rows = [(values[k], j, i, *t[j, i, :5]) for k, t in total.items() for j in range(len(names)) for i in range(len(lags))]
+        if rows:
+            columns = list(zip(*rows))
+            types = [to_arrow_type(key_type), pa.int32(), pa.int32(), *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["k", "j", "i", "n", "s", "ss", "pn", "ps"])
+
+    parts = own.mapInArrow(sums, f"k {key_type.simpleString()}, j int, i int, n double, s double, ss double, pn double, ps double")
+    added = parts.groupBy("k", "j", "i").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "pn", "ps")])
+    mean_ = F.try_divide("s", "n")
+    return added.select(
+        "k.*",
+        F.get(F.array(*map(F.lit, names)), F.col("j")).alias("channel"),
+        F.get(F.array(*map(F.lit, lags)), F.col("i")).alias("lag"),
+        mean_.alias("acf"),
+        F.sqrt(F.greatest(F.try_divide("ss", "n") - mean_ * mean_, F.lit(0.0))).alias("acf_std"),
+        F.col("n").cast("long").alias("valid_windows"),
+        F.try_divide("ps", "pn").alias("pearson"),
+        F.col("pn").cast("long").alias("pearson_windows"),
     )
-    spread = series.select(*keep, "channel", "__v", F.explode(points).alias("__p"))
-    acf = F.when(F.col("__v") > 0, F.col("__p.dot") / F.col("__v"))
-    return spread.select(*keep, "channel", F.col("__p.lag").alias("lag"), acf.alias("acf"))
 
 
-def mean_acf(windows: DataFrame, keys: list[str], lags: list[int], channels: dict[str, Column]) -> DataFrame:
-    return window_acf(windows, keys, lags, channels).groupBy(*keys, "channel", "lag").agg(
-        F.avg("acf").alias("acf"), F.stddev_pop("acf").alias("acf_std"), F.count("acf").alias("valid_windows")
-    )
+def return_series() -> dict[str, Column]:
+    """The returns of a window and their absolute values."""
+    returns = channel(F.col("features_flat"), 0)
+    return {"log_return": returns, "abs_return": F.transform(returns, lambda x: F.abs(x))}
 
 
 def acf_table(windows: DataFrame, absolute: bool) -> DataFrame:
@@ -179,9 +220,12 @@ def acf_table(windows: DataFrame, absolute: bool) -> DataFrame:
 
     ``windows`` holds (method, features_flat) with the real windows as method "real".
     """
-    returns = channel(F.col("features_flat"), 0)
-    series = F.transform(returns, lambda x: F.abs(x)) if absolute else returns
-    curves = mean_acf(windows, ["method"], list(range(1, MAX_LAG + 1)), {"r": series})
+    return acf_curves(lag_table(windows, ["method"], return_series(), list(range(1, MAX_LAG + 1))), absolute)
+
+
+def acf_curves(lags: DataFrame, absolute: bool) -> DataFrame:
+    """``acf_table`` from a table of lags of ``return_series``, such as a stage of it."""
+    curves = lags.where((F.col("channel") == ("abs_return" if absolute else "log_return")) & (F.col("lag") <= MAX_LAG))
     real = curves.where(F.col("method") == "real").select(
         "lag", F.col("acf").alias("real_acf"), F.col("valid_windows").alias("real_valid_windows")
     )
@@ -202,27 +246,6 @@ def acf_gaps(table: DataFrame) -> DataFrame:
     )
 
 
-def lagged_pearson(windows: DataFrame, keep: list[str], lags: list[int], proto: Protocol = PROTOCOL) -> DataFrame:
-    """Pearson correlation of x[:-k] with x[k:] per window; null when a side is flat."""
-    series = windows.select(*keep, channel(F.col("features_flat"), 0).alias("x"))
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("lag"),
-                F.slice("x", 1, proto.length - k).alias("a"),
-                F.slice("x", k + 1, proto.length - k).alias("b"),
-            )
-            for k in lags
-        ]
-    )
-    spread = series.select(*keep, F.explode(parts).alias("__p")).select(*keep, "__p.lag", "__p.a", "__p.b")
-    spread = spread.withColumn("ma", mean(F.col("a"))).withColumn("mb", mean(F.col("b")))
-    cov = total(F.zip_with("a", "b", lambda x, y: (x - F.col("ma")) * (y - F.col("mb")))) / F.size("a")
-    spread = spread.withColumn("sa", std_pop(F.col("a"))).withColumn("sb", std_pop(F.col("b"))).withColumn("cov", cov)
-    usable = (F.col("sa") > 1e-8) & (F.col("sb") > 1e-8)
-    return spread.select(*keep, "lag", F.when(usable, F.col("cov") / (F.col("sa") * F.col("sb"))).alias("corr"))
-
-
 # --- channel dependence ----------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import PROTOCOL
+from ..functions.arrays import channel
 from ..operators import classify, features, fidelity, resample, scaling, splits, utility, validity, windows
 from ..session import path_exists, shared_dir, ship_package, stage
 from ..sources import panel as panel_source
@@ -206,6 +207,13 @@ class Inputs:
         """Distance of every evaluation window to its nearest donor."""
         return stage(fidelity.nearest_train(self.evaluation, self.donors), "distances")
 
+    @cached_property
+    def lags(self) -> DataFrame:
+        """Autocorrelations of every channel and of absolute returns of the evaluation windows, from one pass."""
+        series = {c: channel(F.col("features_flat"), k) for k, c in enumerate(self.proto.channels)}
+        table = fidelity.lag_table(self.evaluation, ["method"], series | fidelity.return_series(), list(range(1, fidelity.MAX_LAG + 1)))
+        return stage(table, "lags")
+
     def pairs(self, folds: int) -> DataFrame:
         """Validation windows beside the shared subset of each pool, in stratified folds."""
         rows = self.evaluation.withColumnRenamed("window_id", "row_id")

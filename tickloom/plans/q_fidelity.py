@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import PROTOCOL
-from ..functions.arrays import channel, checksum, r6
+from ..functions.arrays import checksum, r6
 from ..operators import features, fidelity as fid, windows as win
 from ..operators.classify import require_equal_classes
 from ..operators.sequence import quantiles
@@ -119,7 +119,7 @@ ACF_SQL = f"""SELECT method, lag, {R('real_acf', 'real_acf')}, {R('synthetic_acf
 def _acf_query(name: str, table: str, absolute: bool) -> None:
     def run(i: Inputs) -> DataFrame:
         keep = ["method", F.col("lag").cast("long").alias("lag"), "real_valid_windows", "synthetic_valid_windows"]
-        return rounded(fid.acf_table(i.evaluation, absolute), keep, ACF_NAMES)
+        return rounded(fid.acf_curves(i.lags, absolute), keep, ACF_NAMES)
 
     query(name, sql(table, ACF_SQL + table))(run)
 
@@ -139,7 +139,7 @@ FROM (SELECT 'return' AS kind, * FROM acf_ret_table UNION ALL SELECT 'abs_return
 )
 def acf_gap_summary(i: Inputs) -> DataFrame:
     parts = [
-        fid.acf_gaps(fid.acf_table(i.evaluation, absolute)).withColumn("kind", F.lit(kind))
+        fid.acf_gaps(fid.acf_curves(i.lags, absolute)).withColumn("kind", F.lit(kind))
         for kind, absolute in (("return", False), ("abs_return", True))
     ]
     both = reduce(DataFrame.unionByName, parts)
@@ -156,8 +156,7 @@ FROM ({acf('evlong', 'x', 5)}) JOIN chan USING (ci) GROUP BY 1, 2, 3""",
     ),
 )
 def autocorr_multilag(i: Inputs) -> DataFrame:
-    series = {c: channel(F.col("features_flat"), k) for k, c in enumerate(CH)}
-    table = fid.mean_acf(i.evaluation, ["method"], [1, 2, 3, 4, 5], series)
+    table = i.lags.where(F.col("channel").isin(*CH) & (F.col("lag") <= 5)).select("method", "channel", "lag", "acf", "acf_std", "valid_windows")
     named = table.withColumnsRenamed({"acf": "autocorr_mean", "acf_std": "autocorr_std"})
     keep = ["method", "channel", F.col("lag").cast("long").alias("lag"), "valid_windows"]
     return rounded(named, keep, ["autocorr_mean", "autocorr_std"])
@@ -175,10 +174,8 @@ SELECT method, lag, {R('avg(r)', 'autocorr')}, count(r) AS n_windows FROM (
     ),
 )
 def autocorr_pearson(i: Inputs) -> DataFrame:
-    per_window = fid.lagged_pearson(i.evaluation, ["method", "window_id"], list(range(1, 11)))
-    return per_window.groupBy("method", F.col("lag").cast("long").alias("lag")).agg(
-        r6(F.avg("corr")).alias("autocorr"), F.count("corr").alias("n_windows")
-    )
+    table = i.lags.where((F.col("channel") == CH[0]) & (F.col("lag") <= 10))
+    return table.select("method", F.col("lag").cast("long").alias("lag"), r6("pearson").alias("autocorr"), F.col("pearson_windows").alias("n_windows"))
 
 
 CORR_SQL = f"""SELECT method, a.channel AS row_channel, b.channel AS column_channel, {R('v', 'correlation')}
@@ -415,7 +412,7 @@ def scorecard(i: Inputs) -> DataFrame:
     steps = win.sessions(i.evaluation, ["method"])
     w1 = fid.wasserstein(evaluation_long(i), METHODS).groupBy("method").agg(F.avg("wasserstein_1").alias("mean_wasserstein"))
     maes = [
-        fid.acf_table(i.evaluation, absolute).groupBy("method").agg(F.first("acf_mae").alias(name))
+        fid.acf_curves(i.lags, absolute).groupBy("method").agg(F.first("acf_mae").alias(name))
         for name, absolute in (("return_acf_mae", False), ("abs_return_acf_mae", True))
     ]
     corr = fid.corr_errors(fid.channel_corr(steps, ["method"])).select("method", F.col("mean_abs_off_diagonal").alias("corr_mae"))

@@ -276,8 +276,9 @@ def candidate_scores(i: Inputs, pools: DataFrame) -> DataFrame:
     auc = fid.roc_auc(oof, ["method"]).select(
         "method", F.col("roc_auc").alias("c2st_auc"), F.abs(F.col("roc_auc") - 0.5).alias("c2st_distance_from_0p5"), F.col("accuracy").alias("c2st_accuracy")
     )
+    lags = stage(fid.lag_table(both, ["method"], fid.return_series(), list(range(1, fid.MAX_LAG + 1))), "candidate_lags")
     maes = [
-        fid.acf_table(both, absolute).groupBy("method").agg(F.first("acf_mae").alias(name))
+        fid.acf_curves(lags, absolute).groupBy("method").agg(F.first("acf_mae").alias(name))
         for name, absolute in (("return_acf_mae", False), ("abs_return_acf_mae", True))
     ]
     nn = fid.distance_summary(stage(fid.nearest_train(both, i.donors), "candidate_nn"), ["method"]).select(
@@ -395,7 +396,7 @@ def fidelity_table(i: Inputs) -> DataFrame:
     w1 = fid.wasserstein(evaluation_long(i), METHODS).groupBy("method").pivot("channel", list(PROTOCOL.channels)).agg(F.max("wasserstein_1"))
     w1 = w1.withColumnsRenamed({c: f"wasserstein_{c}" for c in PROTOCOL.channels})
     maes = [
-        fid.acf_table(i.evaluation, absolute).groupBy("method").agg(F.avg("acf_mae").alias(name))
+        fid.acf_curves(i.lags, absolute).groupBy("method").agg(F.avg("acf_mae").alias(name))
         for name, absolute in (("return_acf_mae", False), ("abs_return_acf_mae", True))
     ]
     corr = fid.corr_errors(fid.channel_corr(win.sessions(i.evaluation, ["method"]), ["method"])).select(
@@ -557,7 +558,7 @@ def grid_completeness(i: Inputs) -> DataFrame:
 )
 def metric_match(i: Inputs) -> DataFrame:
     """The written autocorrelation table against one recomputed from the windows."""
-    frozen = stage(fid.acf_table(i.evaluation, False), "frozen_acf")
+    frozen = stage(fid.acf_curves(i.lags, False), "frozen_acf")
     report_table = report.metric_match(frozen, fid.acf_table(i.evaluation, False), ["method", "lag"], "synthetic_acf")
     complete = (F.col("n_frozen") == fid.MAX_LAG) & (F.col("n_again") == fid.MAX_LAG)
     return report_table.select("method", "n_frozen", "n_again", complete.alias("complete"), "all_match")
