@@ -19,6 +19,17 @@ def require_columns(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return df
 
 
+def column_report(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(name, present, n_values) of each required column; an absent one has no value."""
+    cells = [
+        F.struct(F.lit(n).alias("name"), F.lit(n in df.columns).alias("present"), (F.count(n) if n in df.columns else F.sum(F.lit(0))).alias("n_values"))
+        for n in names
+    ]
+    one = df.agg(*[c.alias(f"c{k}") for k, c in enumerate(cells)])
+    long = one.select(F.explode(F.array(*[F.col(f"c{k}") for k in range(len(names))])).alias("c")).select("c.*")
+    return long.withColumn("n_values", F.coalesce("n_values", F.lit(0)))
+
+
 def all_finite(names: tuple[str, ...] = VALUES) -> Column:
     ok = F.lit(True)
     for name in names:

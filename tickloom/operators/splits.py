@@ -88,13 +88,9 @@ def split_assertions(panel: DataFrame, proto: Protocol = PROTOCOL) -> DataFrame:
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Inner join plus a one-row report that proves both sides unique and whole."""
     joined = left.join(right, keys, "inner")
-    sides = [
-        left.select(*keys, F.lit(1).alias("__l"), F.lit(0).alias("__r")),
-        right.select(*keys, F.lit(0).alias("__l"), F.lit(1).alias("__r")),
-    ]
-    per_key = reduce(DataFrame.unionByName, sides).groupBy(*keys).agg(
-        F.sum("__l").alias("l"), F.sum("__r").alias("r")
-    )
+    # Sides stored in buckets of the keys are counted and met where they are.
+    l, r = (side.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "__l"), (right, "__r")))
+    per_key = l.join(r, keys, "full_outer").select(F.coalesce("__l", F.lit(0)).alias("l"), F.coalesce("__r", F.lit(0)).alias("r"))
     report = per_key.agg(
         F.sum("l").alias("left_rows"),
         F.sum("r").alias("right_rows"),

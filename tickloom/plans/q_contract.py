@@ -482,7 +482,7 @@ def pool_union(i: Inputs) -> DataFrame:
 
 def _lag1(df: DataFrame, keys: list[str]) -> DataFrame:
     series = {c: channel(F.col("features_flat"), k) for k, c in enumerate(PROTOCOL.channels)}
-    return fid.mean_acf(df, keys, [1], series).select(*keys, "channel", F.col("acf").alias("autocorr"))
+    return fid.lag_table(df, keys, series, [1]).select(*keys, "channel", F.col("acf").alias("autocorr"))
 
 
 SEEDSTEPS = """
@@ -532,3 +532,26 @@ def per_seed_validation(i: Inputs) -> DataFrame:
     table = own.join(n, "seed").join(mmd, "seed").join(ref, "channel").join(acs, ["seed", "channel"]).join(ref_acs, "channel")
     names = ["mmd", "mean_validation", "mean_synthetic", "std_validation", "std_synthetic", "autocorr_validation", "autocorr_synthetic"]
     return rounded(table, ["seed", "channel", "n_synthetic"], names)
+
+
+@query(
+    "pool_seed_split",
+    sql(
+        "pools3",
+        f"""SELECT seed AS training_seed, count(*) AS n_windows, min(id) AS first_id, max(id) AS last_id, {R("avg(list_sum(list_transform(flat, lambda x, i: x * i)))", "mean_checksum")}
+FROM pools3 WHERE method = 'correlated_jitter' GROUP BY seed""",
+    ),
+)
+def pool_seed_split(i: Inputs) -> DataFrame:
+    """One pool file per seed, half of them with the older name of the seed column, split by seed again."""
+    root = f"{shared_dir(i.spark)}/stages/seeds-{uuid.uuid4().hex}"
+    paths = []
+    for k, seed in enumerate(i.proto.seeds):
+        paths.append(f"{root}/part_{k}")
+        pool = i.pool("correlated_jitter", seed).drop("seed").withColumn("training_seed" if k % 2 else "seed", F.lit(seed))
+        pool.write.parquet(paths[-1])
+    flat = F.col("features_flat")
+    weighted = F.aggregate(F.transform(flat, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return files.read_pools(i.spark, paths).groupBy("training_seed").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.min("synthetic_id").alias("first_id"), F.max("synthetic_id").alias("last_id"), r6(F.avg(weighted)).alias("mean_checksum")
+    )

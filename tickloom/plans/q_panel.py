@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PROTOCOL
 from ..functions.arrays import r6
 from ..operators import clean, features, splits
-from ..sources import panel as src
+from ..session import shared_dir
+from ..sources import layout, panel as src
 from .inputs import Inputs, query, text
 from .oracle import FULL, TOL, ok, r6 as R, sql
 
@@ -56,6 +59,65 @@ def ingest_manifest(i: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "required_columns",
+    sql(
+        "dirty",
+        " UNION ALL ".join(f"SELECT '{c}' AS name, true AS present, count({c}) AS n_values FROM dirty" for c in src.PANEL_COLUMNS)
+        + " UNION ALL SELECT 'adjusted_close', false, 0 FROM dirty LIMIT 8",
+    ),
+)
+def required_columns(i: Inputs) -> DataFrame:
+    """Columns that cleaning needs, and one that this panel doesn't have."""
+    return clean.column_report(i.dirty, (*src.PANEL_COLUMNS, "adjusted_close"))
+
+
+@query(
+    "dual_sink",
+    sql(
+        "panel",
+        f"""
+SELECT format, ticker, count(*) AS n_rows, min(date)::VARCHAR AS first_date, round(sum(close), 3) AS close_sum, round(max(high), 3) AS top, sum(volume) AS volume
+FROM panel, (VALUES ('csv'), ('parquet')) f(format) GROUP BY ALL""",
+    ),
+)
+def dual_sink(i: Inputs) -> DataFrame:
+    """The panel written as Parquet and as CSV, each read back by itself."""
+    path = f"{shared_dir(i.spark)}/stages/dual-{uuid.uuid4().hex}"
+    src.write_tables(i.panel, path)
+    back = {"parquet": i.spark.read.parquet(f"{path}/parquet"), "csv": i.spark.read.schema(i.panel.schema).option("header", True).csv(f"{path}/csv")}
+    both = [df.select(F.lit(name).alias("format"), *src.PANEL_COLUMNS) for name, df in back.items()]
+    return both[0].unionByName(both[1]).groupBy("format", "ticker").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        text(F.min("date")).alias("first_date"),
+        F.round(F.sum("close"), 3).alias("close_sum"),
+        F.round(F.max("high"), 3).alias("top"),
+        F.sum("volume").alias("volume"),
+    )
+
+
+@query(
+    "stored_join",
+    sql(
+        "labelled",
+        """
+SELECT ticker, split, count(*) AS n_rows, min(date)::VARCHAR AS first_date, max(date)::VARCHAR AS last_date, sum(volume) AS volume
+FROM labelled WHERE date BETWEEN DATE '1996-05-15' AND DATE '1998-02-10' GROUP BY 1, 2""",
+    ),
+)
+def stored_join(i: Inputs) -> DataFrame:
+    """Panel and labels stored in buckets of (date, ticker), joined over a range of dates without an exchange."""
+    keys, buckets = ["date", "ticker"], layout.buckets_for(i.panel)
+    name = uuid.uuid4().hex
+    panel = layout.store(i.panel, f"panel_{name}", keys, buckets)
+    labels = layout.store(splits.assign_split(i.panel).select(*keys, "split"), f"labels_{name}", keys, buckets)
+    span = ("1996-05-15", "1998-02-10")
+    joined = layout.between(panel, *span).join(layout.between(labels, *span).drop("year"), keys)
+    return joined.groupBy("ticker", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), text(F.min("date")).alias("first_date"), text(F.max("date")).alias("last_date"), F.sum("volume").alias("volume")
+    )
+
+
 @query(
     "pushdown_scan",
     """

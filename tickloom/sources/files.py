@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import stage
+
 REGISTRY_SCHEMA = (
     "registry_version int, methods array<struct<method_id: string, method_family: string, source_model: string, source_directory: string, "
     "path: string, sha256: string, rows: bigint, logical_shape: array<bigint>, training_seed: int, space: string, window_length: int, "
@@ -12,14 +18,44 @@ REGISTRY_SCHEMA = (
 )
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of the data files under ``path``.
+#: Bytes of a file that a task holds at a time.
+PIECE = 8 << 20
+
+
+def _open(path: str):
+    """A stream over the file that Spark's listing calls ``path``."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream(unquote("/" + rest.lstrip("/")))
+    # Spark's names of object stores, and those of the reader.
+    system, at = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+    return system.open_input_stream(at)
+
+
+def _digest_batches(batches):
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            state = hashlib.sha256()
+            with _open(path) as stream:
+                while piece := stream.read(PIECE):
+                    state.update(piece)
+            found.append(state.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*.parquet", files_per_task: int = 16) -> DataFrame:
+    """(path, length, sha256) of the files under ``path``.
 
-    Each file is one row, so this is for part files of ordinary size, not for single
-    files beyond two gigabytes.
+    Spark lists the files and deals them to tasks; a task reads one after the other in pieces of
+    PIECE bytes, so a file may be of any size. A digest is sequential, so a file is one task's.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    listed = stage(files.select("path", "length"), "file-list")
+    tasks = max(1, listed.count() // files_per_task)
+    return listed.repartition(tasks, "path").mapInArrow(_digest_batches, "path string, length long, sha256 string")
 
 
 def verify_snapshot(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
