@@ -10,15 +10,16 @@ A document's set is its distinct 2-word shingles. Two documents are linked if th
    walk together in the mean for ever, others part at once. A set's way to START levels needs
    nothing but its own tokens; from there on only sets in nodes of more than SMALL sets branch again.
 3. Nodes of up to SMALL sets compare all sketches, and give a spanning forest of the close pairs.
-   What still shares a larger node after MAX_DEPTH tokens is put together without comparing.
-   TREES independent trees are grown; their number follows from RECALL and the branching.
+   What still shares a larger node at the last level, which follows the number of sets, is put
+   together without comparing. The number of independent trees follows from RECALL, the branching
+   and the levels.
 4. The connected components of these pairs are clusters, and each is searched exactly on the
    full sets: a pivot is compared with every set of the cluster, until all sets outside the
    cluster's largest class have been pivots. Two sets that were never compared are then both in
    that class, so a group of copies costs a few pivots, not its pairs. A cluster too large for
    a task is dealt to tiles, and its pivots, eight times as many each round, go to every tile.
 
-Nodes and clusters that hold many rows are never one task: rows of hot nodes branch where they are.
+Larger nodes and clusters are never one task: rows of larger nodes branch where they are.
 
 Edge cases: a null text counts as empty; a text without words has no shingle, class itself, and is
 linked with nothing; one word is one shingle; texts of any length are read whole; every row of a
@@ -46,13 +47,14 @@ THRESHOLD = PERCENT / 100
 POSITIONS = 128
 #: Target share of the pairs at the threshold that meet in some tree's leaf, at the deepest.
 RECALL = 0.9995
-START, MAX_DEPTH = 2, 6
+#: Levels before the first comparison, and levels beyond for each factor of SPLIT that the sets are more than a node may be.
+START, SPLIT = 2, 32
 #: Sets of a node that are compared with each other.
 SMALL = 256
 #: Sketch bits of 128 that a pair at the threshold has different: 12.8 in the mean, 3.4 deviation.
 MAX_BITS = 28
-#: Rows of a comparing task, in the mean, and rows of a node from which it isn't one task's.
-GROUP_ROWS, HOT_NODE = 50_000, 20_000
+#: Rows of a comparing task, in the mean.
+GROUP_ROWS = 50_000
 #: Shingles of a cluster, or of a tile of one, that a task holds.
 TILE_SHINGLES = 2_000_000
 #: Pivots of a large cluster in the first round; each later one takes eight times as many.
@@ -70,7 +72,13 @@ def survival(depth: int) -> float:
     return alive
 
 
-TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(MAX_DEPTH)))
+def last_level(n_sets: int) -> int:
+    """The level at which chance alone leaves no large node: two unlike sets agree at one position in SPLIT at most."""
+    return START + max(2, math.ceil(math.log(max(1.0, n_sets / SMALL)) / math.log(SPLIT)))
+
+
+def trees_for(levels: int) -> int:
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - survival(levels)))
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -158,16 +166,19 @@ def _node_rows(node, row, batch):
 _NODE = "node long, d long, s1 long, s2 long"
 
 
-def _start(batches):
-    roots = mix(np.arange(TREES, dtype=np.uint64), 11)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            tokens = _tokens(batch.column(batch.schema.get_field_index("tokens")))
-            node, row = np.repeat(roots, batch.num_rows), np.tile(np.arange(batch.num_rows), TREES)
-            for _ in range(START):
-                node, row = branch(node, row, tokens)
-            yield _node_rows(node, row, batch)
+def _starter(trees: int):
+    def start(batches):
+        roots = mix(np.arange(trees, dtype=np.uint64), 11)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                tokens = _tokens(batch.column(batch.schema.get_field_index("tokens")))
+                node, row = np.repeat(roots, batch.num_rows), np.tile(np.arange(batch.num_rows), trees)
+                for _ in range(START):
+                    node, row = branch(node, row, tokens)
+                yield _node_rows(node, row, batch)
+
+    return start
 
 
 def _go_on(batches):
@@ -184,66 +195,53 @@ def _go_on(batches):
 _PAIRS = 1 << 21
 
 
-def _compare(last: bool):
-    """Of whole nodes: (true, u, v) for close pairs, a spanning forest; (false, node, d) of larger nodes."""
-
-    def compare(rows: pa.Table) -> pa.Table:
-        node, d, s1, s2 = (rows.column(c).to_numpy() for c in ("node", "d", "s1", "s2"))
-        order = np.lexsort((d, node))
-        node, d, s1, s2 = node[order], d[order], s1[order], s2[order]
-        edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        size = np.diff(np.append(edge, node.size))
-        end, large = np.repeat(edge + size, size), np.repeat(size > SMALL, size)
-        names, own = np.unique(d, return_inverse=True)
-        roots = np.arange(names.size)
-        if last and large.any():
-            roots = union(roots, own[large], own[np.repeat(edge, size)[large]])
-        left = np.where(large, 0, end - np.arange(node.size) - 1)
-        ends, at = np.cumsum(left), 0
-        while at < node.size:
-            before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + _PAIRS, "right")))
-            k = left[at:stop]
-            a = np.repeat(np.arange(at, stop), k)
-            b = a + 1 + np.arange(a.size) - np.repeat(np.cumsum(k) - k, k)
-            apart = roots[own[a]] != roots[own[b]]
-            a, b = a[apart], b[apart]
-            bits = np.bitwise_count((s1[a] ^ s1[b]).view(np.uint64)) + np.bitwise_count((s2[a] ^ s2[b]).view(np.uint64))
-            roots = union(roots, own[a[bits <= MAX_BITS]], own[b[bits <= MAX_BITS]])
-            at = stop
-        child = np.flatnonzero(roots != np.arange(names.size))
-        on = np.flatnonzero(large) if not last else np.zeros(0, dtype=np.int64)
-        found = np.append(np.ones(child.size, bool), np.zeros(on.size, bool))
-        return pa.table({"found": found, "a": np.append(names[child], node[on]), "b": np.append(names[roots[child]], d[on])})
-
-    return compare
+def _compare(rows: pa.Table) -> pa.Table:
+    """(u, v): of whole nodes, a spanning forest of the close pairs."""
+    node, d, s1, s2 = (rows.column(c).to_numpy() for c in ("node", "d", "s1", "s2"))
+    order = np.lexsort((d, node))
+    node, d, s1, s2 = node[order], d[order], s1[order], s2[order]
+    edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    size = np.diff(np.append(edge, node.size))
+    names, own = np.unique(d, return_inverse=True)
+    roots = np.arange(names.size)
+    left = np.repeat(edge + size, size) - np.arange(node.size) - 1
+    ends, at = np.cumsum(left), 0
+    while at < node.size:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + _PAIRS, "right")))
+        k = left[at:stop]
+        a = np.repeat(np.arange(at, stop), k)
+        b = a + 1 + np.arange(a.size) - np.repeat(np.cumsum(k) - k, k)
+        apart = roots[own[a]] != roots[own[b]]
+        a, b = a[apart], b[apart]
+        bits = np.bitwise_count((s1[a] ^ s1[b]).view(np.uint64)) + np.bitwise_count((s2[a] ^ s2[b]).view(np.uint64))
+        roots = union(roots, own[a[bits <= MAX_BITS]], own[b[bits <= MAX_BITS]])
+        at = stop
+    child = np.flatnonzero(roots != np.arange(names.size))
+    return pa.table({"u": names[child], "v": names[roots[child]]})
 
 
 def close_pairs(sets: DataFrame) -> DataFrame:
     """(u, v): pairs of d that some node found close, enough of them to connect all that any found."""
-    rows = stage(sets.select("d", "s1", "s2", "tokens").mapInArrow(_start, _NODE), "path-nodes")
+    last = last_level(sets.count())
+    rows = stage(sets.select("d", "s1", "s2", "tokens").mapInArrow(_starter(trees_for(last)), _NODE), "path-nodes")
     edges = None
-    for depth in range(START, MAX_DEPTH + 1):
-        last = depth == MAX_DEPTH
+    for level in range(START, last + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"))
-        hot = stage(sizes.where(F.col("n") > HOT_NODE), "hot-nodes")  # at most rows / HOT_NODE of them
-        hot_rows = rows.join(broadcast_if_small(hot), "node")
-        cold = rows.join(broadcast_if_small(hot.select("node")), "node", "left_anti")
+        # One row per larger node: at most rows / SMALL of them, and their true size is looked at.
+        large = broadcast_if_small(stage(sizes.where(F.col("n") > SMALL).drop("n"), "large-nodes"))
+        small = rows.join(large.select("node"), "node", "left_anti")
         bins = max(1, rows.count() // GROUP_ROWS)
-        cold = cold.withColumn("bin", F.pmod(F.xxhash64("node"), F.lit(bins)))
-        found = stage(cold.groupBy("bin").applyInArrow(_compare(last), "found boolean, a long, b long"), "path-pairs")
-        pairs = found.where("found").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if last:
-            pairs = pairs.unionByName(hot_rows.select(F.col("d").alias("u"), F.col("first").alias("v")))
-        edges = pairs if edges is None else edges.unionByName(pairs)
-        if last:
-            break
-        on = found.where("NOT found").select(F.col("a").alias("node"), F.col("b").alias("d")).unionByName(hot_rows.select("node", "d"))
-        nodes = stage(on.groupBy("d").agg(F.collect_list("node").alias("nodes")), "path-lists")  # at most TREES * 2^depth a set
+        found = small.withColumn("bin", F.pmod(F.xxhash64("node"), F.lit(bins))).groupBy("bin").applyInArrow(_compare, "u long, v long")
+        found = stage(found, "path-pairs")
+        edges = found if edges is None else edges.unionByName(found)
+        on = rows.join(large, "node")
+        if level == last:
+            return edges.unionByName(on.select(F.col("d").alias("u"), F.col("first").alias("v")))
+        nodes = stage(on.groupBy("d").agg(F.collect_list("node").alias("nodes")), "path-lists")  # trees * 2^level a set at most
         if nodes.isEmpty():
-            break
+            return edges
         rows = stage(nodes.join(sets.select("d", "s1", "s2", "tokens"), "d").mapInArrow(_go_on, _NODE), "path-nodes")
-    return edges
 
 
 # --- exact classes of a cluster ----------------------------------------------------------------
@@ -288,18 +286,21 @@ def cluster_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _verify(rows: pa.Table) -> pa.Table:
-    """Links within each cluster of a task."""
+    """(d, root): the classes of the clusters of a task."""
     cluster, d = rows.column("cluster").to_numpy(), rows.column("d").to_numpy()
     order = np.lexsort((d, cluster))
     fresh = np.append(True, (cluster[order][1:] != cluster[order][:-1]) | (d[order][1:] != d[order][:-1]))
     order = order[fresh]  # a repeated row is one
     column = rows.column("text").cast(pa.binary())
-    u, v = [], []
+    roots = np.arange(order.size)
+    at = 0
     for group in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
         links = cluster_links([shingles(column[int(k)].as_py()) for k in group])
-        u += [d[group[a]] for a, _ in links]
-        v += [d[group[b]] for _, b in links]
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        if links:
+            u, v = np.array(links).T
+            roots[at : at + group.size] = at + union(np.arange(group.size), u, v)
+        at += group.size
+    return pa.table({"d": d[order], "root": d[order][roots]})
 
 
 def _as_sets(batches):
@@ -325,59 +326,74 @@ def _against_pivots(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _large_links(members: DataFrame) -> DataFrame:
-    """Links of clusters dealt to tiles: ``members`` has cluster, tile, tiles, d and text."""
+def _solve(rows: pa.Table) -> pa.Table:
+    """(pivot, root) of the pivots of one cluster, from pairs of connected ones."""
+    u, v = rows.column("u").to_numpy(), rows.column("v").to_numpy()
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    roots = union(np.arange(names.size), ends[: u.size], ends[u.size :])
+    return pa.table({"pivot": names, "root": names[roots]})
+
+
+def _large_classes(members: DataFrame) -> DataFrame:
+    """(d, root) in clusters dealt to tiles: ``members`` has cluster, tile, tiles, d and text.
+
+    A class of more than one set has a pivot and is named by one; what connects classes is pairs of
+    pivots that one set links to, and these, as few as pivots can have, are solved cluster by cluster.
+    """
     sets = members.select("cluster", "tile", "d", "text").mapInArrow(_as_sets, "cluster long, tile long, d long, shingles binary")
     sets = stage(sets.dropDuplicates(["cluster", "tile", "d"]), "large-sets")
     tiles = stage(members.select("cluster", "tiles").distinct(), "large-clusters")
-    every = stage(sets.select("cluster", "tile", "d"), "large-members")
-    todo, asked, links, many = every, None, None, PIVOTS
+    #: Every set, the pivot that names its class (null: alone so far), and whether it was one itself.
+    state = stage(sets.select("cluster", "tile", "d", F.lit(None).cast("long").alias("label"), F.lit(False).alias("asked")), "large-state")
+    todo, many = state, PIVOTS
     while True:
         # The first ones by hash: of each tile, then of the cluster.
-        best = todo.withColumn("h", F.xxhash64("d"))
+        best = todo.select("cluster", "tile", "d", F.xxhash64("d").alias("h"))
         for by in (["cluster", "tile"], ["cluster"]):
             best = best.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("h", "d"))).where(F.col("k") <= many)
         pivots = stage(best.select("cluster", "tile", "d"), "pivots")
         if pivots.isEmpty():
-            return links
-        asked = pivots.select("d") if asked is None else asked.unionByName(pivots.select("d"))
-        sent = sets.join(pivots, ["cluster", "tile", "d"], "left_semi").join(tiles, "cluster")
+            return state.select("d", F.coalesce("label", "d").alias("root"))
+        sent = sets.join(pivots, ["cluster", "tile", "d"], "left_semi").join(broadcast_if_small(tiles), "cluster")
         sent = sent.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("cluster", "tile", "d", "shingles", F.lit(True).alias("pivot"))
         rows = sets.withColumn("pivot", F.lit(False)).unionByName(sent)
-        found = stage(rows.groupBy("cluster", "tile").applyInArrow(_against_pivots, "u long, v long"), "large-links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links).select(F.col("node").alias("d"), "root")
-        labelled = stage(every.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d")), "labels")
-        sizes = labelled.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main")).select("main.root")
-        todo = labelled.join(stage(main, "main"), "root", "left_anti").join(stage(asked, "asked"), "d", "left_anti")
-        todo = stage(todo.select("cluster", "tile", "d"), "left")
+        found = rows.groupBy("cluster", "tile").applyInArrow(_against_pivots, "u long, v long")
+        linked = found.groupBy(F.col("v").alias("d")).agg(F.collect_set("u").alias("pivots"))  # at most the pivots of a round
+        asked = pivots.select("d", F.lit(True).alias("now"))
+        met = state.join(linked, "d", "left").join(asked, "d", "left").withColumn("asked", F.col("asked") | F.coalesce("now", F.lit(False)))
+        own = F.array_compact(F.array("label", F.when(F.col("now"), F.col("d"))))
+        met = stage(met.withColumn("names", F.array_union(own, F.coalesce("pivots", F.array().cast("array<long>")))).drop("pivots", "now", "label"), "met")
+        pairs = met.where(F.size("names") > 0).select("cluster", F.explode("names").alias("u"), F.array_min("names").alias("v")).distinct()
+        solved = broadcast_if_small(stage(pairs.groupBy("cluster").applyInArrow(_solve, "pivot long, root long"), "pivot-roots"))
+        state = met.withColumn("pivot", F.array_min("names")).join(solved, "pivot", "left")
+        state = stage(state.select("cluster", "tile", "d", F.col("root").alias("label"), "asked"), "large-state")
+        sizes = state.groupBy("cluster", F.coalesce("label", "d").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main")).select("cluster", F.col("main.label").alias("main"))
+        todo = state.where("NOT asked").join(broadcast_if_small(stage(main, "main")), "cluster").where(F.coalesce("label", "d") != F.col("main"))
         many *= 8
 
 
-def links(docs: DataFrame, sets: DataFrame, repeated: bool) -> DataFrame:
-    """(u, v) of linked sets, as many as connect all classes."""
+def classes(docs: DataFrame, sets: DataFrame, repeated: bool) -> DataFrame:
+    """(d, root) of every set of a cluster: its class, named by one of its sets."""
     clusters = components(close_pairs(sets))
     clusters = clusters.select(F.col("node").alias("d"), F.col("root").alias("cluster"))
-    members = stage(sets.drop("tokens").join(clusters, "d"), "members")
-    size = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n"))
-    size = stage(size.withColumn("tiles", F.ceil(F.col("total") / TILE_SHINGLES).cast("long")), "cluster-sizes")
-    members = join_counted(members, size, ["cluster"], "n").select("cluster", "tiles", "total", "d", F.struct("rep.doc_id", "rep.text_hash").alias("rep"))
-    members = broadcast_if_small(stage(members, "named-members"))
+    members = stage(sets.select("d", "rep", "n_shingles").join(clusters, "d"), "members")
+    size = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("long").alias("tiles"))
+    large = broadcast_if_small(stage(size.where("tiles > 1"), "cluster-tiles"))  # at most shingles / TILE_SHINGLES
+    members = members.join(large, "cluster", "left").select("cluster", F.coalesce("tiles", F.lit(1)).alias("tiles"), "d", F.col("rep").alias("own"))
     rows = texts(docs).withColumn("rep", F.struct("doc_id", text_hash(F.col("text")).alias("text_hash")))
     same = (F.col("rep.text_hash") == F.col("own.text_hash")) & F.col("rep.doc_id").eqNullSafe(F.col("own.doc_id"))
-    here = rows.join(members.withColumnRenamed("rep", "own"), same).select("cluster", "tiles", "total", "d", "text")
+    here = rows.join(broadcast_if_small(stage(members, "named-members")), same).select("cluster", "tiles", "d", "text")
     if repeated:
-        here = here.groupBy("cluster", "tiles", "total", "d").agg(F.first("text").alias("text"))
+        here = here.groupBy("cluster", "tiles", "d").agg(F.first("text").alias("text"))
     here = stage(here, "member-texts")
-    total = here.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bins = max(1, int(total // (8 * TILE_SHINGLES)))
-    small = here.where("tiles <= 1").withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    out = small.groupBy("bin").applyInArrow(_verify, "u long, v long")
-    large = here.where("tiles > 1").withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")))
-    if large.isEmpty():
+    total, most = here.agg(F.sum(F.octet_length("text")), F.max("tiles")).first()
+    bins = max(1, int((total or 0) // (8 * TILE_SHINGLES)))
+    small = here.where("tiles = 1").withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
+    out = small.groupBy("bin").applyInArrow(_verify, "d long, root long")
+    if (most or 0) < 2:
         return out
-    return out.unionByName(_large_links(large))
+    return out.unionByName(_large_classes(here.where("tiles > 1").withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -393,13 +409,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     # Numbered once, as the stage is written.
     sets = stage(sets.withColumn("d", F.monotonically_increasing_id()), "sets")
-    roots = components(links(docs, sets, repeats > 1)).select(F.col("node").alias("d"), "root")
-    skinny = sets.select("d", "k1", "k2", "n_rows", "first_doc").join(roots, "d", "left")
-    skinny = stage(skinny.withColumn("root", F.coalesce("root", "d")).drop("d"), "set-roots")
-    least = skinny.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    classes = join_counted(skinny, stage(least, "classes"), ["root"], "n").select("k1", "k2", "n_rows", "component_id")
+    roots = stage(classes(docs, sets, repeats > 1), "set-roots")
+    named = stage(sets.select("d", "k1", "k2", "n_rows", "first_doc").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d")).drop("d"), "named-sets")
+    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    # Most classes are one set, which knows its smallest id.
+    several = stage(least.where("n > 1"), "classes")
+    joined = join_counted(named, several, ["root"], "n", "left").select("k1", "k2", "n_rows", F.coalesce("component_id", "first_doc").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "k1", "k2")
-    out = join_counted(rows.where("n_shingles > 0"), stage(classes, "set-classes"), ["k1", "k2"], "n_rows")
+    out = join_counted(rows.where("n_shingles > 0"), stage(joined, "set-classes"), ["k1", "k2"], "n_rows")
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return out.unionByName(alone).select("doc_id", "n_shingles", "component_id")
 
