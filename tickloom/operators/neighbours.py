@@ -8,8 +8,8 @@ Groups of many blocks are searched through an index of lower bounds (``Cells``).
 its coordinates along a few orthonormal directions, whose distance is never more than that of the
 rows, and its distances to a few pivots. Targets are put into cells by a tree that splits the
 coordinates at medians, and each cell has the box of its summaries. A query searches the nearest
-boxes first, which bounds how far its neighbours can be, and then only those boxes that are closer;
-its vector travels to these cells alone. Rows of up to SUMMARY numbers are their own coordinates, so
+boxes first, which bounds how far its neighbours can be. Its summary then visits the other boxes that
+are closer than this bound, and its vector only those cells that have a row whose summary is. Rows of up to SUMMARY numbers are their own coordinates, so
 the tree is then a k-d tree over the rows. The result is that of a search of everything.
 """
 
@@ -248,8 +248,9 @@ class Cells:
         near = stage(_by_key(visits, cells, ["group", "cell"], *args).drop("cell"), "first-found")
         by_query = W.partitionBy("group", "id").orderBy("distance", "target")
         bound = near.withColumn("__r", F.row_number().over(by_query)).where(F.col("__r") == k).select("group", "id", F.col("distance").alias("bound"))
-        rest = self.first.join(bound, ["group", "id"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-        self.more = stage(self._rest(rest), "further-cells")
+        rest = self.first.drop("vec").join(bound, ["group", "id"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        screened = stage(self._screened(stage(self._rest(rest), "near-boxes")), "near-rows")
+        self.more = stage(screened.join(self.own.select("group", "id", "vec"), ["group", "id"]), "further-cells")
         self._near, self._later = near, _by_key(self.more, cells, ["group", "cell"], *args).drop("cell")
 
     def found(self) -> DataFrame:
@@ -328,7 +329,7 @@ class Cells:
         return self.own.mapInArrow(choose, "group int, id long, vec array<double>, summary array<double>, cells array<int>")
 
     def _rest(self, queries: DataFrame) -> DataFrame:
-        """(group, id, vec, cell): every other box that is not farther than the query's bound."""
+        """(group, id, cell, summary, bound): every other box that is not farther than the query's bound."""
         boxes = self.boxes
 
         def choose(batches):
@@ -341,7 +342,33 @@ class Cells:
                         open_[k] &= ~np.isin(cells[at], seen[r])
                     row, box = np.nonzero(open_)
                     take = pa.array(rows[row])
-                    yield pa.RecordBatch.from_arrays([column("group").take(take), column("id").take(take), column("vec").take(take), pa.array(cells[at[box]].astype(np.int32))], names=["group", "id", "vec", "cell"])
-
-        names = ["group", "id", "vec", "summary", "cells", "bound"]
-        return queries.select(*names).mapInArrow(choose, "group int, id long, vec array<double>, cell int")
+                    columns = [column("group").take(take), column("id").take(take), pa.array(cells[at[box]].astype(np.int32)), column("summary").take(take), column("bound").take(take)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["group", "id", "cell", "summary", "bound"])
+
+        names = ["group", "id", "summary", "cells", "bound"]
+        return queries.select(*names).mapInArrow(choose, "group int, id long, cell int, summary array<double>, bound double")
+
+    def _screened(self, visits: DataFrame) -> DataFrame:
+        """(group, id, cell) of the visits whose cell has a row that may be as near as the bound, by its summary."""
+        width, slack = self.boxes.value[-2:]
+        grid = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("blocks"))
+        grid = small(grid, "visit-blocks")
+        left = visits.join(grid, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+        right = self.held.select("cell", F.col("summary").alias("held")).join(grid, "cell")
+        right = right.select("cell", "held", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+        def screen(queries: pa.Table, rows: pa.Table) -> pa.Table:
+            near = np.zeros(queries.num_rows, dtype=bool)
+            if queries.num_rows and rows.num_rows:
+                x, y, bound = matrix(queries["summary"]), matrix(rows["held"]), queries["bound"].to_numpy()
+                step = max(1, (1 << 22) // y.size)
+                for at in range(0, len(x), step):
+                    gap = np.abs(x[at : at + step, None, :] - y[None])
+                    least = np.sqrt((gap[:, :, :width] ** 2).sum(axis=2))
+                    if gap.shape[2] > width:
+                        least = np.maximum(least, gap[:, :, width:].max(axis=2))
+                    near[at : at + step] = (least * (1 - 1e-9) - slack <= bound[at : at + step, None]).any(axis=1)
+            return queries.select(["group", "id", "cell"]).filter(pa.array(near))
+
+        blocks = [F.col("cell"), F.col("block").cast("long")]
+        return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(screen, "group int, id long, cell int")
