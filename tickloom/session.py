@@ -40,14 +40,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application.
+    """Send this package to the executors once per application, and bound Arrow batches in bytes.
 
     Arrow and pandas workers import it by name, and a cluster's executors may lack it. Spark
-    serves the archive to every executor, also to those that join later.
+    serves the archive to every executor, also to those that join later. A batch of long texts is
+    then no larger than one of short ones, unless the application's own configuration names a bound.
     """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(bound):
+        spark.conf.set(bound, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
