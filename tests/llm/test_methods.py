@@ -88,12 +88,11 @@ def test_encoder_agrees_with_the_library():
     assert own.encode([]) == []
 
 
-def test_encoder_with_a_small_table(monkeypatch):
+def test_encoder_with_a_small_table():
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_codes, "CACHE_WORDS", 3)
     path = token_codes.tokenizer_path()
-    plain, own = Tokenizer.from_file(path), token_codes.Encoder(path)
+    plain, own = Tokenizer.from_file(path), token_codes.Encoder(path, table_bytes=3 * token_codes.ENTRY_BYTES)
     for t in ("one two three four five", "six two seven", "one two"):
         assert np.frombuffer(own.encode([t])[0], dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
@@ -249,6 +248,98 @@ def test_repeats_are_counted_over_the_whole_host(spark, monkeypatch):
         assert got == {k: (t, 14 * (k % 100 == 7)) for k, t in enumerate(own)}
 
 
+def plain_texts(pages):
+    """Each page's text by the rules' wording, page by page and run by run."""
+    import re
+
+    by_host = {}
+    for page_id, url, page in dict.fromkeys(pages):
+        rest = re.sub("^.*?//", "", url or "", count=1)
+        by_host.setdefault(re.match("[^/?#]*", rest)[0].rpartition("@")[2].lower(), []).append((page_id, url, page))
+    texts = {}
+    for own in by_host.values():
+        blocks = [html_extract.read_blocks(page or "") for _, _, page in own]
+        holders, streams = {}, []
+        for k, found in enumerate(blocks):
+            mine = []
+            for inside in (True, False):
+                words, owner = [], []
+                for b, (zone, text) in enumerate(found):
+                    if (zone == "article") == inside:
+                        block = [*text.split(" "), "\n"]
+                        words += block
+                        owner += [b] * len(block)
+                mine.append((words, owner))
+                for j in range(len(words) - 7):
+                    holders.setdefault(tuple(words[j : j + 8]), set()).add(k)
+            streams.append(mine)
+        for k, found in enumerate(blocks):
+            named = any(zone == "article" for zone, _ in found)
+            kept = []
+            for words, owner in streams[k]:
+                for b in dict.fromkeys(owner):
+                    zone, text = found[b]
+                    if zone == "article":
+                        least = max(3, 0.5 * len(own)) if len(own) >= 10 else math.inf
+                    elif zone == "plain" and not named:
+                        least = 3
+                    else:
+                        continue
+                    hit = set()
+                    for j in range(len(words) - 7):
+                        if len(holders[tuple(words[j : j + 8])]) >= least:
+                            hit |= set(range(j, j + 8))
+                    mine = [j for j, o in enumerate(owner) if o == b]
+                    if len(hit & set(mine)) < 0.6 * len(mine):
+                        kept.append((b, text))
+            texts[own[k]] = "\n".join(t for _, t in sorted(kept))
+    return texts
+
+
+def made_pages(n=40):
+    """Articles with an unmarked notice in most of them and a sentence that a third of them shares."""
+    rng = np.random.default_rng(12)
+    notice = "Support this paper and become a member for only two coins a month today"
+    sentence = "The minister said on Monday that nothing at all would change before the summer"
+    rows = []
+    for k in range(n):
+        own = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 25)) for _ in range(3)]
+        inner = "".join(f"<p>{t}</p>" for t in [own[0], *[notice] * (k % 8 != 0), own[1], *[sentence] * (k % 3 == 0), own[2]])
+        rows.append((k, f"https://paper.example/{k}", f"<body><div>Top of the page is the same on all pages here and there</div><article>{inner}</article></body>"))
+    rows += [(100 + k, f"http://u@Small.example/{k}?a", f"<article><p>{notice}</p><p>own {k}</p></article>") for k in range(7)]
+    rows += [(200 + k, f"small.example/{k}", f"<body><p>{notice}</p><p>words of page {k} that no other page of this host has at all</p></body>") for k in range(2)]
+    return [*rows, rows[0], rows[0], (300, None, None), (301, None, "<p>x</p>" * 3)], notice, sentence
+
+
+@pytest.mark.parametrize("tokens", [500_000, 400])
+def test_what_half_of_a_host_repeats_goes_and_a_shared_sentence_stays(spark, monkeypatch, tokens):
+    monkeypatch.setattr(html_extract, "SHARD_TOKENS", tokens)
+    rows, notice, sentence = made_pages()
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    wanted = plain_texts(rows)
+    assert sorted(r.page_id for r in got) == sorted(x[0] for x in rows)
+    for r, page in ((r, next(x for x in rows if x[0] == r.page_id)) for r in got):
+        assert r.text == wanted[page]
+        if r.page_id < 100:
+            assert notice not in r.text and (sentence in r.text) == (r.page_id % 3 == 0)
+        elif r.page_id < 200:
+            assert notice in r.text  # fewer than ten pages of the host
+
+
+def test_no_article_sentence_of_the_given_pages_goes(spark):
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {page[0]: text for page, text in plain_texts(pages).items()}
+    assert got == {d: page_text(page) for d, _, page in pages}
+
+
+def test_long_pages_and_hosts_of_one_page(spark):
+    long = "<article>" + "".join(f"<p>word{k} and so on to the end of line {k}</p>" for k in range(60_000)) + "</article>"
+    rows = [(1, "https://one.example/", long), (2, "https://two.example/", "<p>alone</p>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: page_text(long), 2: "alone"} and len(got[1]) > 2_000_000
+
+
 # --- chat --------------------------------------------------------------------------------------
 
 
@@ -268,6 +359,28 @@ def test_merged_turns_and_escapes_come_back(spark):
         assert blocks[r.conv_id] == changes == r.formatted.count("</s>")
 
 
+def chat_seconds(spark, n):
+    import time
+
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k} says </s> é😀 {k}") for k in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2).cache()
+    turns.count()
+    out = chat_format.format_chat(turns)
+    begun = time.time()
+    got = out.select(chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.learnt(F.col("formatted"), F.col("mask")).alias("loss")).first()
+    took = time.time() - begun
+    turns.unpersist()
+    assert [(t.role, t.text) for t in got.turns] == [r[2:] for r in rows]
+    assert got.loss == "".join(r[3] for r in rows if r[2] == "assistant")
+    return took
+
+
+def test_a_conversation_of_many_turns_takes_linear_time(spark):
+    chat_seconds(spark, 1000)
+    short, long = chat_seconds(spark, 8000), chat_seconds(spark, 16_000)
+    assert long < 3 * short + 2
+
+
 # --- language model ----------------------------------------------------------------------------
 
 
@@ -276,18 +389,62 @@ def test_language_model_sums_to_one(spark):
     counts = maxent_lm.word_counts(docs)
     words = maxent_lm.lexicon(counts)
     weights = maxent_lm.train(maxent_lm.marked(docs), words)
-    n = maxent_lm.CLASSES * maxent_lm.MEMBERS
-    classes, members = np.repeat(np.arange(maxent_lm.CLASSES), maxent_lm.MEMBERS), np.tile(np.arange(maxent_lm.MEMBERS), maxent_lm.CLASSES)
-    context = [np.full(n, x, dtype=np.uint64) for x in (3, 5, 7)]
+    n = len(words.mass)
+    classes, members = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    context = [np.full(n * n, x, dtype=np.uint64) for x in (3, 5, 7)]
     assert math.isclose(np.exp(maxent_lm.log_prob(weights, context, classes, members)).sum(), 1, rel_tol=1e-5)
-    # The shares of a class's other words, and of one that was never seen, sum to one too.
-    rest = {}
+    # The shares of a group's words, and of one that was never seen, sum to one too.
+    rest = np.ones((n, n))
     for r in counts.collect():
-        k = words.words.index(bytes(r.word))
-        if k >= words.n_own:
-            rest[r["class"]] = rest.get(r["class"], 0) + r.c + 1
-    for k, total in rest.items():
-        assert math.isclose((total + 1) / words.rest_mass[k], 1)
+        a, b = words.groups(np.array([r.h], dtype=np.int64).view(np.uint64))
+        rest[a[0], b[0]] += r.c + 1
+    assert np.allclose(rest, words.mass)
+
+
+def test_language_model_sizes_follow_the_counts():
+    grown = [maxent_lm.sizes(v, n) for v, n in ((10, 100), (10**4, 10**6), (4 * 10**5, 4 * 10**6), (10**7, 10**9), (10**9, 10**13))]
+    assert grown == sorted(grown, key=lambda x: x[0]) and [c for c, _ in grown] == [4, 8, 16, 32, 64]
+    assert [r for _, r in grown[:3]] == [1 << 10, 1 << 17, 1 << 18]
+    assert all(8 * c * r <= maxent_lm.TABLE_BYTES for c, r in grown)
+
+
+def plain_score(text, words, weights):
+    """log10 of a text's probability, token by token, from the weights as they are."""
+    tokens = [*text.encode().lower().split(), b""]
+    n, rows = len(words.mass), words.rows
+    hashes = [maxent_lm._hash(w) for w in tokens]
+    mask = (1 << 64) - 1
+    a, b, c, d = (int(x) for x in (maxent_lm._A, maxent_lm._B, maxent_lm._C, maxent_lm._D))
+    counts = dict(zip(words.hashes.tolist(), words.counts.tolist()))
+    total = 0.0
+    for k, h in enumerate(hashes):
+        one = hashes[k - 1] if k else c
+        two = d if k == 0 else hashes[k - 2] if k > 1 else c
+        features = [one * a & mask, (one * b & mask) ^ (two * c & mask), (two * d + a) & mask]
+        features = [x ^ (x >> 29) for x in features]
+        place = lambda f, salt, low: low + ((((f + salt * b) & mask) * a & mask) >> 32) % (rows - low)
+        k_class, k_member = h % n, h // n % n
+        x = weights.by_class[0] + sum(weights.by_class[place(f, 0, 1)] for f in features)
+        y = weights.by_member[k_class] + sum(weights.by_member[place(f, k_class + 1, n)] for f in features)
+        for z, at in ((x, k_class), (y, k_member)):
+            z = z.astype(float)
+            total += (z[at] - np.log(np.exp(z).sum())) / math.log(10)
+        total += math.log10((counts.get(h, 0) + 1) / words.mass[k_class, k_member])
+    return total
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).cache()
+    own = maxent_lm.marked(docs)
+    counts = maxent_lm.word_counts(own.where("part <> 2"))
+    words = maxent_lm.lexicon(counts)
+    weights = maxent_lm.train(own.where("part <> 2"), words)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = maxent_lm.score(own, words, weights, counts).collect()
+    assert len(got) == 60
+    for r in got:
+        assert math.isclose(r.score, plain_score(text[r.doc_id], words, weights), rel_tol=1e-4, abs_tol=1e-3)
+    docs.unpersist()
 
 
 def test_language_model_beats_the_base_on_held_out_documents(spark):
@@ -317,6 +474,17 @@ def test_factorisation_machine_equals_the_pair_sum():
     assert math.isclose(m.raw(at, x), m.bias + m.w[at] @ x + pairs, rel_tol=1e-9)
 
 
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * 50, None, None, 250) for k in range(40)], DOC_SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    known = labels.select("doc_id", F.col("quality").alias("label"))
+    assert quality_fm._within(docs, known).count() == 40
+    monkeypatch.setattr(quality_fm, "TRAIN_BYTES", 1000)
+    order = [r.doc_id for r in known.orderBy(F.xxhash64("doc_id")).collect()]
+    assert sorted(r.doc_id for r in quality_fm._within(docs, known).collect()) == sorted(order[:4])
+    assert all(0 <= r.score <= 1 for r in quality_fm.score(docs, quality_fm.fit(docs, labels)).collect())
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
@@ -367,9 +535,45 @@ def test_inconsistent_slots_are_no_copy(spark):
     assert [r.doc_id for r in got] == [2]
 
 
+SUMS = "12 + 7 = 19 and 30 + 4 = 34"
+
+
+def test_items_of_placeholders_are_found_word_by_word(spark):
+    rows = [
+        (1, f"Before it says something.\n{SUMS}\nand so on"),
+        (2, "12 + 8 = 20 and 30 + 4 = 34"),
+        (3, "1 2 3 and 4 5 6"),
+        (4, SUMS.replace("and", "or")),
+        (5, f"{SUMS}. Again: {SUMS}"),
+    ]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC_SCHEMA)
+    numbers = " ".join(f"{k} Maria {k + 1} km" for k in range(30))  # placeholders alone, longer than a window
+    items = spark.createDataFrame([(1, SUMS), (2, "12"), (3, numbers), (4, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(docs, items).collect()}
+    assert set(got) == {(1, 1), (5, 1)} and got[1, 1].same_slots and got[5, 1].n_places == 2
+    held = [(7, "x " + numbers + " y", None, None, None), (8, numbers.replace("7 Maria", "7 Anna"), None, None, None)]
+    found = decontaminate.contamination(spark.createDataFrame(held, DOC_SCHEMA), items).collect()
+    assert [(r.doc_id, r.item_id, r.covered) for r in found] == [(7, 3, 1.0)]
+
+
+def test_a_small_table_of_words_reads_alike():
+    text = ITEM + "\n" + OTHER + " 1 2 3 John Smith"
+    whole, few = decontaminate.Templates(), decontaminate.Templates(most=8)
+    for _ in range(3):
+        for part in (text, OTHER, ITEM):
+            a, b = whole.read(part), few.read(part)
+            assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
 # --- line rules --------------------------------------------------------------------------------
 
 
+def test_a_phrase_in_a_long_line_is_no_boilerplate(spark):
+    long = "The committee read the privacy policy of the firm for a whole afternoon and found in the end that all of its many pages said nothing at all"
+    rows = spark.createDataFrame([(x,) for x in (long, "Read our privacy policy here")], "x string").select(F.explode(quality_rules._lines(F.col("x"))).alias("l"))
+    assert [r.fails for r in rows.select(quality_rules.line_fails(F.col("l")).alias("fails")).collect()] == [False, True]
+
+
 def test_lines_that_fail(spark):
     bad = ["Home | News | Sport | Weather | More", "WOW!!! BUY!!! NOW!!!", "this&&& is*** bad$$$", "All rights reserved.", "go go go go go"]
     good = ["A plain line, with a stop.", "Prices rose 5% | a note", "", "Don't panic!"]

@@ -72,3 +72,12 @@ def test_near_dedup_keeps_one_row_of_each_class(spark):
         assert sorted(x[:2] for x in out if x[0]) == [(1, texts[0]), (1, texts[1]), (3, texts[2])] and len(out) == 4
         seen.add(tuple(sorted(out, key=str)))
     assert len(seen) == 1
+
+
+def test_decontamination_keeps_clean_rows_under_a_contaminated_id(spark, tmp_path):
+    item = "A train leaves Boston at nine and travels toward Chicago while Maria waits an hour before she drives home again."
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "so " + item, "x"), (1, "a clean text under the same id", "x"), (1, "a clean text under the same id", "x"), (2, "clean", "x"), (2, None, "y"), (None, item, "x"), (None, "clean too", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = [tuple(r) for r in corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)

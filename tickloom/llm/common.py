@@ -82,6 +82,21 @@ def _signature(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
+_held: dict = {}
+
+
+def worker_table(name, make: Callable):
+    """A table that one operator's tasks share in a worker process, which runs one after the other.
+
+    There is one at a time: another operator's tasks begin with their own and let this one go, so
+    that the tables of a pipeline's stages never stand side by side.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 #: Rows of one key that a shuffled join may send to one task.
 HOT_ROWS = 20_000
 

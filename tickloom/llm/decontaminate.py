@@ -15,26 +15,31 @@ Before the join, documents' windows pass a bitmap of the benchmark's window hash
 BITMAP_BITS bits whatever the benchmark's size, so its broadcast is bounded, and it lets through
 every true match; what it lets through wrongly, the join drops.
 
-Items of fewer than WINDOW tokens are one window of their full length and match alike.
-
-Edge cases: null texts hold nothing; an item of placeholders alone, or with fewer than
-MIN_LITERALS literal tokens in a window, is not searched by that window; repeated items and
-documents match one by one; null ids stay null ids; an empty table on either side gives an
-empty result.
+Items of fewer than WINDOW tokens are one window of their full length and match alike. A window
+with fewer than MIN_LITERALS literal tokens says too little to be matched by its template. Where an
+item's other windows cover less than MIN_COVERED of it, such as "12 + 7 = 19 and 30 + 4 = 34", all its
+windows are searched with the words behind the placeholders, and a document holds it if one
+stretch has the whole item word by word.
+
+Edge cases: null texts hold nothing; an item of placeholders with fewer than MIN_LITERALS words in
+all can't be told from chance and is not searched; repeated items and documents match one by
+one; null ids stay null ids; texts of any length are read whole; other columns are ignored, whatever
+their names; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right, insort
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import stage
-from .common import query, table
+from ..session import small, stage
+from .common import query, table, worker_table
 
 WINDOW = 8
 MIN_LITERALS = 4
@@ -55,7 +60,8 @@ _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,/:]*%?\Z")
 _GLUED = re.compile(r"([+-]?[$€£]?[0-9][0-9.,/:]*)([^\W\d_]+|[%€$£])\Z")
 _EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%€$£]+\Z")
 _KIND_OF = {**dict.fromkeys(NUMBER_WORDS, NUMBER), **dict.fromkeys(UNITS, UNIT)}
-_CACHE_WORDS = 400_000
+#: Words of a task's table of words already read, about 200 bytes each.
+TABLE_WORDS = 200_000
 
 
 def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:
@@ -87,17 +93,21 @@ _LINE = "\0"  # stands between lines: no token, and the next word starts a sente
 class Templates:
     """Template token hashes of texts, with a bounded table of words already seen."""
 
-    def __init__(self, most: int = _CACHE_WORDS):
+    def __init__(self, most: int = TABLE_WORDS):
         self.most = most
-        self._clear(1024)
-
-    def _clear(self, room: int) -> None:
         self.place = {_LINE: 0}
         # Of each word, inside a sentence and at its start: hash and kind.
-        self.hashes, self.kind = np.zeros((2, room), np.uint64), np.zeros((2, room), np.int8)
-        self.ends, self.token = np.zeros(room, bool), np.zeros(room, bool)
+        self.hashes, self.kind = np.zeros((2, 1024), np.uint64), np.zeros((2, 1024), np.int8)
+        self.ends, self.token = np.zeros(1024, bool), np.zeros(1024, bool)
         self.ends[0] = True
 
+    def _forget(self) -> None:
+        """The older half of the table goes."""
+        kept = list(islice(self.place, 1 + len(self.place) // 2, None))
+        at = np.array([0, *map(self.place.__getitem__, kept)], dtype=np.int64)
+        self.hashes, self.kind, self.ends, self.token = (x[..., at] for x in (self.hashes, self.kind, self.ends, self.token))
+        self.place = {_LINE: 0} | dict(zip(kept, range(1, at.size)))
+
     def _learn(self, words: list[str]) -> None:
         if len(self.place) + len(words) > self.ends.size:
             room = max(2 * self.ends.size, len(self.place) + len(words))
@@ -120,8 +130,8 @@ class Templates:
         """(hashes, literal flags, words behind a token) of the text's tokens; bare punctuation is none."""
         words = text.replace("\n", f" {_LINE} ").split()
         new = set(words).difference(self.place)
-        if new and len(self.place) + len(new) > self.most:
-            self._clear(self.ends.size)
+        if new and len(self.place) + len(new) > self.most and len(self.place) > 1:
+            self._forget()
             new = set(words).difference(self.place)
         if new:
             self._learn(list(new))
@@ -150,16 +160,6 @@ def joins(kind: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-_templates: list[Templates] = []
-
-
-def templates() -> Templates:
-    """One per worker process."""
-    if not _templates:
-        _templates.append(Templates())
-    return _templates[0]
-
-
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,28 +177,59 @@ def windows(hashes: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndar
     return out, lit >= min(MIN_LITERALS, size)
 
 
-def _rows(ids, rows, texts, sizes, bitmap=None):
-    """Window rows (id, row, h, place, size, n_tokens, slots) of some texts."""
-    read = templates().read
+def _by_words(h: int, slots: list[str]) -> int:
+    """The hash of a window and the very words behind its placeholders."""
+    return xxhash.xxh64_intdigest("\x1f".join([str(h), *slots]).encode("utf-8", "surrogatepass"), 11)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _rows(ids, rows, texts, sizes, read, bitmaps):
+    """Window rows (id, row, h, place, size, n_tokens, slots, exact, raw) of documents' texts."""
     for one, row, text in zip(ids, rows, texts):
         hashes, literal, word = read(text or "")
-        for size in sizes if sizes else ({min(WINDOW, hashes.size)} if hashes.size else ()):
+        for size in sizes:
             h, fit = windows(hashes, literal, size)
-            if bitmap is not None:
-                bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-                fit = fit & ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-            for place in np.flatnonzero(fit).tolist():
-                slots = [word(place + k) for k in np.flatnonzero(~literal[place : place + size])]
-                yield one, row, int(h[place].view(np.int64)), place, size, hashes.size, slots
+            bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+            likely = [bits is not None and (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1 for bits in bitmaps]
+            for exact, use in ((False, fit & likely[0]), (True, likely[1])):
+                for place in np.flatnonzero(use).tolist():
+                    slots = [word(place + k) for k in np.flatnonzero(~literal[place : place + size])]
+                    raw = int(h[place])
+                    yield one, row, _signed(_by_words(raw, slots) if exact else raw), place, size, hashes.size, slots, exact, _signed(raw)
+
+
+def _item_rows(ids, rows, texts, read):
+    """Window rows of items: those with enough literal tokens, or, where these cover too little of
+    the item to find it by them, all windows, to be found word by word."""
+    for one, row, text in zip(ids, rows, texts):
+        hashes, literal, word = read(text or "")
+        if not hashes.size:
+            continue
+        size = min(WINDOW, hashes.size)
+        h, fit = windows(hashes, literal, size)
+        covered = np.zeros(hashes.size, dtype=bool)
+        for place in np.flatnonzero(fit):
+            covered[place : place + size] = True
+        exact = bool(covered.sum() < MIN_COVERED * hashes.size)
+        if exact and sum(1 if lit else word(k).count(" ") + 1 for k, lit in enumerate(literal)) < MIN_LITERALS:
+            continue
+        for place in range(h.size) if exact else np.flatnonzero(fit).tolist():
+            slots = [word(place + k) for k in np.flatnonzero(~literal[place : place + size])]
+            raw = int(h[place])
+            yield one, row, _signed(_by_words(raw, slots) if exact else raw), place, size, hashes.size, slots, exact, _signed(raw)
 
 
-_WINDOW_SCHEMA = "id long, row long, h long, place int, size int, n_tokens int, slots array<string>"
+_WINDOW_SCHEMA = "id long, row long, h long, place int, size int, n_tokens int, slots array<string>, exact boolean, raw long"
 
 
 def _batch(rows):
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-    columns = list(zip(*rows)) or [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "row", "h", "place", "size", "n_tokens", "slots"])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.int64()]
+    columns = list(zip(*rows)) or [[]] * len(types)
+    names = [c.split()[0] for c in _WINDOW_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 def _emit(rows, most=20_000):
@@ -213,8 +244,9 @@ def _emit(rows, most=20_000):
 
 
 def _item_windows(batches):
+    read = worker_table("templates", Templates).read
     for batch in batches:
-        yield from _emit(_rows(*(c.to_pylist() for c in batch.columns), None))
+        yield from _emit(_item_rows(*(c.to_pylist() for c in batch.columns), read))
 
 
 def chains(places: dict[int, list[int]], size: int) -> list[list[tuple[int, int, int]]]:
@@ -263,7 +295,7 @@ def chains(places: dict[int, list[int]], size: int) -> list[list[tuple[int, int,
     return out + [x for x in same.values() if len(x) > 1]
 
 
-def holds(hits: list[dict], n_tokens: int, size: int):
+def holds(hits: list[dict], n_tokens: int, size: int, exact: bool = False):
     """(covered share, consistent, n_places, same_slots) of the stretches that hold the item, or None."""
     slots = {(x["doc_place"] - x["place"], x["place"]): (x["slots"], x["doc_slots"]) for x in hits}
     places: dict[int, list[int]] = {}
@@ -272,7 +304,7 @@ def holds(hits: list[dict], n_tokens: int, size: int):
     found = []
     for chain in chains(places, size):
         covered = sum(high - low for _, low, high in chain)
-        if covered < MIN_COVERED * n_tokens:
+        if covered < MIN_COVERED * n_tokens or exact and (covered < n_tokens or len({shift for shift, *_ in chain}) > 1):
             continue
         of_item: dict[str, set] = {}
         of_doc: dict[str, set] = {}
@@ -298,50 +330,64 @@ def holds(hits: list[dict], n_tokens: int, size: int):
     return max(x[0] for x in found), max(x[1] for x in found), len(taken), any(x[2] for x in found)
 
 
-_HELD = "doc_id long, item_id long, covered double, consistent double, n_places long, same_slots boolean"
+_HELD = "doc_id long, doc_row long, item_id long, covered double, consistent double, n_places long, same_slots boolean"
 
 
 def _held_batches(batches):
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
     for batch in batches:
         rows = []
         for x in batch.to_pylist():
-            told = holds(x["hits"], x["n_tokens"], x["size"])
+            told = holds(x["hits"], x["n_tokens"], x["size"], x["exact"])
             if told:
-                rows.append((x["doc_id"], x["item_id"], *told))
-        columns = list(zip(*rows)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "covered", "consistent", "n_places", "same_slots"])
+                rows.append((x["doc_id"], x["doc_row"], x["item_id"], *told))
+        columns = list(zip(*rows)) or [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _HELD.split(", ")])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, covered (share of the item), consistent (share of its slot words), exact."""
-    spark = docs.sparkSession
-    own = lambda rows, key: rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select("id", F.xxhash64("id", "text").alias("row"), "text")
-    items = stage(own(benchmark, "item_id").mapInArrow(_item_windows, _WINDOW_SCHEMA), "items")
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW of them
-    place = F.col("h").bitwiseAND(BITMAP_BITS - 1)
-    # BITMAP_BITS / 64 rows at most
+def _row_hash(id_: Column, text: Column) -> Column:
+    return F.xxhash64(id_.cast("long"), text.cast("string"))
+
+
+def _bitmap(items: DataFrame) -> np.ndarray | None:
+    """Which of BITMAP_BITS places the items' template hashes have: BITMAP_BITS / 64 rows at most; None without items."""
+    place = F.col("raw").bitwiseAND(BITMAP_BITS - 1)
     words = items.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")
+        F.bit_or(F.expr("shiftleft(1L, CAST(raw & 63 AS INT))")).alias("bits")
     )
     bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
     got = words.toArrow()
     bitmap[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap.view(np.uint8))
+    return bitmap.view(np.uint8) if got.num_rows else None
+
+
+def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, doc_row (hash of id and text), item_id, covered, consistent, n_places, same_slots: one
+    row for each different text under an id and each item it holds."""
+    spark = docs.sparkSession
+    own = lambda rows, key: rows.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select("id", _row_hash(F.col("id"), F.col("text")).alias("row"), "text")
+    items = stage(own(benchmark, "item_id").mapInArrow(_item_windows, _WINDOW_SCHEMA), "items")
+    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW of them
+    shared = spark.sparkContext.broadcast([_bitmap(items.where("NOT exact")), _bitmap(items.where("exact"))])
 
     def doc_windows(batches):
+        read = worker_table("templates", Templates).read
         for batch in batches:
-            yield from _emit(_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(_text, batch.column(2)), sizes, shared.value))
+            yield from _emit(_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(_text, batch.column(2)), sizes, read, shared.value))
 
     found = own(docs, "doc_id").mapInArrow(doc_windows, _WINDOW_SCHEMA)
-    found = found.select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "h", F.col("place").alias("doc_place"), "size", F.col("slots").alias("doc_slots"))
-    wanted = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "h", "place", "size", "n_tokens", "slots")
-    hits = found.join(wanted, ["h", "size"]).where("size(doc_slots) = size(slots)")
+    found = found.select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "h", F.col("place").alias("doc_place"), "size", F.col("slots").alias("doc_slots"), "exact")
+    wanted = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "h", "place", "size", "n_tokens", "slots", "exact")
+    hits = found.join(wanted, ["h", "size", "exact"]).where("size(doc_slots) = size(slots) AND (NOT exact OR doc_slots = slots)")
     # One text and one item meet in a row; rows that share an id stay apart by their texts.
     hit = F.struct("doc_place", "place", "slots", "doc_slots")
-    pairs = hits.groupBy("doc_id", "doc_row", "item_id", "item_row", "n_tokens", "size").agg(F.collect_list(hit).alias("hits"))
-    out = pairs.drop("doc_row", "item_row").mapInArrow(_held_batches, _HELD)
-    return out.groupBy("doc_id", "item_id").agg(
+    pairs = hits.groupBy("doc_id", "doc_row", "item_id", "item_row", "n_tokens", "size", "exact").agg(F.collect_list(hit).alias("hits"))
+    return pairs.drop("item_row").mapInArrow(_held_batches, _HELD)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, covered (share of the item), consistent (share of its slot words), n_places, same_slots."""
+    return findings(docs, benchmark).groupBy("doc_id", "item_id").agg(
         F.max("covered").alias("covered"),
         F.max("consistent").alias("consistent"),
         F.sum("n_places").alias("n_places"),
@@ -354,9 +400,12 @@ def _text(scalar):
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item. Rows without an id can't be named and stay."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose text holds no benchmark item, by id and text: a clean text under the id of a
+    contaminated one stays, and a row without an id is judged by its text."""
+    bad = findings(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("doc_row").alias("__row")).distinct()
+    bad = small(bad, "contaminated")
+    same = (_row_hash(docs["doc_id"], docs["text"]) == bad["__row"]) & docs["doc_id"].cast("long").eqNullSafe(bad["__id"])
+    return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 
 @query("op9_template_decontamination")

@@ -12,7 +12,8 @@ source and is the only one that a single task orders.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; empty
 documents and sources get nothing; a null doc_id draws as an empty id, and repeated rows draw
-alike; an empty table gives an empty result.
+alike; texts of any length are counted whole; other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

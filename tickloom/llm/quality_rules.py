@@ -6,8 +6,8 @@ words). Lines that fail are removed, then a document that lost too much of its t
 as is one that fails the base counts on the whole text.
 
 Edge cases: a null text counts as empty; an empty text has no words, fails the base and is not
-kept; repeated rows and null ids pass through, one result each; an empty table gives an empty
-result. Texts of any length stay in one row. Equal 8-word windows are found by 64-bit hashes of
+kept; repeated rows and null ids pass through, one result each; other columns are ignored, whatever
+their names; an empty table gives an empty result. Texts of any length stay in one row. Equal 8-word windows are found by 64-bit hashes of
 word hashes, so two different windows of one text meet with a chance of about n^2 / 2^65.
 """
 
@@ -34,7 +34,9 @@ MIN_CELLS, MAX_CELL_WORDS = 4, 3
 
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[!#*$%&<>{}=~\^]"
-#: A line fails if it holds one of these phrases, in any case, or starts with one of the openings.
+#: A line of at most MAX_PHRASE_WORDS words fails if it holds one of these phrases, in any case, or
+#: starts with one of the openings; in longer ones a phrase is a small part of what is said.
+MAX_PHRASE_WORDS = 20
 PHRASES = (
     "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
     "we use cookies", "accept cookies", "cookie policy", "subscribe to our", "sign up for our", "click here to",
@@ -101,7 +103,8 @@ def line_fails(x: Column) -> Column:
     marked = line.rlike(MARKS) & (_count(line, MARKS) > MAX_MARKS * _chars(ws))
     said = lambda low: reduce(or_, [low.contains(p) for p in PHRASES] + [F.ltrim(low).startswith(o) for o in OPENINGS])
     stutter = F.size(F.filter(ws, lambda w, k: w.eqNullSafe(F.get(ws, k - 1)))) > MAX_STUTTER * F.size(ws)
-    return (F.size(ws) > 0) & (navigation | marked | let(F.lower(line), said) | stutter)
+    short = F.size(ws) <= MAX_PHRASE_WORDS
+    return (F.size(ws) > 0) & (navigation | marked | (short & let(F.lower(line), said)) | stutter)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -180,7 +183,7 @@ WITH d AS (
 ), good AS (
   SELECT rid, sum(chars) AS chars FROM line
   WHERE NOT ((bars + 1 >= {MIN_CELLS} AND gaps - bars <= {MAX_CELL_WORDS} * (bars + 1))
-             OR marks > {MAX_MARKS} * chars OR again > {MAX_STUTTER} * n OR {_SQL_SAID})
+             OR marks > {MAX_MARKS} * chars OR again > {MAX_STUTTER} * n OR (n <= {MAX_PHRASE_WORDS} AND ({_SQL_SAID})))
   GROUP BY rid
 ), c AS (
   SELECT w.rid, w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,

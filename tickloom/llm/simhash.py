@@ -16,8 +16,9 @@ component. Links are found over distinct fingerprints, so exact copies cost one
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero and are
 linked like any other; a text of one or two words is one shingle; every row of a repeated id is
-returned; a null doc_id takes part in links but is never a class id (null if it is alone); an
-empty table gives an empty result.
+returned; a null doc_id takes part in links but is never a class id (null if it is alone); texts of
+any length are read whole; other columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ SEGMENT_IDS ids, and Spark's commit protocol makes retries safe. A segment has i
 ids and starts, and per level the chunk bytes, the bitmap and the rank directory.
 
 Edge cases: a null text is empty and gets the end id alone; null doc_ids come first; rows with
-one doc_id stay in one partition, ordered by text; a document is never cut, however long; an
-empty table gives an empty result.
+one doc_id are ordered by text; a document is never cut, however long; other columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import stage
-from .common import query, table, texts
+from ..session import small, stage
+from .common import query, table, texts, worker_table
 
 CHUNK = 8
 SEGMENT_IDS = 1 << 20
@@ -37,8 +38,10 @@ TOKENIZER = "byte_bpe_50k.json"
 PARTITION_BYTES = 32 << 20
 #: Characters that are cut and looked up together.
 GROUP_CHARS = 400_000
-#: Entries of a worker's table of pieces already encoded.
-CACHE_WORDS = 800_000
+#: Bytes of a worker's table of pieces already encoded, and of an entry beside its ids.
+TABLE_BYTES, ENTRY_BYTES = 40 << 20, 220
+#: Ids that are read at a time, and range partitions whose offsets one task sums.
+READ_IDS, RUN_PARTS = 1 << 18, 1024
 SEGMENT_SCHEMA = (
     "part int, part_start long, doc_ids array<long>, starts array<long>, n_ids long, "
     "levels array<struct<chunks: binary, more: binary, ranks: binary>>"
@@ -104,9 +107,6 @@ def access(levels: list[dict], places: np.ndarray, chunk: int = CHUNK) -> np.nda
 # --- tokenization ------------------------------------------------------------------------------
 
 
-_encoders: dict[str, "Encoder"] = {}
-
-
 #: Marks a piece that follows the one before without a blank; a text that holds it is not cut.
 _GLUED = "\x00"
 
@@ -120,7 +120,7 @@ class Encoder:
     line breaks stand in a row, or with a special token, it goes to the library as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -128,6 +128,7 @@ class Encoder:
         self.special = [_GLUED, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.marks = re.compile(r"[.,](?<![^\W_][.,])").search
         self.known: dict[str, bytes] = {}
+        self.most, self.bytes = table_bytes, 0
 
     def _cut(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
@@ -144,6 +145,7 @@ class Encoder:
         cuts = 4 * np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(texts) + 1))
         cuts = cuts.tolist()
         self.known.update(zip(pieces, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+        self.bytes += len(ids) + ENTRY_BYTES * len(pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -152,23 +154,16 @@ class Encoder:
         if "" in used or "\n" in used:  # blanks or line breaks in a row
             cut = [None if p and ("" in p or "\n" in p) else p for p in cut]
             used -= {"", "\n"}
+        if self.bytes > self.most:  # the older half goes
+            kept = dict(islice(self.known.items(), len(self.known) // 2, None))
+            self.known, self.bytes = kept, sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
         new = used.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = used
         if new:
             self._learn(list(new))
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return [whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, cut)]
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _encoded(batches, codec: Encoder):
     """(doc_id, ids as bytes) of each row, encoded a few texts at a time."""
     held, size = [], 0
@@ -190,9 +185,9 @@ def write_codes(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) ->
     own = texts(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(8, int(size // PARTITION_BYTES) + 1)
-    ordered = own.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
+    # Rows of one id, or of none, are in order of their texts and may take several partitions.
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)]
+    ordered = own.repartitionByRange(n_parts, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     schema = pa.schema(
         [
@@ -206,7 +201,8 @@ def write_codes(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) ->
     )
 
     def pack(batches):
-        codec = encoder(tokenizer_path(name))
+        path = tokenizer_path(name)
+        codec = worker_table(("tokens", path), lambda: Encoder(path))
         end = np.array([end_id], dtype="<u4").tobytes()
         part, done = TaskContext.get().partitionId(), 0
         doc_ids, lengths, buffers = [], [], []
@@ -242,30 +238,38 @@ def read_ids(segment: dict, k: int) -> np.ndarray:
 
 
 def _digests(batches):
+    """Every document's ids by random access, some documents at a time."""
     for batch in batches:
         for row in range(batch.num_rows):
             segment = batch.slice(row, 1).to_pylist()[0]
-            out = {"part": [], "doc_id": [], "place": [], "n_tokens": [], "ids_crc32": []}
-            ids = decode(segment["levels"]).astype("<u4", copy=False)
-            edges = [*segment["starts"], segment["n_ids"]]
-            for doc_id, a, b in zip(segment["doc_ids"], edges, edges[1:]):
-                out["part"].append(segment["part"])
-                out["doc_id"].append(doc_id)
-                out["place"].append(segment["part_start"] + a)
-                out["n_tokens"].append(b - a)
-                out["ids_crc32"].append(zlib.crc32(ids[a:b].tobytes()))
-            types = [pa.int32(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+            edges = np.array([*segment["starts"], segment["n_ids"]], dtype=np.int64)
+            first, crcs = 0, []
+            while first < edges.size - 1:
+                last = max(first + 1, int(np.searchsorted(edges, edges[first] + READ_IDS, "right")) - 1)
+                ids = access(segment["levels"], np.arange(edges[first], edges[last])).astype("<u4").tobytes()
+                own = 4 * (edges[first : last + 1] - edges[first])
+                crcs += [zlib.crc32(ids[a:b]) for a, b in zip(own, own[1:])]
+                first = last
+            columns = [
+                pa.array(np.full(len(crcs), segment["part"], dtype=np.int32)),
+                pa.array(segment["doc_ids"], pa.int64()),
+                pa.array(segment["part_start"] + edges[:-1]),
+                pa.array(np.diff(edges)),
+                pa.array(crcs, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "place", "n_tokens", "ids_crc32"])
 
 
 def digests(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the written files."""
     found = segments.mapInArrow(_digests, "part int, doc_id long, place long, n_tokens long, ids_crc32 long")
-    # One row per range partition: their number is set above and bounds the broadcast.
-    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("part", F.coalesce(before, F.lit(0)).alias("offset"))
-    out = found.join(F.broadcast(offsets), "part")
+    # One row per range partition, whose running sum is taken run by run.
+    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("run", F.floor(F.col("part") / RUN_PARTS))
+    runs = sums.groupBy("run").agg(F.sum("n").alias("n"))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("run", before("run").alias("run_offset"))
+    offsets = sums.withColumn("offset", before("run", "part")).join(runs, "run").select("part", (F.col("run_offset") + F.col("offset")).alias("offset"))
+    out = found.join(small(offsets, "offsets"), "part")
     return out.select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
