@@ -65,3 +65,41 @@ def test_broadcast_hint_needs_a_small_table(spark, bars):
     staged = stage(bars, "bars")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(broadcast_if_small(staged)) and not hinted(broadcast_if_small(staged, limit=1))
+
+
+def test_a_file_beyond_two_gigabytes_is_hashed_in_pieces(spark, tmp_path):
+    """A sparse file of 2.2 GB, which no single row could hold, beside a small one."""
+    import hashlib
+
+    size = 2_200_000_000
+    with open(tmp_path / "large file.parquet", "wb") as out:
+        out.truncate(size)
+    (tmp_path / "small.parquet").write_bytes(b"abc")
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256) for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    state, piece = hashlib.sha256(), bytes(1 << 20)
+    for at in range(0, size, len(piece)):
+        state.update(piece[: size - at])
+    assert sorted(got.values()) == sorted([(size, state.hexdigest()), (3, hashlib.sha256(b"abc").hexdigest())])
+
+
+def test_stored_tables_join_without_an_exchange_and_skip_other_years(spark, bars):
+    from tickloom.operators import splits
+    from tickloom.sources import layout
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = layout.store(bars, "stored_bars", ["date", "ticker"], 4)
+        right = layout.store(bars.select("date", "ticker", F.lit("x").alias("split")), "stored_labels", ["date", "ticker"], 4)
+        joined = left.drop("year").join(right.drop("year"), ["date", "ticker"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 40
+        one, report = splits.join_one_to_one(left.drop("year"), right.drop("year"), ["date", "ticker"])
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan  # the last sum alone is one row
+        assert tuple(report.first()) == (40, 40, 0, 0, 0, 0, 40) and one.count() == 40
+        year = layout.between(left, "2001-01-01", "2001-12-31")
+        assert "PartitionFilters: [isnotnull(year" in year._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.date for r in year.collect()) == sorted(r.date for r in bars.where("year(date) = 2001").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS stored_bars")
+        spark.sql("DROP TABLE IF EXISTS stored_labels")

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import classify, fidelity as fid
+from ..operators import classify, embed, fidelity as fid
+from ..operators.sequence import with_range_position
 from ..session import stage
 from .inputs import POOLS, Inputs, query
 from .oracle import r6 as R, sql
@@ -68,6 +69,16 @@ def pca_embedding(i: Inputs) -> DataFrame:
     return rounded(classify.pca_embedding(i.evaluation, ["method", "window_id"]), ["method", "window_id"], ["pc1", "pc2"])
 
 
+@query("neighbour_embedding")
+def neighbour_embedding(i: Inputs) -> DataFrame:
+    """All evaluation windows in one picture that keeps neighbours together; it begins at the components."""
+    named = stage(with_range_position(i.evaluation, ["method", "window_id"], "i"), "embed-rows")
+    edges = embed.neighbour_graph(named, "i", "features_flat")
+    start = classify.pca_embedding(named, ["i"]).withColumnsRenamed({"pc1": "x", "pc2": "y"})
+    found = embed.embed(edges, start, named.count(), i.proto.seeds[0])
+    return rounded(found.join(named.select("i", "method", "window_id"), "i"), ["method", "window_id"], ["x", "y"])
+
+
 # Roots of the characteristic cubic of three correlations, largest first, and for each root the cross
 # product of two rows of (R - root) that is longest, which is its eigenvector.
 SHARE_SQL = f"""

@@ -151,6 +151,38 @@ def jitter_candidates(i: Inputs) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+JITTERS = [s for s in candidates.GRID if s.family != "pca_gmm"]
+_BASES = {"bootstrap_independent": "plain", "bootstrap_temporal": "plain", "regime_bootstrap_temporal": "regime", "regime_neighbor_mixup_temporal": "mix"}
+_VALUES = ", ".join(
+    f"('{s.name}', '{s.family}', '{_BASES[s.family]}', {s.sigma}::DOUBLE, '{'z' if s.family == 'bootstrap_independent' else s.rho}')" for s in JITTERS
+)
+_NOISES = " UNION ALL ".join(
+    f"SELECT '{rho}' AS kind, avg({CHECK_SQL}) AS x FROM (SELECT {ar_noise(rho)} AS flat FROM (SELECT {shocks(1.0)} AS e FROM draws42, chol))"
+    for rho in sorted({s.rho for s in JITTERS if s.family != "bootstrap_independent"})
+)
+
+
+@query(
+    "jitter_grid",
+    # The checksum is linear: that of a pool is its base windows' plus the noise scale times the noise's.
+    sql(
+        "draws42 regdraw mix chol nwin",
+        f"""
+, base AS (SELECT 'plain' AS base, avg({CHECK_SQL}) AS c, count(*) AS n FROM draws42 JOIN {DONORS} d ON d.idx = donor_idx
+  UNION ALL SELECT 'regime', avg({CHECK_SQL}), count(*) FROM regdraw JOIN {DONORS} d ON d.idx = donor_idx
+  UNION ALL SELECT 'mix', avg({CHECK_SQL}), count(*) FROM mix)
+, noise AS (SELECT 'z' AS kind, avg(list_sum(list_transform(z, lambda x, i: x * i)) / 195) AS x FROM draws42 UNION ALL {_NOISES})
+SELECT method, family, n AS n_windows, {R("c + sigma * x", "mean_checksum")}
+FROM (VALUES {_VALUES}) g(method, family, base, sigma, kind) JOIN base USING (base) JOIN noise USING (kind)""",
+    ),
+)
+def jitter_grid(i: Inputs) -> DataFrame:
+    """The 29 candidates that are drawn by hash, one row each."""
+    return jitter_candidates(i).groupBy("method", "family").agg(
+        F.count(F.lit(1)).alias("n_windows"), r6(F.avg(checksum(F.col("features_flat")))).alias("mean_checksum")
+    )
+
+
 @query("candidate_grid")
 def candidate_grid(i: Inputs) -> DataFrame:
     mixtures = [
