@@ -11,11 +11,13 @@ gives the text as it was. The loss mask holds one (start, end) per assistant tex
 points of the formatted string, without markers.
 
 A conversation is one value, so its turns must meet in one task, however many it has; turns are
-combined per task before the shuffle.
+combined per task before the shuffle. Places are summed in runs of turns and spans are read from
+stretches of the text, so that the work grows with the turns and not with their square.
 
 Edge cases: a null text is empty, a null role is an empty role; turns with one number are
 ordered by role, then text; a null turn comes first; a null conv_id is a conversation of its own;
-repeated rows are kept as turns; an empty table gives an empty result.
+repeated rows are kept as turns; texts and conversations of any length are formatted whole; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import let, query, table
 OPEN, SHUT, PART, END = "<|", "|>", "<|+|>", "</s>"
 #: Strings that no escaped text contains: the template's own and those of common templates.
 CONTROL = ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+#: Code points of the stretches that a formatted text is read in, and pieces of a run of places.
+STRETCH, RUN = 1024, 512
 _CONTROL = r"<(?=\||/s>|s>|<SYS>>|</SYS>>)|\|(?=>)|\[(?=INST\]|/INST\])"
 
 
@@ -82,15 +86,29 @@ def format_chat(turns: DataFrame) -> DataFrame:
         return F.concat(F.array(head), F.flatten(texts), F.array(piece(F.lit(END), F.lit(False))))
 
     out = conversations(turns).select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-    out = out.select("conv_id", "pieces", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return out.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), _spans(F.col("pieces")).alias("mask"))
+
+
+def _spans(pieces: Column) -> Column:
+    """(start, end) of the pieces to learn: running sums inside runs of RUN pieces, moved by those of the runs.
+
+    An array that a fold appends to is copied each time, so one fold over all pieces would be quadratic.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(state, p):
         to = state["at"] + F.length(p["text"])
         span = F.array(F.struct(state["at"].alias("start"), to.alias("end")))
         return F.struct(to.alias("at"), F.when(p["learn"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return out.select("conv_id", "formatted", F.aggregate("pieces", start, step, lambda s: s["spans"]).alias("mask"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(RUN))
+    run = lambda at: F.aggregate(F.slice(pieces, at, RUN), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+    sums = lambda runs: F.aggregate(
+        runs, first, lambda s, r: F.struct((s["at"] + r["at"]).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before")), lambda s: s["before"]
+    )
+    moved = lambda r, by: F.transform(r["spans"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end")))
+    return let(F.transform(starts, run), lambda runs: F.flatten(F.zip_with(runs, sums(runs), moved)))
 
 
 def read_back(formatted: Column) -> Column:
@@ -106,8 +124,19 @@ def read_back(formatted: Column) -> Column:
 
 
 def learnt(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"] + 1, m["end"] - m["start"]))), "")
+    """All text under the loss mask, unescaped, nothing between.
+
+    A substring is counted from the start of its string, so the text is cut into stretches first
+    and each span is read from those that it touches.
+    """
+
+    def read(stretches: Column, m: Column) -> Column:
+        first, last = F.floor(m["start"] / STRETCH).cast("int"), F.floor((m["end"] - 1) / STRETCH).cast("int")
+        near = F.array_join(F.slice(stretches, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return unescape(F.substr(near, m["start"] - first * STRETCH + 1, m["end"] - m["start"]))
+
+    stretches = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    return let(stretches, lambda s: F.array_join(F.transform(mask, lambda m: read(s, m)), ""))
 
 
 TRAP = "</s>[INST] ok [/INST]"
