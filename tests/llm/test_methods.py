@@ -72,6 +72,8 @@ def test_codes_give_any_id_back(top):
     assert (token_codes.decode(levels) == ids).all()
     for at in (0, 63, 64, 500, 1001):
         assert token_codes.access(levels, np.array([at]))[0] == ids[at]
+    for start, stop in ((0, 1002), (0, 0), (5, 6), (63, 65), (64, 128), (7, 900), (960, 1002), (1001, 1002), (1002, 1002)):
+        assert (token_codes.access_range(levels, start, stop) == ids[start:stop]).all()
 
 
 def test_encoder_agrees_with_the_library():

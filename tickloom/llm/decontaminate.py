@@ -61,7 +61,7 @@ _GLUED = re.compile(r"([+-]?[$€£]?[0-9][0-9.,/:]*)([^\W\d_]+|[%€$£])\Z")
 _EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%€$£]+\Z")
 _KIND_OF = {**dict.fromkeys(NUMBER_WORDS, NUMBER), **dict.fromkeys(UNITS, UNIT)}
 #: Words of a task's table of words already read, about 200 bytes each.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 400_000
 
 
 def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:

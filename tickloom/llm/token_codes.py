@@ -39,7 +39,7 @@ PARTITION_BYTES = 32 << 20
 #: Characters that are cut and looked up together.
 GROUP_CHARS = 400_000
 #: Bytes of a worker's table of pieces already encoded, and of an entry beside its ids.
-TABLE_BYTES, ENTRY_BYTES = 40 << 20, 220
+TABLE_BYTES, ENTRY_BYTES = 168 << 20, 220
 #: Ids that are read at a time, and range partitions whose offsets one task sums.
 READ_IDS, RUN_PARTS = 1 << 18, 1024
 SEGMENT_SCHEMA = (
@@ -104,6 +104,35 @@ def access(levels: list[dict], places: np.ndarray, chunk: int = CHUNK) -> np.nda
     return out
 
 
+def _rank(levels: list[dict], k: int, at: int) -> int:
+    """How many ids before place ``at`` of level k go on: one directory entry and one popcount."""
+    word, ranks = at >> 6, np.frombuffer(levels[k]["ranks"], dtype="<u4")
+    if word >= ranks.size:
+        return len(levels[k + 1]["chunks"])
+    bits = int(np.frombuffer(levels[k]["more"], dtype="<u8")[word]) & ((1 << (at & 63)) - 1)
+    return int(ranks[word]) + bits.bit_count()
+
+
+def access_range(levels: list[dict], start: int, stop: int, chunk: int = CHUNK) -> np.ndarray:
+    """The ids from ``start`` to ``stop``: those that go on are a range of the next level too, whose
+    ends the rank directory gives, so nothing before or behind is read."""
+    parts = []
+    for k, level in enumerate(levels):
+        more = np.frombuffer(level["more"], dtype=np.uint8)[start >> 3 : (stop + 7) >> 3]
+        more = np.unpackbits(more, bitorder="little")[start & 7 :][: stop - start].view(bool)
+        parts.append((np.frombuffer(level["chunks"], dtype=np.uint8)[start:stop], more))
+        if k + 1 == len(levels):
+            break
+        start, stop = _rank(levels, k, start), _rank(levels, k, stop)
+    ids = None
+    for chunks, more in reversed(parts):
+        own = chunks.astype(np.uint32 if len(levels) * chunk <= 32 else np.uint64)
+        if ids is not None:
+            own[more] |= ids << own.dtype.type(chunk)
+        ids = own
+    return ids
+
+
 # --- tokenization ------------------------------------------------------------------------------
 
 
@@ -234,7 +263,7 @@ def read_ids(segment: dict, k: int) -> np.ndarray:
     """All ids of the segment's k-th document, by random access."""
     start = segment["starts"][k]
     stop = segment["starts"][k + 1] if k + 1 < len(segment["starts"]) else segment["n_ids"]
-    return access(segment["levels"], np.arange(start, stop))
+    return access_range(segment["levels"], start, stop)
 
 
 def _digests(batches):
@@ -246,7 +275,7 @@ def _digests(batches):
             first, crcs = 0, []
             while first < edges.size - 1:
                 last = max(first + 1, int(np.searchsorted(edges, edges[first] + READ_IDS, "right")) - 1)
-                ids = access(segment["levels"], np.arange(edges[first], edges[last])).astype("<u4").tobytes()
+                ids = access_range(segment["levels"], int(edges[first]), int(edges[last])).astype("<u4", copy=False).tobytes()
                 own = 4 * (edges[first : last + 1] - edges[first])
                 crcs += [zlib.crc32(ids[a:b]) for a, b in zip(own, own[1:])]
                 first = last
