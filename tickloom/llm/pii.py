@@ -359,13 +359,36 @@ def without_code(text: str, labels: list) -> tuple[str, list] | None:
     return None
 
 
+def _smallest(most: int):
+    """Of each task, the ``most`` different islands with the smallest hashes, with labels and without."""
+
+    def keep(batches):
+        held: dict[bool, dict] = {False: {}, True: {}}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                h, text, kinds, starts, ends = row
+                half = held[bool(kinds)]
+                half[h, text.encode("utf-8", "surrogatepass"), tuple(kinds), tuple(starts), tuple(ends)] = row
+                if len(half) > 4 * most:
+                    for key in sorted(half)[most:]:
+                        del half[key]
+        rows = [half[key] for half in held.values() for key in sorted(half)[:most]]
+        columns = list(zip(*rows)) or [[]] * 5
+        types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["h", "text", "kinds", "starts", "ends"])
+
+    return keep
+
+
 def examples(docs: DataFrame, train_islands: int = TRAIN_ISLANDS) -> DataFrame:
     """At most ``train_islands`` different islands of ``docs``, half of them with labels."""
     found = texts(docs).select("text").mapInArrow(_island_batches, _ISLAND_SCHEMA)
-    # Equal islands are one example; each half is a bounded top-k by hash.
+    # Each half is a bounded top-k by hash of different islands: of every task first, then of all.
+    found = found.select(F.xxhash64("text").alias("h"), "text", "kinds", "starts", "ends")
+    found = found.mapInArrow(_smallest(train_islands // 2), "h long, " + _ISLAND_SCHEMA)
     found = stage(found.distinct(), "islands")
     has = F.size("kinds") > 0
-    half = lambda where: found.where(where).orderBy(F.xxhash64("text"), "text", "kinds", "starts", "ends").limit(train_islands // 2)
+    half = lambda where: found.where(where).orderBy("h", "text", "kinds", "starts", "ends").limit(train_islands // 2).drop("h")
     return half(has).unionByName(half(~has))
 
 
