@@ -10,13 +10,15 @@ which takes time linear in the features that are set. Neither labels nor lang, s
 are features.
 
 The model is fitted on a bounded sample: the TRAIN_ROWS labelled documents with the smallest id
-hashes among those not held out. Features of all documents and all scores are computed on Spark.
+hashes among those not held out, or as many of them as have TRAIN_BYTES of text together. Features of
+all documents and all scores are computed on Spark.
 
 Edge cases: a null text is empty and has a score like any other (that of no words); a null
 n_chars counts as the text's length; labels other than 0 and 1 are left out, and the larger of
 two labels of one document holds; a null doc_id is scored (its held_out is that of an empty
 text); repeated rows get equal scores; with no labels of either kind every score is the share
-of label 1, or one half; an empty table gives an empty result.
+of label 1, or one half; texts of any length are read whole; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import stage
 from .common import query, table
 
 HELD_OUT = (5, 0)  # crc32(doc_id) mod 5 is 0
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_BYTES = 12_000, 96 << 20
 THRESHOLD = 0.3
 BUCKETS = 1 << 15
 RANK = 8
@@ -185,6 +188,22 @@ def _featured(batches):
         )
 
 
+def _within(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The first of the sampled rows, by hash, whose texts together have TRAIN_BYTES at most: what a
+    fit holds on the driver is bounded in bytes too."""
+    known = stage(known.withColumn("h", F.xxhash64("doc_id")), "sample")  # TRAIN_ROWS rows at most
+    size = _own(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id", "h").agg(F.max(F.octet_length("text")).alias("size"))
+    total, cut = 0, None
+    for r in size.orderBy("h", "doc_id").collect():
+        total += r["size"] or 0
+        if total > TRAIN_BYTES:
+            cut = (r.h, r.doc_id)
+            break
+    if cut is not None:
+        known = known.where((F.col("h") < cut[0]) | ((F.col("h") == cut[0]) & (F.col("doc_id") < cut[1])))
+    return known.drop("h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
     """A machine fitted on at most ``train_rows`` labelled documents that aren't held out."""
     quality = F.col("quality").cast("int")
@@ -192,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT[0]
     known = known.where("doc_id IS NOT NULL").where(part != HELD_OUT[1])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    known = _within(docs, known)
     rows = _own(docs).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     rows = rows.select("text", "n_chars", "label").mapInArrow(_featured, "label int, at array<int>, x array<float>, stats array<double>")
     got = rows.toArrow()
