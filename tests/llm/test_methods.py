@@ -403,6 +403,17 @@ def test_language_model_sums_to_one(spark):
     assert np.allclose(rest, words.mass)
 
 
+def test_language_model_sums_gradients_by_row():
+    rng = np.random.default_rng(5)
+    for rows in (rng.integers(0, 50, 400), np.arange(400)[::-1].copy(), np.zeros(400, np.int64)):
+        grad = rng.normal(size=(rows.size, 8)).astype(np.float32)
+        for n_rows in (1 << 10, 1 << 20):
+            at, total = maxent_lm._row_sums(grad, rows, n_rows)
+            assert at.tolist() == sorted(set(rows.tolist()))
+            for row, own in zip(at, total):
+                assert np.allclose(own, grad[rows == row].sum(axis=0), atol=1e-5)
+
+
 def test_language_model_sizes_follow_the_counts():
     grown = [maxent_lm.sizes(v, n) for v, n in ((10, 100), (10**4, 10**6), (4 * 10**5, 4 * 10**6), (10**7, 10**9), (10**9, 10**13))]
     assert grown == sorted(grown, key=lambda x: x[0]) and [c for c, _ in grown] == [4, 8, 16, 32, 64]
