@@ -99,6 +99,22 @@ def test_encoder_with_a_small_table():
         assert np.frombuffer(own.encode([t])[0], dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_met_again_stay_in_a_full_table():
+    from tokenizers import Tokenizer
+
+    path = token_codes.tokenizer_path()
+    plain, own = Tokenizer.from_file(path), token_codes.Encoder(path, table_bytes=40 * token_codes.ENTRY_BYTES)
+    learned, learn = [], own._learn
+    own._learn = lambda pieces: learned.extend(pieces) or learn(pieces)
+    for k in range(60):
+        text = "often " + " ".join(f"w{k}x{j}" for j in range(10)) + " often"
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(own.known) <= 60
+    assert token_codes.STAGE_TABLE_BYTES < 40 << 20
+    assert learned.count("often") == 1
+    assert len(learned) == len(set(learned))
+
+
 # --- personal data -----------------------------------------------------------------------------
 
 

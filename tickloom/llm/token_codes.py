@@ -38,8 +38,9 @@ TOKENIZER = "byte_bpe_50k.json"
 PARTITION_BYTES = 32 << 20
 #: Characters that are cut and looked up together.
 GROUP_CHARS = 400_000
-#: Bytes of a worker's table of pieces already encoded, and of an entry beside its ids.
-TABLE_BYTES, ENTRY_BYTES = 168 << 20, 220
+#: Bytes of a worker's table of pieces already encoded, alone and as a stage of a pipeline, whose executors
+#: have other stages' memory too, and of an entry beside its ids.
+TABLE_BYTES, STAGE_TABLE_BYTES, ENTRY_BYTES = 168 << 20, 24 << 20, 220
 #: Ids that are read at a time, and range partitions whose offsets one task sums.
 READ_IDS, RUN_PARTS = 1 << 18, 1024
 SEGMENT_SCHEMA = (
@@ -157,6 +158,8 @@ class Encoder:
         self.special = [_GLUED, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.marks = re.compile(r"[.,](?<![^\W_][.,])").search
         self.known: dict[str, bytes] = {}
+        #: Pieces met again since the table was last full; they stay when it is.
+        self.again: set[str] = set()
         self.most, self.bytes = table_bytes, 0
 
     def _cut(self, text: str) -> list[str] | None:
@@ -183,10 +186,11 @@ class Encoder:
         if "" in used or "\n" in used:  # blanks or line breaks in a row
             cut = [None if p and ("" in p or "\n" in p) else p for p in cut]
             used -= {"", "\n"}
-        if self.bytes > self.most:  # the older half goes
-            kept = dict(islice(self.known.items(), len(self.known) // 2, None))
-            self.known, self.bytes = kept, sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        if self.bytes > self.most:  # half of it stays at most
+            kept = {p: self.known[p] for p in islice(self.again, len(self.known) // 2)}
+            self.known, self.again, self.bytes = kept, set(), sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
         new = used.difference(self.known)
+        self.again |= used - new
         if new:
             self._learn(list(new))
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -209,7 +213,7 @@ def _encoded(batches, codec: Encoder):
 # --- files -------------------------------------------------------------------------------------
 
 
-def write_codes(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def write_codes(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Encode every text, write the segments to the shared folder, and return them as read back."""
     own = texts(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -231,7 +235,7 @@ def write_codes(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) ->
 
     def pack(batches):
         path = tokenizer_path(name)
-        codec = worker_table(("tokens", path), lambda: Encoder(path))
+        codec = worker_table(("tokens", path, table_bytes), lambda: Encoder(path, table_bytes))
         end = np.array([end_id], dtype="<u4").tobytes()
         part, done = TaskContext.get().partitionId(), 0
         doc_ids, lengths, buffers = [], [], []
@@ -303,7 +307,7 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digests(write_codes(docs))
+    return digests(write_codes(docs, table_bytes=STAGE_TABLE_BYTES))
 
 
 @query("op8_token_codes")
