@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import PROTOCOL, Protocol
 from tickloom.operators import clean, features, scaling, splits, windows
+from tickloom.sources import panel
 
 OHLCV = "date date, ticker string, open double, high double, low double, close double, volume double"
 
@@ -115,3 +116,25 @@ def test_normalizer_ignores_validation_and_guards_zero_std(spark):
     assert got == [0.0] * 195
     back = scaling.denormalize(scaling.normalize(df, scaler), scaler).first().features_flat
     assert back == flat
+
+
+def test_bars_from_trades_with_nulls_and_ties(spark):
+    noon = dt.datetime(2020, 1, 2, 12)
+    rows = [
+        # (order, line, part, supplier, quantity, price, date)
+        (7, 1, 1, 5, 1.0, 10.0, noon), (7, 1, 1, 5, 2.0, 10.0, noon), (7, 2, 1, 5, 1.0, 30.0, noon), (3, 9, 1, 10, 1.0, 20.0, noon),
+        (3, 9, None, 10, 4.0, 20.0, noon), (5, 1, 1, 1, 1.0, 8.0, noon), (None, 2, 1, 6, 1.0, 9.0, noon), (None, 1, 1, 6, 0.5, 9.0, noon),
+        (4, 1, 1, None, 1.0, 2.0, noon), (4, 1, 1, 2, 1.0, 3.0, None), (4, 2, 1, 2, 1.0, None, None),
+    ]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    bars = panel.trades_to_panel(spark.createDataFrame(rows, schema))
+    found = {(r.ticker, r.date): (r.open, r.high, r.low, r.close, r.volume) for r in bars.collect()}
+    assert found == {
+        ("T0", noon.date()): (5.0, 30.0, 5.0, 30.0, 9.0),
+        ("T1", noon.date()): (18.0, 18.0, 8.0, 8.0, 2.5),
+        (None, noon.date()): (2.0, 2.0, 2.0, 2.0, 1.0),
+        ("T2", None): (3.0, 3.0, 3.0, None, 2.0),
+    }
+    # Full keys, whose aggregate sorts, are compared for the trades at an edge only.
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan[plan.index("partial_min_by"):]
