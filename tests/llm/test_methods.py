@@ -2,9 +2,13 @@
 
 import itertools
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DOC_SCHEMA
 from pyspark.sql import functions as F
@@ -115,6 +119,54 @@ def test_pieces_met_again_stay_in_a_full_table():
     assert len(learned) == len(set(learned))
 
 
+_GROWTH = """
+import re, sys
+from tickloom.llm import common, token_codes
+
+def held():
+    return 1024 * sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read())))
+
+make = lambda: token_codes.Encoder(token_codes.tokenizer_path())
+common.worker_table("a", make).encode(["a few words, to begin with"])
+start = held()
+for k in range(60):
+    common.worker_table("a", make).encode([" ".join(f"w{k}x{j}" for j in range(5000))])
+full = held()
+common.worker_table("b", dict)
+print(full - start, start - held())
+"""
+
+
+def test_a_worker_holds_little_and_gives_it_back():
+    """300,000 pieces take under 100 bytes each, and a worker that goes on to another operator has less than before them."""
+    out = subprocess.run([sys.executable, "-c", _GROWTH], cwd=Path(token_codes.__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    grown, freed = map(int, out.split()[-2:])
+    assert grown < 300_000 * 100
+    assert freed > 0
+
+
+def test_groups_and_parts_change_nothing(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_codes.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    texts = ["", "one two. Three, four", "a  b", "é ü. x", "two one\nfour", "x <|endoftext|> y", "x., y", " tail "] * 9
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    batches = [rows.slice(0, 5), rows.slice(5, 0), rows.slice(5, 40), rows.slice(45)]
+    for part, group, learn in ((1, 1, 1), (20, 70, 2), (1 << 20, 1 << 20, 200)):
+        monkeypatch.setattr(token_codes, "PART_BYTES", part)
+        monkeypatch.setattr(token_codes, "GROUP_BYTES", group)
+        monkeypatch.setattr(token_codes, "LEARN_PIECES", learn)
+        for table_bytes in (0, 300, 1 << 20):
+            own = token_codes.Encoder(path, table_bytes)
+            for _ in range(2):
+                found = list(token_codes._encoded(iter(batches), own))
+                assert [(d, x.tolist()) for d, x in found] == list(enumerate(wanted))
+            own.between = None
+            assert [x.tolist() for x in own.encode(texts)] == wanted
+
+
 # --- personal data -----------------------------------------------------------------------------
 
 

@@ -18,12 +18,11 @@ whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -34,13 +33,17 @@ CHUNK = 8
 SEGMENT_IDS = 1 << 20
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes of text that a range partition takes, in the mean.
-PARTITION_BYTES = 32 << 20
-#: Characters that are cut and looked up together.
-GROUP_CHARS = 400_000
+#: Bytes of text that a range partition takes, in the mean: what two tasks fetch and sort stays small.
+PARTITION_BYTES = 8 << 20
+#: Bytes of text that are cut together, and whose pieces are looked up together.
+PART_BYTES, GROUP_BYTES = 1 << 20, 4 << 20
+#: New pieces that go to the library at a time; with more, its own structures leave the caches.
+LEARN_PIECES = 200
+#: New pieces that are Python strings at a time.
+LIST_PIECES = 20_000
 #: Bytes of a worker's table of pieces already encoded, alone and as a stage of a pipeline, whose executors
-#: have other stages' memory too, and of an entry beside its ids.
-TABLE_BYTES, STAGE_TABLE_BYTES, ENTRY_BYTES = 168 << 20, 24 << 20, 220
+#: have other stages' memory too, and of an entry beside its piece and ids, with its place in Arrow's hash table.
+TABLE_BYTES, STAGE_TABLE_BYTES, ENTRY_BYTES = 32 << 20, 16 << 20, 44
 #: Ids that are read at a time, and range partitions whose offsets one task sums.
 READ_IDS, RUN_PARTS = 1 << 18, 1024
 SEGMENT_SCHEMA = (
@@ -139,6 +142,19 @@ def access_range(levels: list[dict], start: int, stop: int, chunk: int = CHUNK)
 
 #: Marks a piece that follows the one before without a blank; a text that holds it is not cut.
 _GLUED = "\x00"
+#: A full stop or comma that does not follow a letter or digit.
+_MARKS = r"(?:\A|[^\p{L}\p{N}])[.,]"
+
+
+def _ragged(values: np.ndarray, cuts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``at`` of values, which ``cuts`` divides, one after the other, and their cuts."""
+    first = cuts[at]
+    sizes = cuts[at + 1] - first
+    ends = np.zeros(at.size + 1, dtype=np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    places = np.repeat(first - ends[:-1], sizes)
+    places += np.arange(ends[-1])
+    return values[places], ends
 
 
 class Encoder:
@@ -148,6 +164,9 @@ class Encoder:
     a letter or digit, so a text's ids are those of such pieces, one after the other. Where a
     mark follows something else, the text is cut at blanks and line breaks only; where blanks or
     line breaks stand in a row, or with a special token, it goes to the library as it is.
+
+    Texts are cut and their different pieces found by Arrow, many texts at a time. The table is an
+    Arrow array of pieces beside one array of all their ids: no Python object per piece.
     """
 
     def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
@@ -155,59 +174,112 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [_GLUED, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.marks = re.compile(r"[.,](?<![^\W_][.,])").search
-        self.known: dict[str, bytes] = {}
-        #: Pieces met again since the table was last full; they stay when it is.
-        self.again: set[str] = set()
-        self.most, self.bytes = table_bytes, 0
-
-    def _cut(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special):
-            return None
-        if not self.marks(text):
-            text = text.replace(".", f" {_GLUED}.").replace(",", f" {_GLUED},")
-        return (_GLUED + text.replace("\n", " \n")).split(" ")
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [_GLUED, *(t.content for t in added.values())]
+        #: A token that stands for itself wherever it is, put between pieces: (id, content), or none.
+        self.between = next(((k, t.content) for k, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        self.most = table_bytes
+        self._keep(np.zeros(0, dtype=np.int64), pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+    def _keep(self, at: np.ndarray, pieces: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> None:
+        self.known = pieces.take(pa.array(at))
+        self.table, self.cuts = _ragged(ids, cuts, at)
+        #: In how many groups a piece was met again since the table was last full.
+        self.again = np.zeros(at.size, dtype=np.int32)
+        self.bytes = pc.sum(pc.binary_length(self.known)).as_py() or 0
+        self.bytes += self.table.nbytes + ENTRY_BYTES * at.size
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Texts with a blank before every piece, and which of them can be cut there."""
+        has = lambda x, s: pc.match_substring(x, s).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            whole |= has(texts, s)
+        apart = texts
+        for mark in ".,":
+            apart = pc.replace_substring(apart, mark, f" {_GLUED}{mark}")
+        apart = pc.if_else(pc.match_substring_regex(texts, _MARKS), texts, apart)
+        apart = pc.replace_substring(apart, "\n", " \n")
+        # Blanks or line breaks in a row, or at the end.
+        whole |= has(apart, "  ") | has(apart, "\n ")
+        whole |= pc.ends_with(apart, " ").to_numpy(zero_copy_only=False) | pc.ends_with(apart, "\n").to_numpy(zero_copy_only=False)
+        return pc.binary_join_element_wise(pa.scalar(_GLUED, apart.type), apart, pa.scalar("", apart.type)), ~whole
 
     def _learn(self, pieces: list[str]) -> None:
         # A piece that is neither glued nor a line follows a blank.
         texts = [p[1:] if p[:1] == _GLUED else p if p[:1] == "\n" else " " + p for p in pieces]
-        made = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, dtype="<u4").tobytes()
-        cuts = 4 * np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(texts) + 1))
-        cuts = cuts.tolist()
-        self.known.update(zip(pieces, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
-        self.bytes += len(ids) + ENTRY_BYTES * len(pieces)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.between:
+            runs = (texts[k : k + LEARN_PIECES] for k in range(0, len(texts), LEARN_PIECES))
+            ids = np.concatenate([self._whole("".join([t + self.between[1] for t in run])) for run in runs])
+            ends = np.flatnonzero(ids == self.between[0])
+            ids, ends = np.delete(ids, ends), ends - np.arange(ends.size)
+        else:
+            made = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(made.ids, dtype="<u4")
+            ends = np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(1, len(texts) + 1))
+        self.known = pa.concat_arrays([self.known, pa.array(pieces, pa.large_string())])
+        self.cuts = np.concatenate([self.cuts, self.table.size + ends])
+        self.table = np.concatenate([self.table, ids])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), dtype=np.int32)])
+        self.bytes += sum(len(p.encode()) for p in pieces) + ids.nbytes + ENTRY_BYTES * len(pieces)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the table has each of the pieces, which differ; the new ones are learned first."""
+        if self.bytes > self.most:  # half of it stays at most, what was met most often
+            n = min(np.count_nonzero(self.again), self.again.size // 2)
+            self._keep(np.sort(np.argsort(-self.again, kind="stable")[:n]), self.known, self.table, self.cuts)
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        self.again[at[~new]] += 1
+        if new.any():
+            at[new] = np.arange(len(self.known), len(self.known) + np.count_nonzero(new))
+            unknown = pieces.filter(pa.array(new))
+            for k in range(0, len(unknown), LIST_PIECES):
+                self._learn(unknown.slice(k, LIST_PIECES).to_pylist())
+        return at
+
+    def split(self, texts: pa.Array) -> tuple:
+        """Texts cut into coded pieces: each text's own end among them, the pieces, and the texts that stay whole."""
+        apart, cut = self._cut(texts)
+        lists = pc.split_pattern(apart.filter(pa.array(cut)), " ")
+        edges = lists.offsets.to_numpy()
+        return edges - edges[0], lists.flatten().dictionary_encode(), [None if c else texts[k].as_py() for k, c in enumerate(cut)]
+
+    def ids(self, parts: list[tuple]):
+        """The ids of each text of split parts, whose pieces are looked up together."""
+        coded = pa.chunked_array([pieces for _, pieces, _ in parts]).unify_dictionaries()
+        at = self._places(coded.chunk(0).dictionary)
+        pa.default_memory_pool().release_unused()
+        for (edges, _, whole), pieces in zip(parts, coded.chunks):
+            ids, ends = _ragged(self.table, self.cuts, at[pieces.indices.to_numpy()])
+            ends = ends[edges].tolist()
+            found = (ids[a:b] for a, b in zip(ends, ends[1:]))
+            for text in whole:
+                yield next(found) if text is None else self._whole(text)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._cut(t) for t in texts]
-        used = set().union(*filter(None, cut))
-        if "" in used or "\n" in used:  # blanks or line breaks in a row
-            cut = [None if p and ("" in p or "\n" in p) else p for p in cut]
-            used -= {"", "\n"}
-        if self.bytes > self.most:  # half of it stays at most
-            kept = {p: self.known[p] for p in islice(self.again, len(self.known) // 2)}
-            self.known, self.again, self.bytes = kept, set(), sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
-        new = used.difference(self.known)
-        self.again |= used - new
-        if new:
-            self._learn(list(new))
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return [whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, cut)]
+        return list(self.ids([self.split(pa.array(texts, pa.large_string()))]))
 
 
 def _encoded(batches, codec: Encoder):
-    """(doc_id, ids as bytes) of each row, encoded a few texts at a time."""
-    held, size = [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            held.append((doc_id, text.as_py()))
-            size += len(held[-1][1])
-            if size >= GROUP_CHARS:
-                yield from zip([d for d, _ in held], codec.encode([t for _, t in held]))
-                held, size = [], 0
-    yield from zip([d for d, _ in held], codec.encode([t for _, t in held]))
+    """(doc_id, ids) of each row: texts are cut PART_BYTES at a time and looked up GROUP_BYTES at a time."""
+    doc_ids, parts, size = [], [], 0
+    for batch in filter(len, batches):
+        doc_ids += batch.column(0).to_pylist()
+        texts = batch.column(1).cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        edges = [0, *(np.flatnonzero(np.diff(ends // PART_BYTES)) + 1).tolist(), len(texts)]
+        parts += [codec.split(texts.slice(a, b - a)) for a, b in zip(edges, edges[1:])]
+        size += int(ends[-1])
+        if size >= GROUP_BYTES:
+            yield from zip(doc_ids, codec.ids(parts))
+            doc_ids, parts, size = [], [], 0
+    if parts:
+        yield from zip(doc_ids, codec.ids(parts))
 
 
 # --- files -------------------------------------------------------------------------------------
@@ -236,22 +308,21 @@ def write_codes(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID, ta
     def pack(batches):
         path = tokenizer_path(name)
         codec = worker_table(("tokens", path, table_bytes), lambda: Encoder(path, table_bytes))
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
         part, done = TaskContext.get().partitionId(), 0
         doc_ids, lengths, buffers = [], [], []
 
         def segment():
-            ids = np.frombuffer(b"".join(buffers), dtype="<u4")
+            ids = np.concatenate(buffers)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
             row = {"part": part, "part_start": done, "doc_ids": doc_ids, "starts": starts, "n_ids": ids.size, "levels": encode_levels(ids)}
             return pa.RecordBatch.from_pylist([row], schema=schema), ids.size
 
         held = 0
         for doc_id, code in _encoded(batches, codec):
-            code += end
             doc_ids.append(doc_id)
-            lengths.append(len(code) // 4)
-            buffers.append(code)
+            lengths.append(code.size + 1)
+            buffers += [code, end]
             held += lengths[-1]
             if held >= SEGMENT_IDS:
                 row, n = segment()
