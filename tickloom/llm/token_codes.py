@@ -43,7 +43,7 @@ LEARN_PIECES = 200
 LIST_PIECES = 20_000
 #: Bytes of a worker's table of pieces already encoded, alone and as a stage of a pipeline, whose executors
 #: have other stages' memory too, and of an entry beside its piece and ids, with its place in Arrow's hash table.
-TABLE_BYTES, STAGE_TABLE_BYTES, ENTRY_BYTES = 32 << 20, 16 << 20, 44
+TABLE_BYTES, STAGE_TABLE_BYTES, ENTRY_BYTES = 64 << 20, 16 << 20, 44
 #: Ids that are read at a time, and range partitions whose offsets one task sums.
 READ_IDS, RUN_PARTS = 1 << 18, 1024
 SEGMENT_SCHEMA = (
