@@ -4,6 +4,8 @@ import itertools
 import math
 import subprocess
 import sys
+import time
+from collections import Counter
 from pathlib import Path
 
 import brute
@@ -471,6 +473,53 @@ def test_language_model_sums_to_one(spark):
     assert np.allclose(rest, words.mass)
 
 
+def plain_read(docs):
+    """Tokens and their places among the different ones, word by word."""
+    tokens = []
+    for text in docs:
+        tokens += [*text.encode().lower().split(), b""]
+    different = {w: k for k, w in enumerate(dict.fromkeys(tokens))}
+    return tokens, [different[w] for w in tokens]
+
+
+def test_language_model_reads_texts_as_word_by_word():
+    docs = ["", " ", "One two ONE", "\n a\tb\x0b\x0cC\r", "x\x1cy\x85z\xa0É é", *[f"u{chr(k)}V" for k in range(1, 0x300)]]
+    column = pa.array(["left out", *docs]).slice(1)
+    words, hashes, own, stops = maxent_lm.read(column)
+    tokens, places = plain_read(docs)
+    assert [words[k].as_py() for k in own] == tokens and own.tolist() == places
+    assert hashes.tolist() == [maxent_lm._hash(w.as_py()) for w in words]
+    assert [tokens[k - 1] for k in stops] == [b""] * len(docs) and stops[-1] == len(tokens)
+    runs = list(maxent_lm._chunks(pa.record_batch([column], names=["text"]), 0, 8))
+    assert [x for _, run in runs for x in run.to_pylist()] == docs and len(runs) > 100
+    assert [column[first].as_py() for first, _ in runs] == [run[0].as_py() for _, run in runs]
+
+
+def test_language_model_counts_across_batches(monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [" ".join(f"W{k}" for k in rng.integers(0, 400, 30)) for _ in range(200)]
+    batches = [pa.record_batch([pa.array(docs[k : k + 10])], names=["text"]) for k in range(0, 200, 10)]
+    for most in (50, 300, 10**6):
+        monkeypatch.setattr(maxent_lm, "_BATCH_WORDS", most)
+        seen = Counter()
+        for batch in maxent_lm._count_batches(batches):
+            seen.update(dict(zip(*(c.to_pylist() for c in batch.columns))))
+        assert seen == Counter(plain_read(docs)[0])
+    assert not list(maxent_lm._count_batches([]))
+
+
+def test_language_model_reads_texts_faster_than_word_by_word():
+    docs = [" ".join(f"w{k * j % 5003}" for j in range(500)) for k in range(1, 401)]
+    column = pa.array(docs)
+    least = {}
+    for _ in range(3):
+        for name, act in (("own", lambda: maxent_lm.read(column)), ("plain", lambda: plain_read(docs))):
+            begun = time.process_time()
+            act()
+            least[name] = min(least.get(name, math.inf), time.process_time() - begun)
+    assert least["own"] < 0.8 * least["plain"]
+
+
 def test_language_model_sums_gradients_by_row():
     rng = np.random.default_rng(5)
     for rows in (rng.integers(0, 50, 400), np.arange(400)[::-1].copy(), np.zeros(400, np.int64)):
