@@ -31,15 +31,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right, insort
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import small, stage
-from .common import query, table, worker_table
+from .common import query, table, text_runs, worker_table
 
 WINDOW = 8
 MIN_LITERALS = 4
@@ -59,9 +60,13 @@ UNITS = "mm cm m km in ft yd mi g kg mg lb oz ml l s sec min h hr hrs hz khz mhz
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,/:]*%?\Z")
 _GLUED = re.compile(r"([+-]?[$€£]?[0-9][0-9.,/:]*)([^\W\d_]+|[%€$£])\Z")
 _EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%€$£]+\Z")
+_ASCII = [chr(k) for k in range(128) if not (chr(k).isalnum() or chr(k) in "_$%")]
+_ASCII_EDGES = "".join(x for x in _ASCII if x not in "+-"), "".join(_ASCII)  # as _EDGE, of ASCII words
 _KIND_OF = {**dict.fromkeys(NUMBER_WORDS, NUMBER), **dict.fromkeys(UNITS, UNIT)}
 #: Words of a task's table of words already read, about 200 bytes each.
 TABLE_WORDS = 400_000
+#: Bytes of text that are read at once, or one text.
+READ_BYTES = 1 << 20
 
 
 def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:
@@ -69,7 +74,7 @@ def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:
     if word.isalpha():
         bare, ends = word, False
     else:
-        bare = _EDGE.sub("", word)
+        bare = word.lstrip(_ASCII_EDGES[0]).rstrip(_ASCII_EDGES[1]) if word.isascii() else _EDGE.sub("", word)
         ends = word[-1] in ".!?:" or word.endswith(('."', '!"', '?"'))
         if not bare.isalpha():
             glued = _GLUED.match(bare)
@@ -87,7 +92,46 @@ def canonical(word: str, sentence_start: bool) -> tuple[str, str, bool]:
     return low, low, ends
 
 
-_LINE = "\0"  # stands between lines: no token, and the next word starts a sentence
+_LINE = "\0"  # stands before every line: no token, and the next word starts a sentence
+_NO_TOKENS = {_LINE.encode(): 0, b"": 1}  # white space at a text's end leaves an empty word
+_LISTED = pa.array(list(_KIND_OF))
+_LISTED_KINDS = np.array([*(_KINDS[k] for k in _KIND_OF.values()), 0], np.int8)
+
+
+def _cut(words: pa.Array) -> list[bytes]:
+    """A string array's values, cut from its bytes at once."""
+    _, at, data = words.buffers()
+    cuts = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    whole = data.to_pybytes() if data else b""
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _xxh(words: list) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), dtype=np.uint64, count=len(words))
+
+
+#: Hashes of the placeholders by kind; a number with its unit is a number.
+_KIND_HASHES = np.concatenate([np.zeros(1, np.uint64), _xxh([NUMBER, NUMBER, UNIT, NAME])])
+
+
+def canonical_all(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word as by ``canonical`` inside a sentence: its kind, its own hash, whether the next word
+    starts a sentence, whether it is a token. Words of ASCII letters between marks are told by Arrow."""
+    flags = lambda x: x.to_numpy(zero_copy_only=False)
+    bare = pc.ascii_rtrim(pc.ascii_ltrim(words, characters=_ASCII_EDGES[0]), characters=_ASCII_EDGES[1])
+    plain = flags(pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(bare)))
+    low = pc.ascii_lower(bare)
+    kind = _LISTED_KINDS[pc.fill_null(pc.index_in(low, value_set=_LISTED), -1).to_numpy()]
+    upper = pc.and_not(pc.ascii_is_upper(pc.utf8_slice_codeunits(bare, 0, 1)), pc.ascii_is_upper(bare))
+    kind[flags(upper) & (kind == 0)] = _KINDS[NAME]
+    ends = flags(pc.match_substring_regex(words, r'(?:[.!?:]|[.!?]")\z'))
+    hashes, token = _xxh(_cut(low)), np.ones(len(words), bool)
+    rest = np.flatnonzero(~plain)
+    if rest.size:
+        tokens, own, ends_ = zip(*[canonical(word, False) for word in words.take(pa.array(rest)).to_pylist()])
+        kind[rest] = [_KINDS.get(t, 0) for t in tokens]
+        hashes[rest], ends[rest], token[rest] = _xxh([x.encode() for x in own]), ends_, [t != "" for t in tokens]
+    return kind, hashes, ends, token
 
 
 class Templates:
@@ -95,56 +139,69 @@ class Templates:
 
     def __init__(self, most: int = TABLE_WORDS):
         self.most = most
-        self.place = {_LINE: 0}
+        self.place = dict(_NO_TOKENS)
         # Of each word, inside a sentence and at its start: hash and kind.
         self.hashes, self.kind = np.zeros((2, 1024), np.uint64), np.zeros((2, 1024), np.int8)
         self.ends, self.token = np.zeros(1024, bool), np.zeros(1024, bool)
-        self.ends[0] = True
+        self.ends[: len(_NO_TOKENS)] = True
 
     def _forget(self) -> None:
         """The older half of the table goes."""
-        kept = list(islice(self.place, 1 + len(self.place) // 2, None))
-        at = np.array([0, *map(self.place.__getitem__, kept)], dtype=np.int64)
+        n = len(_NO_TOKENS)
+        kept = list(islice(self.place, n + (len(self.place) - n) // 2, None))
+        at = np.array([*range(n), *map(self.place.__getitem__, kept)], dtype=np.int64)
         self.hashes, self.kind, self.ends, self.token = (x[..., at] for x in (self.hashes, self.kind, self.ends, self.token))
-        self.place = {_LINE: 0} | dict(zip(kept, range(1, at.size)))
+        self.place = _NO_TOKENS | dict(zip(kept, range(n, at.size)))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes], texts: pa.Array) -> None:
         if len(self.place) + len(words) > self.ends.size:
             room = max(2 * self.ends.size, len(self.place) + len(words))
             grow = lambda x: np.concatenate([x, np.zeros((*x.shape[:-1], room - x.shape[-1]), x.dtype)], axis=-1)
             self.hashes, self.kind, self.ends, self.token = map(grow, (self.hashes, self.kind, self.ends, self.token))
         first = len(self.place)
         self.place.update(zip(words, range(first, first + len(words))))
-        inside = [canonical(word, False) for word in words]
-        # Only a name is another token where a sentence starts.
-        begun = [canonical(word, True)[0] if t[0] is NAME else t[0] for word, t in zip(words, inside)]
         cut = slice(first, first + len(words))
-        for row, tokens in ((0, [t[0] for t in inside]), (1, begun)):
-            hashed = [NUMBER if t is QUANTITY else t for t in tokens]
-            self.hashes[row, cut] = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t in hashed]
-            self.kind[row, cut] = [_KINDS.get(t, 0) for t in tokens]
-        self.ends[cut] = [t[2] for t in inside]
-        self.token[cut] = [t[0] != "" for t in inside]
+        kind, own, self.ends[cut], self.token[cut] = canonical_all(texts)
+        # Only a name is another token where a sentence starts: itself.
+        for row, kinds in ((0, kind), (1, np.where(kind == _KINDS[NAME], 0, kind))):
+            self.hashes[row, cut] = np.where(kinds == 0, own, _KIND_HASHES[kinds])
+            self.kind[row, cut] = kinds
+
+    def read_all(self, texts: pa.Array):
+        """(hashes, literal flags, stops of the texts, words behind a token) of the texts' tokens, one
+        text after the other; bare punctuation is none."""
+        mark = f"{_LINE} "
+        lists = pc.utf8_split_whitespace(pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", f" {mark}"), ""))
+        coded = lists.flatten().dictionary_encode()
+        words = _cut(coded.dictionary)
+        look = lambda: np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        places = look()
+        if len(self.place) + (places < 0).sum() > self.most and len(self.place) > len(_NO_TOKENS):
+            self._forget()
+            places = look()
+        new = np.flatnonzero(places < 0)
+        if new.size:
+            places[new] = np.arange(len(self.place), len(self.place) + new.size)
+            self._learn([words[k] for k in new.tolist()], coded.dictionary.take(pa.array(new)))
+        which = coded.indices.to_numpy().astype(np.int64)
+        start = np.ones(which.size, dtype=np.int64)
+        start[1:] = self.ends[places][which[:-1]]
+        use = np.flatnonzero(self.token[places][which])
+        which, start = which[use], start[use]
+        kind = self.kind[:, places][start, which]
+        text_ends = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+        begun = np.append(start == 1, True)
+        begun[np.searchsorted(use, text_ends)] = True  # a text's first token, behind bare punctuation too
+        first = np.flatnonzero(~joins(kind, begun[:-1]))
+        pieces = np.append(first, kind.size)
+        word = lambda k: " ".join([canonical(words[which[j]].decode(), bool(start[j]))[1] for j in range(pieces[k], pieces[k + 1])])
+        stops = np.searchsorted(use[first], text_ends)
+        return self.hashes[:, places][start[first], which[first]], kind[first] == 0, stops, word
 
     def read(self, text: str):
-        """(hashes, literal flags, words behind a token) of the text's tokens; bare punctuation is none."""
-        words = text.replace("\n", f" {_LINE} ").split()
-        new = set(words).difference(self.place)
-        if new and len(self.place) + len(new) > self.most and len(self.place) > 1:
-            self._forget()
-            new = set(words).difference(self.place)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-        start = np.ones(at.size, dtype=np.int64)
-        start[1:] = self.ends[at[:-1]]
-        use = np.flatnonzero(self.token[at])
-        at, start = at[use], start[use]
-        kind = self.kind[start, at]
-        first = np.flatnonzero(~joins(kind, start == 1))
-        stops = np.append(first, kind.size)
-        word = lambda k: " ".join([canonical(words[use[j]], bool(start[j]))[1] for j in range(stops[k], stops[k + 1])])
-        return self.hashes[start[first], at[first]], kind[first] == 0, word
+        """(hashes, literal flags, words behind a token) of one text's tokens."""
+        hashes, literal, _, word = self.read_all(pa.array([text], pa.string()))
+        return hashes, literal, word
 
 
 def joins(kind: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -186,19 +243,25 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _rows(ids, rows, texts, sizes, read, bitmaps):
+def _rows(ids, rows, texts, sizes, read_all, bitmaps):
     """Window rows (id, row, h, place, size, n_tokens, slots, exact, raw) of documents' texts."""
-    for one, row, text in zip(ids, rows, texts):
-        hashes, literal, word = read(text or "")
-        for size in sizes:
-            h, fit = windows(hashes, literal, size)
-            bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-            likely = [bits is not None and (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1 for bits in bitmaps]
-            for exact, use in ((False, fit & likely[0]), (True, likely[1])):
-                for place in np.flatnonzero(use).tolist():
-                    slots = [word(place + k) for k in np.flatnonzero(~literal[place : place + size])]
-                    raw = int(h[place])
-                    yield one, row, _signed(_by_words(raw, slots) if exact else raw), place, size, hashes.size, slots, exact, _signed(raw)
+    hashes, literal, stops, word = read_all(texts)
+    starts = np.concatenate([[0], stops[:-1]])
+    last = np.repeat(stops, stops - starts)
+    for size in sizes:
+        h, fit = windows(hashes, literal, size)
+        inside = np.arange(size, size + h.size) <= last[: h.size]  # of one text
+        bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+        for exact, may, bits in ((False, inside & fit, bitmaps[0]), (True, inside, bitmaps[1])):
+            if bits is None:
+                continue
+            likely = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            found = np.flatnonzero(may & likely)
+            for at, k in zip(found.tolist(), np.searchsorted(stops, found, side="right").tolist()):
+                slots = [word(at + j) for j in np.flatnonzero(~literal[at : at + size])]
+                raw = int(h[at])
+                place, n_tokens = at - int(starts[k]), int(stops[k] - starts[k])
+                yield ids[k], rows[k], _signed(_by_words(raw, slots) if exact else raw), place, size, n_tokens, slots, exact, _signed(raw)
 
 
 def _item_rows(ids, rows, texts, read):
@@ -371,9 +434,11 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast([_bitmap(items.where("NOT exact")), _bitmap(items.where("exact"))])
 
     def doc_windows(batches):
-        read = worker_table("templates", Templates).read
+        read_all = worker_table("templates", Templates).read_all
         for batch in batches:
-            yield from _emit(_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(_text, batch.column(2)), sizes, read, shared.value))
+            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, run in text_runs(batch, 2, READ_BYTES):
+                yield from _emit(_rows(ids[first:], rows[first:], run, sizes, read_all, shared.value))
 
     found = own(docs, "doc_id").mapInArrow(doc_windows, _WINDOW_SCHEMA)
     found = found.select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "h", F.col("place").alias("doc_place"), "size", F.col("slots").alias("doc_slots"), "exact")
@@ -395,10 +460,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _text(scalar):
-    return scalar.as_py()
-
-
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose text holds no benchmark item, by id and text: a clean text under the id of a
     contaminated one stays, and a row without an id is judged by its text."""
