@@ -297,6 +297,56 @@ def test_suffix_array_marks_what_pages_repeat():
     assert set(np.flatnonzero(got).tolist()) == wanted and len(wanted) >= 6 * 12
 
 
+def test_ranks_are_places_among_different_keys():
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 50, 400), rng.integers(1 << 57, 1 << 62, 400).repeat(2), np.array([7, 7, 7]), np.array([3])):
+        keys = rng.permutation(keys).astype(np.uint64)
+        assert (html_extract.ranks(keys) == np.unique(keys, return_inverse=True)[1]).all()
+
+
+def test_suffix_array_takes_few_sorts():
+    """Less CPU than five sorts by two keys of the array's own size; it took ten."""
+    tokens = np.random.default_rng(2).integers(0, 1 << 14, 300_000).astype(np.uint64) * np.uint64(1000)
+    pages = np.arange(tokens.size) // 500
+
+    def cpu(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cpu(lambda: html_extract.run_counts(tokens, pages, pages, 8)) < 5 * cpu(lambda: np.lexsort((pages, tokens)))
+
+
+def test_words_are_hashed_side_by_side(monkeypatch):
+    """Every word by all of its bytes, whatever stands beside it; only very long ones are hashed one by one."""
+    long = "x" * 70
+    words = ["a", "a\0", "é", "\n", "sevenxx", "eightxxx", "eightxxy", "ninexxxxx", "ninexxxxy", "w" * 16, "w" * 64, "w" * 63 + "v", "w" * 65, long, long + "y"]
+    words += [f"word{k}" for k in range(5_000)] + ["🙂" * k for k in range(1, 20)]
+    alone = [html_extract.word_hashes(f"{w} ".encode())[0] for w in words]
+    assert len(set(alone)) == len(words)
+    order = np.random.default_rng(5).integers(0, len(words), 20_000)
+    got = html_extract.word_hashes("".join(words[k] + " " for k in order).encode())
+    assert (got == np.array(alone, dtype=np.uint64)[order]).all()
+    assert html_extract.word_hashes(b"").size == 0
+    assert len({int(h) & 0xFFFFFF for h in alone}) >= len(words) - 8  # the bytes that travel
+
+    singly = []
+    digest = html_extract.xxhash.xxh64_intdigest
+    monkeypatch.setattr(html_extract.xxhash, "xxh64_intdigest", lambda w: singly.append(w) or digest(w))
+    pages = [f"<body><p>{' '.join(words[4:12])}</p>{'<p>one two</p>' * 50}<article>é {long}</article></body>", "", "<p>one</p>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), *[pa.array([1, 1, 1])] * 3, pa.array(pages)], names=["key", "host", "shard", "pages", "html"])
+    whole = pa.Table.from_batches(html_extract._streams(iter([batch]))).to_pylist()
+    assert singly == [long.encode()]
+    tokens = [r["tokens"] for r in whole]
+    assert [len(t) // html_extract.TOKEN_BYTES for t in tokens] == [3 + 9 + 50 * 3, 0, 2]
+    assert tokens[2] == tokens[0][12 * 3 : 13 * 3] + tokens[0][14 * 3 : 15 * 3]  # "one" and a block's end
+    monkeypatch.setattr(html_extract, "READ_BYTES", 1)
+    assert pa.Table.from_batches(html_extract._streams(iter([batch]))).to_pylist() == whole
+
+
 def test_pages_without_an_article_lose_what_the_host_repeats(spark):
     rng = np.random.default_rng(1)
     own = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 40)) for _ in range(8)]
