@@ -370,6 +370,58 @@ def test_repeats_are_counted_over_the_whole_host(spark, monkeypatch):
         assert got == {k: (t, 14 * (k % 100 == 7)) for k, t in enumerate(own)}
 
 
+def test_rare_runs_inside_articles_are_counted_over_the_whole_host(spark, monkeypatch):
+    """Three of 300 pages share a sentence inside articles, and a line that is plain on one of three pages."""
+    rng = np.random.default_rng(8)
+    sentence = "three articles of this host share one sentence and no other page has it"
+    line = "one plain page and two articles of this host have this line in common"
+    rows, texts = [], {}
+    for k in range(300):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 100_000, 30))
+        if k == 5:
+            rows.append((k, "https://h.example/5", f"<body><p>{own}</p><p>{line}</p></body>"))
+            texts[k] = own
+        else:
+            held = [own] + [sentence] * (k % 100 == 7) + [line] * (k in (90, 210))
+            rows.append((k, f"https://h.example/{k}", "<article>" + "".join(f"<p>{t}</p>" for t in held) + "</article>"))
+            texts[k] = "\n".join(held)
+    wanted = {k: (t, 16 * (k % 100 == 7) + 16 * (k in (5, 90, 210))) for k, t in texts.items()}  # a block's end before it and its own
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (html_extract.SHARD_TOKENS, 500):
+        monkeypatch.setattr(html_extract, "SHARD_TOKENS", tokens)
+        got = {r.page_id: (r.text, r.boilerplate_tokens) for r in html_extract.extract(pages).collect()}
+        assert got == wanted
+
+
+def test_totals_of_runs_come_back_to_the_shards_that_have_them():
+    """Prints of nine shards' pages, told by three tasks, against a plain count."""
+    rng = np.random.default_rng(3)
+    of_shard, of_part, rest = html_extract.print_bits(9)
+    every = rng.integers(0, 1 << of_part + rest, 4_000).astype(np.uint64)
+    pages = [(int(rng.integers(9)), rng.permutation(every)[: rng.integers(1, 400)]) for _ in range(60)]
+    pages += [(0, every[:1]), (0, every[:1]), (0, every[:1]), (8, np.array([0, (1 << of_part + rest) - 1], dtype=np.uint64))]
+    rows = []
+    for k in range(3):
+        prints, shard = np.concatenate([x for _, x in pages[k::3]]), np.concatenate([np.full(len(x), s) for s, x in pages[k::3]])
+        rows += html_extract._told(4, 9, prints, shard)
+    table = pa.Table.from_batches([html_extract._table(rows, html_extract._TOLD)])
+    got = {}
+    for part in range(1 << of_part):
+        for r in html_extract._totals(table.filter(pa.array([x == part for x in table.column("part").to_pylist()]))).to_pylist():
+            prints = html_extract.unpacked(r["prints"]) | np.uint64(part << rest)
+            got |= {(r["shard"], x): n for x, n in zip(prints.tolist(), np.frombuffer(r["totals"], "<i8").tolist())}
+    total, holders = Counter(x for _, own in pages for x in own.tolist()), {}
+    for s, own in pages:
+        for x in own.tolist():
+            holders.setdefault(x, set()).add(s)
+    wanted = {(s, x): n for x, n in total.items() for s in holders[x] if n >= 3 and len(holders[x]) > 1}
+    assert got == wanted and len(got) > 1_000
+    many = np.unique(rng.integers(0, 1 << 57, 1 << 18).astype(np.uint64))
+    assert (html_extract.unpacked(html_extract.packed(many, 57)) == many).all() and len(html_extract.packed(many, 57)) < 5.5 * many.size
+    assert html_extract.unpacked(html_extract.packed(many[:0], 57)).size == 0
+    assert all(sum(html_extract.print_bits(1 << k)[::2]) <= 64 and sum(html_extract.print_bits(1 << k)[1:]) <= 64 for k in range(1, 24))
+
+
 def plain_texts(pages):
     """Each page's text by the rules' wording, page by page and run by run."""
     import re
