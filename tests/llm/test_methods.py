@@ -694,6 +694,61 @@ def test_rare_words_by_join_score_as_frequent_ones(spark, monkeypatch):
         assert math.isclose(r.base_score, all_known[r.doc_id].base_score, rel_tol=1e-9)
 
 
+def test_language_model_grows_beyond_the_table_that_tasks_hold(spark, monkeypatch):
+    """With a table of 8,192 rows of 65,536 wanted ones the rows of the last two words are dealt to tasks, and contexts are told apart again."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.limit(5))  # copies of a row have its score
+
+    def gains():
+        rows = maxent_lm.language_model_scores(docs).collect()
+        assert len(rows) == 1_005
+        by_id = {}
+        for r in rows:
+            assert math.isclose(r.score, by_id.setdefault((r.doc_id, r.n_tokens, r.base_score), r.score), rel_tol=1e-5)
+        gain = lambda own: sum(r.score - r.base_score for r in own) / sum(r.n_tokens for r in own)
+        return gain([r for r in rows if r.part != 2]), gain([r for r in rows if r.part == 2])
+
+    monkeypatch.setattr(maxent_lm, "TABLE_BYTES", 1 << 19)
+    monkeypatch.setattr(maxent_lm, "PART_TOKENS", 100_000)
+    rows = maxent_lm.sizes(60_000, 350_000)[1]
+    words = maxent_lm.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), 350_000, 60_000, np.ones((8, 8)), rows)
+    assert words.parts == 4 and words.parts * words.part_rows == maxent_lm.wanted_rows(350_000) == 8 * rows
+    dealt = gains()
+    monkeypatch.setattr(maxent_lm, "wanted_rows", lambda n_tokens: rows)  # contexts share the table's rows
+    shared = gains()
+    assert dealt[0] > 1.2 * shared[0] and dealt[1] > shared[1]
+
+
+def test_dealt_rows_give_probabilities_and_learn():
+    """Over all groups of one context they sum to one; the group that training saw there is likelier than before."""
+    n, per = 8, 400_000
+    words = maxent_lm.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), per, 60_000, np.ones((n, n)), 1 << 10)
+    weights = maxent_lm.Weights.fresh(words)
+    context = lambda k, times: maxent_lm._bytes_of(np.full(times, k, dtype=np.uint64), maxent_lm.WORD_BITS // 8).tobytes()
+    scored = np.arange(n * n)
+    rows = []
+    for chunk, (sizes, learn, target) in enumerate([([20], 1, np.full(20, 11)), ([1] * (n * n), 0, scored)]):
+        steps = np.diff(np.arange(len(sizes)), prepend=0).astype("<u4").tobytes()
+        rows.append((0, chunk, np.arange(len(sizes)).astype("<i8").tobytes(), steps, np.array(sizes, "<u4").tobytes(), bytes([learn]) * len(sizes), context(5, len(target)), context(9, len(target)), target.astype(np.uint8).tobytes(), bytes(len(target))))
+    names = [x.split()[0] for x in maxent_lm._SENT.split(", ")]
+    found = {}
+    for own in (rows, rows[1:]):  # with the training text and without it
+        back = maxent_lm.part_scores(pa.table([pa.array(x) for x in zip(*own)], names=names), words, weights)
+        sums = maxent_lm._chunk_sums(back.slice(len(own) - 1)).to_pydict()
+        assert sums["same"] == scored.tolist() and sums["n"] == [1] * (n * n)
+        found[len(own)] = 10 ** np.array(sums["dealt"])
+        assert math.isclose(found[len(own)].sum(), 1, rel_tol=1e-5)
+    assert found[2][11] > 1.2 * found[1][11] and found[2].argmax() == 11
+
+
+def test_common_contexts_are_dealt_to_many_tasks():
+    rng = np.random.default_rng(7)
+    pair = np.concatenate([np.full(50_000, 17), rng.integers(0, 1 << 60, 20_000).repeat(3)]).astype(np.uint64)
+    deal = maxent_lm.deals(pair, rng.integers(-(1 << 60), 1 << 60, pair.size), 100)
+    assert len(set(deal[:50_000].tolist())) == 100 and np.bincount(deal).max() < 2 * pair.size / 100
+    assert (deal[50_000::3] == deal[50_001::3]).all() and (deal[50_000::3] == deal[50_002::3]).all()
+
+
 # --- factorisation machine ---------------------------------------------------------------------
 
 
